@@ -120,8 +120,98 @@ averages AS (
            CAST((2 * spend_units + 100 * (years + 1)) // (200 * (years + 1)) AS DOUBLE) / 100.0
                AS avg_yearly_purchase_amount
     FROM spans
+),
+customer_features AS (
+    SELECT customer_id, city, country, gender, marital_status, birthday_date,
+           CAST(year(DATE '2001-08-01') - year(birthday_date) AS BIGINT) AS age
+    FROM customer_loyalty
+),
+menu_features AS (
+    SELECT menu_type, truck_brand_name, menu_item_name, item_category, item_subcategory,
+           sale_price_usd
+    FROM menu WHERE item_category != 'bolt'
+),
+interactions AS (
+    SELECT a.customer_id, b.menu_item_name,
+           CASE WHEN c.purchased IS NOT NULL THEN 1 ELSE 0 END AS purchased
+    FROM customer_loyalty a
+    CROSS JOIN (SELECT menu_item_name FROM menu WHERE item_category != 'bolt') b
+    LEFT JOIN (SELECT DISTINCT customer_id, menu_item_name, truck_id, 1 AS purchased
+               FROM orders_v WHERE customer_id IS NOT NULL) c
+      ON a.customer_id = c.customer_id AND b.menu_item_name = c.menu_item_name
+),
+nv_pairs AS (
+    SELECT i.customer_id, m.truck_brand_name, i.purchased
+    FROM interactions i JOIN menu_features m ON i.menu_item_name = m.menu_item_name
+),
+nv_all AS (SELECT DISTINCT customer_id, truck_brand_name, purchased FROM nv_pairs),
+nv_visited AS (SELECT DISTINCT customer_id, truck_brand_name, purchased FROM nv_pairs
+               WHERE purchased = 1),
+nv AS (
+    SELECT a.* FROM nv_all a
+    WHERE NOT EXISTS (SELECT 1 FROM nv_visited v
+                      WHERE v.customer_id = a.customer_id
+                        AND v.truck_brand_name = a.truck_brand_name)
+),
+never_visited AS (
+    SELECT nv.customer_id, nv.truck_brand_name, nv.purchased, m.menu_type,
+           m.truck_brand_name AS item_truck_brand_name, m.menu_item_name, m.item_category,
+           m.item_subcategory, m.sale_price_usd
+    FROM nv JOIN menu_features m ON nv.truck_brand_name = m.truck_brand_name
+),
+audience AS (
+    SELECT i.customer_id, i.menu_item_name, i.purchased, m.menu_type, m.truck_brand_name,
+           m.item_category, m.item_subcategory, m.sale_price_usd,
+           c.city, c.country, c.gender, c.marital_status, c.birthday_date, c.age,
+           a.avg_monthly_purchase_amount, a.avg_weekly_purchase_amount,
+           a.avg_yearly_purchase_amount
+    FROM interactions i
+    LEFT JOIN menu_features m ON i.menu_item_name = m.menu_item_name
+    LEFT JOIN customer_features c ON i.customer_id = c.customer_id
+    LEFT JOIN averages a ON i.customer_id = a.customer_id
+),
+audience_nv AS (
+    SELECT n.*, c.city, c.country, c.gender, c.marital_status, c.birthday_date, c.age,
+           a.avg_monthly_purchase_amount, a.avg_weekly_purchase_amount,
+           a.avg_yearly_purchase_amount
+    FROM never_visited n
+    LEFT JOIN customer_features c ON n.customer_id = c.customer_id
+    LEFT JOIN averages a ON n.customer_id = a.customer_id
+),
+hashed AS (
+    SELECT i.*,
+           ('0x' || substr(md5(CAST(i.customer_id AS VARCHAR) || '|' || i.menu_item_name),
+                    1, 8))::BIGINT AS h
+    FROM interactions i
+),
+scored AS (
+    SELECT h.customer_id, c.city, h.menu_item_name, h.purchased,
+           CAST(h.h % 1000 AS DOUBLE) / 1000.0 AS prediction
+    FROM hashed h LEFT JOIN customer_features c ON h.customer_id = c.customer_id
+),
+top3 AS (
+    SELECT * FROM (
+        SELECT s.*, rank() OVER (PARTITION BY customer_id
+                                 ORDER BY prediction DESC NULLS FIRST) AS rank
+        FROM scored s) WHERE rank <= 3
+),
+history AS (
+    SELECT customer_id, string_agg(menu_item_name, '|' ORDER BY menu_item_name)
+               AS purchase_history
+    FROM interactions
+    WHERE purchased = 1 AND customer_id IN (SELECT customer_id FROM top3)
+    GROUP BY customer_id
 )"""
 
+AUDIENCE_COLUMNS = """customer_id, menu_item_name, purchased, menu_type, truck_brand_name,
+       item_category, item_subcategory, CAST(sale_price_usd AS DOUBLE) AS sale_price_usd,
+       city, country, gender, marital_status, CAST(birthday_date AS VARCHAR) AS birthday_date,
+       age, avg_monthly_purchase_amount, avg_weekly_purchase_amount, avg_yearly_purchase_amount"""
+
+NV_COLUMNS = """customer_id, truck_brand_name, CAST(purchased AS BIGINT) AS purchased,
+       menu_type, item_truck_brand_name, menu_item_name, item_category, item_subcategory,
+       CAST(sale_price_usd AS DOUBLE) AS sale_price_usd"""
+
 
 def _with(body: str, *extra_ctes: str) -> str:
     ctes = ADAPTER + "".join("," + c for c in extra_ctes)
@@ -150,9 +240,134 @@ SELECT customer_id, avg_monthly_purchase_amount, avg_weekly_purchase_amount,
 FROM averages""")
 
 
+CUSTOMER_FEATURES = _with("""
+SELECT customer_id, city, country, gender, marital_status,
+       CAST(birthday_date AS VARCHAR) AS birthday_date, age
+FROM customer_features""")
+
+MENU_FEATURES = _with("""
+SELECT menu_type, truck_brand_name, menu_item_name, item_category, item_subcategory,
+       CAST(sale_price_usd AS DOUBLE) AS sale_price_usd
+FROM menu_features""")
+
+FILTER_OPTIONS = _with("""
+SELECT DISTINCT 'country' AS kind, country AS value FROM customer_features
+UNION ALL SELECT DISTINCT 'city', city FROM customer_features
+UNION ALL SELECT DISTINCT 'truck_brand_name', truck_brand_name FROM menu
+UNION ALL SELECT DISTINCT 'city_in_country', city FROM customer_features
+          WHERE country IN ('AMERICA', 'EUROPE')""")
+
+INTERACTIONS = _with("""
+SELECT customer_id, menu_item_name, CAST(purchased AS BIGINT) AS purchased FROM interactions""")
+
+INTERACTIONS_DEDUP = _with("""
+SELECT DISTINCT customer_id, menu_item_name, CAST(purchased AS BIGINT) AS purchased
+FROM interactions""")
+
+NEVER_VISITED = _with(f"""
+SELECT {NV_COLUMNS} FROM never_visited""")
+
+AUDIENCE = _with(f"""
+SELECT {AUDIENCE_COLUMNS} FROM audience""")
+
+AUDIENCE_FILTERED = _with(f"""
+SELECT {AUDIENCE_COLUMNS} FROM audience
+WHERE country IN ('AMERICA', 'EUROPE')
+  AND city IN ('NATION_1', 'NATION_3', 'NATION_6', 'NATION_8', 'NATION_11')
+  AND truck_brand_name IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#12', 'Brand#14')
+  AND purchased = 0""")
+
+AUDIENCE_NEVER_VISITED = _with(f"""
+SELECT {NV_COLUMNS}, city, country, gender, marital_status,
+       CAST(birthday_date AS VARCHAR) AS birthday_date, age,
+       avg_monthly_purchase_amount, avg_weekly_purchase_amount, avg_yearly_purchase_amount
+FROM audience_nv
+WHERE country IN ('AMERICA', 'EUROPE') AND purchased = 0""")
+
+AUDIENCE_PAGE = _with(f"""
+SELECT {AUDIENCE_COLUMNS} FROM audience
+ORDER BY customer_id, menu_item_name LIMIT 10000""")
+
+SPLIT_COUNTS = _with("""
+SELECT CASE WHEN h % 10000 < 1000 THEN 'train'
+            WHEN h % 10000 < 2000 THEN 'validation' ELSE 'test' END AS split,
+       count(*) AS rows
+FROM hashed GROUP BY 1""")
+
+SAMPLE_N = _with("""
+SELECT customer_id, menu_item_name, CAST(purchased AS BIGINT) AS purchased
+FROM hashed WHERE h % 10000 >= 2000
+ORDER BY md5(CAST(customer_id AS VARCHAR) || '|' || menu_item_name), customer_id,
+         menu_item_name
+LIMIT 5000""")
+
+TOP3_ITEMS = _with("""
+SELECT customer_id, menu_item_name, CAST(purchased AS BIGINT) AS purchased, prediction,
+       CAST(rank AS BIGINT) AS rank
+FROM top3""")
+
+PURCHASE_HISTORY = _with("""
+SELECT customer_id, purchase_history FROM history""")
+
+RECOMMENDATIONS = _with("""
+SELECT r.customer_id, r.city, coalesce(h.purchase_history, '') AS purchase_history,
+       r.menu_item_name
+FROM (SELECT customer_id, min(city) AS city,
+             string_agg(menu_item_name, '|' ORDER BY rank, menu_item_name) AS menu_item_name
+      FROM top3 GROUP BY customer_id) r
+LEFT JOIN history h ON r.customer_id = h.customer_id""")
+
+AUC = _with("""
+SELECT CASE WHEN sum(pos) * sum(neg) > 0
+            THEN CAST(sum(pos * (2 * neg_before + neg)) AS DOUBLE)
+                 / (CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE) * 2.0)
+       END AS auc
+FROM (
+    SELECT pos, neg,
+           coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING
+                                                     AND 1 PRECEDING), 0) AS neg_before
+    FROM (SELECT prediction AS score,
+                 sum(CASE WHEN purchased = 1 THEN 1 ELSE 0 END) AS pos,
+                 sum(CASE WHEN purchased = 0 THEN 1 ELSE 0 END) AS neg
+          FROM scored WHERE prediction IS NOT NULL GROUP BY prediction))""")
+
+BINARY_METRICS = _with("""
+SELECT tp, fp, fn, tn, precision, recall,
+       CASE WHEN precision + recall > 0
+            THEN precision * recall * 2.0 / (precision + recall) ELSE 0.0 END AS f1
+FROM (
+    SELECT tp, fp, fn, tn,
+           CASE WHEN tp + fp > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fp AS DOUBLE)
+                ELSE 0.0 END AS precision,
+           CASE WHEN tp + fn > 0 THEN CAST(tp AS DOUBLE) / CAST(tp + fn AS DOUBLE)
+                ELSE 0.0 END AS recall
+    FROM (SELECT CAST(count(*) FILTER (WHERE purchased = 1 AND prediction >= 0.5) AS BIGINT) AS tp,
+                 CAST(count(*) FILTER (WHERE purchased = 0 AND prediction >= 0.5) AS BIGINT) AS fp,
+                 CAST(count(*) FILTER (WHERE purchased = 1 AND prediction < 0.5) AS BIGINT) AS fn,
+                 CAST(count(*) FILTER (WHERE purchased = 0 AND prediction < 0.5) AS BIGINT) AS tn
+          FROM scored))""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "orders_v": ORDERS_V,
         "date_diffs": DATE_DIFFS,
         "purchase_averages": PURCHASE_AVERAGES,
+        "customer_features": CUSTOMER_FEATURES,
+        "menu_features": MENU_FEATURES,
+        "filter_options": FILTER_OPTIONS,
+        "interactions": INTERACTIONS,
+        "interactions_dedup": INTERACTIONS_DEDUP,
+        "never_visited": NEVER_VISITED,
+        "audience": AUDIENCE,
+        "audience_filtered": AUDIENCE_FILTERED,
+        "audience_never_visited": AUDIENCE_NEVER_VISITED,
+        "audience_page": AUDIENCE_PAGE,
+        "split_counts": SPLIT_COUNTS,
+        "sample_n": SAMPLE_N,
+        "top3_items": TOP3_ITEMS,
+        "purchase_history": PURCHASE_HISTORY,
+        "recommendations": RECOMMENDATIONS,
+        "auc": AUC,
+        "binary_metrics": BINARY_METRICS,
     }

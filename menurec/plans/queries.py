@@ -16,9 +16,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from menurec.operators import features, harmonize
+from menurec.functions.hashing import md5_score, pair_key
+from menurec.operators import audience as aud
+from menurec.operators import evaluate, features, harmonize, recommend, split
+from menurec.operators.interactions import interactions
 from menurec.sources import adapter
 
+# Fixed query parameters (the oracle SQL uses the same values).
+EXCLUDED = adapter.EXCLUDED_CATEGORY
+AS_OF = adapter.AS_OF
+FILTER_COUNTRIES = ["AMERICA", "EUROPE"]
+FILTER_CITIES = ["NATION_1", "NATION_3", "NATION_6", "NATION_8", "NATION_11"]
+FILTER_BRANDS = ["Brand#1", "Brand#2", "Brand#3", "Brand#12", "Brand#14"]
+PAGE_ROWS = 10_000
+SAMPLE_ROWS = 5_000
+TOP_K = 3
+SPLIT_NAMES = ["train", "validation", "test"]
+
 
 def plain(df: DataFrame) -> DataFrame:
     """Cast integers to long, decimals/floats to double, dates and
@@ -55,6 +69,34 @@ class Context:
     def averages(self) -> DataFrame:
         return features.purchase_averages(self.orders)
 
+    @cached_property
+    def customers(self) -> DataFrame:
+        return features.customer_features(self.tables.customer_loyalty, AS_OF)
+
+    @cached_property
+    def items(self) -> DataFrame:
+        return features.menu_features(self.tables.menu, EXCLUDED)
+
+    @cached_property
+    def all_items(self) -> DataFrame:
+        return features.menu_features(self.tables.menu, None)
+
+    @cached_property
+    def interactions(self) -> DataFrame:
+        t = self.tables
+        return interactions(t.customer_loyalty, t.menu, self.orders, EXCLUDED)
+
+    @cached_property
+    def scored(self) -> DataFrame:
+        """Interactions with the customer's city and a deterministic score."""
+        city = self.customers.select("customer_id", "city")
+        return self.interactions.join(city, "customer_id", "left").withColumn(
+            "prediction", md5_score(pair_key("customer_id", "menu_item_name")))
+
+    def audience(self, **kw) -> DataFrame:
+        return aud.audience(self.interactions, self.items, self.customers,
+                            self.averages, **kw)
+
 
 def q_orders_v(spark, base):
     return plain(Context(spark, base).orders)
@@ -69,8 +111,126 @@ def q_purchase_averages(spark, base):
     return plain(Context(spark, base).averages)
 
 
+def q_customer_features(spark, base):
+    return plain(Context(spark, base).customers)
+
+
+def q_menu_features(spark, base):
+    return plain(Context(spark, base).items)
+
+
+def q_filter_options(spark, base):
+    ctx = Context(spark, base)
+    lists = aud.filter_options(ctx.customers, ctx.all_items)
+    cascaded = aud.filter_options(ctx.customers, ctx.all_items, FILTER_COUNTRIES)["city"]
+    parts = [lists[k].select(F.lit(k).alias("kind"), F.col(k).alias("value"))
+             for k in ("country", "city", "truck_brand_name")]
+    parts.append(cascaded.select(F.lit("city_in_country").alias("kind"),
+                                 F.col("city").alias("value")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def q_interactions(spark, base):
+    return plain(Context(spark, base).interactions)
+
+
+def q_interactions_dedup(spark, base):
+    ctx = Context(spark, base)
+    t = ctx.tables
+    return plain(interactions(t.customer_loyalty, t.menu, ctx.orders, EXCLUDED, dedupe=True))
+
+
+def q_never_visited(spark, base):
+    ctx = Context(spark, base)
+    return plain(aud.never_visited(ctx.interactions, ctx.items))
+
+
+def q_audience(spark, base):
+    return plain(Context(spark, base).audience(limit=None))
+
+
+def q_audience_filtered(spark, base):
+    return plain(Context(spark, base).audience(
+        countries=FILTER_COUNTRIES, cities=FILTER_CITIES, brands=FILTER_BRANDS,
+        only_not_ordered=True, limit=None))
+
+
+def q_audience_never_visited(spark, base):
+    return plain(Context(spark, base).audience(
+        countries=FILTER_COUNTRIES, only_not_ordered=True, only_never_visited=True,
+        limit=None))
+
+
+def q_audience_page(spark, base):
+    return plain(Context(spark, base).audience(limit=PAGE_ROWS))
+
+
+def q_split_counts(spark, base):
+    ctx = Context(spark, base)
+    idx = split.split_index(["customer_id", "menu_item_name"])
+    names = F.element_at(F.array(*[F.lit(n) for n in SPLIT_NAMES]), idx + 1)
+    return plain(ctx.interactions.groupBy(names.alias("split")).agg(
+        F.count(F.lit(1)).alias("rows")))
+
+
+def q_sample_n(spark, base):
+    ctx = Context(spark, base)
+    test = split.hash_split(ctx.interactions, ["customer_id", "menu_item_name"])[2]
+    return plain(split.sample_n(test, ["customer_id", "menu_item_name"], SAMPLE_ROWS))
+
+
+def q_top3_items(spark, base):
+    top = recommend.top_k(Context(spark, base).scored, TOP_K)
+    return plain(top.select("customer_id", "menu_item_name", "purchased",
+                            "prediction", "rank"))
+
+
+def q_purchase_history(spark, base):
+    ctx = Context(spark, base)
+    top = recommend.top_k(ctx.scored, TOP_K)
+    h = recommend.purchase_history(ctx.interactions, top)
+    return h.select("customer_id",
+                    F.array_join("purchase_history", "|").alias("purchase_history"))
+
+
+def q_recommendations(spark, base):
+    ctx = Context(spark, base)
+    r = recommend.recommendations(ctx.scored, ctx.interactions, TOP_K)
+    return plain(r.select("customer_id", "city",
+                          F.array_join("purchase_history", "|").alias("purchase_history"),
+                          F.array_join("menu_item_name", "|").alias("menu_item_name")))
+
+
+def q_auc(spark, base):
+    return evaluate.roc_auc(Context(spark, base).scored)
+
+
+def q_binary_metrics(spark, base):
+    return plain(evaluate.binary_metrics(Context(spark, base).scored))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_v": q_orders_v,
     "date_diffs": q_date_diffs,
     "purchase_averages": q_purchase_averages,
+    "customer_features": q_customer_features,
+    "menu_features": q_menu_features,
+    "filter_options": q_filter_options,
+    "interactions": q_interactions,
+    "interactions_dedup": q_interactions_dedup,
+    "never_visited": q_never_visited,
+    "audience": q_audience,
+    "audience_filtered": q_audience_filtered,
+    "audience_never_visited": q_audience_never_visited,
+    "audience_page": q_audience_page,
+    "split_counts": q_split_counts,
+    "sample_n": q_sample_n,
+    "top3_items": q_top3_items,
+    "purchase_history": q_purchase_history,
+    "recommendations": q_recommendations,
+    "auc": q_auc,
+    "binary_metrics": q_binary_metrics,
 }
