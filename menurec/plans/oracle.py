@@ -201,6 +201,77 @@ history AS (
     FROM interactions
     WHERE purchased = 1 AND customer_id IN (SELECT customer_id FROM top3)
     GROUP BY customer_id
+),
+dataset AS (
+    SELECT h.customer_id, h.menu_item_name, h.purchased, h.h,
+           c.city, c.country, c.gender, c.marital_status, c.age,
+           m.menu_type, m.truck_brand_name, m.item_category, m.item_subcategory,
+           m.sale_price_usd,
+           a.avg_monthly_purchase_amount, a.avg_weekly_purchase_amount,
+           a.avg_yearly_purchase_amount
+    FROM hashed h
+    LEFT JOIN customer_features c ON h.customer_id = c.customer_id
+    LEFT JOIN menu_features m ON h.menu_item_name = m.menu_item_name
+    LEFT JOIN averages a ON h.customer_id = a.customer_id
+),
+train AS (SELECT * FROM dataset WHERE h % 10000 < 1000),
+vocab AS (
+    SELECT DISTINCT 'menu_item_name' AS feature, menu_item_name AS value FROM train
+    UNION SELECT DISTINCT 'menu_type', menu_type FROM train
+    UNION SELECT DISTINCT 'truck_brand_name', truck_brand_name FROM train
+    UNION SELECT DISTINCT 'item_category', item_category FROM train
+    UNION SELECT DISTINCT 'item_subcategory', item_subcategory FROM train
+    UNION SELECT DISTINCT 'city', city FROM train
+    UNION SELECT DISTINCT 'country', country FROM train
+    UNION SELECT DISTINCT 'gender', gender FROM train
+    UNION SELECT DISTINCT 'marital_status', marital_status FROM train
+),
+enc AS (
+    SELECT feature, value,
+           CAST(row_number() OVER (PARTITION BY feature ORDER BY value) - 1 AS BIGINT) AS code
+    FROM vocab WHERE value IS NOT NULL
+),
+ranges AS (
+    SELECT min(CAST(sale_price_usd AS DOUBLE)) AS lo_p, max(CAST(sale_price_usd AS DOUBLE)) AS hi_p,
+           min(CAST(age AS DOUBLE)) AS lo_a, max(CAST(age AS DOUBLE)) AS hi_a,
+           min(avg_monthly_purchase_amount) AS lo_m, max(avg_monthly_purchase_amount) AS hi_m,
+           min(avg_weekly_purchase_amount) AS lo_w, max(avg_weekly_purchase_amount) AS hi_w,
+           min(avg_yearly_purchase_amount) AS lo_y, max(avg_yearly_purchase_amount) AS hi_y
+    FROM train
+),
+scales AS (
+    SELECT *,
+           1.0 / (CASE WHEN hi_p - lo_p = 0 THEN 1.0 ELSE hi_p - lo_p END) AS s_p,
+           1.0 / (CASE WHEN hi_a - lo_a = 0 THEN 1.0 ELSE hi_a - lo_a END) AS s_a,
+           1.0 / (CASE WHEN hi_m - lo_m = 0 THEN 1.0 ELSE hi_m - lo_m END) AS s_m,
+           1.0 / (CASE WHEN hi_w - lo_w = 0 THEN 1.0 ELSE hi_w - lo_w END) AS s_w,
+           1.0 / (CASE WHEN hi_y - lo_y = 0 THEN 1.0 ELSE hi_y - lo_y END) AS s_y
+    FROM ranges
+),
+scaled AS (
+    SELECT d.*,
+           CAST(d.sale_price_usd AS DOUBLE) * s.s_p + (0.0 - s.lo_p * s.s_p) AS sale_price_usd_s,
+           CAST(d.age AS DOUBLE) * s.s_a + (0.0 - s.lo_a * s.s_a) AS age_s,
+           d.avg_monthly_purchase_amount * s.s_m + (0.0 - s.lo_m * s.s_m) AS avg_monthly_s,
+           d.avg_weekly_purchase_amount * s.s_w + (0.0 - s.lo_w * s.s_w) AS avg_weekly_s,
+           d.avg_yearly_purchase_amount * s.s_y + (0.0 - s.lo_y * s.s_y) AS avg_yearly_s
+    FROM dataset d CROSS JOIN scales s
+),
+coded AS (
+    SELECT d.*,
+           e1.code AS menu_item_name_c, e2.code AS menu_type_c, e3.code AS truck_brand_name_c,
+           e4.code AS item_category_c, e5.code AS item_subcategory_c, e6.code AS city_c,
+           e7.code AS country_c, e8.code AS gender_c, e9.code AS marital_status_c
+    FROM scaled d
+    LEFT JOIN enc e1 ON e1.feature = 'menu_item_name' AND e1.value = d.menu_item_name
+    LEFT JOIN enc e2 ON e2.feature = 'menu_type' AND e2.value = d.menu_type
+    LEFT JOIN enc e3 ON e3.feature = 'truck_brand_name' AND e3.value = d.truck_brand_name
+    LEFT JOIN enc e4 ON e4.feature = 'item_category' AND e4.value = d.item_category
+    LEFT JOIN enc e5 ON e5.feature = 'item_subcategory' AND e5.value = d.item_subcategory
+    LEFT JOIN enc e6 ON e6.feature = 'city' AND e6.value = d.city
+    LEFT JOIN enc e7 ON e7.feature = 'country' AND e7.value = d.country
+    LEFT JOIN enc e8 ON e8.feature = 'gender' AND e8.value = d.gender
+    LEFT JOIN enc e9 ON e9.feature = 'marital_status' AND e9.value = d.marital_status
 )"""
 
 AUDIENCE_COLUMNS = """customer_id, menu_item_name, purchased, menu_type, truck_brand_name,
@@ -347,6 +418,32 @@ FROM (
                  CAST(count(*) FILTER (WHERE purchased = 0 AND prediction < 0.5) AS BIGINT) AS tn
           FROM scored))""")
 
+TRAINING_SET = _with("""
+SELECT customer_id, menu_item_name_c AS menu_item_name, CAST(purchased AS BIGINT) AS purchased,
+       city_c AS city, country_c AS country, gender_c AS gender,
+       marital_status_c AS marital_status, age_s AS age, menu_type_c AS menu_type,
+       truck_brand_name_c AS truck_brand_name, item_category_c AS item_category,
+       item_subcategory_c AS item_subcategory, sale_price_usd_s AS sale_price_usd,
+       avg_monthly_s AS avg_monthly_purchase_amount, avg_weekly_s AS avg_weekly_purchase_amount,
+       avg_yearly_s AS avg_yearly_purchase_amount
+FROM coded WHERE h % 10000 < 1000""")
+
+ENCODED = _with("""
+SELECT customer_id, menu_item_name, city, truck_brand_name, CAST(purchased AS BIGINT) AS purchased,
+       menu_item_name_c AS menu_item_name_encoded, menu_type_c AS menu_type_encoded,
+       truck_brand_name_c AS truck_brand_name_encoded, item_category_c AS item_category_encoded,
+       item_subcategory_c AS item_subcategory_encoded, city_c AS city_encoded,
+       country_c AS country_encoded, gender_c AS gender_encoded,
+       marital_status_c AS marital_status_encoded
+FROM coded""")
+
+SCALED = _with("""
+SELECT customer_id, menu_item_name, CAST(purchased AS BIGINT) AS purchased,
+       sale_price_usd_s AS sale_price_usd, age_s AS age,
+       avg_monthly_s AS avg_monthly_purchase_amount, avg_weekly_s AS avg_weekly_purchase_amount,
+       avg_yearly_s AS avg_yearly_purchase_amount
+FROM scaled""")
+
 
 def oracle_sql() -> dict[str, str]:
     return {
@@ -370,4 +467,7 @@ def oracle_sql() -> dict[str, str]:
         "recommendations": RECOMMENDATIONS,
         "auc": AUC,
         "binary_metrics": BINARY_METRICS,
+        "training_set": TRAINING_SET,
+        "encoded": ENCODED,
+        "scaled": SCALED,
     }

@@ -19,7 +19,10 @@ from pyspark.sql import types as T
 from menurec.functions.hashing import md5_score, pair_key
 from menurec.operators import audience as aud
 from menurec.operators import evaluate, features, harmonize, recommend, split
+from menurec.operators.feature_store import retrieve
 from menurec.operators.interactions import interactions
+from menurec.operators.preprocess import Preprocessor, apply_min_max
+from menurec.schemas import DENSE_FEATURES, SPARSE_FEATURES
 from menurec.sources import adapter
 
 # Fixed query parameters (the oracle SQL uses the same values).
@@ -93,6 +96,22 @@ class Context:
         return self.interactions.join(city, "customer_id", "left").withColumn(
             "prediction", md5_score(pair_key("customer_id", "menu_item_name")))
 
+    @cached_property
+    def dataset(self) -> DataFrame:
+        """Every interaction with its customer, item and spend features."""
+        views = [(self.customers, ["Customer_ID"]), (self.items, ["MENU_ITEM_NAME"]),
+                 (self.averages, ["Customer_ID"])]
+        return retrieve(self.interactions, views).drop("birthday_date")
+
+    @cached_property
+    def train_dataset(self) -> DataFrame:
+        keys = ["customer_id", "menu_item_name"]
+        return self.dataset.filter(split.split_index(keys) == 0)
+
+    @cached_property
+    def preprocess_state(self):
+        return Preprocessor().fit(self.train_dataset)
+
     def audience(self, **kw) -> DataFrame:
         return aud.audience(self.interactions, self.items, self.customers,
                             self.averages, **kw)
@@ -212,6 +231,24 @@ def q_binary_metrics(spark, base):
     return plain(evaluate.binary_metrics(Context(spark, base).scored))
 
 
+def q_training_set(spark, base):
+    ctx = Context(spark, base)
+    return plain(ctx.preprocess_state.transform(ctx.train_dataset, in_place=True))
+
+
+def q_encoded(spark, base):
+    ctx = Context(spark, base)
+    out = ctx.preprocess_state.transform(ctx.dataset, in_place=False)
+    return plain(out.select("customer_id", "menu_item_name", "city", "truck_brand_name",
+                            "purchased", *[c + "_encoded" for c in SPARSE_FEATURES]))
+
+
+def q_scaled(spark, base):
+    ctx = Context(spark, base)
+    out = apply_min_max(ctx.dataset, ctx.preprocess_state.ranges)
+    return plain(out.select("customer_id", "menu_item_name", "purchased", *DENSE_FEATURES))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_v": q_orders_v,
     "date_diffs": q_date_diffs,
@@ -233,4 +270,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "recommendations": q_recommendations,
     "auc": q_auc,
     "binary_metrics": q_binary_metrics,
+    "training_set": q_training_set,
+    "encoded": q_encoded,
+    "scaled": q_scaled,
 }
