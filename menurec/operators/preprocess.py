@@ -30,17 +30,38 @@ from menurec.session import checkpoint_dir
 ENCODED_SUFFIX = "_encoded"
 
 
-def fit_label_encoders(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """``(feature, value, code)`` for every distinct non-NULL value."""
-    pairs = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"))
-        for c in columns])).alias("p")).select("p.feature", "p.value")
-    distinct = pairs.filter(F.col("value").isNotNull()).distinct().withColumn(
-        "one", F.lit(1).cast("long"))
+def _fit_statistics(df: DataFrame, categorical: Sequence[str],
+                    numeric: Sequence[str]) -> DataFrame:
+    """One pass over ``df``: distinct values of every categorical column and
+    min/max of every numeric one, as ``(feature, value, lo, hi)`` rows.
+
+    Each input row is unpivoted into one entry per column; the grouping on
+    (feature, value) aggregates map-side first, so a shuffle carries at most
+    one row per distinct value (plus one per numeric column) per task.
+    """
+    entries = [F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("value"),
+                        F.lit(None).cast("double").alias("num")) for c in categorical]
+    entries += [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("string").alias("value"),
+                         F.col(c).cast("double").alias("num")) for c in numeric]
+    unpivoted = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
+    return unpivoted.groupBy("feature", "value").agg(
+        F.min("num").alias("lo"), F.max("num").alias("hi"))
+
+
+def _number_values(stats: DataFrame, categorical: Sequence[str]) -> DataFrame:
+    """Codes from the distinct values: position in sorted order per feature."""
+    distinct = stats.filter(F.col("feature").isin(list(categorical))
+                            & F.col("value").isNotNull()).select(
+        "feature", "value", F.lit(1).cast("long").alias("one"))
     coded = prefix_sums(distinct, "value", ["one"], groups=["feature"])
     return coded.select("feature", "value", F.col("one_before").alias("code"))
 
 
+def fit_label_encoders(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(feature, value, code)`` for every distinct non-NULL value."""
+    return _number_values(_fit_statistics(df, columns, []), columns)
+
+
 def apply_label_encoders(df: DataFrame, encoders: DataFrame, columns: Sequence[str],
                          in_place: bool = False,
                          keep: Sequence[str] = KEEP_WITH_CODES) -> DataFrame:
@@ -144,9 +165,14 @@ class Preprocessor:
         self.numeric = list(numeric)
 
     def fit(self, df: DataFrame) -> PreprocessState:
+        """Fit from one scan of ``df``; the small statistics table is
+        checkpointed so numbering the values does not read ``df`` again."""
         checkpoint_dir(df.sparkSession)
-        encoders = fit_label_encoders(df, self.categorical).checkpoint(eager=True)
-        ranges = fit_min_max(df, self.numeric)
+        stats = _fit_statistics(df, self.categorical, self.numeric).checkpoint(eager=True)
+        encoders = _number_values(stats, self.categorical).checkpoint(eager=True)
+        ranges = {c: (None, None) for c in self.numeric}
+        for r in stats.filter(F.col("feature").isin(self.numeric)).collect():
+            ranges[r["feature"]] = (r["lo"], r["hi"])
         return PreprocessState(encoders, ranges, self.categorical, self.numeric)
 
 

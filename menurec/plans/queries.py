@@ -1,8 +1,9 @@
 """Registered queries: one builder per operator key, run on the driver tables.
 
 Every builder takes ``(spark, base)`` with ``base`` a folder of driver parquet
-tables, maps them to the point-of-sale domain (``menurec.sources.adapter``)
-and returns a lazy DataFrame.  Outputs are cast to long, double or string
+tables.  The tables are bulk-loaded once into typed point-of-sale tables
+(``menurec.sources.load``, the source's load step); each query then runs its
+views and operators over those whole tables and returns a lazy DataFrame.  Outputs are cast to long, double or string
 (:func:`plain`) so the DuckDB oracle in :mod:`menurec.plans.oracle` can be
 compared value by value.
 """
@@ -19,11 +20,13 @@ from pyspark.sql import types as T
 from menurec.functions.hashing import md5_score, pair_key
 from menurec.operators import audience as aud
 from menurec.operators import evaluate, features, harmonize, recommend, split
+from menurec.operators.dlrm import DLRMConfig, dlrm_score, dlrm_train
 from menurec.operators.feature_store import retrieve
 from menurec.operators.interactions import interactions
 from menurec.operators.preprocess import Preprocessor, apply_min_max
 from menurec.schemas import DENSE_FEATURES, SPARSE_FEATURES
 from menurec.sources import adapter
+from menurec.sources.load import load_domain
 
 # Fixed query parameters (the oracle SQL uses the same values).
 EXCLUDED = adapter.EXCLUDED_CATEGORY
@@ -60,7 +63,7 @@ class Context:
     def __init__(self, spark: SparkSession, base: str):
         self.spark = spark
         self.base = base
-        self.tables = adapter.adapt(spark, base)
+        self.tables = load_domain(spark, base)
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -249,6 +252,25 @@ def q_scaled(spark, base):
     return plain(out.select("customer_id", "menu_item_name", "purchased", *DENSE_FEATURES))
 
 
+def q_dlrm_scores(spark, base):
+    """Train the model on the train split (validation on the second split) and
+    score every interaction.  NULL codes (e.g. unknown gender) use the
+    reserved last embedding row."""
+    ctx = Context(spark, base)
+    st = ctx.preprocess_state
+    keys = ["customer_id", "menu_item_name"]
+    train = st.transform(ctx.train_dataset, in_place=True)
+    val = st.transform(ctx.dataset.filter(split.split_index(keys) == 1), in_place=True)
+    cfg = DLRMConfig(num_embeddings=st.num_embeddings() + 1)
+    workers = spark.sparkContext.defaultParallelism
+    result = dlrm_train(train, val, cfg, null_codes="reserve", workers=workers)
+    scoring = st.transform(ctx.dataset, in_place=False)
+    scored = dlrm_score(scoring, result.params, cfg,
+                        sparse=[c + "_encoded" for c in SPARSE_FEATURES],
+                        null_codes="reserve", partitions=workers)
+    return plain(scored.select("customer_id", "menu_item_name", "purchased", "prediction"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "orders_v": q_orders_v,
     "date_diffs": q_date_diffs,
@@ -273,4 +295,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "training_set": q_training_set,
     "encoded": q_encoded,
     "scaled": q_scaled,
+    "dlrm_scores": q_dlrm_scores,
 }
