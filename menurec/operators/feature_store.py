@@ -2,9 +2,12 @@
 
 * entities: a name and its join keys;
 * feature views: a named, versioned DataFrame over one or more entities,
-  materialised as parquet under ``<root>/views/<name>/<version>``;
+  materialised as parquet under ``<root>/views/<name>/<version>/<snapshot>``;
 * datasets: a spine left-joined to views, optionally materialised under
-  ``<root>/datasets/<name>``.
+  ``<root>/datasets/<name>/<snapshot>``.
+
+Every write goes to a new snapshot folder and the registry then points at
+it, so a reader holding an older snapshot is never cut off by a refresh.
 
 The registry is an append-only log (``<root>/registry``): every register,
 refresh and delete appends one small row, and the current state is the latest
@@ -18,6 +21,7 @@ from __future__ import annotations
 
 import json
 import time
+import uuid
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -103,7 +107,7 @@ class FeatureStore:
 
     # -- views -------------------------------------------------------------
     def _view_path(self, name: str, version: str) -> str:
-        return f"{self.root}/views/{name.lower()}/{version}"
+        return f"{self.root}/views/{name.lower()}/{version}/{uuid.uuid4().hex}"
 
     def register_view(self, name: str, entities: Sequence[Entity], df: DataFrame,
                       version: str, refresh_freq: str | None = None,
@@ -168,7 +172,7 @@ class FeatureStore:
                 drop: Sequence[str] = ()) -> DataFrame:
         """Materialise :meth:`retrieve` under ``<root>/datasets/<name>`` and
         return a scan of it without the ``drop`` columns."""
-        path = f"{self.root}/datasets/{name}"
+        path = f"{self.root}/datasets/{name}/{uuid.uuid4().hex}"
         self.retrieve(spine, views).write.mode("overwrite").parquet(path)
         return self.spark.read.parquet(path).drop(*drop)
 
