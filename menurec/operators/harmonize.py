@@ -60,7 +60,8 @@ def harmonized_orders(order_detail: DataFrame, order_header: DataFrame,
     c = customers.select("customer_id", "first_name", "last_name", "e_mail",
                          "phone_number", "children_count", "gender", "marital_status")
     # The view shows the loyalty record's id: NULL for unknown customers.
-    joined = left_join_spread_nulls(facts, c, "oh_customer_id", "customer_id")
+    joined = left_join_spread_nulls(facts, c, "oh_customer_id", "customer_id",
+                                    salt_cols=["order_id"])
     return joined.select(*ORDERS_V_COLUMNS)
 
 

@@ -39,21 +39,23 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
 
 
 def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str,
-                           right_key: str, buckets: int = NULL_SALT_BUCKETS) -> DataFrame:
+                           right_key: str, salt_cols: list[str],
+                           buckets: int = NULL_SALT_BUCKETS) -> DataFrame:
     """``left LEFT JOIN right ON left.left_key = right.right_key``, spreading NULLs.
 
     A NULL key never matches, but a hash-partitioned join still sends every
     NULL-key row to one partition; anonymous orders can be a third of all
     rows.  A salt column, 0 for real keys and a content hash for NULL keys,
     joins with the right side's constant 0 salt: matches are unchanged and the
-    NULL rows spread over ``buckets`` partitions.  The salt is a hash of the
-    row, so a retried task puts every row in the same place again.  Both key
+    NULL rows spread over ``buckets`` partitions.  The salt hashes
+    ``salt_cols`` (columns the plan reads anyway, so column pruning is kept),
+    so a retried task puts every row in the same place again.  Both key
     columns are kept (the right one is NULL where nothing matched).
     """
     salt = "__null_salt"
     l_df = left.withColumn(salt, F.when(
         F.col(left_key).isNull(),
-        F.pmod(F.xxhash64(*[F.col(c) for c in left.columns]), F.lit(buckets)),
+        F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(buckets)),
     ).otherwise(F.lit(0)).cast("long"))
     r_df = right.withColumn(salt, F.lit(0).cast("long")).withColumnRenamed(
         salt, salt + "_r")

@@ -9,6 +9,12 @@ shared folder -- ``<target>`` if given, else ``<spark.checkpoint.dir>/domain``
 or another one sharing the folder) only scan the written tables, with their
 schemas given explicitly so no footer-reading job runs.
 
+The two fact tables are stored bucketed (and sorted) by ``order_id``, the
+key of the join between order lines and headers that every view starts
+with: Spark then joins them bucket by bucket with no shuffle.  They are
+registered as external bucketed tables in the session catalog (re-attached
+from the written files in a new session).
+
 A load is written to a fresh sub-folder and published by a ``complete``
 marker written last, so a half-finished load is never read.
 """
@@ -27,7 +33,9 @@ from menurec.session import checkpoint_dir
 from menurec.sources.adapter import DomainTables, adapt
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-_LOADED: dict[tuple[str, str], str] = {}
+BUCKETED = ("order_detail", "order_header")    # bucketed by BUCKET_KEY
+BUCKET_KEY = "order_id"
+_LOADED: dict[tuple[str, str], tuple[str, int]] = {}
 
 
 def _fingerprint(base: str) -> str:
@@ -43,29 +51,67 @@ def _fingerprint(base: str) -> str:
     return h.hexdigest()[:16]
 
 
-def _published(spark: SparkSession, root: str) -> str | None:
+def _published(spark: SparkSession, root: str) -> tuple[str, int] | None:
     try:
-        rows = spark.read.schema("path string").parquet(f"{root}/complete").collect()
+        rows = spark.read.schema("path string, buckets int").parquet(f"{root}/complete").collect()
     except AnalysisException:
         return None
-    return rows[0]["path"] if rows else None
+    if not rows or rows[0]["buckets"] is None:
+        return None
+    return rows[0]["path"], rows[0]["buckets"]
+
+
+def _table_name(path: str, name: str) -> str:
+    return f"menurec_{hashlib.sha1(path.encode()).hexdigest()[:12]}_{name}"
+
+
+def _attach(spark: SparkSession, path: str, name: str, buckets: int) -> str:
+    """Register the bucketed files at ``path/name`` as an external table."""
+    table = _table_name(path, name)
+    if not spark.catalog.tableExists(table):
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}"
+                         for f in schemas.RAW_TABLES[name].fields)
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({cols}) USING parquet "
+                  f"CLUSTERED BY ({BUCKET_KEY}) SORTED BY ({BUCKET_KEY}) "
+                  f"INTO {buckets} BUCKETS LOCATION '{path}/{name}'")
+    return table
+
 
+def load_domain(spark: SparkSession, base: str, target: str | None = None,
+                buckets: int | None = None) -> DomainTables:
+    """Typed domain tables for the driver tables under ``base``.
 
-def load_domain(spark: SparkSession, base: str, target: str | None = None) -> DomainTables:
-    """Typed domain tables for the driver tables under ``base``."""
+    ``buckets`` (default: ``spark.sql.shuffle.partitions``) sets the bucket
+    count of the fact tables; a published load keeps the count it was
+    written with.
+    """
     root = (target or f"{checkpoint_dir(spark)}/domain").rstrip("/") + "/" + _fingerprint(base)
     key = (spark.sparkContext.applicationId, root)
-    path = _LOADED.get(key) or _published(spark, root)
-    if path is None:
+    found = _LOADED.get(key) or _published(spark, root)
+    if found is None:
         path = f"{root}/{uuid.uuid4().hex}"
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         tables = adapt(spark, base)
         for name in schemas.RAW_TABLES:
             if name == "country":
                 continue
-            getattr(tables, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        spark.createDataFrame([(path,)], "path string").coalesce(1).write.mode(
+            df = getattr(tables, name)
+            if name in BUCKETED:
+                df.write.mode("overwrite").bucketBy(n, BUCKET_KEY).sortBy(BUCKET_KEY) \
+                    .option("path", f"{path}/{name}").saveAsTable(_table_name(path, name))
+            else:
+                df.write.mode("overwrite").parquet(f"{path}/{name}")
+        spark.createDataFrame([(path, n)], "path string, buckets int").coalesce(1).write.mode(
             "overwrite").parquet(f"{root}/complete")
-    _LOADED[key] = path
-    return DomainTables(**{
-        name: spark.read.schema(schemas.RAW_TABLES[name]).parquet(f"{path}/{name}")
-        for name in schemas.RAW_TABLES if name != "country"})
+        found = (path, n)
+    _LOADED[key] = found
+    path, n = found
+    out = {}
+    for name in schemas.RAW_TABLES:
+        if name == "country":
+            continue
+        if name in BUCKETED:
+            out[name] = spark.table(_attach(spark, path, name, n))
+        else:
+            out[name] = spark.read.schema(schemas.RAW_TABLES[name]).parquet(f"{path}/{name}")
+    return DomainTables(**out)
