@@ -59,7 +59,9 @@ def _number_values(stats: DataFrame, categorical: Sequence[str]) -> DataFrame:
 
 def fit_label_encoders(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """``(feature, value, code)`` for every distinct non-NULL value."""
-    return _number_values(_fit_statistics(df, columns, []), columns)
+    checkpoint_dir(df.sparkSession)
+    stats = _fit_statistics(df, columns, []).checkpoint(eager=True)
+    return _number_values(stats, columns)
 
 
 def apply_label_encoders(df: DataFrame, encoders: DataFrame, columns: Sequence[str],

@@ -23,7 +23,7 @@ from menurec.operators import evaluate, features, harmonize, recommend, split
 from menurec.operators.dlrm import DLRMConfig, dlrm_score, dlrm_train
 from menurec.operators.feature_store import retrieve
 from menurec.operators.interactions import interactions
-from menurec.operators.preprocess import Preprocessor, apply_min_max
+from menurec.operators.preprocess import Preprocessor, apply_min_max, fit_min_max
 from menurec.schemas import DENSE_FEATURES, SPARSE_FEATURES
 from menurec.sources import adapter
 from menurec.sources.load import load_domain
@@ -248,7 +248,7 @@ def q_encoded(spark, base):
 
 def q_scaled(spark, base):
     ctx = Context(spark, base)
-    out = apply_min_max(ctx.dataset, ctx.preprocess_state.ranges)
+    out = apply_min_max(ctx.dataset, fit_min_max(ctx.train_dataset, DENSE_FEATURES))
     return plain(out.select("customer_id", "menu_item_name", "purchased", *DENSE_FEATURES))
 
 

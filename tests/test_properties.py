@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
@@ -31,11 +32,13 @@ def test_sample_n_is_exact_and_deterministic(spark):
     assert rows(a) == rows(b)
 
 
-def test_prefix_sums_equal_running_totals(spark):
+@pytest.mark.parametrize("small_limit", [0, 10_000])   # range-partitioned / one window
+def test_prefix_sums_equal_running_totals(spark, small_limit):
     rnd = random.Random(7)
     data = [(g, k, rnd.randint(0, 5)) for g in ("a", "b", "c") for k in rnd.sample(range(1000), 200)]
     df = spark.createDataFrame(data, "g string, k long, v long")
-    got = {(r.g, r.k): r.v_before for r in prefix_sums(df, "k", ["v"], ["g"], 5).collect()}
+    out = prefix_sums(df, "k", ["v"], ["g"], 5, small_limit=small_limit)
+    got = {(r.g, r.k): r.v_before for r in out.collect()}
     for g in ("a", "b", "c"):
         acc = 0
         for _, k, v in sorted(x for x in data if x[0] == g):
@@ -93,3 +96,17 @@ def test_interactions_is_full_product(spark):
     ctx = Context(spark, SF_SMALL)
     dedup_pairs = ctx.interactions.select("customer_id", "menu_item_name").distinct().count()
     assert dedup_pairs == ctx.tables.customer_loyalty.count() * ctx.items.count()
+
+
+def test_auc_range_path_equals_window_path(spark):
+    from menurec.functions import prefix
+    from menurec.operators.evaluate import roc_auc
+    scored = Context(spark, SF_SMALL).scored
+    small = roc_auc(scored).first()["auc"]
+    old = prefix.SMALL_LIMIT
+    prefix.SMALL_LIMIT = 0
+    try:
+        big = roc_auc(scored).first()["auc"]
+    finally:
+        prefix.SMALL_LIMIT = old
+    assert small == big
