@@ -402,19 +402,29 @@ class TrainResult:
 def dlrm_train(train: DataFrame, val: DataFrame | None, cfg: DLRMConfig,
                sparse: Sequence[str] = SPARSE_FEATURES,
                dense: Sequence[str] = DENSE_FEATURES, label: str = LABEL,
-               workers: int | None = None, null_codes: str = "error") -> TrainResult:
+               workers: int | None = None, null_codes: str = "error",
+               save_best: str | None = None) -> TrainResult:
     """Train for ``cfg.epochs`` epochs; keep the best-validation (or last) weights.
 
     ``workers`` repartitions the training rows (by a hash of all columns, so
     a retried task gets the same rows); by default the input partitioning is
-    kept.  Train loss is the mean of batch losses; validation loss likewise.
+    kept.  The (projected) training and validation rows are checkpointed
+    once, so every round reads them instead of recomputing their lineage.
+    Train loss is the mean of batch losses; validation loss likewise.
+    ``save_best`` writes the kept weights to that path whenever they change.
     """
+    from menurec.session import checkpoint_dir
     _check_model_size(cfg, 3)
+    spark = train.sparkSession
+    checkpoint_dir(spark)
     sparse, dense = list(sparse), list(dense)
     cols = sparse + dense + [label]
     data = train.select(*cols)
     if workers:
         data = data.repartition(workers, *[F.col(c) for c in cols])
+    data = data.checkpoint(eager=True)
+    if val is not None:
+        val = val.select(*cols).checkpoint(eager=True)
     p = init_params(cfg)
     zeros = {k: np.zeros_like(a) for k, a in p.items()}
     vec = flatten(p, zeros, zeros)
@@ -440,6 +450,8 @@ def dlrm_train(train: DataFrame, val: DataFrame | None, cfg: DLRMConfig,
                 best = val_loss
             result.params = params
             result.best_epoch = epoch + 1
+            if save_best:
+                save_weights(spark, params, save_best)
     return result
 
 

@@ -93,3 +93,36 @@ def test_bulk_and_incremental_csv_load(spark, tmp_dir):
     load_csv_incremental(spark, src, schemas.LOCATION, target, ckpt)
     load_csv_incremental(spark, src, schemas.LOCATION, target, ckpt)   # nothing new
     assert sorted(r.location_id for r in spark.read.parquet(target).collect()) == [1, 2, 3]
+
+
+def test_parameterised_sql_source(spark):
+    from menurec.sources.sql import run_sql
+    ctx = Context(spark, SF_SMALL)
+    out = run_sql(spark, "SELECT DISTINCT city FROM customer_features "
+                         "WHERE array_contains(:countries, country) ORDER BY city",
+                  {"customer_features": ctx.customers}, {"countries": ["AMERICA", "O'Brien"]})
+    from menurec.operators.audience import filter_options
+    want = filter_options(ctx.customers, ctx.all_items, ["AMERICA"])["city"]
+    assert [r.city for r in out.collect()] == [r.city for r in want.collect()]
+
+
+def test_app_flow_end_to_end(spark, tmp_dir):
+    import numpy as np
+    from menurec.operators.dlrm import DLRMConfig, dlrm_train, load_weights
+    from menurec.operators.serving import recommend_audience
+    ctx = Context(spark, SF_SMALL)
+    st = Preprocessor().fit(ctx.train_dataset)
+    cfg = DLRMConfig(num_embeddings=st.num_embeddings() + 1, embed_dim=8, bottom=(16, 8),
+                     top=(16, 16), epochs=1)
+    train = st.transform(ctx.train_dataset)
+    res = dlrm_train(train, None, cfg, null_codes="reserve", workers=2,
+                     save_best=f"{tmp_dir}/best")
+    saved = load_weights(spark, f"{tmp_dir}/best")
+    assert all(np.array_equal(saved[k], res.params[k]) for k in res.params)
+    aud = ctx.audience(countries=["AMERICA"], only_not_ordered=True, limit=None)
+    recs = recommend_audience(aud, ctx.interactions, st, res.params, cfg,
+                              null_codes="reserve", partitions=2)
+    n_customers = aud.select("customer_id").distinct().count()
+    got = recs.collect()
+    assert len(got) == n_customers
+    assert all(1 <= len(r.menu_item_name) for r in got)
