@@ -406,9 +406,9 @@ def dlrm_train(train: DataFrame, val: DataFrame | None, cfg: DLRMConfig,
                save_best: str | None = None) -> TrainResult:
     """Train for ``cfg.epochs`` epochs; keep the best-validation (or last) weights.
 
-    ``workers`` repartitions the training rows (by a hash of all columns, so
-    a retried task gets the same rows); by default the input partitioning is
-    kept.  The (projected) training and validation rows are checkpointed
+    ``workers`` repartitions the training and validation rows (by a hash of
+    all columns, so a retried task gets the same rows); by default the input
+    partitioning is kept.  The (projected) training and validation rows are checkpointed
     once, so every round reads them instead of recomputing their lineage.
     Train loss is the mean of batch losses; validation loss likewise.
     ``save_best`` writes the kept weights to that path whenever they change.
@@ -424,7 +424,10 @@ def dlrm_train(train: DataFrame, val: DataFrame | None, cfg: DLRMConfig,
         data = data.repartition(workers, *[F.col(c) for c in cols])
     data = data.checkpoint(eager=True)
     if val is not None:
-        val = val.select(*cols).checkpoint(eager=True)
+        val = val.select(*cols)
+        if workers:   # the forward pass costs far more than the read: spread it
+            val = val.repartition(workers, *[F.col(c) for c in cols])
+        val = val.checkpoint(eager=True)
     p = init_params(cfg)
     zeros = {k: np.zeros_like(a) for k, a in p.items()}
     vec = flatten(p, zeros, zeros)
