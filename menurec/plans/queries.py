@@ -38,6 +38,10 @@ PAGE_ROWS = 10_000
 SAMPLE_ROWS = 5_000
 TOP_K = 3
 SPLIT_NAMES = ["train", "validation", "test"]
+# Model averaging ships each worker's full weights and moments (3 x 4.3M
+# floats) to the averaging step, and more workers average coarser updates:
+# train on at most this many workers (the source trains on one).
+TRAIN_WORKERS_MAX = 32
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -262,12 +266,13 @@ def q_dlrm_scores(spark, base):
     train = st.transform(ctx.train_dataset, in_place=True)
     val = st.transform(ctx.dataset.filter(split.split_index(keys) == 1), in_place=True)
     cfg = DLRMConfig(num_embeddings=st.num_embeddings() + 1)
-    workers = spark.sparkContext.defaultParallelism
-    result = dlrm_train(train, val, cfg, null_codes="reserve", workers=workers)
+    cores = spark.sparkContext.defaultParallelism
+    result = dlrm_train(train, val, cfg, null_codes="reserve",
+                        workers=min(cores, TRAIN_WORKERS_MAX))
     scoring = st.transform(ctx.dataset, in_place=False)
     scored = dlrm_score(scoring, result.params, cfg,
                         sparse=[c + "_encoded" for c in SPARSE_FEATURES],
-                        null_codes="reserve", partitions=workers)
+                        null_codes="reserve", partitions=cores)
     return plain(scored.select("customer_id", "menu_item_name", "purchased", "prediction"))
 
 
