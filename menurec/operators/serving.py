@@ -40,3 +40,25 @@ def recommend_audience(audience: DataFrame, interactions: DataFrame,
                         sparse=[c + ENCODED_SUFFIX for c in state.categorical],
                         dense=state.numeric, null_codes=null_codes, partitions=partitions)
     return recommendations(scored, interactions, k)
+
+
+def evaluate_sample(test: DataFrame, state: PreprocessState, params: dict[str, np.ndarray],
+                    cfg: DLRMConfig, n: int = 5000,
+                    keys: tuple[str, ...] = ("customer_id", "menu_item_name"),
+                    threshold: float = 0.5, null_codes: str = "error",
+                    label: str = "purchased") -> dict[str, float]:
+    """The notebook's evaluation: an exact ``n``-row sample of the test rows
+    (smallest key hashes), transformed with the saved state, scored, and
+    summarised as AUC, precision, recall and F1 (scalars, ready for
+    :func:`menurec.sinks.log_metrics`)."""
+    from menurec.operators.evaluate import binary_metrics, roc_auc
+    from menurec.operators.split import sample_n
+    sample = sample_n(test, list(keys), n)
+    ready = state.transform(sample, in_place=False)
+    scored = dlrm_score(ready, params, cfg,
+                        sparse=[c + ENCODED_SUFFIX for c in state.categorical],
+                        dense=state.numeric, null_codes=null_codes)
+    scored = scored.select(label, "prediction").checkpoint(eager=True)
+    m = binary_metrics(scored, label, "prediction", threshold).first()
+    auc = roc_auc(scored, label, "prediction").first()["auc"]
+    return {"AUC": auc, "Precision": m["precision"], "Recall": m["recall"], "F1_Score": m["f1"]}

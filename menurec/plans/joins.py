@@ -57,8 +57,10 @@ def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str,
         F.col(left_key).isNull(),
         F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(buckets)),
     ).otherwise(F.lit(0)).cast("long"))
-    r_df = right.withColumn(salt, F.lit(0).cast("long")).withColumnRenamed(
-        salt, salt + "_r")
+    # The right salt is 0 for every row, but it must not be a constant the
+    # optimizer can prove: it would fold "salt = 0" into a filter and drop
+    # the salt from the join keys.  pmod(hash, 1) is always 0 yet opaque.
+    r_df = right.withColumn(salt + "_r", F.pmod(F.xxhash64(F.col(right_key)), F.lit(1)))
     cond = (l_df[left_key] == r_df[right_key]) & (l_df[salt] == r_df[salt + "_r"])
     return l_df.join(r_df, cond, "left").drop(salt, salt + "_r")
 

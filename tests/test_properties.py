@@ -110,3 +110,26 @@ def test_auc_range_path_equals_window_path(spark):
     finally:
         prefix.SMALL_LIMIT = old
     assert small == big
+
+
+def test_null_keys_spread_over_partitions(spark):
+    """A third of the rows with a NULL key must not land in one partition."""
+    from menurec.plans.joins import left_join_spread_nulls
+    left = spark.range(30000).select(
+        F.col("id").alias("order_id"),
+        F.when(F.col("id") % 3 == 0, F.lit(None)).otherwise(F.col("id") % 100).alias("k"))
+    right = spark.range(100).select(F.col("id").alias("rk"), F.lit("x").alias("v"))
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        joined = left_join_spread_nulls(left, right, "k", "rk", salt_cols=["order_id"])
+        assert joined.count() == 30000
+        parts = joined.filter("k IS NULL").select(F.spark_partition_id().alias("p")).distinct()
+        assert parts.count() > 4
+        assert joined.filter("k IS NOT NULL AND v = 'x'").count() == 20000
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)

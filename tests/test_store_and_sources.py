@@ -108,6 +108,7 @@ def test_parameterised_sql_source(spark):
 
 def test_app_flow_end_to_end(spark, tmp_dir):
     import numpy as np
+    from menurec.operators import split
     from menurec.operators.dlrm import DLRMConfig, dlrm_train, load_weights
     from menurec.operators.serving import recommend_audience
     ctx = Context(spark, SF_SMALL)
@@ -126,3 +127,9 @@ def test_app_flow_end_to_end(spark, tmp_dir):
     got = recs.collect()
     assert len(got) == n_customers
     assert all(1 <= len(r.menu_item_name) for r in got)
+    from menurec.operators.serving import evaluate_sample
+    test = ctx.dataset.filter(split.split_index(["customer_id", "menu_item_name"]) == 2)
+    metrics = evaluate_sample(test, st, res.params, cfg, n=100, null_codes="reserve")
+    assert 0.0 <= metrics["AUC"] <= 1.0 and set(metrics) == {"AUC", "Precision", "Recall", "F1_Score"}
+    logged = sinks.log_metrics(spark, f"{tmp_dir}/metrics", "PyTorchRecModel", "V1", metrics)
+    assert logged.count() == 4
