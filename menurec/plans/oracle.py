@@ -274,7 +274,8 @@ coded AS (
     LEFT JOIN enc e9 ON e9.feature = 'marital_status' AND e9.value = d.marital_status
 )"""
 
-AUDIENCE_COLUMNS = """customer_id, menu_item_name, purchased, menu_type, truck_brand_name,
+AUDIENCE_COLUMNS = """customer_id, menu_item_name, CAST(purchased AS BIGINT) AS purchased,
+       menu_type, truck_brand_name,
        item_category, item_subcategory, CAST(sale_price_usd AS DOUBLE) AS sale_price_usd,
        city, country, gender, marital_status, CAST(birthday_date AS VARCHAR) AS birthday_date,
        age, avg_monthly_purchase_amount, avg_weekly_purchase_amount, avg_yearly_purchase_amount"""
