@@ -44,7 +44,9 @@ def interactions(customers: DataFrame, menu: DataFrame, orders: DataFrame,
     1. ``purchased_items`` aggregates the orders to (customer, item) counts;
     2. those are folded into one map per customer (at most one entry per
        menu item, so bounded by the checked menu size) and left-joined to the
-       customers on ``customer_id`` -- one shuffle of customer-sized rows;
+       customers on ``customer_id`` -- one shuffle of customer-sized rows,
+       into ``spark.sql.shuffle.partitions`` partitions (not coalesced: the
+       rows are about to grow by the menu size);
     3. the menu, checked to hold at most ``max_items`` rows, is broadcast and
        every customer row is expanded against it in the same task, looking up
        its count in the map.  No shuffle touches the expanded rows, and the
@@ -59,7 +61,12 @@ def interactions(customers: DataFrame, menu: DataFrame, orders: DataFrame,
         F.col("menu_item_name").isNotNull()).groupBy("customer_id").agg(
         F.map_from_entries(F.collect_list(
             F.struct("menu_item_name", "n_trucks"))).alias("bought"))
-    spine = customers.select("customer_id").join(bought, "customer_id", "left")
+    # The expansion multiplies every customer row by the menu size, so the
+    # customer-level partitioning must not be coalesced by its (small)
+    # pre-expansion size: an explicit partition count is kept as is by AQE.
+    n_parts = int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spine = customers.select("customer_id").repartition(n_parts, "customer_id").join(
+        bought, "customer_id", "left")
 
     expanded = spine.crossJoin(items)
     n = F.coalesce(F.try_element_at(F.col("bought"), F.col("menu_item_name")),
