@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from menurec.plans.joins import left_join_spread_nulls
 
-# Output columns of the harmonized view, in order.
+# The harmonized view's output columns, in the source's order.
 ORDERS_V_COLUMNS = [
     "order_id", "truck_id", "order_ts", "order_detail_id", "line_number",
     "truck_brand_name", "menu_type", "primary_city", "region", "country",

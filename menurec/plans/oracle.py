@@ -131,14 +131,21 @@ menu_features AS (
            sale_price_usd
     FROM menu WHERE item_category != 'bolt'
 ),
+items AS (SELECT menu_item_name FROM menu WHERE item_category != 'bolt'),
+bought AS (SELECT DISTINCT customer_id, menu_item_name, truck_id FROM orders_v),
 interactions AS (
-    SELECT a.customer_id, b.menu_item_name,
-           CASE WHEN c.purchased IS NOT NULL THEN 1 ELSE 0 END AS purchased
-    FROM customer_loyalty a
-    CROSS JOIN (SELECT menu_item_name FROM menu WHERE item_category != 'bolt') b
-    LEFT JOIN (SELECT DISTINCT customer_id, menu_item_name, truck_id, 1 AS purchased
-               FROM orders_v WHERE customer_id IS NOT NULL) c
-      ON a.customer_id = c.customer_id AND b.menu_item_name = c.menu_item_name
+    -- one row per truck that sold a customer a listed item ...
+    SELECT cl.customer_id, it.menu_item_name, 1 AS purchased
+    FROM customer_loyalty cl
+    JOIN bought b ON b.customer_id = cl.customer_id
+    JOIN items it ON it.menu_item_name = b.menu_item_name
+    UNION ALL
+    -- ... and one row for every (customer, listed item) never bought
+    SELECT cl.customer_id, it.menu_item_name, 0 AS purchased
+    FROM customer_loyalty cl, items it
+    WHERE NOT EXISTS (SELECT 1 FROM bought b
+                      WHERE b.customer_id = cl.customer_id
+                        AND b.menu_item_name = it.menu_item_name)
 ),
 nv_pairs AS (
     SELECT i.customer_id, m.truck_brand_name, i.purchased
