@@ -26,6 +26,7 @@ from menurec.operators.interactions import interactions
 from menurec.operators.preprocess import Preprocessor, apply_min_max, fit_min_max
 from menurec.schemas import DENSE_FEATURES, SPARSE_FEATURES
 from menurec.sources import adapter
+from menurec.session import checkpoint_dir
 from menurec.sources.load import load_domain
 
 # Fixed query parameters (the oracle SQL uses the same values).
@@ -115,9 +116,22 @@ class Context:
         keys = ["customer_id", "menu_item_name"]
         return self.dataset.filter(split.split_index(keys) == 0)
 
+    @cached_property
+    def dataset_table(self) -> DataFrame:
+        """The dataset materialised once (the source's generate_dataset):
+        fitting and transforming then read it instead of re-running the
+        joins behind it."""
+        checkpoint_dir(self.spark)
+        return self.dataset.checkpoint(eager=True)
+
+    @cached_property
+    def train_table(self) -> DataFrame:
+        keys = ["customer_id", "menu_item_name"]
+        return self.dataset_table.filter(split.split_index(keys) == 0)
+
     @cached_property
     def preprocess_state(self):
-        return Preprocessor().fit(self.train_dataset)
+        return Preprocessor().fit(self.train_table)
 
     def audience(self, **kw) -> DataFrame:
         return aud.audience(self.interactions, self.items, self.customers,
@@ -240,19 +254,22 @@ def q_binary_metrics(spark, base):
 
 def q_training_set(spark, base):
     ctx = Context(spark, base)
-    return plain(ctx.preprocess_state.transform(ctx.train_dataset, in_place=True))
+    checkpoint_dir(spark)
+    train = ctx.train_dataset.checkpoint(eager=True)
+    state = Preprocessor().fit(train)
+    return plain(state.transform(train, in_place=True))
 
 
 def q_encoded(spark, base):
     ctx = Context(spark, base)
-    out = ctx.preprocess_state.transform(ctx.dataset, in_place=False)
+    out = ctx.preprocess_state.transform(ctx.dataset_table, in_place=False)
     return plain(out.select("customer_id", "menu_item_name", "city", "truck_brand_name",
                             "purchased", *[c + "_encoded" for c in SPARSE_FEATURES]))
 
 
 def q_scaled(spark, base):
     ctx = Context(spark, base)
-    out = apply_min_max(ctx.dataset, fit_min_max(ctx.train_dataset, DENSE_FEATURES))
+    out = apply_min_max(ctx.dataset_table, fit_min_max(ctx.train_table, DENSE_FEATURES))
     return plain(out.select("customer_id", "menu_item_name", "purchased", *DENSE_FEATURES))
 
 
@@ -263,13 +280,13 @@ def q_dlrm_scores(spark, base):
     ctx = Context(spark, base)
     st = ctx.preprocess_state
     keys = ["customer_id", "menu_item_name"]
-    train = st.transform(ctx.train_dataset, in_place=True)
-    val = st.transform(ctx.dataset.filter(split.split_index(keys) == 1), in_place=True)
+    train = st.transform(ctx.train_table, in_place=True)
+    val = st.transform(ctx.dataset_table.filter(split.split_index(keys) == 1), in_place=True)
     cfg = DLRMConfig(num_embeddings=st.num_embeddings() + 1)
     cores = spark.sparkContext.defaultParallelism
     result = dlrm_train(train, val, cfg, null_codes="reserve",
                         workers=min(cores, TRAIN_WORKERS_MAX))
-    scoring = st.transform(ctx.dataset, in_place=False)
+    scoring = st.transform(ctx.dataset_table, in_place=False)
     scored = dlrm_score(scoring, result.params, cfg,
                         sparse=[c + "_encoded" for c in SPARSE_FEATURES],
                         null_codes="reserve", partitions=cores)
