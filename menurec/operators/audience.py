@@ -31,7 +31,7 @@ def never_visited(interactions: DataFrame, items: DataFrame, method: str = "aggr
     (NULL never equals) keeps them.  ``method="anti_join"`` is the literal
     form.  The items, a checked-size dimension, are broadcast to both joins.
     """
-    items = bounded_broadcast(items.select(*ITEM_COLUMNS), max_items, "menu")
+    items = bounded_broadcast(items.select(*ITEM_COLUMNS), max_items)
     pairs = interactions.join(items.select("menu_item_name", "truck_brand_name"),
                               "menu_item_name")
     if method == "anti_join":

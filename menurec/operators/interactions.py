@@ -54,7 +54,7 @@ def interactions(customers: DataFrame, menu: DataFrame, orders: DataFrame,
        and aggregations on that key.
     """
     items = menu_features(menu, excluded_category).select("menu_item_name")
-    items = bounded_broadcast(items, max_items, "menu")
+    items = bounded_broadcast(items, max_items)
 
     # A NULL item name never equals a menu item, so it cannot mark a purchase.
     bought = purchased_items(orders).filter(

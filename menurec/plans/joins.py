@@ -6,7 +6,7 @@ only under ``spark.sql.autoBroadcastJoinThreshold`` (static estimate) or
 ``spark.sql.adaptive.autoBroadcastJoinThreshold`` (measured at run time by
 AQE) and otherwise plans a sort-merge join.  :func:`bounded_broadcast` is the
 explicit form for the few places that need the hint: it counts at most
-``max_rows + 1`` rows and only then hints.
+``max_rows + 1`` rows and hints only below the bound.
 """
 
 from __future__ import annotations
@@ -17,22 +17,15 @@ from pyspark.sql import functions as F
 NULL_SALT_BUCKETS = 64
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int, what: str = "table") -> DataFrame:
-    """Hint ``df`` for broadcast after checking it holds at most ``max_rows``.
+def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
+    """Hint ``df`` for broadcast only after checking it holds at most
+    ``max_rows`` rows.
 
     The check reads at most ``max_rows + 1`` rows (the limit stops the scan).
-    Larger inputs raise: callers that can fall back pass the frame on unhinted
-    instead (see :func:`broadcast_if_small`).
+    A larger input is returned unhinted, so the planner falls back to a
+    shuffle-based join (sort-merge, or a partition-wise product for a cross
+    join) instead of shipping it to every executor.
     """
-    if df.limit(max_rows + 1).count() > max_rows:
-        raise ValueError(f"{what} has more than {max_rows} rows; "
-                         "it cannot be broadcast")
-    return F.broadcast(df)
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast ``df`` when it has at most ``max_rows`` rows, else leave it to
-    the planner (sort-merge join)."""
     if df.limit(max_rows + 1).count() <= max_rows:
         return F.broadcast(df)
     return df

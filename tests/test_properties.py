@@ -133,3 +133,14 @@ def test_null_keys_spread_over_partitions(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_menu_over_broadcast_bound_gives_same_rows(spark):
+    from menurec.operators.audience import never_visited
+    from menurec.operators.interactions import interactions
+    ctx = Context(spark, SF_SMALL)
+    t = ctx.tables
+    small = interactions(t.customer_loyalty, t.menu, ctx.orders, "bolt", max_items=5)
+    assert rows(small) == rows(ctx.interactions)
+    assert rows(never_visited(ctx.interactions, ctx.items, max_items=5)) == rows(
+        never_visited(ctx.interactions, ctx.items))
