@@ -39,15 +39,15 @@ def left_join_spread_nulls(left: DataFrame, right: DataFrame, left_key: str,
     NULL-key row to one partition; anonymous orders can be a third of all
     rows.  A salt column, 0 for real keys and a content hash for NULL keys,
     joins with the right side's constant 0 salt: matches are unchanged and the
-    NULL rows spread over ``buckets`` salts (default: the session's shuffle
-    partition count, so they can reach every partition).  The salt hashes
+    NULL rows spread over ``buckets`` salts (default: four per shuffle
+    partition, so hashing them reaches nearly every partition).  The salt hashes
     ``salt_cols`` (columns the plan reads anyway, so column pruning is kept),
     so a retried task puts every row in the same place again.  Both key
     columns are kept (the right one is NULL where nothing matched).
     """
     salt = "__null_salt"
     if buckets is None:
-        buckets = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        buckets = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     l_df = left.withColumn(salt, F.when(
         F.col(left_key).isNull(),
         F.pmod(F.xxhash64(*[F.col(c) for c in salt_cols]), F.lit(buckets)),
