@@ -28,6 +28,7 @@ from menurec.schemas import DENSE_FEATURES, KEEP_WITH_CODES, SPARSE_FEATURES
 from menurec.session import checkpoint_dir
 
 ENCODED_SUFFIX = "_encoded"
+MAX_BROADCAST_CODES = 1_000_000   # encoder rows (all features) broadcast below this
 
 
 def _fit_statistics(df: DataFrame, categorical: Sequence[str],
@@ -70,13 +71,19 @@ def apply_label_encoders(df: DataFrame, encoders: DataFrame, columns: Sequence[s
     """Add ``<col>_encoded`` codes (or replace the column when ``in_place``).
 
     Without ``in_place`` the inputs are dropped except those in ``keep``, as
-    the app does.  Values are compared as text.
+    the app does.  Values are compared as text.  The encoder table (a
+    checkpoint or saved table, so the planner cannot estimate its size) is
+    counted once: up to ``MAX_BROADCAST_CODES`` rows every per-feature join
+    is a broadcast join; a larger vocabulary is joined by shuffle.
     """
+    small = encoders.limit(MAX_BROADCAST_CODES + 1).count() <= MAX_BROADCAST_CODES
     out = df
     for c in columns:
         tmp_v = f"__v_{c}"
         e = encoders.filter(F.col("feature") == F.lit(c)).select(
             F.col("value").alias(tmp_v), F.col("code").alias(f"__code_{c}"))
+        if small:
+            e = F.broadcast(e)
         out = out.join(e, out[c].cast("string") == e[tmp_v], "left").drop(tmp_v)
     if in_place:
         return out.select(*[F.col(f"__code_{c}").alias(c) if c in columns else F.col(c)
