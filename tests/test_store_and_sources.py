@@ -133,3 +133,20 @@ def test_app_flow_end_to_end(spark, tmp_dir):
     assert 0.0 <= metrics["AUC"] <= 1.0 and set(metrics) == {"AUC", "Precision", "Recall", "F1_Score"}
     logged = sinks.log_metrics(spark, f"{tmp_dir}/metrics", "PyTorchRecModel", "V1", metrics)
     assert logged.count() == 4
+
+
+def test_published_load_is_reattached(spark, tmp_dir):
+    """A second session finds the published load and re-registers the
+    bucketed fact tables from their files (external tables)."""
+    from menurec.sources import load
+    target = f"{tmp_dir}/domain"
+    first = load.load_domain(spark, SF_SMALL, target=target, buckets=4)
+    n_lines = first.order_detail.count()
+    load._LOADED.clear()
+    for t in [r.name for r in spark.catalog.listTables() if r.name.startswith("menurec_")]:
+        spark.sql(f"DROP TABLE IF EXISTS {t}")   # external: files stay
+    again = load.load_domain(spark, SF_SMALL, target=target)
+    assert again.order_detail.count() == n_lines
+    plan = again.order_detail.join(again.order_header, "order_id")._jdf.queryExecution() \
+        .executedPlan().toString()
+    assert "Exchange hashpartitioning(order_id" not in plan
