@@ -403,7 +403,7 @@ def dlrm_train(train: DataFrame, val: DataFrame | None, cfg: DLRMConfig,
                sparse: Sequence[str] = SPARSE_FEATURES,
                dense: Sequence[str] = DENSE_FEATURES, label: str = LABEL,
                workers: int | None = None, null_codes: str = "error",
-               save_best: str | None = None) -> TrainResult:
+               save_best: str | None = None, max_rows: int | None = None) -> TrainResult:
     """Train for ``cfg.epochs`` epochs; keep the best-validation (or last) weights.
 
     ``workers`` repartitions the training and validation rows (by a hash of
@@ -412,6 +412,9 @@ def dlrm_train(train: DataFrame, val: DataFrame | None, cfg: DLRMConfig,
     once, so every round reads them instead of recomputing their lineage.
     Train loss is the mean of batch losses; validation loss likewise.
     ``save_best`` writes the kept weights to that path whenever they change.
+    ``max_rows`` trains on at most that many rows (the source caps training
+    at 100,000): the rows with the smallest hash of their model columns, so
+    the same rows every time; by default every row is used.
     """
     from menurec.session import checkpoint_dir
     _check_model_size(cfg, 3)
@@ -420,6 +423,9 @@ def dlrm_train(train: DataFrame, val: DataFrame | None, cfg: DLRMConfig,
     sparse, dense = list(sparse), list(dense)
     cols = sparse + dense + [label]
     data = train.select(*cols)
+    if max_rows is not None:
+        from menurec.operators.split import capped
+        data = capped(data, cols, max_rows)
     if workers:
         data = data.repartition(workers, *[F.col(c) for c in cols])
     data = data.checkpoint(eager=True)

@@ -123,3 +123,15 @@ def test_weights_round_trip(spark, tmp_dir):
     q = load_weights(spark, f"{tmp_dir}/w")
     for k in p:
         assert np.array_equal(p[k], q[k])
+
+
+def test_training_row_cap_is_deterministic(spark):
+    from menurec.operators.split import capped
+    cfg = DLRMConfig(**SMALL, epochs=1, batch_size=64)
+    train = _toy(spark, 600, 8)
+    cols = ["a", "b", "c", "x", "w", "purchased"]
+    assert capped(train, cols, 200).count() == 200
+    a = dlrm_train(train, None, cfg, ["a", "b", "c"], ["x", "w"], workers=1, max_rows=200)
+    b = dlrm_train(train.repartition(5), None, cfg, ["a", "b", "c"], ["x", "w"], workers=1,
+                   max_rows=200)
+    assert a.history[0]["train_loss"] == b.history[0]["train_loss"]
