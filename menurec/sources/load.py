@@ -97,7 +97,11 @@ def load_domain(spark: SparkSession, base: str, target: str | None = None,
                 continue
             df = getattr(tables, name)
             if name in BUCKETED:
-                df.write.mode("overwrite").bucketBy(n, BUCKET_KEY).sortBy(BUCKET_KEY) \
+                # Hash-partition into the bucket count first: Spark's bucket of
+                # a row equals its hash partition, so each task writes exactly
+                # one bucket file instead of tasks x buckets small files.
+                df.repartition(n, BUCKET_KEY).write.mode("overwrite") \
+                    .bucketBy(n, BUCKET_KEY).sortBy(BUCKET_KEY) \
                     .option("path", f"{path}/{name}").saveAsTable(_table_name(path, name))
             else:
                 df.write.mode("overwrite").parquet(f"{path}/{name}")
