@@ -41,3 +41,18 @@ def test_rounded_average_matches_decimal_half_up(spark, rows):
     for r in got:
         want = (r.t / Decimal(r.n)).quantize(Decimal("0.01"), rounding=ROUND_HALF_UP)
         assert r.avg == want
+
+
+@settings(max_examples=3, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 1), st.integers(0, 20)), min_size=2, max_size=300))
+def test_auc_matches_pairwise_count(spark, data):
+    from menurec.operators.evaluate import roc_auc
+    pos = [s for y, s in data if y == 1]
+    neg = [s for y, s in data if y == 0]
+    df = spark.createDataFrame([(y, s / 10.0) for y, s in data], "purchased int, prediction double")
+    got = roc_auc(df).first()["auc"]
+    if not pos or not neg:
+        assert got is None
+        return
+    wins = sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+    assert abs(got - wins / (len(pos) * len(neg))) < 1e-12
