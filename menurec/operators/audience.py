@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from menurec.plans.joins import and_all, bounded_broadcast
 
@@ -61,6 +62,50 @@ def never_visited(interactions: DataFrame, items: DataFrame, method: str = "aggr
     return joined.select(never["*"], renamed["*"])
 
 
+MAX_MERGE_ROWS = 10_000_000
+
+
+def ordered_page(df: DataFrame, order: Sequence[str], limit: int,
+                 oversample: float = 2.0, max_merge_rows: int = MAX_MERGE_ROWS) -> DataFrame:
+    """``df.orderBy(order).limit(limit)`` (ascending, NULLs last) without
+    merging ``limit`` rows from every partition in one task.
+
+    Spark's plain top-k keeps ``limit`` rows per partition and merges them
+    in one task: fine while ``limit x spark.sql.shuffle.partitions`` is at
+    most ``max_merge_rows`` (the plain plan is used then); beyond that the
+    bounded plan below replaces the merge.
+
+    The rows per value of the first order column (``key``) are counted once
+    and checkpointed (one row per key).  An approximate percentile gives a
+    bound on ``key``; the exact row count up to the bound is checked and the
+    bound widened until it covers ``limit`` rows.  Every row of the page has
+    ``key <= bound``, so ordering only those rows gives the same page, and
+    the literal bound is pushed down to the scans.  A non-numeric key, or
+    fewer than ``limit`` rows with a non-NULL key, uses the plain plan.
+    """
+    key = order[0]
+    sort = [F.asc_nulls_last(c) for c in order]
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if (limit * partitions <= max_merge_rows
+            or not isinstance(df.schema[key].dataType, T.NumericType)):
+        return df.orderBy(*sort).limit(limit)
+    from menurec.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
+    total = counts.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
+    if not total["rows"] or total["rows"] <= limit:
+        return df.orderBy(*sort).limit(limit)
+    frac = min(1.0, oversample * limit / total["keys"])
+    while True:
+        bound = counts.agg(F.percentile_approx(key, frac, 10_000)).first()[0]
+        covered = counts.filter(F.col(key) <= F.lit(bound)).agg(F.sum("n")).first()[0] or 0
+        if covered >= limit or frac >= 1.0:
+            break
+        frac = min(1.0, frac * 2)
+    return df.filter(F.col(key) <= F.lit(bound)).orderBy(*sort).limit(limit)
+
+
 def audience_filter(countries: Sequence[str] | None = None,
                     cities: Sequence[str] | None = None,
                     brands: Sequence[str] | None = None,
@@ -94,7 +139,8 @@ def audience(interactions: DataFrame, items: DataFrame, customers: DataFrame,
     turn its left join into an inner join and push the filter to the scan.
     Ordering is by customer, then item (the source orders by customer only,
     which leaves the cut at ``limit`` arbitrary); ``limit=None`` returns every
-    row.  Customer and spend features join on ``customer_id``, the key the
+    row.  The page is cut by :func:`ordered_page` (a bounded, pushed-down
+    filter before the final sort) rather than a single-task top-k merge.  Customer and spend features join on ``customer_id``, the key the
     interaction rows are already partitioned by.
     """
     if only_never_visited:
@@ -108,7 +154,7 @@ def audience(interactions: DataFrame, items: DataFrame, customers: DataFrame,
         order = ["customer_id", "menu_item_name"]
         if only_never_visited:
             order.append("truck_brand_name")
-        df = df.orderBy(*[F.asc_nulls_last(c) for c in order]).limit(limit)
+        df = ordered_page(df, order, limit)
     return df
 
 

@@ -144,3 +144,17 @@ def test_menu_over_broadcast_bound_gives_same_rows(spark):
     assert rows(small) == rows(ctx.interactions)
     assert rows(never_visited(ctx.interactions, ctx.items, max_items=5)) == rows(
         never_visited(ctx.interactions, ctx.items))
+
+
+@pytest.mark.parametrize("limit", [1, 37, 500, 10_000, 10**6])
+def test_ordered_page_equals_plain_top_k(spark, limit):
+    from menurec.operators.audience import ordered_page
+    ctx = Context(spark, SF_SMALL)
+    df = ctx.interactions.withColumn(
+        "customer_id", F.when(F.col("customer_id") % 7 == 0, F.lit(None)).otherwise(
+            F.col("customer_id")))
+    order = ["customer_id", "menu_item_name"]
+    plain = df.orderBy(*[F.asc_nulls_last(c) for c in order]).limit(limit)
+    got = ordered_page(df, order, limit, max_merge_rows=0)   # force the bounded plan
+    assert got.count() == plain.count()
+    assert sorted(got.collect(), key=str) == sorted(plain.collect(), key=str)
