@@ -158,3 +158,12 @@ def test_ordered_page_equals_plain_top_k(spark, limit):
     got = ordered_page(df, order, limit, max_merge_rows=0)   # force the bounded plan
     assert got.count() == plain.count()
     assert sorted(got.collect(), key=str) == sorted(plain.collect(), key=str)
+
+
+@pytest.mark.parametrize("n", [1, 250, 5000, 10**6])
+def test_sample_n_bounded_plan_equals_top_k(spark, n):
+    inter = Context(spark, SF_SMALL).interactions
+    keys = ["customer_id", "menu_item_name"]
+    plain = split.sample_n(inter, keys, n)
+    bounded = split.sample_n(inter, keys, n, max_merge_rows=0)
+    assert rows(bounded) == rows(plain)
