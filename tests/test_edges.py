@@ -1,13 +1,12 @@
 """Hand-written edge rows (FIXTURES.md section 4)."""
 
-import datetime as dt
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from helpers import d, make, small_domain
+from helpers import d, small_domain
 from menurec import schemas
 from menurec.functions.dates import (age_in_years, months_between_boundaries,
                                      weeks_between, years_between)
