@@ -35,14 +35,19 @@ SMALL_LIMIT = 1_000_000
 
 def prefix_sums(df: DataFrame, key: str, values: Sequence[str],
                 groups: Sequence[str] = (), buckets: int | None = None,
-                small_limit: int | None = None) -> DataFrame:
+                small_limit: int | None = None, materialize: bool = True) -> DataFrame:
     """Add ``<v>_before``: the sum of ``v`` over rows of the same group with a
-    smaller ``key``, for each ``v`` in ``values``."""
+    smaller ``key``, for each ``v`` in ``values``.
+
+    ``materialize=False`` skips the input checkpoint, for an input that is
+    already a cheap read (e.g. a filter over a checkpointed table).
+    """
     spark = df.sparkSession
     checkpoint_dir(spark)
     groups = list(groups)
     limit = SMALL_LIMIT if small_limit is None else small_limit
-    df = df.checkpoint(eager=True)
+    if materialize:
+        df = df.checkpoint(eager=True)
     if df.count() <= limit:
         w = Window.partitionBy(*groups).orderBy(key).rowsBetween(
             Window.unboundedPreceding, -1)

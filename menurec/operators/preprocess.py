@@ -54,7 +54,8 @@ def _number_values(stats: DataFrame, categorical: Sequence[str]) -> DataFrame:
     distinct = stats.filter(F.col("feature").isin(list(categorical))
                             & F.col("value").isNotNull()).select(
         "feature", "value", F.lit(1).cast("long").alias("one"))
-    coded = prefix_sums(distinct, "value", ["one"], groups=["feature"])
+    # ``stats`` is checkpointed by every caller: no second materialisation.
+    coded = prefix_sums(distinct, "value", ["one"], groups=["feature"], materialize=False)
     return coded.select("feature", "value", F.col("one_before").alias("code"))
 
 
