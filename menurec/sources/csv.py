@@ -7,7 +7,8 @@ are matched by position.  Spark's ``nullValue`` takes a single string, so
 every column is read as text, the three markers become NULL, and the
 columns are cast to the declared types.  Under ANSI casting, a value that
 does not fit its type fails the load (the source aborts on the first bad
-row); malformed lines fail too (``FAILFAST``).
+row); malformed lines, including a line with more or fewer fields than
+the table has columns, fail too (``FAILFAST``).
 """
 
 from __future__ import annotations

@@ -174,3 +174,16 @@ def test_csv_bad_value_fails(spark, tmp_dir):
     schema = schemas._schema(("a", schemas.T.LongType()))
     with pytest.raises(Exception):
         read_csv(spark, path, schema).collect()
+
+
+@pytest.mark.parametrize("line", ["1,2,3", "1,2,", "1"])
+def test_csv_column_count_mismatch_fails(spark, tmp_dir, line):
+    """Like the source's load, a line with more or fewer fields than the
+    table has columns aborts the load (FAILFAST)."""
+    from menurec.sources.csv import read_csv
+    path = f"{tmp_dir}/count.csv"
+    with open(path, "w") as f:
+        f.write("A,B\n1,2\n" + line + "\n")
+    schema = schemas._schema(("a", schemas.T.LongType()), ("b", schemas.T.LongType()))
+    with pytest.raises(Exception):
+        read_csv(spark, path, schema).collect()
