@@ -38,9 +38,24 @@ BUCKET_KEY = "order_id"
 _LOADED: dict[tuple[str, str], tuple[str, int]] = {}
 
 
+def _code_version() -> bytes:
+    """Source of the modules that define the loaded tables, so a changed
+    mapping or schema never reuses an older load."""
+    from menurec import schemas as _schemas
+    from menurec.sources import adapter as _adapter
+    h = hashlib.sha1()
+    for mod in (_schemas, _adapter):
+        with open(mod.__file__, "rb") as f:
+            h.update(f.read())
+    h.update(f"{BUCKETED}{BUCKET_KEY}".encode())
+    return h.digest()
+
+
 def _fingerprint(base: str) -> str:
-    """Path plus size and mtime of every input file (path only if remote)."""
+    """Input path, size and mtime of every input file (path only if remote),
+    and the version of the loading code."""
     h = hashlib.sha1(os.path.abspath(base).encode() if "://" not in base else base.encode())
+    h.update(_code_version())
     for t in DRIVER_TABLES:
         p = os.path.join(base, f"{t}.parquet")
         if os.path.exists(p):
