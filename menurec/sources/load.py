@@ -5,7 +5,7 @@ then runs every view and feature query over them.  :func:`load_domain` does
 the same for the driver's tables: it maps them to the domain schema
 (:mod:`menurec.sources.adapter`) and writes each table as parquet under a
 shared folder -- ``<target>`` if given, else ``<spark.checkpoint.dir>/domain``
--- keyed by a fingerprint of the input files.  Later calls (in this session
+-- keyed by a fingerprint of the input files and of the loading code.  Later calls (in this session
 or another one sharing the folder) only scan the written tables, with their
 schemas given explicitly so no footer-reading job runs.
 
