@@ -16,10 +16,11 @@ def purchased_items(orders: DataFrame) -> DataFrame:
 
     This is ``SELECT DISTINCT customer_id, menu_item_name, truck_id`` counted
     per (customer, item), a NULL truck counting as one value like DISTINCT
-    does.  Spark plans the distinct count with a partial aggregate on
-    (customer, item, truck) before the one shuffle on (customer, item), so a
-    customer with a huge share of the order lines still sends at most one row
-    per item and truck from each map task.
+    does.  Spark plans the distinct count as a partial aggregate on
+    (customer, item, truck), a shuffle on those keys, and a second shuffle of
+    the de-duplicated rows on (customer, item): both carry aggregated rows, so
+    a customer with a huge share of the order lines still sends at most one
+    row per item and truck from each map task, spread over many partitions.
     """
     known = orders.filter(F.col("customer_id").isNotNull())
     return known.groupBy("customer_id", "menu_item_name").agg(
@@ -47,9 +48,10 @@ def interactions(customers: DataFrame, menu: DataFrame, orders: DataFrame,
        customers on ``customer_id`` -- one shuffle of customer-sized rows,
        into ``spark.sql.shuffle.partitions`` partitions (not coalesced: the
        rows are about to grow by the menu size);
-    3. the menu, checked to hold at most ``max_items`` rows, is broadcast and
-       every customer row is expanded against it in the same task, looking up
-       its count in the map.  No shuffle touches the expanded rows, and the
+    3. the menu is broadcast when a count shows at most ``max_items`` rows
+       (a larger menu falls back to a partition-wise product) and every
+       customer row is expanded against it in the same task, looking up its
+       count in the map.  No shuffle touches the expanded rows, and the
        output stays partitioned by ``customer_id`` for later joins, windows
        and aggregations on that key.
     """
