@@ -30,7 +30,8 @@ def never_visited(interactions: DataFrame, items: DataFrame, method: str = "aggr
     One shuffle with map-side partial aggregation replaces two DISTINCTs and
     an anti join; rows with a NULL customer are kept whole, as the anti join
     (NULL never equals) keeps them.  ``method="anti_join"`` is the literal
-    form.  The items, a checked-size dimension, are broadcast to both joins.
+    form.  The items are broadcast to both joins when a count shows at most
+    ``max_items`` rows, and joined by shuffle otherwise.
     """
     items = bounded_broadcast(items.select(*ITEM_COLUMNS), max_items)
     pairs = interactions.join(items.select("menu_item_name", "truck_brand_name"),
