@@ -7,7 +7,9 @@ comes from the platform and only :func:`checkpoint_dir` is used.
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -50,6 +52,27 @@ def build_session(master: str | None = None, app: str = "menurec",
     return spark
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers of the session.
+
+    Jobs that run numpy code in tasks refer to the package by name, so it has
+    to be on the executors too.  It is sent once per context as a zip file;
+    a package installed on the executors is the alternative (pyproject.toml).
+    """
+    sc = spark.sparkContext
+    if getattr(sc, "_menurec_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(tempfile.mkdtemp(prefix="menurec-pkg-"), "menurec.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as out:
+        for folder, _, names in os.walk(root):
+            for name in sorted(n for n in names if n.endswith(".py")):
+                path = os.path.join(folder, name)
+                out.write(path, os.path.join("menurec", os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    sc._menurec_shipped = True
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, setting it up if needed.
 
