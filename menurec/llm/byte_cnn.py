@@ -59,11 +59,19 @@ def lay_out(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return flat, blocks
 
 
-def pool_blocks(flat: np.ndarray, net, positions: bool = False):
+def final_blocks(blocks: np.ndarray) -> np.ndarray:
+    """Marks the last block of every text."""
+    out = np.zeros(int(blocks.sum()), bool)
+    out[blocks.cumsum() - 1] = True
+    return out
+
+
+def pool_blocks(flat: np.ndarray, final: np.ndarray, net, positions: bool = False):
     """Largest filter response in every block (and its byte position).
 
     Positions are the multiples of ``STEP``; a position's bytes may reach into
-    the next block, never into the next text (padding).
+    the next block.  The last position of a text is left out: it holds padding
+    and what comes from the next text.
     """
     wide = np.concatenate([flat, np.full(WIDTH, PAD, flat.dtype)])
     x = net["embed"][wide]
@@ -72,6 +80,7 @@ def pool_blocks(flat: np.ndarray, net, positions: bool = False):
     odd = x[STEP:STEP - WIDTH].reshape(n, WIDTH * EMBED) @ net["filter"]
     per = BLOCK // WIDTH
     even, odd = even.reshape(-1, per, FILTERS), odd.reshape(-1, per, FILTERS)
+    odd[final, -1] = -np.inf
     best_e, best_o = even.max(axis=1), odd.max(axis=1)
     top = np.maximum(best_e, best_o) + net["fbias"]
     if not positions:
@@ -82,8 +91,7 @@ def pool_blocks(flat: np.ndarray, net, positions: bool = False):
 
 def chunked(top: np.ndarray, blocks: np.ndarray):
     """Chunk i pools blocks i and i+1 of the same text (the last block alone)."""
-    last = np.zeros(len(top), bool)
-    last[blocks.cumsum() - 1] = True
+    last = final_blocks(blocks)
     nxt = np.minimum(np.arange(len(top)) + 1, len(top) - 1)
     follow = np.where(last[:, None], -np.inf, top[nxt])
     return np.maximum(top, follow), follow > top
@@ -113,10 +121,12 @@ def logits(texts: list[bytes], net) -> np.ndarray:
 
 def _logits(texts, net):
     flat, blocks = lay_out(texts)
-    if len(flat) > 2 * PIECE:  # a very long text: pool its blocks piece by piece
-        top = np.concatenate([pool_blocks(flat[a:a + PIECE + WIDTH * 16], net)[:PIECE // BLOCK] for a in range(0, len(flat), PIECE)])
+    final = final_blocks(blocks)
+    if len(flat) > 2 * PIECE:  # a very long text: pool its blocks piece by piece, with one more block each
+        n = PIECE // BLOCK
+        top = np.concatenate([pool_blocks(flat[a * BLOCK:(a + n + 1) * BLOCK], final[a:a + n + 1], net)[:n] for a in range(0, len(final), n)])
     else:
-        top = pool_blocks(flat, net)
+        top = pool_blocks(flat, final, net)
     _, doc, _ = heads(chunked(top, blocks)[0], blocks, net)
     return doc @ net["w2"] + net["b2"][0]
 
@@ -124,7 +134,7 @@ def _logits(texts, net):
 def gradients(texts: list[bytes], labels: np.ndarray, net) -> tuple[float, dict[str, np.ndarray]]:
     """Mean cross-entropy of a batch and its gradients."""
     flat, blocks = lay_out(texts)
-    top, where, wide = pool_blocks(flat, net, positions=True)
+    top, where, wide = pool_blocks(flat, final_blocks(blocks), net, positions=True)
     chunk, from_next = chunked(top, blocks)
     hidden, doc, first = heads(chunk, blocks, net)
     z = doc @ net["w2"] + net["b2"][0]

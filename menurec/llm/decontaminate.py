@@ -55,7 +55,7 @@ def myers(item_masks: dict[str, int], length: int, text: str, limit: int) -> tup
     full = (1 << length) - 1
     top = 1 << (length - 1)
     plus, minus, score = full, 0, length
-    best, at = limit + 1, -1
+    best, at = (length, 0) if length <= limit else (limit + 1, -1)
     get = item_masks.get
     for i, c in enumerate(text):
         eq = get(c, 0)
