@@ -10,9 +10,9 @@ share left for unseen words).
 1. Counts: one pass counts all training tokens (partial counts per task, then
    one aggregation); they grow with the corpus and stay a table.
 2. Training: ``ROUNDS`` passes, each over its own part of the training
-   documents.  Documents are packed into lanes; windows of ``WINDOW`` steps
-   are trained by truncated backpropagation, the state carried from window to
-   window.  Tasks start a round from the same weights and are averaged by
+   documents.  Documents (in stretches of ``SEGMENT`` tokens) are packed into
+   lanes; windows of ``WINDOW`` steps are trained by truncated backpropagation,
+   the state carried from window to window.  Tasks start a round from the same weights and are averaged by
    tokens; sums are integers, so the average doesn't depend on task order.
 3. Scoring: the same packing over all whole texts.  A bounded dictionary of
    the most frequent words (``MAX_LOOKUP``) goes to every task; the other words
@@ -30,6 +30,7 @@ import heapq
 import math
 import zlib
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -43,15 +44,18 @@ HEAD_CLASSES, CLASS_WORDS, TAIL_CLASSES = 32, 32, 64
 HEAD = HEAD_CLASSES * CLASS_WORDS  # id 0 is the end of a document
 INPUTS, CLASSES = HEAD + TAIL_CLASSES, HEAD_CLASSES + TAIL_CLASSES
 WINDOW = 32
+SEGMENT = 2048  # training cuts longer texts, so that one does not keep the other lanes waiting
 ROUNDS = 4
 RATES = (8e-3, 5e-3, 3e-3, 1.5e-3)
 TRAIN_LANES, SCORE_LANES = 128, 512
 MAX_LOOKUP = 400_000
+KNOWN_WORDS = 200_000
 FLUSH_WORDS = 300_000
 FLUSH_TOKENS = 2_000_000
 FLUSH_BYTES = 24 << 20
 LN10 = math.log(10)
 FIXED_POINT = 2 ** 20
+CACHED_ROWS = 1024  # softmax rows handled at once, to stay in the processor's cache
 
 
 def tail_class(word: bytes) -> int:
@@ -59,10 +63,14 @@ def tail_class(word: bytes) -> int:
 
 
 class Inputs(dict):
-    """Input id of a word: its place in the head, else that of its tail class."""
+    """Input id of a word: its place in the head, else that of its tail class.
+    Tail words are remembered, ``KNOWN_WORDS`` at most."""
 
     def __missing__(self, word: bytes) -> int:
-        return HEAD + zlib.crc32(word[-3:]) % TAIL_CLASSES
+        found = HEAD + zlib.crc32(word[-3:]) % TAIL_CLASSES
+        if len(self) < KNOWN_WORDS:
+            self[word] = found
+        return found
 
 
 # --- counts -------------------------------------------------------------------
@@ -138,7 +146,7 @@ class Vocabulary:
 
 # --- network ------------------------------------------------------------------
 
-CLASS_OF = np.concatenate([np.arange(HEAD) // CLASS_WORDS, HEAD_CLASSES + np.arange(TAIL_CLASSES)])
+CLASS_OF = np.concatenate([np.arange(HEAD) // CLASS_WORDS, HEAD_CLASSES + np.arange(TAIL_CLASSES)]).astype(np.int16)
 SHAPES = {"inp": (INPUTS, 3 * HIDDEN), "bias": (3 * HIDDEN,), "u": (HIDDEN, 3 * HIDDEN), "wc": (HIDDEN, CLASSES), "bc": (CLASSES,),
           "wh": (HEAD_CLASSES, HIDDEN, CLASS_WORDS), "bh": (HEAD_CLASSES, CLASS_WORDS)}
 
@@ -159,82 +167,109 @@ def initial(vocabulary: Vocabulary, seed: int = 5) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in net.items()}
 
 
-def _sigmoid(x):
-    return 0.5 * np.tanh(0.5 * x) + 0.5
-
-
 def recur(net, tokens: np.ndarray, state: np.ndarray, trace: bool = False):
     """States after each of the (steps, lanes) input tokens; input 0 starts a
-    document from a zero state.  ``trace`` keeps what backpropagation needs."""
+    document from a zero state.  ``trace`` keeps what backpropagation needs:
+    (previous states, update and reset gates, candidates, their recurrent part).
+
+    The logistic is a scaled tanh; its factor 1/2 is put into the weights, and
+    every step writes into buffers made once.
+    """
     steps, lanes = tokens.shape
-    gates = net["inp"][tokens]
-    gates += net["bias"]
-    keep = (tokens != 0).astype(np.float32)[:, :, None]
-    out = np.empty((steps, lanes, HIDDEN), np.float32)
-    kept = {k: np.empty((steps, lanes, HIDDEN), np.float32) for k in ("prev", "z", "r", "n", "un")} if trace else None
     two = 2 * HIDDEN
+    kind = net["u"].dtype
+    table = net["inp"] + net["bias"]
+    gates_in, cand_in = np.take(0.5 * table[:, :two], tokens, axis=0), np.take(np.ascontiguousarray(table[:, two:]), tokens, axis=0)
+    u_gates, u_cand = 0.5 * net["u"][:, :two], np.ascontiguousarray(net["u"][:, two:])
+    keep = (tokens != 0).astype(kind)[:, :, None]
+    kept = steps if trace else 1
+    prevs, gates, cands, lifts = (np.empty((kept, lanes, w), kind) for w in (HIDDEN, two, HIDDEN, HIDDEN))
+    out = np.empty((steps, lanes, HIDDEN), kind)
     for t in range(steps):
-        prev = state * keep[t]
-        lift = prev @ net["u"]
-        zr = gates[t, :, :two] + lift[:, :two]
-        zr *= 0.5
+        i = t if trace else 0
+        prev, zr, n, lift, now = prevs[i], gates[i], cands[i], lifts[i], out[t]
+        np.multiply(state, keep[t], out=prev)
+        np.matmul(prev, u_gates, out=zr)
+        zr += gates_in[t]
         np.tanh(zr, out=zr)
         zr *= 0.5
         zr += 0.5
-        z, r = zr[:, :HIDDEN], zr[:, HIDDEN:]
-        n = r * lift[:, two:]
-        n += gates[t, :, two:]
+        np.matmul(prev, u_cand, out=lift)
+        np.multiply(zr[:, HIDDEN:], lift, out=n)
+        n += cand_in[t]
         np.tanh(n, out=n)
-        if trace:
-            kept["prev"][t], kept["z"][t], kept["r"][t], kept["n"][t], kept["un"][t] = prev, z, r, n, lift[:, two:]
-        prev -= n
-        prev *= z
-        prev += n
-        out[t] = state = prev
-    return out, kept, keep
+        np.subtract(prev, n, out=now)
+        now *= zr[:, :HIDDEN]
+        now += n
+        state = now
+    return out, (prevs, gates, cands, lifts), keep
+
+
+def _softmax_parts(logit):
+    """exp(logit) and its row sums; rows are shifted only if they overflow."""
+    ones = np.ones(logit.shape[1], logit.dtype)
+    with np.errstate(over="ignore"):
+        e = np.exp(logit)
+        total = e @ ones
+    if not np.isfinite(total).all() or not total.all():
+        top = logit.max(axis=1, keepdims=True)
+        e = np.exp(logit - top)
+        return e, e @ ones, top[:, 0]
+    return e, total, 0.0
+
+
+def _column_sums(x):
+    return np.ones(len(x), x.dtype) @ x
 
 
 def outputs(net, hidden: np.ndarray, target: np.ndarray, want_gradient: bool = False):
     """Natural log-probability of each target given its state (a tail word's is
-    that of its class); with gradients of the mean negative log-likelihood."""
+    that of its class); with gradients of the mean negative log-likelihood.
+    Rows are sorted by class once, so that each class is one matrix product."""
     cls = CLASS_OF[target]
-    logit = hidden @ net["wc"] + net["bc"]
-    logit -= logit.max(axis=1, keepdims=True)
-    rows = np.arange(len(target))
-    picked = logit[rows, cls]
-    np.exp(logit, out=logit)
-    total = logit.sum(axis=1)
-    logp = picked - np.log(total)
+    order = np.argsort(cls, kind="stable")
+    cls, word, h = cls[order], target[order], hidden[order]
+    n, rows = len(order), np.arange(len(order))
+    edges = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1))
+    logp = np.empty(n, h.dtype)
     grad = None
     if want_gradient:
-        logit /= total[:, None]
-        logit[rows, cls] -= 1
-        logit /= len(target)
-        grad = {"wc": hidden.T @ logit, "bc": logit.sum(axis=0), "wh": np.zeros(SHAPES["wh"], np.float32), "bh": np.zeros(SHAPES["bh"], np.float32),
-                "hidden": logit @ net["wc"].T}
-    in_head = np.flatnonzero(cls < HEAD_CLASSES)
-    order = in_head[np.argsort(cls[in_head], kind="stable")]
-    edges = np.searchsorted(cls[order], np.arange(HEAD_CLASSES + 1))
+        grad = {k: np.zeros(SHAPES[k], h.dtype) for k in ("wc", "bc", "wh", "bh")}
+        back = np.empty_like(h)
+    for a in range(0, n, CACHED_ROWS):
+        seg = slice(a, a + CACHED_ROWS)
+        logit = h[seg] @ net["wc"]
+        logit += net["bc"]
+        here, at = rows[:len(logit)], cls[seg]
+        e, total, top = _softmax_parts(logit)
+        logp[seg] = logit[here, at] - top - np.log(total)
+        if want_gradient:
+            e *= (1 / (total * n))[:, None]
+            e[here, at] -= 1 / n
+            grad["wc"] += h[seg].T @ e
+            grad["bc"] += _column_sums(e)
+            back[seg] = e @ net["wc"].T
     for c in range(HEAD_CLASSES):
-        seg = order[edges[c]:edges[c + 1]]
-        if not len(seg):
+        seg = slice(edges[c], edges[c + 1])
+        if edges[c] == edges[c + 1]:
             continue
-        h = hidden[seg]
-        line = h @ net["wh"][c] + net["bh"][c]
-        line -= line.max(axis=1, keepdims=True)
-        word = target[seg] - c * CLASS_WORDS
-        here = np.arange(len(seg))
-        picked = line[here, word]
-        np.exp(line, out=line)
-        total = line.sum(axis=1)
-        logp[seg] += picked - np.log(total)
+        line = h[seg] @ net["wh"][c]
+        line += net["bh"][c]
+        at = word[seg] - c * CLASS_WORDS
+        here = rows[:len(at)]
+        e, total, top = _softmax_parts(line)
+        logp[seg] += line[here, at] - top - np.log(total)
         if want_gradient:
-            line /= total[:, None]
-            line[here, word] -= 1
-            line /= len(target)
-            grad["wh"][c], grad["bh"][c] = h.T @ line, line.sum(axis=0)
-            grad["hidden"][seg] += line @ net["wh"][c].T
-    return logp, grad
+            e *= (1 / (total * n))[:, None]
+            e[here, at] -= 1 / n
+            grad["wh"][c], grad["bh"][c] = h[seg].T @ e, _column_sums(e)
+            back[seg] += e @ net["wh"][c].T
+    out = np.empty_like(logp)
+    out[order] = logp
+    if want_gradient:
+        grad["hidden"] = np.empty_like(back)
+        grad["hidden"][order] = back
+    return out, grad
 
 
 def lay_lanes(lengths: np.ndarray, lanes: int):
@@ -263,7 +298,8 @@ def windows(texts: list[np.ndarray], lanes: int):
     order, offset, loads = lay_lanes(np.array([len(t) for t in texts], np.int64), lanes)
     flat = np.concatenate([texts[i] for i in order])
     owner = np.repeat(order, [len(texts[i]) for i in order])
-    before = np.r_[0, flat[:-1]]  # what precedes a text is the end of another
+    before = np.r_[0, flat[:-1]]
+    before[np.cumsum([0, *(len(texts[i]) for i in order[:-1])])] = 0  # each sequence starts anew
     for at in range(0, int(loads[0]), WINDOW):
         live = int((loads > at).sum())
         steps = np.arange(at, min(at + WINDOW, int(loads[0])))
@@ -289,31 +325,38 @@ def log_likelihood(net, texts: list[np.ndarray], lanes: int = SCORE_LANES) -> np
 
 def gradients(net, tokens, target, mask, state):
     """Mean loss of a window, its gradients and the state after it."""
-    hidden, kept, keep = recur(net, tokens, state, trace=True)
+    hidden, (prev, gates, n, lift), keep = recur(net, tokens, state, trace=True)
     logp, grad = outputs(net, hidden[mask], target[mask], want_gradient=True)
     dout = np.zeros_like(hidden)
     dout[mask] = grad.pop("hidden")
     steps, lanes, _ = hidden.shape
-    dgate = np.empty((steps, lanes, 3 * HIDDEN), np.float32)
-    dlift = np.empty_like(dgate)
-    back = np.zeros((lanes, HIDDEN), np.float32)
-    ut = net["u"].T
+    two = 2 * HIDDEN
+    z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
+    # what each gate's gradient is multiplied by, for all steps at once
+    to_n, to_z, to_r = (1 - z) * (1 - n * n), (prev - n) * z * (1 - z), lift * r * (1 - r)
+    dgate = np.empty((steps, lanes, 3 * HIDDEN), hidden.dtype)
+    dlift = np.empty_like(hidden)
+    back = np.zeros((lanes, HIDDEN), hidden.dtype)
+    ut_gates, ut_cand = np.ascontiguousarray(net["u"][:, :two].T), np.ascontiguousarray(net["u"][:, two:].T)
     for t in range(steps - 1, -1, -1):
-        back = back + dout[t]
-        prev, z, r, n, un = (kept[k][t] for k in ("prev", "z", "r", "n", "un"))
-        dn = back * (1 - z) * (1 - n * n)
-        dz = back * (prev - n) * z * (1 - z)
-        dr = dn * un * r * (1 - r)
-        dgate[t] = np.concatenate([dz, dr, dn], axis=1)
-        dlift[t] = np.concatenate([dz, dr, dn * r], axis=1)
-        back = (back * z + dlift[t] @ ut) * keep[t]
-    grad["u"] = kept["prev"].reshape(-1, HIDDEN).T @ dlift.reshape(-1, 3 * HIDDEN)
+        back += dout[t]
+        dn = dgate[t, :, two:]
+        np.multiply(back, to_n[t], out=dn)
+        np.multiply(back, to_z[t], out=dgate[t, :, :HIDDEN])
+        np.multiply(dn, to_r[t], out=dgate[t, :, HIDDEN:two])
+        np.multiply(dn, r[t], out=dlift[t])
+        back *= z[t]
+        back += dgate[t, :, :two] @ ut_gates
+        back += dlift[t] @ ut_cand
+        back *= keep[t]
     rows = dgate.reshape(-1, 3 * HIDDEN)
-    grad["bias"] = rows.sum(axis=0)
+    before = prev.reshape(-1, HIDDEN).T
+    grad["u"] = np.concatenate([before @ rows[:, :two], before @ dlift.reshape(-1, HIDDEN)], axis=1)
+    grad["bias"] = _column_sums(rows)
     ids = tokens.ravel()
     order = np.argsort(ids, kind="stable")
     first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
-    grad["inp"] = np.zeros(SHAPES["inp"], np.float32)
+    grad["inp"] = np.zeros(SHAPES["inp"], rows.dtype)
     grad["inp"][ids[order][first]] = np.add.reduceat(rows[order], first, axis=0)
     return -float(logp.mean()), grad, hidden[-1]
 
@@ -326,29 +369,37 @@ class Trainer:
         self.rate, self.step, self.tokens, self.loss = rate, 0, 0, []
         self.m = {k: np.zeros_like(v) for k, v in net.items()}
         self.v = {k: np.zeros_like(v) for k, v in net.items()}
+        self.scratch = {k: np.zeros_like(v) for k, v in net.items()}
 
     def learn(self, texts: list[np.ndarray], lanes: int = TRAIN_LANES) -> None:
         total = sum(map(len, texts))
         if not total:
             return
         self.tokens += total
+        texts = [t[a:a + SEGMENT] for t in texts for a in range(0, len(t), SEGMENT)]
         lanes = min(lanes, max(8, total // 4096), len(texts))
         state = np.zeros((lanes, HIDDEN), np.float32)
         for tokens, target, mask, _, live in windows(texts, lanes):
             loss, grad, state = gradients(self.net, tokens, target, mask, state[:live])
             self.loss.append(loss)
-            norm = math.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
             clip = min(1.0, 1.0 / (norm + 1e-9))
             self.step += 1
             rate = self.rate * mask.sum() / (WINDOW * lanes)  # a window of few live lanes counts less
             a, b = 1 - 0.9 ** self.step, 1 - 0.99 ** self.step
             for k, g in grad.items():
-                m, v = self.m[k], self.v[k]
+                m, v, step = self.m[k], self.v[k], self.scratch[k]
                 m *= 0.9
-                m += 0.1 * clip * g
+                m += np.multiply(g, 0.1 * clip, out=step)
                 v *= 0.99
-                v += 0.01 * clip * clip * g * g
-                self.net[k] -= (rate / a) * m / (np.sqrt(v / b) + 1e-6)
+                np.multiply(g, 0.1 * clip, out=step)
+                v += np.square(step, out=step)
+                np.sqrt(v, out=step)
+                step /= math.sqrt(b)
+                step += 1e-6
+                np.divide(m, step, out=step)
+                step *= rate / a
+                self.net[k] -= step
 
 
 # --- Spark jobs ---------------------------------------------------------------
@@ -425,7 +476,7 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: dict[str, np.ndarray]) -
             out = {k: [] for k in ("doc_id", "row", "word", "n", "ll", "base", "known", "tokens")}
             for doc_id, row, text in rows:
                 tokens = text.lower().split()
-                at = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
+                at = np.fromiter(map(get, tokens, repeat(-1)), np.int64, len(tokens))
                 seq = np.zeros(len(at) + 1, np.int32)
                 hit = at >= 0
                 found = at[hit]
