@@ -49,6 +49,7 @@ from menurec.llm.common import raw_texts
 SPAN = 50
 PIECE = 8
 SLICE = 8 << 20
+PART = 1 << 20  # bytes whose pieces are hashed at once
 BUCKET_BYTES = 4 << 20
 GROUP_BYTES = 16 << 20
 AT_ONCE = 1 << 16
@@ -118,8 +119,8 @@ class Slice:
 
     def add(self, doc_id: int, key: int, text: bytes):
         """Adds the text, yielding the slice whenever it is full."""
-        for base in range(0, max(1, len(text) - self.span + 1), SLICE):
-            part = text[base:base + SLICE + self.span - 1]
+        for base in range(0, max(1, len(text) - self.span + 1), PART):
+            part = text[base:base + PART + self.span - 1]
             if self.parts and self.size + len(part) > SLICE:
                 yield self
                 self.__init__(self.span)
@@ -134,7 +135,14 @@ class Slice:
         lens = np.array([len(p) for p in self.parts], np.int64)
         begin = np.r_[0, lens.cumsum()[:-1]].astype(np.int64)
         data = np.frombuffer(b"".join(self.parts), np.uint8)
-        start, wins, rel, piece = cut_reads(data, begin, lens, self.span)
+        found, at = [], 0
+        while at < len(lens):  # a megabyte of texts at a time: the hashes take eight times their bytes
+            upto = max(at + 1, int(np.searchsorted(begin, begin[at] + PART)))
+            a, b = begin[at], begin[upto - 1] + lens[upto - 1]
+            start, wins, rel, piece = cut_reads(data[a:b], begin[at:upto] - a, lens[at:upto], self.span)
+            found.append((start + a, wins, rel, piece))
+            at = upto
+        start, wins, rel, piece = (np.concatenate(x) for x in zip(*found))
         if not len(start):
             return
         bucket = (mixed(piece ^ MIX2) % np.uint64(buckets)).astype(np.int64)

@@ -347,6 +347,7 @@ def test_substring_dedup(spark, texts):
 
 def test_substring_dedup_hard(spark, monkeypatch):
     monkeypatch.setattr(bwt_dedup, "SLICE", 300)
+    monkeypatch.setattr(bwt_dedup, "PART", 110)
     monkeypatch.setattr(bwt_dedup, "AT_ONCE", 40)
     rng = random.Random(8)
     line = "".join(rng.choices("abcd é", k=90))
