@@ -23,6 +23,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,15 +85,17 @@ def notice_vectors(notices, n: int, df: dict[str, int]):
 def strong_words(vectors, threshold: float) -> list[str]:
     """Words of which any line with a cosine of ``threshold`` shares at least one.
 
-    Per notice the lightest words are set aside while their norm is below the
-    threshold; a line that shares only those has a cosine below it.
+    Per notice the shortest words, which are parts of many others, are set aside
+    while their norm is below the threshold; a line that shares only those has
+    a cosine below it.
     """
     out = set()
     for _, vector in vectors:
         rest = 0.0
-        for word, weight in sorted(vector.items(), key=lambda x: (x[1], x[0])):
-            rest += weight * weight
-            if math.sqrt(rest) >= threshold - 1e-9:
+        for word, weight in sorted(vector.items(), key=lambda x: (len(x[0]), x[0])):
+            if math.sqrt(rest + weight * weight) < threshold - 1e-9:
+                rest += weight * weight
+            else:
                 out.add(word)
     return sorted(out)
 
@@ -107,12 +110,14 @@ def declared(docs: DataFrame, keys: list[str], notices=NOTICES, threshold: float
         [(w, i, name, v) for i, (name, vec) in enumerate(vectors) for w, v in vec.items()], "word string, notice int, license string, weight double"))
     weights = F.broadcast(spark.createDataFrame([(w, idf(w)) for w in vocabulary], "word string, idf double"))
     unseen = idf("\0")
+    strong = strong_words(vectors, threshold)
+
+    def holds_one(low: Column) -> Column:
+        return reduce(lambda a, b: a | b, [low.contains(w) for w in strong], F.lit(False))
 
     def near(text: Column) -> Column:
-        low, any_ = F.lower(text), F.lit(False)
-        for w in strong_words(vectors, threshold):
-            any_ = any_ | low.contains(w)
-        return any_
+        # the lambda binds the lower-cased text, so that it is made once and not for every word
+        return F.element_at(F.transform(F.array(F.lower(text)), holds_one), 1)
 
     lines = (docs.select(*keys, "text").filter(near(F.col("text")))
              .select(*keys, F.posexplode(F.split("text", "\n")).alias("line", "part")).filter(near(F.col("part")))
