@@ -16,12 +16,17 @@ def _c(x) -> Column:
 
 
 def pair_key(*cols) -> Column:
-    """``c1 || '|' || c2 ...`` over the text form of each column (NULL if any is)."""
+    """``c1 || '|' || c2 ...`` over the text form of each column.
+
+    One-to-one: ``|`` and ``\\`` in a value are escaped and NULL is ``\\N``, so
+    rows with a NULL spread like any others.
+    """
     parts = []
     for i, c in enumerate(cols):
         if i:
             parts.append(F.lit("|"))
-        parts.append(_c(c).cast("string"))
+        text = F.replace(F.replace(_c(c).cast("string"), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|"))
+        parts.append(F.coalesce(text, F.lit("\\N")))
     return F.concat(*parts)
 
 

@@ -132,7 +132,7 @@ def audience(interactions: DataFrame, items: DataFrame, customers: DataFrame,
              averages: DataFrame, countries: Sequence[str] | None = None,
              cities: Sequence[str] | None = None, brands: Sequence[str] | None = None,
              only_not_ordered: bool = False, only_never_visited: bool = False,
-             limit: int | None = 10_000) -> DataFrame:
+             limit: int | None = None) -> DataFrame:
     """Interactions (or never-visited rows) with item, customer and spend
     features, filtered, then the first ``limit`` rows by customer.
 

@@ -54,7 +54,7 @@ class DLRMConfig:
     bottom: tuple[int, int] = (256, 128)
     top: tuple[int, int] = (128, 128)
     lr: float = 1e-3
-    weight_decay: float = 0.01        # AdamW; 0 with optimizer="adam"
+    weight_decay: float = 0.01        # AdamW only; optimizer="adam" has none
     optimizer: str = "adamw"          # "adamw" (main notebook) or "adam" (trial)
     betas: tuple[float, float] = (0.9, 0.999)
     eps: float = 1e-8
@@ -186,8 +186,6 @@ def adam_step(p, grads, m, v, t: int, cfg: DLRMConfig) -> None:
         if cfg.optimizer == "adamw" and cfg.weight_decay:
             p[k] *= (1.0 - cfg.lr * cfg.weight_decay)
         gk = grads[k]
-        if cfg.optimizer == "adam" and cfg.weight_decay:
-            gk = gk + cfg.weight_decay * p[k]
         m[k] = b1 * m[k] + (1 - b1) * gk
         v[k] = b2 * v[k] + (1 - b2) * gk * gk
         mh = m[k] / (1 - b1 ** t)
@@ -454,9 +452,13 @@ def dlrm_train(train: DataFrame, val: DataFrame | None, cfg: DLRMConfig,
             loss_sum += ls
             batches += nb
         params = unflatten(vec, cfg, 1)[0]
-        train_loss = loss_sum / batches if batches else float("nan")
+        if not batches:
+            raise ValueError("no training rows")
+        train_loss = loss_sum / batches
         val_loss = dlrm_loss(val, params, cfg, sparse, dense, label, null_codes) \
             if val is not None else float("nan")
+        if val is not None and math.isnan(val_loss):
+            raise ValueError("the validation loss is not a number: no validation rows, or the training diverged")
         result.history.append({"epoch": epoch + 1, "train_loss": train_loss,
                                "val_loss": val_loss})
         better = val is not None and val_loss < best

@@ -27,6 +27,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 REGISTRY_SCHEMA = ("kind string, name string, version string, spec string, "
                    "deleted boolean, at double")
@@ -69,9 +70,12 @@ class FeatureStore:
         """Latest non-deleted registry row per (name, version) of ``kind``."""
         try:
             log = self.spark.read.schema(REGISTRY_SCHEMA).parquet(f"{self.root}/registry")
-        except Exception:  # no registry yet
+        except AnalysisException as exc:
+            if "PATH_NOT_FOUND" not in str(exc):
+                raise  # a failing read is not an empty registry
             return self.spark.createDataFrame([], REGISTRY_SCHEMA)
-        w = Window.partitionBy("name", "version").orderBy(F.col("at").desc())
+        w = Window.partitionBy(F.lower("name"), "version").orderBy(
+            F.col("at").desc(), F.col("deleted").desc(), F.col("spec"))
         latest = log.filter(F.col("kind") == kind).withColumn(
             "_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
         return latest.filter(~F.col("deleted"))
@@ -100,7 +104,7 @@ class FeatureStore:
 
     def delete_entity(self, name: str) -> None:
         views = self._current("view").filter(
-            F.array_contains(F.from_json("spec", "entities array<string>")["entities"], name))
+            F.exists(F.from_json("spec", "entities array<string>")["entities"], lambda e: F.lower(e) == name.lower()))
         if views.limit(1).count():
             raise ValueError(f"entity {name!r} is still used by a feature view")
         self._log("entity", name, "", {}, deleted=True)
@@ -157,7 +161,7 @@ class FeatureStore:
         views = self._current("view").select("name", "version", spec.alias("s")).select(
             "name", "version", "s.entities", "s.join_keys", "s.refresh_freq")
         if entity is not None:
-            views = views.filter(F.array_contains("entities", entity))
+            views = views.filter(F.exists("entities", lambda e: F.lower(e) == entity.lower()))
         return views
 
     def delete_view(self, name: str, version: str) -> None:

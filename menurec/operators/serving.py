@@ -43,17 +43,17 @@ def recommend_audience(audience: DataFrame, interactions: DataFrame,
 
 
 def evaluate_sample(test: DataFrame, state: PreprocessState, params: dict[str, np.ndarray],
-                    cfg: DLRMConfig, n: int = 5000,
+                    cfg: DLRMConfig, n: int | None = None,
                     keys: tuple[str, ...] = ("customer_id", "menu_item_name"),
                     threshold: float = 0.5, null_codes: str = "error",
                     label: str = "purchased") -> dict[str, float]:
-    """The notebook's evaluation: an exact ``n``-row sample of the test rows
-    (smallest key hashes), transformed with the saved state, scored, and
+    """The notebook's evaluation: all test rows, or with ``n`` an exact ``n``-row
+    sample of them (smallest key hashes), transformed with the saved state, scored, and
     summarised as AUC, precision, recall and F1 (scalars, ready for
     :func:`menurec.sinks.log_metrics`)."""
     from menurec.operators.evaluate import binary_metrics, roc_auc
     from menurec.operators.split import sample_n
-    sample = sample_n(test, list(keys), n)
+    sample = test if n is None else sample_n(test, list(keys), n)
     ready = state.transform(sample, in_place=False)
     scored = dlrm_score(ready, params, cfg,
                         sparse=[c + ENCODED_SUFFIX for c in state.categorical],

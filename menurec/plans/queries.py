@@ -40,9 +40,9 @@ SAMPLE_ROWS = 5_000
 TOP_K = 3
 SPLIT_NAMES = ["train", "validation", "test"]
 # Model averaging ships each worker's full weights and moments (3 x 4.3M
-# floats) to the averaging step, and more workers average coarser updates:
-# train on at most this many workers (the source trains on one).
-TRAIN_WORKERS_MAX = 32
+# floats) to the averaging step.  The trained model depends on the number, so
+# it is fixed and not taken from the cluster (the source trains on one).
+TRAIN_WORKERS = 8
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -285,7 +285,7 @@ def q_dlrm_scores(spark, base):
     cfg = DLRMConfig(num_embeddings=st.num_embeddings() + 1)
     cores = spark.sparkContext.defaultParallelism
     result = dlrm_train(train, val, cfg, null_codes="reserve",
-                        workers=min(cores, TRAIN_WORKERS_MAX))
+                        workers=TRAIN_WORKERS)
     scoring = st.transform(ctx.dataset_table, in_place=False)
     scored = dlrm_score(scoring, result.params, cfg,
                         sparse=[c + "_encoded" for c in SPARSE_FEATURES],

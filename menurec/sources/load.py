@@ -51,21 +51,32 @@ def _code_version() -> bytes:
     return h.digest()
 
 
-def _fingerprint(base: str) -> str:
-    """Input path, size and mtime of every input file (path only if remote),
-    and the version of the loading code."""
+def _fingerprint(spark: SparkSession, base: str) -> str:
+    """Path, size and time of every input file as Spark's file system lists
+    them (local or remote), and the version of the loading code."""
     h = hashlib.sha1(os.path.abspath(base).encode() if "://" not in base else base.encode())
     h.update(_code_version())
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     for t in DRIVER_TABLES:
-        p = os.path.join(base, f"{t}.parquet")
-        if os.path.exists(p):
-            for root, _, files in sorted(os.walk(p)) if os.path.isdir(p) else [("", [], [p])]:
-                for f in sorted(files):
-                    st = os.stat(os.path.join(root, f))
-                    h.update(f"{f}:{st.st_size}:{st.st_mtime_ns}".encode())
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/{t}.parquet")
+        fs = path.getFileSystem(conf)
+        if not fs.exists(path):
+            continue
+        files, seen = fs.listFiles(path, True), []
+        while files.hasNext():
+            f = files.next()
+            seen.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+        h.update("\n".join(sorted(seen)).encode())
     return h.hexdigest()[:16]
 
 
+def _tables_root(spark: SparkSession) -> str:
+    """A folder that outlives the application: below the configured shared
+    folder, not the per-application folder Spark makes in it."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or checkpoint_dir(spark)
+    return f"{shared.rstrip('/')}/menurec-domain"
+
+
 def _published(spark: SparkSession, root: str) -> tuple[str, int] | None:
     try:
         rows = spark.read.schema("path string, buckets int").parquet(f"{root}/complete").collect()
@@ -100,7 +111,7 @@ def load_domain(spark: SparkSession, base: str, target: str | None = None,
     count of the fact tables; a published load keeps the count it was
     written with.
     """
-    root = (target or f"{checkpoint_dir(spark)}/domain").rstrip("/") + "/" + _fingerprint(base)
+    root = (target or _tables_root(spark)).rstrip("/") + "/" + _fingerprint(spark, base)
     key = (spark.sparkContext.applicationId, root)
     found = _LOADED.get(key) or _published(spark, root)
     if found is None:
