@@ -3,8 +3,9 @@
 Every line of every text is compared with licence notices by the cosine of
 sparse TF-IDF vectors.  Document frequencies come from all texts; a word that
 no notice holds weighs as if unseen.  Lines that share none of a notice's
-strong words cannot reach the threshold (Cauchy-Schwarz on the rest), so a
-substring test on those words picks the lines whose words are exploded.
+strong words cannot reach the threshold (Cauchy-Schwarz on the rest), nor can
+lines whose other words hold too much of the norm, so a substring test on
+those words and a bound by the known words pick the lines to explode.
 
 A document with a matching line declares that licence.  One whose matching
 lines hold at least half of its words is a licence file and speaks for its
@@ -62,10 +63,18 @@ def words_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), BREAKS), lambda w: F.btrim(w, F.lit(".-"))), lambda w: w != "")
 
 
+def known_words(low: Column, vocabulary: list[str]) -> Column:
+    """Words of a lower-cased text that are in ``vocabulary``, repeats included.
+
+    The same words as :func:`words_of` finds, without an array of all others.
+    """
+    either = "|".join(re.escape(w) for w in vocabulary)
+    return F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9.-])[.-]*({either})[.-]*(?![a-z0-9.-])"), F.lit(1))
+
+
 def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
     """Documents, and documents that hold each word; at most the vocabulary comes back."""
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    held = F.array_intersect(known, words_of(F.coalesce("text", F.lit(""))))
+    held = F.array_distinct(known_words(F.lower(F.coalesce("text", F.lit(""))), vocabulary))
     rows = (docs.select(F.explode(F.array_append(held, F.lit(""))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect())
     got = {r["w"]: r["n"] for r in rows}
     return got.pop("", 0), got
@@ -100,6 +109,28 @@ def strong_words(vectors, threshold: float) -> list[str]:
     return sorted(out)
 
 
+def can_reach(text: Column, vocabulary: list[str], idf, unseen: float, threshold: float) -> Column:
+    """Whether the share of the vocabulary in a line's squared norm allows the cosine.
+
+    A notice is a unit vector over the vocabulary, so no cosine exceeds the norm
+    of the line's known words divided by that of all its words.  Unknown words
+    add at least their count times the squared weight of an unseen word.
+    """
+    weight = F.create_map(*[F.lit(x) for w in vocabulary for x in (w, idf(w))])
+    low = F.lower(text)
+    total = F.regexp_count(low, F.lit("[a-z0-9.-]*[a-z0-9][a-z0-9.-]*"))
+
+    def square(known: Column, w: Column) -> Column:
+        return F.pow(F.size(F.filter(known, lambda k: k == w)) * F.element_at(weight, w), F.lit(2.0))
+
+    def enough(known: Column) -> Column:
+        held = F.aggregate(F.array_distinct(known), F.lit(0.0), lambda acc, w: acc + square(known, w))
+        others = (total - F.size(known)) * F.lit(unseen * unseen)
+        return held * (1 + 1e-9) >= (held + others) * (threshold * threshold)
+
+    return F.element_at(F.transform(F.array(known_words(low, vocabulary)), enough), 1)
+
+
 def declared(docs: DataFrame, keys: list[str], notices=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
     """keys, line, n_words, license, score for every line that matches a notice."""
     vocabulary = sorted({w for _, text in notices for w in notice_words(text)})
@@ -121,6 +152,7 @@ def declared(docs: DataFrame, keys: list[str], notices=NOTICES, threshold: float
 
     lines = (docs.select(*keys, "text").filter(near(F.col("text")))
              .select(*keys, F.posexplode(F.split("text", "\n")).alias("line", "part")).filter(near(F.col("part")))
+             .filter(can_reach(F.col("part"), vocabulary, idf, unseen, threshold))
              .dropDuplicates([*keys, "line"]))
     tf = (lines.select(*keys, "line", n_words("part").alias("n_words"), F.explode(words_of(F.col("part"))).alias("word"))
           .groupBy(*keys, "line", "n_words", "word").agg(F.count("*").alias("tf")))
