@@ -153,8 +153,9 @@ def declared(docs: DataFrame, keys: list[str], notices=NOTICES, threshold: float
     lines = (docs.select(*keys, "text").filter(near(F.col("text")))
              .select(*keys, F.posexplode(F.split("text", "\n")).alias("line", "part")).filter(near(F.col("part")))
              .filter(can_reach(F.col("part"), vocabulary, idf, unseen, threshold))
-             .dropDuplicates([*keys, "line"]))
-    tf = (lines.select(*keys, "line", n_words("part").alias("n_words"), F.explode(words_of(F.col("part"))).alias("word"))
+             .dropDuplicates([*keys, "line"])
+             .withColumn("n_words", n_words("part")))  # once a line: beside the explode it would run once a word
+    tf = (lines.select(*keys, "line", "n_words", F.explode(words_of(F.col("part"))).alias("word"))
           .groupBy(*keys, "line", "n_words", "word").agg(F.count("*").alias("tf")))
     weighed = (tf.join(weights, "word", "left").withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(unseen))))
     norms = weighed.groupBy(*keys, "line", "n_words").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"),
