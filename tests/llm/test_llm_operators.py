@@ -609,3 +609,21 @@ def test_pipeline(spark, texts):
     empty = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_licenses_known_words_are_the_words_of_the_vocabulary(spark):
+    vocabulary = sorted({w for _, t in licenses.NOTICES for w in licenses.notice_words(t)})
+    texts = ["", "..license-- .the.License, LICENSE-x License\n-mit-", "2.0. 2.0.0 v2.0 .2.0-", "mit.mit MIT", "--", "bsd-style. -bsd-style bsd--style",
+             "éMIT mité MIT", "the the " * 500, "x" * 5000 + " license", *[t for _, t in licenses.NOTICES]]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "text string")
+    got = df.select("text", licenses.known_words(F.lower("text"), vocabulary).alias("k")).collect()
+    assert {r["text"]: r["k"] for r in got} == {
+        **{t: [w for w in licenses.notice_words(t) if w in vocabulary] for t in texts}, None: None}
+
+
+def test_licenses_bound_admits_every_matching_line(spark):
+    lines = [text + tail for _, text in licenses.NOTICES for tail in ("", " x1", " x1 x2 x3", " the the", " x1" * 40)]
+    docs = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    wide = licenses.declared(docs, ["doc_id"], threshold=0.2)   # a low threshold keeps the bound wide
+    want = {(r["doc_id"], r["license"], r["score"]) for r in wide.collect() if r["score"] >= 0.75}
+    assert want and want == {(r["doc_id"], r["license"], r["score"]) for r in licenses.declared(docs, ["doc_id"]).collect()}
