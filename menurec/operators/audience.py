@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -128,6 +129,28 @@ def audience_filter(countries: Sequence[str] | None = None,
     return and_all(preds)
 
 
+def select_customers(customer_loyalty: DataFrame, countries: Sequence[str] | None = None,
+                     cities: Sequence[str] | None = None) -> DataFrame:
+    """The loyalty rows an audience filter can reach.
+
+    Building the order view, the interactions and the spend averages on these
+    rows gives the audience of the filter without expanding anyone else: the
+    filter reaches the customer scan, and order lines of other customers count
+    as anonymous.  ``customer_id`` is the table's key."""
+    return customer_loyalty.filter(audience_filter(countries, cities))
+
+
+def select_items(menu: DataFrame, brands: Sequence[str] | None = None) -> DataFrame:
+    """The menu rows whose item is sold by one of ``brands`` (all without a
+    list).  An item that other brands sell too keeps their rows, as the
+    interactions have one row per menu row; :func:`audience` still filters the
+    brands."""
+    if not brands:
+        return menu
+    names = menu.filter(audience_filter(brands=brands)).select("menu_item_name")
+    return menu.join(names, "menu_item_name", "left_semi").select(*menu.columns)
+
+
 def audience(interactions: DataFrame, items: DataFrame, customers: DataFrame,
              averages: DataFrame, countries: Sequence[str] | None = None,
              cities: Sequence[str] | None = None, brands: Sequence[str] | None = None,
@@ -137,8 +160,10 @@ def audience(interactions: DataFrame, items: DataFrame, customers: DataFrame,
     features, filtered, then the first ``limit`` rows by customer.
 
     Left joins as in the source; a filter on a customer column lets Catalyst
-    turn its left join into an inner join and push the filter to the scan.
-    Ordering is by customer, then item (the source orders by customer only,
+    turn its left join into an inner join and push the filter to the scan of
+    ``customers``.  It can't reach below the customer x item product, so build
+    ``interactions`` and ``averages`` from :func:`select_customers` and
+    :func:`select_items` with the same lists.  Ordering is by customer, then item (the source orders by customer only,
     which leaves the cut at ``limit`` arbitrary); ``limit=None`` returns every
     row.  The page is cut by :func:`ordered_page` (a bounded, pushed-down
     filter before the final sort) rather than a single-task top-k merge.  Customer and spend features join on ``customer_id``, the key the
@@ -172,3 +197,20 @@ def filter_options(customers: DataFrame, items: DataFrame,
         "truck_brand_name": items.select("truck_brand_name").distinct()
                                  .orderBy("truck_brand_name"),
     }
+
+
+def filter_lists(customers: DataFrame, items: DataFrame,
+                 countries: Sequence[str]) -> DataFrame:
+    """All picker lists as one table ``(kind, position, value)``: ``position``
+    is the 1-based place in the sorted list (NULL last), ``city_in_country``
+    the cities of ``countries``.  The rows are distinct before they are
+    numbered, so a list is as long as its picker."""
+    within = customers.filter(F.col("country").isin(list(countries)))
+    sources = {"country": customers.select("country"), "city": customers.select("city"),
+               "truck_brand_name": items.select("truck_brand_name"),
+               "city_in_country": within.select("city")}
+    parts = [df.toDF("value").distinct().select(F.lit(kind).alias("kind"), "value")
+             for kind, df in sources.items()]
+    order = Window.partitionBy("kind").orderBy(F.col("value").asc_nulls_last())
+    return reduce(DataFrame.unionByName, parts).select(
+        "kind", F.row_number().over(order).alias("position"), "value")

@@ -358,6 +358,7 @@ def _train_round(df: DataFrame, state_vec: np.ndarray, step: int, cfg: DLRMConfi
     # One job: local training feeds the per-chunk average directly.  A lost
     # executor re-runs its partitions' local training with the same seeds.
     avg = out.groupBy("chunk").applyInPandas(average, _ROUND_SCHEMA).orderBy("chunk").collect()
+    bc.destroy()
     if not avg:
         return state_vec, step, 0.0, 0
     vec = np.concatenate([np.frombuffer(r["data"], dtype=np.float32) for r in avg])
@@ -393,6 +394,7 @@ def dlrm_loss(df: DataFrame, params: dict[str, np.ndarray], cfg: DLRMConfig,
 
     row = df.mapInPandas(part, "loss double, batches long").agg(
         F.sum("loss").alias("loss"), F.sum("batches").alias("batches")).first()
+    bc.destroy()
     return float(row["loss"]) / row["batches"] if row["batches"] else float("nan")
 
 

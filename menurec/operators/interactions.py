@@ -28,6 +28,18 @@ def purchased_items(orders: DataFrame) -> DataFrame:
          + F.max(F.col("truck_id").isNull().cast("int"))).alias("n_trucks"))
 
 
+def purchased_interactions(customers: DataFrame, menu: DataFrame, orders: DataFrame,
+                           excluded_category: str | None = BEVERAGE) -> DataFrame:
+    """The ``purchased = 1`` rows of :func:`interactions`, without building the
+    customer x item product: the purchased pairs joined to the listed items and
+    the loyalty customers, one row per selling truck."""
+    items = menu_features(menu, excluded_category).select("menu_item_name")
+    bought = purchased_items(orders).join(items, "menu_item_name").join(
+        customers.select("customer_id"), "customer_id")
+    return bought.select("customer_id", "menu_item_name", F.explode(
+        F.array_repeat(F.lit(1), F.col("n_trucks").cast("int"))).alias("purchased"))
+
+
 def interactions(customers: DataFrame, menu: DataFrame, orders: DataFrame,
                  excluded_category: str | None = BEVERAGE, dedupe: bool = False,
                  max_items: int = MAX_ITEMS) -> DataFrame:

@@ -24,11 +24,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from menurec.functions.prefix import prefix_sums
+from menurec.plans.joins import left_join_spread_nulls
 from menurec.schemas import DENSE_FEATURES, KEEP_WITH_CODES, SPARSE_FEATURES
 from menurec.session import checkpoint_dir
 
 ENCODED_SUFFIX = "_encoded"
-MAX_BROADCAST_CODES = 1_000_000   # encoder rows (all features) broadcast below this
+MAX_BROADCAST_BYTES = 32 << 20    # a feature's encoder rows are broadcast up to this
+ENTRY_BYTES = 32                  # of an encoder row beside its text
 
 
 def _fit_statistics(df: DataFrame, categorical: Sequence[str],
@@ -74,18 +76,26 @@ def apply_label_encoders(df: DataFrame, encoders: DataFrame, columns: Sequence[s
     Without ``in_place`` the inputs are dropped except those in ``keep``, as
     the app does.  Values are compared as text.  The encoder table (a
     checkpoint or saved table, so the planner cannot estimate its size) is
-    counted once: up to ``MAX_BROADCAST_CODES`` rows every per-feature join
-    is a broadcast join; a larger vocabulary is joined by shuffle.
+    measured once, per feature: a vocabulary of at most
+    ``MAX_BROADCAST_BYTES`` is broadcast, a larger one is joined by shuffle
+    with its NULLs spread (so one large vocabulary shuffles the rows once and
+    the small ones still don't).
     """
-    small = encoders.limit(MAX_BROADCAST_CODES + 1).count() <= MAX_BROADCAST_CODES
+    sizes = {r["feature"]: r["bytes"] for r in encoders.groupBy("feature").agg(
+        F.sum(F.octet_length("value") + ENTRY_BYTES).alias("bytes"))
+        .filter(F.col("feature").isin(list(columns))).collect()}
     out = df
     for c in columns:
         tmp_v = f"__v_{c}"
         e = encoders.filter(F.col("feature") == F.lit(c)).select(
             F.col("value").alias(tmp_v), F.col("code").alias(f"__code_{c}"))
-        if small:
-            e = F.broadcast(e)
-        out = out.join(e, out[c].cast("string") == e[tmp_v], "left").drop(tmp_v)
+        if sizes.get(c, 0) <= MAX_BROADCAST_BYTES:
+            out = out.join(F.broadcast(e), out[c].cast("string") == e[tmp_v], "left").drop(tmp_v)
+        else:
+            key = f"__k_{c}"
+            out = left_join_spread_nulls(
+                out.withColumn(key, F.col(c).cast("string")), e, key, tmp_v,
+                salt_cols=[k for k in df.columns if k != c]).drop(key, tmp_v)
     if in_place:
         return out.select(*[F.col(f"__code_{c}").alias(c) if c in columns else F.col(c)
                             for c in df.columns])

@@ -40,14 +40,17 @@ def recommendations(scored: DataFrame, interactions: DataFrame, k: int = 3,
 
     ``scored`` carries ``customer_id, city, menu_item_name`` and the score.
     The item list is ordered by rank, then name; a customer without
-    purchases gets an empty history, not NULL.
+    purchases gets an empty history, not NULL.  Only the purchased rows of
+    ``interactions`` are used, so ``interactions.purchased_interactions`` (no
+    customer x item product) gives the same report as the whole table; the
+    left join from the ranked customers drops every other history.
     """
     top = top_k(scored, k, score)
     grouped = top.groupBy("customer_id").agg(
         F.min("city").alias("city"),
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "menu_item_name"))),
                     lambda s: s["menu_item_name"]).alias("menu_item_name"))
-    history = purchase_history(interactions, grouped)
+    history = purchase_history(interactions)
     empty = F.array().cast("array<string>")
     return grouped.join(history, "customer_id", "left").select(
         "customer_id", "city",

@@ -330,11 +330,13 @@ SELECT menu_type, truck_brand_name, menu_item_name, item_category, item_subcateg
 FROM menu_features""")
 
 FILTER_OPTIONS = _with("""
-SELECT DISTINCT 'country' AS kind, country AS value FROM customer_features
-UNION ALL SELECT DISTINCT 'city', city FROM customer_features
-UNION ALL SELECT DISTINCT 'truck_brand_name', truck_brand_name FROM menu
-UNION ALL SELECT DISTINCT 'city_in_country', city FROM customer_features
-          WHERE country IN ('AMERICA', 'EUROPE')""")
+SELECT kind, value,
+       row_number() OVER (PARTITION BY kind ORDER BY value NULLS LAST) AS position
+FROM (SELECT DISTINCT 'country' AS kind, country AS value FROM customer_features
+      UNION ALL SELECT DISTINCT 'city', city FROM customer_features
+      UNION ALL SELECT DISTINCT 'truck_brand_name', truck_brand_name FROM menu
+      UNION ALL SELECT DISTINCT 'city_in_country', city FROM customer_features
+                WHERE country IN ('AMERICA', 'EUROPE'))""")
 
 INTERACTIONS = _with("""
 SELECT customer_id, menu_item_name, CAST(purchased AS BIGINT) AS purchased FROM interactions""")
@@ -453,8 +455,47 @@ SELECT customer_id, menu_item_name, CAST(purchased AS BIGINT) AS purchased,
 FROM scaled""")
 
 
+def _dense(layer: int, inputs: list[str], width: int, prefix: str, relu: bool = True) -> str:
+    """Select list of one dense layer; its bias is the layer after it.  Weights
+    follow the rule ((layer + 5 row + 3 column) mod 7 - 3) / 8."""
+    out = []
+    for j in range(width):
+        terms = [f"{x} * ({((layer + 5 * i + 3 * j) % 7 - 3) / 8.0}::DOUBLE)"
+                 for i, x in enumerate(inputs)]
+        total = " + ".join(terms) + f" + ({((layer + 1 + 3 * j) % 7 - 3) / 8.0}::DOUBLE)"
+        out.append(f"{f'greatest({total}, 0)' if relu else total} AS {prefix}{j}")
+    return ", ".join(out)
+
+
+def _dlrm_forward() -> str:
+    """Dense inputs -> 3 -> 2 (h); sum of the 2-wide embeddings (e); products of
+    all pairs of (h, e), then h -> 3 -> 2 -> 1.  Layers are numbered in the order
+    embedding, bottom weights and biases, top weights and biases."""
+    codes = ["menu_item_name_c", "menu_type_c", "truck_brand_name_c", "item_category_c",
+             "item_subcategory_c", "city_c", "country_c", "gender_c", "marital_status_c"]
+    dense = ["sale_price_usd_s", "age_s", "avg_monthly_s", "avg_weekly_s", "avg_yearly_s"]
+    embedded = [" + ".join(f"((5 * coalesce({c}, reserved) + {3 * d}) % 7 - 3) / 8.0::DOUBLE"
+                           for c in codes) + f" AS e{d}" for d in range(2)]
+    single = [f"CAST(CAST(coalesce({c}, 0) AS FLOAT) AS DOUBLE) AS x{i}"
+              for i, c in enumerate(dense)]
+    z = ["h0", "h1", "e0", "e1"]
+    pairs = [f"({z[i]} * {z[j]})" for i in range(4) for j in range(i, 4)]
+    return _with(
+        "SELECT customer_id, menu_item_name, CAST(purchased AS BIGINT) AS purchased,\n"
+        "       floor(logit0 * 1000000 + 0.5) / 1000000 AS prediction FROM layer5",
+        "inputs AS (SELECT customer_id, menu_item_name, purchased, "
+        f"{', '.join(embedded + single)}\n"
+        "    FROM coded CROSS JOIN (SELECT max(code) + 1 AS reserved FROM enc))",
+        f"layer1 AS (SELECT *, {_dense(1, [f'x{i}' for i in range(5)], 3, 'a')} FROM inputs)",
+        f"layer2 AS (SELECT *, {_dense(3, ['a0', 'a1', 'a2'], 2, 'h')} FROM layer1)",
+        f"layer3 AS (SELECT *, {_dense(5, [*pairs, 'h0', 'h1'], 3, 'b')} FROM layer2)",
+        f"layer4 AS (SELECT *, {_dense(7, ['b0', 'b1', 'b2'], 2, 'c')} FROM layer3)",
+        f"layer5 AS (SELECT *, {_dense(9, ['c0', 'c1'], 1, 'logit', relu=False)} FROM layer4)")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "dlrm_forward": _dlrm_forward(),
         "orders_v": ORDERS_V,
         "date_diffs": DATE_DIFFS,
         "purchase_averages": PURCHASE_AVERAGES,

@@ -11,8 +11,10 @@ compared value by value.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,7 +24,7 @@ from menurec.operators import audience as aud
 from menurec.operators import evaluate, features, harmonize, recommend, split
 from menurec.operators.dlrm import DLRMConfig, dlrm_score, dlrm_train
 from menurec.operators.feature_store import retrieve
-from menurec.operators.interactions import interactions
+from menurec.operators.interactions import interactions, purchased_interactions
 from menurec.operators.preprocess import Preprocessor, apply_min_max, fit_min_max
 from menurec.schemas import DENSE_FEATURES, SPARSE_FEATURES
 from menurec.sources import adapter
@@ -43,6 +45,7 @@ SPLIT_NAMES = ["train", "validation", "test"]
 # floats) to the averaging step.  The trained model depends on the number, so
 # it is fixed and not taken from the cluster (the source trains on one).
 TRAIN_WORKERS = 8
+FIXED_MODEL = {"embed_dim": 2, "bottom": (3, 2), "top": (3, 2)}   # of dlrm_forward
 
 
 def plain(df: DataFrame) -> DataFrame:
@@ -65,10 +68,10 @@ def plain(df: DataFrame) -> DataFrame:
 class Context:
     """Domain tables and shared derived views for one input folder."""
 
-    def __init__(self, spark: SparkSession, base: str):
+    def __init__(self, spark: SparkSession, base: str, tables: adapter.DomainTables | None = None):
         self.spark = spark
         self.base = base
-        self.tables = load_domain(spark, base)
+        self.tables = tables or load_domain(spark, base)
 
     @cached_property
     def orders(self) -> DataFrame:
@@ -133,9 +136,24 @@ class Context:
     def preprocess_state(self):
         return Preprocessor().fit(self.train_table)
 
-    def audience(self, **kw) -> DataFrame:
-        return aud.audience(self.interactions, self.items, self.customers,
-                            self.averages, **kw)
+    @cached_property
+    def purchased(self) -> DataFrame:
+        t = self.tables
+        return purchased_interactions(t.customer_loyalty, t.menu, self.orders, EXCLUDED)
+
+    def narrowed(self, countries=None, cities=None) -> Context:
+        """The same views over the customers that the filters can reach."""
+        customers = aud.select_customers(self.tables.customer_loyalty, countries, cities)
+        return Context(self.spark, self.base, replace(self.tables, customer_loyalty=customers))
+
+    def audience(self, countries=None, cities=None, brands=None, **kw) -> DataFrame:
+        """Filters narrow the customers and items first: only their part of the
+        interaction product is built."""
+        ctx = self.narrowed(countries, cities)
+        listed = aud.select_items(self.tables.menu, brands)
+        inter = interactions(ctx.tables.customer_loyalty, listed, ctx.orders, EXCLUDED)
+        return aud.audience(inter, features.menu_features(listed, EXCLUDED), ctx.customers,
+                            ctx.averages, countries=countries, cities=cities, brands=brands, **kw)
 
 
 def q_orders_v(spark, base):
@@ -161,16 +179,7 @@ def q_menu_features(spark, base):
 
 def q_filter_options(spark, base):
     ctx = Context(spark, base)
-    lists = aud.filter_options(ctx.customers, ctx.all_items)
-    cascaded = aud.filter_options(ctx.customers, ctx.all_items, FILTER_COUNTRIES)["city"]
-    parts = [lists[k].select(F.lit(k).alias("kind"), F.col(k).alias("value"))
-             for k in ("country", "city", "truck_brand_name")]
-    parts.append(cascaded.select(F.lit("city_in_country").alias("kind"),
-                                 F.col("city").alias("value")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return plain(aud.filter_lists(ctx.customers, ctx.all_items, FILTER_COUNTRIES))
 
 
 def q_interactions(spark, base):
@@ -229,16 +238,16 @@ def q_top3_items(spark, base):
 
 
 def q_purchase_history(spark, base):
-    ctx = Context(spark, base)
-    top = recommend.top_k(ctx.scored, TOP_K)
-    h = recommend.purchase_history(ctx.interactions, top)
+    """Every purchasing customer has ranked items, so the history of the ranked
+    customers is that of all purchases."""
+    h = recommend.purchase_history(Context(spark, base).purchased)
     return h.select("customer_id",
                     F.array_join("purchase_history", "|").alias("purchase_history"))
 
 
 def q_recommendations(spark, base):
     ctx = Context(spark, base)
-    r = recommend.recommendations(ctx.scored, ctx.interactions, TOP_K)
+    r = recommend.recommendations(ctx.scored, ctx.purchased, TOP_K)
     return plain(r.select("customer_id", "city",
                           F.array_join("purchase_history", "|").alias("purchase_history"),
                           F.array_join("menu_item_name", "|").alias("menu_item_name")))
@@ -293,7 +302,31 @@ def q_dlrm_scores(spark, base):
     return plain(scored.select("customer_id", "menu_item_name", "purchased", "prediction"))
 
 
+def fixed_weights(cfg: DLRMConfig) -> dict[str, np.ndarray]:
+    """Weights that are a plain function of layer, row and column (the oracle
+    uses the same rule): ((layer + 5 row + 3 column) mod 7 - 3) / 8."""
+    out = {}
+    for layer, (name, shape) in enumerate(cfg.shapes().items()):
+        row, col = np.indices(shape) if len(shape) == 2 else (0, np.arange(shape[0]))
+        out[name] = ((layer + 5 * row + 3 * col) % 7 - 3) / 8.0
+    return out
+
+
+def q_dlrm_forward(spark, base):
+    """The logit of every interaction from a small model of fixed weights, in
+    double precision and rounded to 6 places; NULL codes use the reserved last
+    embedding row, NULL dense values count as 0."""
+    ctx = Context(spark, base)
+    st = ctx.preprocess_state
+    cfg = DLRMConfig(num_embeddings=st.num_embeddings() + 1, **FIXED_MODEL)
+    scored = dlrm_score(st.transform(ctx.dataset_table, in_place=False), fixed_weights(cfg), cfg,
+                        sparse=[c + "_encoded" for c in SPARSE_FEATURES], null_codes="reserve")
+    return plain(scored.select("customer_id", "menu_item_name", "purchased",
+                               (F.floor(F.col("prediction") * 1e6 + 0.5) / 1e6).alias("prediction")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "dlrm_forward": q_dlrm_forward,
     "orders_v": q_orders_v,
     "date_diffs": q_date_diffs,
     "purchase_averages": q_purchase_averages,

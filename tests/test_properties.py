@@ -167,3 +167,43 @@ def test_sample_n_bounded_plan_equals_top_k(spark, n):
     plain = split.sample_n(inter, keys, n)
     bounded = split.sample_n(inter, keys, n, max_merge_rows=0)
     assert rows(bounded) == rows(plain)
+
+
+def test_purchased_interactions_are_the_purchased_rows(spark):
+    ctx = Context(spark, SF_SMALL)
+    assert rows(ctx.purchased) == rows(ctx.interactions.filter("purchased = 1"))
+
+
+@pytest.mark.parametrize("only_never_visited", [False, True])
+def test_narrowed_audience_equals_filter_of_the_whole(spark, only_never_visited):
+    from menurec.operators.audience import audience, audience_filter
+    ctx = Context(spark, SF_SMALL)
+    lists = {"countries": ["AMERICA"], "brands": ["Brand#1", "Brand#2", "O'Brien"]}
+    whole = audience(ctx.interactions, ctx.items, ctx.customers, ctx.averages,
+                     only_never_visited=only_never_visited)
+    want = whole.filter(audience_filter(**lists))
+    assert rows(ctx.audience(only_never_visited=only_never_visited, **lists)) == rows(want)
+
+
+def test_item_of_two_brands_keeps_both_menu_rows(spark):
+    from menurec.operators.audience import select_items
+    menu = spark.createDataFrame([("a", "x"), ("b", "x"), ("b", "y"), (None, "x"), ("b", None)],
+                                 "truck_brand_name string, menu_item_name string")
+    got = select_items(menu, ["a"]).collect()
+    assert sorted(map(tuple, got), key=str) == [("a", "x"), ("b", "x"), (None, "x")]
+    assert select_items(menu).count() == 5
+
+
+def test_large_vocabulary_is_shuffled_and_the_small_ones_are_broadcast(spark, monkeypatch):
+    from menurec.operators import preprocess
+    n = 300
+    df = spark.range(n).select(
+        "id", F.when(F.col("id") % 3 > 0, F.concat(F.lit("value "), F.col("id"))).alias("wide"),
+        F.when(F.col("id") % 2 > 0, F.lit("m")).alias("narrow")).checkpoint()
+    codes = preprocess.fit_label_encoders(df, ["wide", "narrow"]).checkpoint()
+    want = rows(apply_label_encoders(df, codes, ["wide", "narrow"]))
+    monkeypatch.setattr(preprocess, "MAX_BROADCAST_BYTES", 1000)
+    out = apply_label_encoders(df, codes, ["wide", "narrow"])
+    assert rows(out) == want and out.count() == n
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") == 1
