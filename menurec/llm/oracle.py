@@ -5,13 +5,13 @@ from __future__ import annotations
 # The definition, word for word: integer vectors, all scores, the 20 best.
 OP2 = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS ints
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS ints
   FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+    AND len([x for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id,
-         CAST(list_sum(list_transform(range(1, len(q.ints) + 1), i -> q.ints[i] * c.ints[i])) AS BIGINT) AS score
+         CAST(list_sum([q.ints[i] * c.ints[i] for i in range(1, len(q.ints) + 1)]) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 20 = 0
 ), r AS (
