@@ -1,19 +1,30 @@
 """License scan with DataFrame functions only (operator 10).
 
-Every line of every text is compared with licence notices by the cosine of
-sparse TF-IDF vectors.  Document frequencies come from all texts; a word that
-no notice holds weighs as if unseen.  Lines that share none of a notice's
-strong words cannot reach the threshold (Cauchy-Schwarz on the rest), nor can
-lines whose other words hold too much of the norm, so a substring test on
-those words and a bound by the known words pick the lines to explode.
-
-A document with a matching line declares that licence.  One whose matching
-lines hold at least half of its words is a licence file and speaks for its
-directory; documents without a declaration inherit from the nearest ancestor
-directory that has a licence file (a join of distinct directories' ancestors).
-
-Defined cases: null or empty texts declare nothing; ties in cosine go to the
-notice listed first, licence files of one directory to the highest score,
+Texts are compared with licence templates by the cosine of sparse TF-IDF
+vectors; document frequencies come from all texts, and a word that no template
+holds weighs as if unseen.  Three parts of a text are compared:
+
+* every line with the notices;
+* windows of words with the notices and headers.  Line breaks, comment marks
+  and other signs are no words, so a header is found over several lines, and a
+  notice among the other words of its line.  A window lies where a strong word
+  of the template would put it, once at the template's length and twice half as
+  long again (words in between);
+* the whole document with all templates, whole licence texts included.
+
+Parts that share none of a template's strong words cannot reach the threshold
+(Cauchy-Schwarz on the rest), nor can lines whose other words hold too much of
+the norm, so tests on those words pick what to explode.
+
+A document with a matching part declares that licence; a whole licence text
+goes before its parts.  One that as a whole matches a template is a licence
+file and speaks for its directory; documents without a declaration inherit from
+the nearest ancestor directory that has a licence file (a join of distinct
+directories' ancestors).
+
+Defined cases: null or empty texts declare nothing; ties in cosine go to lines
+before windows, then to the first place, then to the template listed first,
+licence files of one directory to the highest score,
 then the name; a null path lies in the root directory; repeated rows are
 repeated in the result; an empty table gives an empty result; extra columns
 are ignored.
@@ -29,7 +40,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from menurec.llm.common import materialised, n_words, row_key
+from menurec.llm.common import materialised, row_key
+from menurec.llm.license_texts import TEXTS as TEXTS_ON_FILE
 
 # Usual notices of public licences.
 NOTICES = (
@@ -49,9 +61,37 @@ NOTICES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0."),
 )
+_GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by "
+        "the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+_GNU_ONLY = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as published by "
+             "the Free Software Foundation; version {} of the License.")
+_GNU_KINDS = (("GPL-3.0", "General", "3"), ("GPL-2.0", "General", "2"), ("LGPL-3.0", "Lesser General", "3"),
+              ("LGPL-2.1", "Lesser General", "2.1"), ("AGPL-3.0", "Affero General", "3"))
+_TAGS = tuple((name, name) for name in ("Apache-2.0", "MIT", "BSD-3-Clause", "MPL-2.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0", "CC0-1.0"))
+_TAGS += tuple((name, name + end) for name, *_ in _GNU_KINDS for end in ("", "-only", "-or-later", "+"))
+# Headers of source files and titles.
+HEADERS = (
+    *((name, text.format(kind, version)) for text in (_GNU, _GNU_ONLY) for name, kind, version in _GNU_KINDS),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+     "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
+     "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. "
+     "See the License for the specific language governing permissions and limitations under the License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+     "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, "
+     "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+     "You can obtain one at https://mozilla.org/MPL/2.0/."),
+    *((name, f"SPDX-License-Identifier: {tag}") for name, tag in _TAGS),
+)
+# The Affero text is the GPL's but for its name and section 13.
+_AFFERO = """Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users
+interacting with it remotely through a computer network (if your version supports such interaction) an opportunity to receive the Corresponding
+Source of your version by providing access to the Corresponding Source from a network server at no charge, through some standard or customary
+means of facilitating copying of software."""
+TEXTS = (*TEXTS_ON_FILE, *(("AGPL-3.0", re.sub(r"(?i)GNU General", "GNU Affero General", t) + _AFFERO) for name, t in TEXTS_ON_FILE if name == "GPL-3.0"))
 BREAKS = r"[^a-z0-9.-]+"
 THRESHOLD = 0.75
-FILE_SHARE = 0.5
 
 
 def notice_words(text: str) -> list[str]:
@@ -63,6 +103,21 @@ def words_of(text: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(text), BREAKS), lambda w: F.btrim(w, F.lit(".-"))), lambda w: w != "")
 
 
+TAG = r"spdx-license-identifier:[ \t]*"
+
+
+def header_words(text: str) -> list[str]:
+    """The words of a template; an SPDX tag and its licence are one word."""
+    return notice_words(re.sub(TAG, "spdx-license-identifier-", text.lower()).replace("+", "-plus "))
+
+
+def header_words_of(text: Column) -> Column:
+    """The same words of a column, by one split."""
+    low = F.regexp_replace(F.lower(text), TAG, "spdx-license-identifier-")
+    low = F.btrim(F.regexp_replace(low, r"\+", "-plus "), F.lit(".-"))
+    return F.filter(F.split(low, "[.-]*[^a-z0-9.-][^a-z0-9]*"), lambda w: w != "")
+
+
 def known_words(low: Column, vocabulary: list[str]) -> Column:
     """Words of a lower-cased text that are in ``vocabulary``, repeats included.
 
@@ -72,20 +127,20 @@ def known_words(low: Column, vocabulary: list[str]) -> Column:
     return F.regexp_extract_all(low, F.lit(rf"(?<![a-z0-9.-])[.-]*({either})[.-]*(?![a-z0-9.-])"), F.lit(1))
 
 
-def document_frequencies(docs: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+def document_frequencies(docs: DataFrame, vocabulary: list[str], words=lambda text: words_of(text)) -> tuple[int, dict[str, int]]:
     """Documents, and documents that hold each word; at most the vocabulary comes back."""
-    held = F.array_distinct(known_words(F.lower(F.coalesce("text", F.lit(""))), vocabulary))
+    held = F.array_intersect(words(F.coalesce("text", F.lit(""))), F.lit(vocabulary))
     rows = (docs.select(F.explode(F.array_append(held, F.lit(""))).alias("w")).groupBy("w").agg(F.count("*").alias("n")).collect())
     got = {r["w"]: r["n"] for r in rows}
     return got.pop("", 0), got
 
 
-def notice_vectors(notices, n: int, df: dict[str, int]):
+def notice_vectors(notices, n: int, df: dict[str, int], words=notice_words):
     """Unit vector of every notice and the idf of every word."""
     idf = lambda w: math.log((n + 1) / (df.get(w, 0) + 1)) + 1.0
     out = []
     for name, text in notices:
-        raw = {w: c * idf(w) for w, c in Counter(notice_words(text)).items()}
+        raw = {w: c * idf(w) for w, c in Counter(words(text)).items()}
         norm = math.sqrt(sum(v * v for v in raw.values()))
         out.append((name, {w: v / norm for w, v in raw.items()}))
     return out, idf
@@ -131,42 +186,106 @@ def can_reach(text: Column, vocabulary: list[str], idf, unseen: float, threshold
     return F.element_at(F.transform(F.array(known_words(low, vocabulary)), enough), 1)
 
 
-def declared(docs: DataFrame, keys: list[str], notices=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
-    """keys, line, n_words, license, score for every line that matches a notice."""
-    vocabulary = sorted({w for _, text in notices for w in notice_words(text)})
-    n, df = document_frequencies(docs, vocabulary)
-    vectors, idf = notice_vectors(notices, n, df)
-    spark = docs.sparkSession
-    table = F.broadcast(spark.createDataFrame(  # one row per notice word
+def text_words(vectors, df: dict[str, int], threshold: float) -> list[str]:
+    """As :func:`strong_words`, but with few and rare words for long templates.
+
+    Per template the words that weigh much and stand in few documents are taken
+    until the norm of all others is below the threshold.
+    """
+    out = set()
+    for _, vector in vectors:
+        rest = sum(v * v for v in vector.values())
+        for word, weight in sorted(vector.items(), key=lambda x: (-x[1] * x[1] / (df.get(x[0], 0) + 1), x[0])):
+            if math.sqrt(max(0.0, rest)) < threshold - 1e-9:
+                break
+            out.add(word)
+            rest -= weight * weight
+    return sorted(out)
+
+
+def holds(words: list[str]):
+    """Whether a text holds one of the words, as a function of a column."""
+    def holds_one(low: Column) -> Column:
+        return reduce(lambda a, b: a | b, [low.contains(w) for w in words], F.lit(False))
+
+    # the lambda binds the lower-cased text, so that it is made once and not for every word
+    return lambda text: F.element_at(F.transform(F.array(F.lower(text)), holds_one), 1)
+
+
+def cosines(parts: DataFrame, keys: list[str], vectors, idf, vocabulary: list[str], threshold: float) -> DataFrame:
+    """keys, notice, license, score of every part (an array ``words``) and template within the threshold."""
+    spark = parts.sparkSession
+    table = F.broadcast(spark.createDataFrame(  # one row per template word
         [(w, i, name, v) for i, (name, vec) in enumerate(vectors) for w, v in vec.items()], "word string, notice int, license string, weight double"))
     weights = F.broadcast(spark.createDataFrame([(w, idf(w)) for w in vocabulary], "word string, idf double"))
-    unseen = idf("\0")
-    strong = strong_words(vectors, threshold)
+    tf = parts.select(*keys, F.explode("words").alias("word")).groupBy(*keys, "word").agg(F.count("*").alias("tf"))
+    weighed = (tf.join(weights, "word", "left").withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(idf("\0")))))
+    norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"),
+                                       F.collect_list(F.when(F.col("idf").isNotNull(), F.struct("word", "value"))).alias("parts"))
+    dots = (norms.select(*keys, "norm", F.explode("parts").alias("p")).join(table, F.col("p.word") == table["word"])
+            .groupBy(*keys, "norm", "notice", "license")
+            .agg((F.sum(F.col("p.value") * F.col("weight")) / F.col("norm")).alias("score")))
+    # rounded, so that the order of a sum cannot break ties
+    return dots.filter(F.col("score") >= threshold).select(*keys, "notice", "license", F.round("score", 9).alias("score"))
 
-    def holds_one(low: Column) -> Column:
-        return reduce(lambda a, b: a | b, [low.contains(w) for w in strong], F.lit(False))
 
-    def near(text: Column) -> Column:
-        # the lambda binds the lower-cased text, so that it is made once and not for every word
-        return F.element_at(F.transform(F.array(F.lower(text)), holds_one), 1)
+def first_best(found: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, license, score of the nearest template, the first of several."""
+    best = F.max(F.struct("score", (-F.col("notice")).alias("first"), "license")).alias("b")
+    return found.groupBy(*keys).agg(best).select(*keys, F.col("b.license").alias("license"), F.col("b.score").alias("score"))
 
+
+def declared(docs: DataFrame, keys: list[str], notices=NOTICES, threshold: float = THRESHOLD, counts=None) -> DataFrame:
+    """keys, line, license, score for every line that matches a notice."""
+    vocabulary = sorted({w for _, text in notices for w in notice_words(text)})
+    n, df = counts or document_frequencies(docs, vocabulary)
+    vectors, idf = notice_vectors(notices, n, df)
+    near = holds(strong_words(vectors, threshold))
     lines = (docs.select(*keys, "text").filter(near(F.col("text")))
              .select(*keys, F.posexplode(F.split("text", "\n")).alias("line", "part")).filter(near(F.col("part")))
-             .filter(can_reach(F.col("part"), vocabulary, idf, unseen, threshold))
+             .filter(can_reach(F.col("part"), vocabulary, idf, idf("\0"), threshold))
              .dropDuplicates([*keys, "line"])
-             .withColumn("n_words", n_words("part")))  # once a line: beside the explode it would run once a word
-    tf = (lines.select(*keys, "line", "n_words", F.explode(words_of(F.col("part"))).alias("word"))
-          .groupBy(*keys, "line", "n_words", "word").agg(F.count("*").alias("tf")))
-    weighed = (tf.join(weights, "word", "left").withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(unseen))))
-    norms = weighed.groupBy(*keys, "line", "n_words").agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm"),
-                                                          F.collect_list(F.struct("word", "value")).alias("parts"))
-    dots = (norms.select(*keys, "line", "norm", "n_words", F.explode("parts").alias("p")).join(table, F.col("p.word") == table["word"])
-            .groupBy(*keys, "line", "norm", "n_words", "notice", "license")
-            .agg((F.sum(F.col("p.value") * F.col("weight")) / F.col("norm")).alias("score")))
-    # rounded, so that the order of a sum cannot break ties
-    best = F.max(F.struct(F.round("score", 9).alias("score"), (-F.col("notice")).alias("first"), "license")).alias("b")
-    return (dots.filter(F.col("score") >= threshold).groupBy(*keys, "line", "n_words").agg(best)
-            .select(*keys, "line", "n_words", F.col("b.license").alias("license"), F.col("b.score").alias("score")))
+             .select(*keys, "line", words_of(F.col("part")).alias("words")))
+    return first_best(cosines(lines, [*keys, "line"], vectors, idf, vocabulary, threshold), [*keys, "line"])
+
+
+def windows(docs: DataFrame, keys: list[str], templates, counts, threshold: float = THRESHOLD) -> DataFrame:
+    """keys, line (the place of its first word), license, score for every window of words that matches a template."""
+    vocabulary = sorted({w for _, text in templates for w in header_words(text)})
+    vectors, idf = notice_vectors(templates, *counts, header_words)
+    # a tag is one word here, but not in the text
+    near = holds(sorted({w.split("identifier-")[0] for w in strong_words(vectors, threshold)}))
+    strong = set(strong_words(vectors, threshold))
+    places = set()  # (word, words before it, words in the window)
+    for _, text in templates:
+        words = header_words(text)
+        size, more = len(words), len(words) // 2
+        for at, word in enumerate(words):
+            if word in strong:
+                places |= {(word, at, size), (word, at, size + more), (word, at + more, size + more)}
+    reach = max(size for _, _, size in places)
+    anchors = F.broadcast(docs.sparkSession.createDataFrame(sorted(places), "word string, before int, size int"))
+    texts = (docs.select(*keys, "text").filter(near(F.col("text"))).dropDuplicates(keys)
+             .select(*keys, header_words_of(F.col("text")).alias("words")))
+    # every strong word with the words around it, so that a window needs no second look at its text
+    hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda h: h["word"].isin(sorted(strong)))
+    around = F.transform(hits, lambda h: F.struct(h["word"].alias("word"), h["at"].alias("at"), F.greatest(h["at"] - reach, F.lit(0)).alias("low"),
+                                                  F.slice("words", F.greatest(h["at"] - reach, F.lit(0)) + 1, F.lit(2 * reach + 1)).alias("near")))
+    cut = (texts.select(*keys, F.explode(around).alias("h")).join(anchors, F.col("h.word") == anchors["word"])
+           .withColumn("line", F.greatest(F.col("h.at") - F.col("before"), F.lit(0)))
+           .select(*keys, "line", "size", F.slice("h.near", F.col("line") - F.col("h.low") + 1, F.col("size")).alias("words")))
+    found = cosines(cut.dropDuplicates([*keys, "line", "size"]), [*keys, "line", "size"], vectors, idf, vocabulary, threshold)
+    return first_best(found, [*keys, "line"])
+
+
+def whole(docs: DataFrame, keys: list[str], templates, counts, threshold: float = THRESHOLD) -> DataFrame:
+    """keys, notice, license, score for every document that as a whole matches a template."""
+    vocabulary = sorted({w for _, text in templates for w in header_words(text)})
+    vectors, idf = notice_vectors(templates, *counts, header_words)
+    near = holds(sorted({w.split("identifier-")[0] for w in text_words(vectors, counts[1], threshold)}))
+    texts = (docs.select(*keys, "text").filter(near(F.col("text"))).dropDuplicates(keys)
+             .select(*keys, header_words_of(F.col("text")).alias("words")))
+    return cosines(texts, keys, vectors, idf, vocabulary, threshold)
 
 
 def folder(path: Column) -> Column:
@@ -181,18 +300,28 @@ def ancestors(folders: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
 
 
-def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", notices=NOTICES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", notices=NOTICES, threshold: float = THRESHOLD,
+         headers=HEADERS, texts=TEXTS) -> DataFrame:
     """One row per row of ``docs``: id, path, license (declared), score, is_file,
     inherited (of the nearest ancestor directory) and effective."""
     base = docs.select(F.col(id_col).alias("id"), path.alias("path"), "text").withColumn("__row", row_key("id", "path", "text"))
-    hits = materialised(declared(base.select("__row", "text"), ["__row"], notices, threshold))
-    top = F.max(F.struct("score", (-F.col("line")).alias("first"), "license")).alias("b")
-    per_row = hits.groupBy("__row").agg(top, F.sum("n_words").alias("words_in"))
-    slim = base.select("id", "path", "__row", folder(F.col("path")).alias("dir"), n_words().alias("words"))
+    keyed, keys, short = base.select("__row", "text"), ["__row"], (*notices, *headers)
+    vocabulary = {w for _, text in (*short, *texts) for w in header_words(text)} | {w for _, text in notices for w in notice_words(text)}
+    counts = document_frequencies(keyed, sorted(vocabulary), header_words_of)
+    full = materialised(whole(keyed, keys, (*short, *texts), counts, threshold))
+    files = full.groupBy("__row").agg(F.lit(True).alias("is_file"))
+    # a licence text goes before the lines and windows inside it
+    as_text = first_best(full.filter(F.col("notice") >= len(short)), keys)
+    rank = lambda frame, n: frame.select("__row", F.lit(n).alias("rank"), "line", "license", "score")
+    hits = (rank(as_text.withColumn("line", F.lit(0)), 2).unionByName(rank(declared(keyed, keys, notices, threshold, counts), 1))
+            .unionByName(rank(windows(keyed, keys, short, counts, threshold), 0)))
+    top = F.max(F.struct((F.col("rank") == 2).alias("text"), "score", "rank", (-F.col("line")).alias("first"), "license")).alias("b")
+    per_row = hits.groupBy("__row").agg(top).join(files, "__row", "full")
+    slim = base.select("id", "path", "__row", folder(F.col("path")).alias("dir"))
     named = materialised(slim.join(per_row, "__row", "left")
                          .select("id", "path", "dir", F.col("b.license").alias("license"), F.col("b.score").alias("score"),
-                                 F.coalesce(F.col("words_in") >= FILE_SHARE * F.col("words"), F.lit(False)).alias("is_file")))
-    speaks = (named.filter("is_file").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("l"))
+                                 F.coalesce("is_file", F.lit(False)).alias("is_file")))
+    speaks = (named.filter("is_file AND license IS NOT NULL").groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("l"))
               .select(F.col("dir").alias("above"), F.col("l.license").alias("inherited")))
     chain = (named.groupBy("dir").agg(F.lit(1).alias("one")).select("dir", F.posexplode(ancestors(F.col("dir"))).alias("depth", "above")))
     nearest = materialised(chain.join(speaks, "above").groupBy("dir").agg(F.max(F.struct("depth", "inherited")).alias("n"))

@@ -627,3 +627,33 @@ def test_licenses_bound_admits_every_matching_line(spark):
     wide = licenses.declared(docs, ["doc_id"], threshold=0.2)   # a low threshold keeps the bound wide
     want = {(r["doc_id"], r["license"], r["score"]) for r in wide.collect() if r["score"] >= 0.75}
     assert want and want == {(r["doc_id"], r["license"], r["score"]) for r in licenses.declared(docs, ["doc_id"]).collect()}
+
+
+def test_licenses_headers_and_license_files(spark):
+    """Headers over several comment lines, tags, notices among other words, and whole licence texts."""
+    from menurec.llm.license_texts import TEXTS
+
+    gpl = """#!/bin/sh
+# Copyright (C) 2020 Somebody
+#
+# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+""" + "echo some code and other words\n" * 30
+    texts = dict(TEXTS)
+    mit = texts["MIT"].replace("<year> <copyright holders>", "2021 Jane Roe and others")
+    rows = [("a/run.sh", gpl, "GPL-3.0", False), ("a/main.c", "/* SPDX-License-Identifier: MIT */\nint main() { return 0; }\n" * 1, "MIT", False),
+            ("a/two.c", "// SPDX-License-Identifier: GPL-2.0-or-later\nint x;", "GPL-2.0", None),
+            ("a/readme", "my small tool reads all files of one folder twice. Released under the MIT License. see the web page for more", "MIT", False),
+            ("b/LICENSE", mit, "MIT", True), ("c/LICENSE", texts["Apache-2.0"], "Apache-2.0", True), ("d/COPYING", texts["GPL-3.0"], "GPL-3.0", True),
+            ("e/COPYING", texts["LGPL-3.0"], "LGPL-3.0", True), ("f/COPYING", texts["GPL-2.0"], "GPL-2.0", True),
+            ("g/plain", "the public work of a general is under the version", None, False)]
+    rows += [(f"{d}/src/x", "just code " + d, None, False) for d in "abcdef"]
+    rows += [(f"z/{i}", " ".join(f"w{i % 7} the of to in and a public".split()[: 2 + i % 8]), None, False) for i in range(200)]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t, *_) in enumerate(rows)], "doc_id bigint, path string, text string")
+    got = {r["path"]: r for r in licenses.scan(docs, F.col("path")).collect()}
+    for path, _, name, is_file in rows:
+        assert got[path]["license"] == name, path
+        assert is_file is None or got[path]["is_file"] == is_file, path
+    assert [got[f"{d}/src/x"]["inherited"] for d in "abcdef"] == [None, "MIT", "Apache-2.0", "GPL-3.0", "LGPL-3.0", "GPL-2.0"]
