@@ -35,7 +35,6 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -146,17 +145,17 @@ def notice_vectors(notices, n: int, df: dict[str, int], words=notice_words):
     return out, idf
 
 
-def strong_words(vectors, threshold: float) -> list[str]:
+def strong_words(vectors, threshold: float, common=lambda w: 0.0) -> list[str]:
     """Words of which any line with a cosine of ``threshold`` shares at least one.
 
-    Per notice the shortest words, which are parts of many others, are set aside
+    Per notice the words most ``common`` and the shortest, which are parts of many others, are set aside
     while their norm is below the threshold; a line that shares only those has
     a cosine below it.
     """
     out = set()
     for _, vector in vectors:
         rest = 0.0
-        for word, weight in sorted(vector.items(), key=lambda x: (len(x[0]), x[0])):
+        for word, weight in sorted(vector.items(), key=lambda x: (-common(x[0]), len(x[0]), x[0])):
             if math.sqrt(rest + weight * weight) < threshold - 1e-9:
                 rest += weight * weight
             else:
@@ -186,27 +185,53 @@ def can_reach(text: Column, vocabulary: list[str], idf, unseen: float, threshold
     return F.element_at(F.transform(F.array(known_words(low, vocabulary)), enough), 1)
 
 
-def text_words(vectors, df: dict[str, int], threshold: float) -> list[str]:
-    """As :func:`strong_words`, but with few and rare words for long templates.
+def covers(vectors, n: int, df: dict[str, int], threshold: float):
+    """Whether an array of words holds enough of a long template for the threshold, as a function of a column.
 
-    Per template the words that weigh much and stand in few documents are taken
-    until the norm of all others is below the threshold.
+    By Cauchy-Schwarz the template's words that a text holds make up at least the
+    squared threshold of the template's squared norm.  Of any part of the template
+    (here its words in few documents, but at least 0.6 of that norm) a text
+    therefore lacks a bounded share, which no fewer than ``least`` words leave.
     """
-    out = set()
+    needs = []
     for _, vector in vectors:
-        rest = sum(v * v for v in vector.values())
-        for word, weight in sorted(vector.items(), key=lambda x: (-x[1] * x[1] / (df.get(x[0], 0) + 1), x[0])):
-            if math.sqrt(max(0.0, rest)) < threshold - 1e-9:
+        part, share = [], 0.0
+        for word in sorted(vector, key=lambda w: (df.get(w, 0), w)):
+            if share >= 0.6 and df.get(word, 0) > 0.05 * n:
                 break
-            out.add(word)
-            rest -= weight * weight
-    return sorted(out)
+            part.append(word)
+            share += vector[word] ** 2
+        need, least = share - (1 - threshold * threshold) - 1e-9, 0
+        for word in sorted(part, key=lambda w: -vector[w]):
+            if need <= 0:
+                break
+            need -= vector[word] ** 2
+            least += 1
+        needs.append((sorted(part), least))
+    union = sorted({w for part, _ in needs for w in part})
+
+    def enough(held: Column) -> Column:
+        out = F.lit(False)
+        for part, least in needs:
+            out = out | (F.size(F.array_intersect(held, F.lit(part))) >= least)
+        return out
+
+    return lambda words: F.element_at(F.transform(F.array(F.array_intersect(words, F.lit(union))), enough), 1)
+
+
+def commonness(n: int, df: dict[str, int]):
+    """Share of documents in which a word counts as held, in twentieths; words of up to three letters in all."""
+    return lambda w: 20 if len(w) < 4 else 20 * df.get(w, 0) // (n + 1)
 
 
 def holds(words: list[str]):
     """Whether a text holds one of the words, as a function of a column."""
+    # a tag is one word here, but not in the text; a word that holds another one needs no test of its own
+    starts = {w.split("identifier-")[0] for w in words}
+    words = sorted(w for w in starts if not any(v != w and v in w for v in starts))
+
     def holds_one(low: Column) -> Column:
-        return reduce(lambda a, b: a | b, [low.contains(w) for w in words], F.lit(False))
+        return F.exists(F.lit(words), lambda w: F.contains(low, w))
 
     # the lambda binds the lower-cased text, so that it is made once and not for every word
     return lambda text: F.element_at(F.transform(F.array(F.lower(text)), holds_one), 1)
@@ -253,9 +278,8 @@ def windows(docs: DataFrame, keys: list[str], templates, counts, threshold: floa
     """keys, line (the place of its first word), license, score for every window of words that matches a template."""
     vocabulary = sorted({w for _, text in templates for w in header_words(text)})
     vectors, idf = notice_vectors(templates, *counts, header_words)
-    # a tag is one word here, but not in the text
-    near = holds(sorted({w.split("identifier-")[0] for w in strong_words(vectors, threshold)}))
-    strong = set(strong_words(vectors, threshold))
+    strong = set(strong_words(vectors, threshold, commonness(*counts)))
+    near = holds(sorted(strong))
     places = set()  # (word, words before it, words in the window)
     for _, text in templates:
         words = header_words(text)
@@ -265,8 +289,7 @@ def windows(docs: DataFrame, keys: list[str], templates, counts, threshold: floa
                 places |= {(word, at, size), (word, at, size + more), (word, at + more, size + more)}
     reach = max(size for _, _, size in places)
     anchors = F.broadcast(docs.sparkSession.createDataFrame(sorted(places), "word string, before int, size int"))
-    texts = (docs.select(*keys, "text").filter(near(F.col("text"))).dropDuplicates(keys)
-             .select(*keys, header_words_of(F.col("text")).alias("words")))
+    texts = docs.filter(near(F.col("text"))).select(*keys, header_words_of(F.col("text")).alias("words"))
     # every strong word with the words around it, so that a window needs no second look at its text
     hits = F.filter(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("at"))), lambda h: h["word"].isin(sorted(strong)))
     around = F.transform(hits, lambda h: F.struct(h["word"].alias("word"), h["at"].alias("at"), F.greatest(h["at"] - reach, F.lit(0)).alias("low"),
@@ -278,14 +301,24 @@ def windows(docs: DataFrame, keys: list[str], templates, counts, threshold: floa
     return first_best(found, [*keys, "line"])
 
 
-def whole(docs: DataFrame, keys: list[str], templates, counts, threshold: float = THRESHOLD) -> DataFrame:
-    """keys, notice, license, score for every document that as a whole matches a template."""
-    vocabulary = sorted({w for _, text in templates for w in header_words(text)})
-    vectors, idf = notice_vectors(templates, *counts, header_words)
-    near = holds(sorted({w.split("identifier-")[0] for w in text_words(vectors, counts[1], threshold)}))
-    texts = (docs.select(*keys, "text").filter(near(F.col("text"))).dropDuplicates(keys)
-             .select(*keys, header_words_of(F.col("text")).alias("words")))
-    return cosines(texts, keys, vectors, idf, vocabulary, threshold)
+def whole_near(short, texts, counts, threshold: float = THRESHOLD):
+    """Whether a document can match a template as a whole, as a function of a column."""
+    few, many = notice_vectors(short, *counts, header_words)[0], notice_vectors(texts, *counts, header_words)[0]
+    near, enough = holds(strong_words(few, threshold, commonness(*counts))), covers(many, *counts, threshold)
+    return lambda text: near(text) | enough(header_words_of(text))
+
+
+def whole(docs: DataFrame, keys: list[str], short, texts, counts, threshold: float = THRESHOLD) -> DataFrame:
+    """keys, notice, license, score for every document that as a whole matches a template.
+
+    Rows with the same keys have the same text; together they hold every word
+    as many times more, which leaves the cosine as it is.
+    """
+    vocabulary = sorted({w for _, text in (*short, *texts) for w in header_words(text)})
+    vectors, idf = notice_vectors((*short, *texts), *counts, header_words)
+    near = whole_near(short, texts, counts, threshold)
+    parts = docs.filter(near(F.col("text"))).select(*keys, header_words_of(F.col("text")).alias("words"))
+    return cosines(parts, keys, vectors, idf, vocabulary, threshold)
 
 
 def folder(path: Column) -> Column:
@@ -308,7 +341,10 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", notices=NOTICES,
     keyed, keys, short = base.select("__row", "text"), ["__row"], (*notices, *headers)
     vocabulary = {w for _, text in (*short, *texts) for w in header_words(text)} | {w for _, text in notices for w in notice_words(text)}
     counts = document_frequencies(keyed, sorted(vocabulary), header_words_of)
-    full = materialised(whole(keyed, keys, (*short, *texts), counts, threshold))
+    # one pass over the texts for the few that can match any template
+    near, other = whole_near(short, texts, counts, threshold), holds(strong_words(notice_vectors(notices, *counts)[0], threshold))
+    keyed = materialised(keyed.filter(F.col("text").isNotNull() & (near(F.col("text")) | other(F.col("text")))))
+    full = materialised(whole(keyed, keys, short, texts, counts, threshold))
     files = full.groupBy("__row").agg(F.lit(True).alias("is_file"))
     # a licence text goes before the lines and windows inside it
     as_text = first_best(full.filter(F.col("notice") >= len(short)), keys)
