@@ -1,20 +1,23 @@
 """Secret scan: fixed patterns plus a randomness test battery (operator 5).
 
 Patterns (fixed values) give the base spans.  Beside them, every run of 20 or
-more token characters is a candidate.  Its encoding is inferred (hex, upper-case
-base32, base64 and its URL form, lower-case alphanumeric) and three tests ask
-whether it looks like uniform draws from that alphabet:
+more token characters ('=' only as padding at its end) is a candidate, and so is
+every part of 20 or more characters between its separators.  Its encoding is
+inferred (hex, upper-case base32, base64 and its URL form, lower-case
+alphanumeric) and three tests ask whether it looks like uniform draws from that
+alphabet:
 
 * chi-squared: equal frequencies over equal bins of the alphabet;
 * runs: the number of runs above / below the middle of the alphabet;
 * serial correlation: lag-one correlation of the symbol ranks.
 
-Fisher's rule joins the three p-values.  Random strings have uniform joint
-p-values while words pile up near zero, so the share of random strings among
-those above 1/2 is known, and with it, per encoding and length class over the
-whole corpus, the false-discovery share of "report if p >= t".  The smallest t
-that keeps this share within ``fdr`` is used: short strings, on which the tests
-have no power, need a high p or are not reported at all.
+Fisher's rule joins the three p-values; a candidate that fails them at the level
+``LEVEL`` is not random.  For the others the null hypothesis is non-random text:
+letters as frequent as in English, in stretches of one case, digits or
+separators.  By Markov's inequality the likelihood under that model over the
+likelihood under uniform draws is a valid p-value for a string of any length, on
+its own.  Benjamini-Hochberg over all candidates keeps the false-discovery share
+within ``fdr``; a strong secret is reported however few candidates there are.
 
 Defined cases: null and empty texts have no span and the digest of an empty
 string; ties (equal starts) are ordered by kind; repeated rows repeat their
@@ -41,7 +44,8 @@ HEX = re.compile(r"[0-9a-f]+")
 KINDS = ("assign", "access", "hex", "random")
 
 # Any long run; access and hex spans lie inside one.
-LONG = re.compile(rb"[A-Za-z0-9+/_=-]{20,}")
+LONG = re.compile(rb"[A-Za-z0-9+/_-]{20,}=*")
+PART = re.compile("[A-Za-z0-9+]{20,}=*")
 KEYWORDS = (b"passw", b"secret", b"token", b"api")
 
 ALPHABETS = {
@@ -51,8 +55,54 @@ ALPHABETS = {
     "base64": "+-/0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ_abcdefghijklmnopqrstuvwxyz",
 }
 RANKS = {name: {c: i for i, c in enumerate(letters)} for name, letters in ALPHABETS.items()}
-P_BINS = 50
 BINS = 8
+LEVEL = 0.01
+MOST_BITS = 1000
+
+# The model of non-random text (fixed values): letters per thousand, the share of each class of characters, the chance to stay in it.
+LETTERS = dict(zip("abcdefghijklmnopqrstuvwxyz", (82, 15, 28, 43, 127, 22, 20, 61, 70, 2, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 2, 20, 1)))
+SHARES = {"lower": 0.6, "upper": 0.2, "digit": 0.15, "mark": 0.05}
+STAY = 0.85
+
+
+def _class_of(c: str) -> str:
+    return "digit" if c.isdigit() else "mark" if not c.isalpha() else "lower" if c.islower() else "upper"
+
+
+def _text_model(alphabet: str):
+    """Class and log2 share in its class of every symbol, and the log2 share of every class."""
+    weight = {c: LETTERS.get(c.lower(), 1) for c in alphabet}
+    total: dict[str, float] = {}
+    for c in alphabet:
+        total[_class_of(c)] = total.get(_class_of(c), 0.0) + weight[c]
+    whole = sum(SHARES[k] for k in total)
+    return {c: (_class_of(c), math.log2(weight[c] / total[_class_of(c)])) for c in alphabet}, {k: math.log2(SHARES[k] / whole) for k in total}
+
+
+MODELS = {name: _text_model(letters) for name, letters in ALPHABETS.items()}
+
+
+def evidence(run: str, encoding: str) -> float:
+    """-log2 of the p-value of a run against non-random text (0 at least).
+
+    The model is an even mixture of single characters and of stretches of one class.
+    """
+    body = run.rstrip("=")
+    symbols, classes = MODELS[encoding]
+    single = stretch = 0.0
+    last = None
+    for c in body:
+        kind, bits = symbols[c]
+        single += bits + classes[kind]
+        if last is None:
+            stretch += bits + classes[kind]
+        else:
+            move = (STAY if kind == last else 0.0) + (1 - STAY) * 2 ** classes[kind]
+            stretch += bits + math.log2(move)
+        last = kind
+    high, low = max(single, stretch), min(single, stretch)
+    text = high - 1 + math.log2(1 + 2 ** max(low - high, -1000))
+    return max(0.0, -text - len(body) * math.log2(len(ALPHABETS[encoding])))
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -119,12 +169,21 @@ def battery(run: str, encoding: str) -> float:
     return _chi2_tail(fisher, 6)
 
 
-def length_class(n: int) -> int:
-    return 4 * int(math.log2(n / 5))  # 20, 40, 80, ... characters
+def candidates(run: str):
+    """(start, end, bits) of a run and of its parts between separators; bits are 0 if the battery fails."""
+    spans = {(0, len(run)), *(m.span() for m in PART.finditer(run))}
+    for start, end in sorted(spans):
+        part = run[start:end]
+        encoding = infer_encoding(part)
+        if encoding and len(part.rstrip("=")) >= 20:
+            bits = evidence(part, encoding)
+            if bits >= 1 and battery(part, encoding) < LEVEL:
+                bits = 0.0
+            yield start, end, min(MOST_BITS, int(bits))
 
 
 def scan_text(raw: bytes):
-    """(base spans, candidates) of one text; a candidate is (start, end, encoding, length class, p)."""
+    """(base spans, candidates) of one text; a candidate is (start, end, bits of evidence)."""
     low = raw.lower()
     runs = [m.span() for m in LONG.finditer(raw)]
     named = any(k in low for k in KEYWORDS)
@@ -141,72 +200,54 @@ def scan_text(raw: bytes):
             at = start
         s = start if ascii_only else chars
         run = raw[start:end].decode()
-        encoding = infer_encoding(run)
-        if encoding and len(run.rstrip("=")) >= 20:
-            found.append((s, s + len(run), encoding, length_class(len(run)), battery(run, encoding)))
+        found += [(s + a, s + b, bits) for a, b, bits in candidates(run)]
     return base, found
 
 
 def scan(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """One row per document: ``keep``, ``base`` spans and ``candidates`` with their p-values."""
+    """One row per document: ``keep``, ``base`` spans and ``candidates`` with their evidence."""
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name in keep]
     base_type = pa.list_(pa.struct([("start", pa.int32()), ("kind", pa.int32()), ("stop", pa.int32())]))
-    cand_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("encoding", pa.string()), ("len_class", pa.int32()), ("p", pa.float64())]))
+    cand_type = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("bits", pa.int32())]))
 
     def run(batches):
         for batch in batches:
             got = [scan_text(t) for t in raw_texts(batch, "__text")]
             base = [[{"start": s, "kind": k, "stop": e} for s, k, e in b] for b, _ in got]
-            cand = [[dict(zip(("start", "stop", "encoding", "len_class", "p"), c)) for c in cs] for _, cs in got]
+            cand = [[dict(zip(("start", "stop", "bits"), c)) for c in cs] for _, cs in got]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in keep] + [pa.array(base, base_type), pa.array(cand, cand_type)],
                                              names=[*keep, "base", "candidates"])
 
     schema = [*kept, "base array<struct<start:int,kind:int,stop:int>>",
-              "candidates array<struct<start:int,stop:int,encoding:string,len_class:int,p:double>>"]
+              "candidates array<struct<start:int,stop:int,bits:int>>"]
     return docs.select(*keep, F.col("text").alias("__text")).mapInArrow(run, ", ".join(schema))
 
 
-def thresholds(scanned: DataFrame, fdr: float = 0.05) -> dict[tuple[str, int], float]:
-    """Per (encoding, length class) the smallest reporting threshold within ``fdr``.
+def threshold(scanned: DataFrame, fdr: float = 0.05) -> int:
+    """The fewest bits of evidence to report (Benjamini-Hochberg within ``fdr``).
 
-    Works on a histogram over all candidates: encodings x length classes x
-    ``P_BINS`` rows at most, however many candidates there are.
+    Works on a histogram over all candidates: ``MOST_BITS + 1`` rows at most,
+    however many candidates there are.  Bits are rounded down, p-values up.
     """
-    counts: dict[tuple[str, int], np.ndarray] = {}
-    rows = (scanned.select(F.explode("candidates").alias("c"))
-            .groupBy("c.encoding", "c.len_class", F.least(F.floor(F.col("c.p") * P_BINS), F.lit(P_BINS - 1)).alias("bin"))
-            .agg(F.count("*").alias("n")).collect())
-    for r in rows:
-        counts.setdefault((r["encoding"], r["len_class"]), np.zeros(P_BINS))[r["bin"]] = r["n"]
-    out = {}
-    for key, histogram in counts.items():
-        above = histogram[::-1].cumsum()[::-1]  # candidates with p >= bin / P_BINS
-        random = 2.0 * histogram[P_BINS // 2:].sum()
-        for i in range(P_BINS):
-            true = random * (1 - i / P_BINS)
-            # one stray string is always possible, so it is counted as false
-            if above[i] and (max(0.0, above[i] - true) + 1) / above[i] <= fdr:
-                out[key] = i / P_BINS
-                break
-    return out
+    rows = scanned.select(F.explode("candidates").alias("c")).groupBy("c.bits").agg(F.count("*").alias("n")).collect()
+    total, above, cut = sum(r["n"] for r in rows), 0, MOST_BITS + 1
+    for bits, n in sorted(((r["bits"], r["n"]) for r in rows), reverse=True):
+        above += n
+        if bits and 2.0 ** -bits <= fdr * above / total:
+            cut = bits
+    return cut
 
 
 def secrets(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), fdr: float = 0.05) -> DataFrame:
     """``keep``, ``base`` and ``spans``: base spans plus accepted random runs, by
     start, then kind (array of start, kind index, stop)."""
     scanned = materialised(scan(docs, keep))
-    cut = thresholds(scanned, fdr)
-
-    def keeps(c):
-        ok = F.lit(False)
-        for (encoding, cls), t in sorted(cut.items()):
-            ok = ok | ((c["encoding"] == encoding) & (c["len_class"] == cls) & (c["p"] >= t))
-        return ok
+    cut = threshold(scanned, fdr)
 
     def as_span(c):
         return F.struct(c["start"].alias("start"), F.lit(3).alias("kind"), c["stop"].alias("stop"))
 
-    extra = F.transform(F.filter("candidates", keeps), as_span)
+    extra = F.transform(F.filter("candidates", lambda c: c["bits"] >= cut), as_span)
     return scanned.select(*keep, "base", F.array_sort(F.concat("base", extra)).alias("spans"))
 
 
@@ -223,7 +264,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", fdr: float = 0.05) -> DataFr
     document is dropped, and texts without a span are untouched.  The false-
     discovery thresholds come from a first pass; the second masks in place, so
     no text is shuffled."""
-    cut = thresholds(materialised(scan(docs.select("text"), ())), fdr)
+    cut = threshold(materialised(scan(docs.select("text"), ())), fdr)
     schema = docs.schema
     names = docs.columns
 
@@ -233,7 +274,7 @@ def redact(docs: DataFrame, mask: str = "[SECRET]", fdr: float = 0.05) -> DataFr
             changed = {}
             for i, raw in enumerate(raw_texts(batch, "text")):
                 base, found = scan_text(raw)
-                spans = [(s, e) for s, _, e in base] + [(s, e) for s, e, enc, cls, p in found if p >= cut.get((enc, cls), 2.0)]
+                spans = [(s, e) for s, _, e in base] + [(s, e) for s, e, bits in found if bits >= cut]
                 if spans:
                     changed[i] = masked(texts[i], sorted(spans), mask)
             columns = [batch.column(c) for c in names]

@@ -657,3 +657,19 @@ def test_licenses_headers_and_license_files(spark):
         assert got[path]["license"] == name, path
         assert is_file is None or got[path]["is_file"] == is_file, path
     assert [got[f"{d}/src/x"]["inherited"] for d in "abcdef"] == [None, "MIT", "Apache-2.0", "GPL-3.0", "LGPL-3.0", "GPL-2.0"]
+
+
+def test_secrets_after_names_inside_runs_and_alone(spark):
+    """NAME=VALUE without quotes, a value joined to words, and a single secret in a corpus of its own."""
+    rng = random.Random(5)
+    key = "wJalrXUtnFEMIqK7MDENGbPxRfiCYzX9Q2Lmn4Tr"
+    long = "".join(rng.choices(secret_scan.ALPHABETS["alnum"], k=40))
+    texts = [f"AWS_SECRET_ACCESS_KEY={key}", f"see /static/assets/{long}/index_of_all_files now", f"call?sig={key} ok",
+             "some_very_long_function_name_of_words and InternationalizationConfigurationManager", "2021030405060708091011 ----------------------------"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for frame in (docs, *(docs.filter(F.col("doc_id") == i) for i in range(3))):
+        got = {r["doc_id"]: r["text"] for r in secret_scan.redact(frame).collect()}
+        for i, text in got.items():
+            assert (key not in text and long not in text and "[SECRET]" in text) if i < 3 else text == texts[i]
+    spans = {r["doc_id"]: [texts[r["doc_id"]][s["start"]:s["stop"]] for s in r["spans"] if s["kind"] == 3] for r in secret_scan.secrets(docs).collect()}
+    assert spans[0] == [key] and long in spans[1] and spans[3] == spans[4] == []
