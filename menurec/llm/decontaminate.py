@@ -8,15 +8,15 @@ bit-parallel algorithm (Python integers as bit vectors, any item length)
 verifies the item's edit distance to the best substring near that diagonal.
 
 Items and texts are compared after lower-casing and with every run of white
-space as one blank; items shorter than ``min_chars`` after that are too common
-to be evidence and take no part.  The items are split into blocks of at most
+space as one blank; items shorter than ``min_chars`` after that must appear
+unchanged and at word boundaries (scripts without blanks have none).  The items are split into blocks of at most
 ``block_bytes`` characters; each block is one pass over the documents, so what
 a task holds is bounded whatever the size of the benchmark.
 
 Defined cases: null or empty texts and items match nothing; equal items are
 reported each under its own id; an item that occurs several times in a text is
 reported once, with the smallest distance (then the first end); a null item_id
-takes no part; repeated document rows repeat their rows; extra columns are
+is not reported, but its item counts where documents are dropped; repeated document rows repeat their rows; extra columns are
 ignored.
 """
 
@@ -74,17 +74,27 @@ def myers(item_masks: dict[str, int], length: int, text: str, limit: int) -> tup
     return best, at
 
 
+def joined(a: str, b: str) -> bool:
+    """Whether two neighbouring characters belong to one word; from U+2E80 on scripts set no blanks."""
+    return a.isalnum() and b.isalnum() and max(a, b) < "\u2e80"
+
+
+def at_boundaries(text: str, start: int, end: int) -> bool:
+    return not (start and joined(text[start - 1], text[start]) or end < len(text) and joined(text[end - 1], text[end]))
+
+
 class Items:
-    """A block of test items with their automaton."""
+    """A block of test items with their automaton; those shorter than ``min_chars`` match as whole words only."""
 
-    def __init__(self, items: list[tuple[int, str]], rate: float = RATE):
+    def __init__(self, items: list[tuple[int, str]], rate: float = RATE, min_chars: int = MIN_CHARS):
         self.ids = [i for i, _ in items]
         self.texts = [t for _, t in items]
+        self.short = [len(t) < min_chars for t in self.texts]
         self.budgets = [edit_budget(t, rate) for t in self.texts]
         self.masks: list[dict[str, int] | None] = [None] * len(items)
         where: dict[str, list[tuple[int, int]]] = {}
         for n, text in enumerate(self.texts):
-            for at, piece in pieces(text, rate):
+            for at, piece in [(0, text)] if self.short[n] else pieces(text, rate):
                 where.setdefault(piece, []).append((n, at))
         self.tree = ahocorasick.Automaton()
         for piece, places in where.items():
@@ -108,6 +118,11 @@ class Items:
         out = []
         for n, starts in spots.items():
             budget, length = self.budgets[n], len(self.texts[n])
+            if self.short[n]:
+                ends = [s + length for s in starts if at_boundaries(text, s, s + length)]
+                if ends:
+                    out.append((self.ids[n], 0, min(ends)))
+                continue
             best = None
             for low, high in windows(sorted(starts), length, budget):
                 low = max(0, low)
@@ -141,16 +156,17 @@ def windows(starts: list[int], length: int, budget: int):
         yield low, high
 
 
-def item_blocks(benchmark: DataFrame, min_chars: int, block_bytes: int):
-    """The normalised items in blocks of bounded size, one at a time on the driver."""
+def item_blocks(benchmark: DataFrame, block_bytes: int, null_ids: bool = False):
+    """The normalised items in blocks of bounded size, one at a time on the driver; ``null_ids`` keeps items without an id, as -1."""
     clean = F.trim(F.regexp_replace(F.lower("text"), r"\s+", " "))
-    sized = materialised(benchmark.select("item_id", "text", F.length(clean).alias("size"))
-                         .filter(F.col("item_id").isNotNull() & (F.col("size") >= min_chars)))
+    item = F.coalesce("item_id", F.lit(-1)) if null_ids else F.col("item_id")
+    sized = materialised(benchmark.select(item.alias("item_id"), "text", F.length(clean).alias("size"))
+                         .filter(F.col("item_id").isNotNull() & (F.col("size") > 0)))
     total = sized.agg(F.sum("size")).first()[0] or 0
     n = 1 + 2 * total // block_bytes
     for k in range(n):
-        rows = sized.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).select("item_id", "text").distinct().collect()
-        kept = [(r["item_id"], t) for r in rows if len(t := normal(r["text"])) >= min_chars]
+        rows = sized.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k).select("item_id", "text").distinct().collect()
+        kept = [(r["item_id"], t) for r in rows if (t := normal(r["text"]))]
         if kept:
             yield sorted(kept)
 
@@ -161,10 +177,10 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, min_chars
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
     schema += ", item_id bigint, distance int, end_at int"
     out = None
-    for block in item_blocks(benchmark, min_chars, block_bytes):
+    for block in item_blocks(benchmark, block_bytes):
 
         def run(batches, block=block):
-            items = Items(block, rate)
+            items = Items(block, rate, min_chars)
             for batch in batches:
                 found = [(i, *hit) for i, t in enumerate(batch.column("__text").to_pylist()) if t for hit in items.search(normal(t))]
                 rows = pa.array([f[0] for f in found], pa.int32())
@@ -183,10 +199,10 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, rate: float = RATE,
     """``docs`` without those that hold a test item; columns and other rows stay.
     Each block of items is one narrow filter pass, nothing is shuffled."""
     names = docs.columns
-    for block in item_blocks(benchmark, min_chars, block_bytes):
+    for block in item_blocks(benchmark, block_bytes, null_ids=True):
 
         def run(batches, block=block):
-            items = Items(block, rate)
+            items = Items(block, rate, min_chars)
             for batch in batches:
                 clean = [not (t and items.search(normal(t))) for t in batch.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([c.filter(pa.array(clean, pa.bool_())) for c in (batch.column(n) for n in names)], names=names)

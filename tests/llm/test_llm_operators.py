@@ -673,3 +673,14 @@ def test_secrets_after_names_inside_runs_and_alone(spark):
             assert (key not in text and long not in text and "[SECRET]" in text) if i < 3 else text == texts[i]
     spans = {r["doc_id"]: [texts[r["doc_id"]][s["start"]:s["stop"]] for s in r["spans"] if s["kind"] == 3] for r in secret_scan.secrets(docs).collect()}
     assert spans[0] == [key] and long in spans[1] and spans[3] == spans[4] == []
+
+
+def test_decontaminate_short_items_and_null_ids(spark):
+    ship_package(spark)
+    bench = spark.createDataFrame([(1, "What is 7 times 8?"), (2, "日本の首都はどこですか"), (None, "a question that was listed without any id in the table"), (3, " ")],
+                                  "item_id bigint, text string")
+    rows = [(1, "so: what  is 7 TIMES 8? it is 56"), (2, "問題：日本の首都はどこですか。東京"), (3, "what is 7 times 80"), (4, "Asked: a question that was listed without any id in the table."),
+            (5, "somewhat is 7 times 8?"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted((r["doc_id"], r["item_id"], r["distance"]) for r in decontaminate.matches(docs, bench).collect()) == [(1, 1, 0), (2, 2, 0)]
+    assert {r["doc_id"] for r in decontaminate.drop_contaminated(docs, bench).collect()} == {3, 5, 6}
