@@ -8,7 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from menurec.llm import bwt_dedup, byte_cnn, decontaminate, licenses, mixing, recurrent_lm, secret_scan, simhash, toxicity, va_file
+from menurec.llm import (bwt_dedup, byte_cnn, cover_tree, decontaminate, divergence, licenses, mixing, phrase_automata, recurrent_lm, secret_scan,
+                         simhash, toxicity, va_file)
 from menurec.llm.common import crc_class, table
 from menurec.session import ship_package
 
@@ -67,6 +68,19 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(docs, path)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return cover_tree.hard_negatives(table(spark, sf_dir, "embeddings").withColumn("label", moved), F.col("vec_id") % 100 == 0)
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_phrase_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_automata.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -84,4 +98,4 @@ def _shipped(query):
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _shipped(f) for f in (op1_mixing, op2_topk, op3_lm_score, op4_quality, op5_secrets, op6_substring_dedup, op7_toxicity,
-                            op8_decontaminate, op9_simhash, op10_licenses, pipeline)}
+                            op8_decontaminate, op9_simhash, op10_licenses, op11_hard_negatives, op12_divergence, op13_phrase_dedup, pipeline)}
