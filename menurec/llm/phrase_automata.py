@@ -93,12 +93,12 @@ class Words:
 
 
 class Texts(Words):
-    """The documents of a group."""
+    """The documents of a group; ``least`` has the least id of texts with copies."""
 
-    def __init__(self, table: pa.Table, copies: set):
+    def __init__(self, table: pa.Table, least: dict):
         super().__init__([t for b in table.to_batches() for t in raw_texts(b)])
         self.ids = np.array([NO_ID if i is None else i for i in table.column("doc_id").to_pylist()], np.int64)
-        self.is_copy = np.array([(i, k) in copies for i, k in zip(self.ids.tolist(), table.column("key").to_pylist())], bool)
+        self.is_copy = np.array([least.get(k, i) < i for i, k in zip(self.ids.tolist(), table.column("key").to_pylist())], bool)
 
 
 def rolled(hashes: np.ndarray, n: int, step: np.uint64) -> np.ndarray:
@@ -236,10 +236,12 @@ def dedup(docs: DataFrame, span: int = SPAN, group_bytes: int = GROUP_BYTES) ->
              .withColumn("grp", F.when(F.col("doc_id").isNull(), dealt(F.col("key"))).otherwise(dealt(F.col("doc_id")))))
     by_group = texts.groupBy("grp")
 
-    # whole copies of a text with a smaller id; what else groups are sent has the same columns
-    narrow = texts.select(F.col("grp").alias("g"), F.col("key").alias("k"), F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc"))
-    least = narrow.groupBy("k").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("k", "lo")
-    copies = (narrow.join(least, "k").filter("doc > lo").distinct()
+    # whole copies: the least id of every text that several ids share, one row per group
+    # that holds a larger one; what else groups are sent has the same columns
+    same = Window.partitionBy("k")
+    copies = (texts.select(F.col("grp").alias("g"), F.col("key").alias("k"), F.coalesce("doc_id", F.lit(int(NO_ID))).alias("id"))
+              .groupBy("g", "k").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
+              .withColumn("doc", F.min("lo").over(same)).filter("hi > doc")
               .selectExpr("g", "doc", "k", "cast(null as bigint) as anchor", "cast(null as binary) as words"))
 
     def batch(schema: str, *columns) -> pa.Table:
@@ -248,8 +250,8 @@ def dedup(docs: DataFrame, span: int = SPAN, group_bytes: int = GROUP_BYTES) ->
         return pa.table([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields)], names=[n for n, _ in fields])
 
     def of_group(left: pa.Table, right: pa.Table) -> tuple[Texts, int]:
-        gone = {(d, k) for d, k in zip(right.column("doc").to_pylist(), right.column("k").to_pylist()) if k is not None}
-        return Texts(left, gone), left.column("grp")[0].as_py()
+        least = {k: d for d, k in zip(right.column("doc").to_pylist(), right.column("k").to_pylist()) if k is not None}
+        return Texts(left, least), left.column("grp")[0].as_py()
 
     first = "key bigint, grp int"
 
