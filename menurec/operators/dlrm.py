@@ -13,14 +13,18 @@ partitions and moves the rows:
 * scoring (:func:`dlrm_score`) adds a ``prediction`` column to every row,
   with the weights shipped once per executor as a broadcast whose size is
   fixed by the configuration (checked against ``MAX_MODEL_BYTES``);
-* training (:func:`dlrm_train`) is data-parallel: each round every partition
-  runs mini-batch AdamW on its own rows from the same starting weights, then
-  the weights and optimiser moments are averaged, weighted by rows.  The
-  average is a Spark aggregation over weight chunks (``groupBy`` +
-  ``applyInPandas``), so the driver only receives the averaged model.  With
-  one partition this is plain sequential training (the source's one worker);
-  with more it is periodic model averaging -- ``rounds_per_epoch`` sets how
-  often the workers synchronise.
+* training (:func:`dlrm_train`) is data-parallel over logical shards of
+  ``shard_rows`` rows: rows are numbered in a fixed order, and a row's number
+  gives its shard and its batch (:func:`shards`).  Tasks grow with the rows, and
+  a re-run, on any number of executors, trains on the same batches in the same
+  order.  Each round every shard streams its batches through AdamW, starting
+  from the same weights; the shards' weights and optimiser moments are written
+  as a table and averaged, weighted by rows, as a tree of Spark aggregations over
+  weight chunks, so the driver only receives the averaged model.  With one shard
+  this is plain sequential training (the source's one worker); with more it is
+  periodic model averaging -- ``rounds_per_epoch`` sets how often shards
+  synchronise.  A ledger keeps rows, batches, steps and losses of every shard
+  and round.
 """
 
 from __future__ import annotations
@@ -28,10 +32,12 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
+import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +45,7 @@ from menurec.schemas import DENSE_FEATURES, LABEL, SPARSE_FEATURES
 
 MAX_MODEL_BYTES = 1 << 30          # broadcast limit for weights + moments
 CHUNK_FLOATS = 1 << 18             # weight chunk size for the averaging step
+AVERAGE_FAN = 32                   # weight chunks averaged by one task at once
 SCORE_BATCH = 256                  # rows per forward pass (bounds memory)
 
 PARAM_NAMES = ["emb", "bw0", "bb0", "bw1", "bb1", "tw0", "tb0", "tw1", "tb1", "tw2", "tb2"]
@@ -63,6 +70,8 @@ class DLRMConfig:
     seed: int = 42
     rounds_per_epoch: int = 1
     keep: str = "best"                # "best" validation loss, or "last" epoch
+    shard_rows: int = 16_384          # rows of a logical shard (whole batches)
+    precision: str = "float32"        # of weights, inputs and losses in training
 
     @property
     def z_dim(self) -> int:
@@ -139,7 +148,7 @@ def bce_with_logits(logits: np.ndarray, y: np.ndarray):
     """Mean binary cross-entropy on logits and its gradient."""
     loss = np.maximum(logits, 0) - logits * y + np.log1p(np.exp(-np.abs(logits)))
     sig = 1.0 / (1.0 + np.exp(-logits))
-    return float(loss.mean()), ((sig - y) / len(y)).astype(np.float32)
+    return float(loss.mean()), ((sig - y) / len(y)).astype(logits.dtype)
 
 
 def backward(p: dict[str, np.ndarray], c: dict, g: np.ndarray) -> dict[str, np.ndarray]:
@@ -190,7 +199,7 @@ def adam_step(p, grads, m, v, t: int, cfg: DLRMConfig) -> None:
         v[k] = b2 * v[k] + (1 - b2) * gk * gk
         mh = m[k] / (1 - b1 ** t)
         vh = v[k] / (1 - b2 ** t)
-        p[k] -= (cfg.lr * mh / (np.sqrt(vh) + cfg.eps)).astype(np.float32)
+        p[k] -= (cfg.lr * mh / (np.sqrt(vh) + cfg.eps)).astype(p[k].dtype)
 
 
 def predict(p: dict[str, np.ndarray], xs: np.ndarray, xd: np.ndarray,
@@ -202,11 +211,11 @@ def predict(p: dict[str, np.ndarray], xs: np.ndarray, xd: np.ndarray,
 
 
 # ---------------------------------------------------------------------------
-# flat vectors (weights + optimiser moments travel as float32 chunks)
+# flat vectors (weights + optimiser moments travel as chunks)
 # ---------------------------------------------------------------------------
 
-def flatten(*dicts: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate([d[k].ravel() for d in dicts for k in PARAM_NAMES]).astype(np.float32)
+def flatten(*dicts: dict[str, np.ndarray], dtype="float32") -> np.ndarray:
+    return np.concatenate([d[k].ravel() for d in dicts for k in PARAM_NAMES]).astype(dtype)
 
 
 def unflatten(vec: np.ndarray, cfg: DLRMConfig, n: int) -> list[dict[str, np.ndarray]]:
@@ -216,14 +225,14 @@ def unflatten(vec: np.ndarray, cfg: DLRMConfig, n: int) -> list[dict[str, np.nda
         d = {}
         for k in PARAM_NAMES:
             size = int(np.prod(shapes[k]))
-            d[k] = vec[pos:pos + size].reshape(shapes[k]).astype(np.float32).copy()
+            d[k] = vec[pos:pos + size].reshape(shapes[k]).astype(cfg.precision)
             pos += size
         out.append(d)
     return out
 
 
 def _check_model_size(cfg: DLRMConfig, copies: int) -> None:
-    size = cfg.n_params() * 4 * copies
+    size = cfg.n_params() * np.dtype(cfg.precision).itemsize * copies
     if size > MAX_MODEL_BYTES:
         raise ValueError(f"model state of {size} bytes exceeds the broadcast limit "
                          f"{MAX_MODEL_BYTES}")
@@ -291,110 +300,197 @@ def dlrm_score(df: DataFrame, params: dict[str, np.ndarray], cfg: DLRMConfig,
     return df.mapInPandas(score, schema)
 
 
-def _chunk_rows(vec: np.ndarray, rows: int, loss: float, batches: int, steps: int):
-    """One row per weight chunk; every row repeats the partition's stats."""
-    chunks = [(i, rows, loss, batches, steps, vec[s:s + CHUNK_FLOATS].tobytes())
-              for i, s in enumerate(range(0, len(vec), CHUNK_FLOATS))]
-    return pd.DataFrame(chunks, columns=["chunk", "rows", "loss", "batches", "steps", "data"])
+def shards(df: DataFrame, cols: Sequence[str], shard_rows: int,
+           order: Sequence[Column | str] | None = None) -> DataFrame:
+    """``shard``, ``pos`` and ``cols`` of every row, checkpointed shard by shard.
 
-
-_ROUND_SCHEMA = "chunk int, rows long, loss double, batches long, steps long, data binary"
-
-
-def _train_round(df: DataFrame, state_vec: np.ndarray, step: int, cfg: DLRMConfig,
-                 epoch: int, round_idx: int, sparse: list[str], dense: list[str],
-                 label: str, null_codes: str):
-    """One synchronisation round: local AdamW on every partition, then the
-    row-weighted average of weights and moments (a Spark aggregation)."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(state_vec)
+    Rows are numbered in ``order`` (default: a hash of the columns, then the
+    columns themselves, so tied rows are equal); ``shard_rows`` rows in a row
+    form a shard, which lies in one partition, sorted by number.
+    """
+    from menurec.functions.hashing import pair_key
+    from menurec.functions.numbering import numbered
+    if order is None:
+        order = [F.md5(pair_key(*cols)), *cols]
+    keyed = df.select(*cols, *[(F.col(c) if isinstance(c, str) else c).alias(f"__o{i}")
+                               for i, c in enumerate(order)])
+    placed = numbered(keyed, [f"__o{i}" for i in range(len(order))]).select(
+        F.floor(F.col("pos") / shard_rows).alias("shard"), "pos", *cols)
+    n = placed.select(F.max("shard")).first()[0]
+    return (placed.repartition(max(1, (n or 0) + 1), "shard")
+            .sortWithinPartitions("shard", "pos").checkpoint(eager=True))
+
+
+def _mini_batches(batches, cfg: DLRMConfig, sparse, dense, label, null_codes):
+    """Mini-batches of a stream of Arrow batches sorted by (shard, pos):
+    (shard, codes, dense values, labels).  Holds one mini-batch at a time."""
+    cols = [*sparse, *dense, label]
+    held: list[np.ndarray] = []
+    size, now = 0, None
+
+    def batch():
+        x = np.concatenate(held)
+        pdf = pd.DataFrame(x, columns=cols)
+        xs, xd = _arrays(pdf, sparse, dense, cfg.num_embeddings, null_codes)
+        return now, xs, xd.astype(cfg.precision), pdf[label].to_numpy().astype(cfg.precision)
+
+    for rb in batches:
+        shard = rb.column("shard").to_numpy()
+        values = np.column_stack([rb.column(c).cast(pa.float64()).to_numpy(zero_copy_only=False)
+                                  for c in cols])
+        at = 0
+        while at < len(shard):
+            if shard[at] != now or size == cfg.batch_size:
+                if size:
+                    yield batch()
+                held, size, now = [], 0, shard[at]
+            end = int(np.searchsorted(shard, now, side="right"))
+            take = min(end - at, cfg.batch_size - size)
+            held.append(values[at:at + take])
+            size, at = size + take, at + take
+    if size:
+        yield batch()
+
+
+_ROUND_SCHEMA = ("shard long, chunk int, rows long, batches long, steps long, loss double, "
+                 "first_loss double, data binary")
+
+
+def _round_batch(shard: int, vec: np.ndarray, stats: tuple) -> pa.RecordBatch:
+    """One row per weight chunk; every row repeats the shard's stats."""
+    parts = [vec[s:s + CHUNK_FLOATS].tobytes() for s in range(0, len(vec), CHUNK_FLOATS)]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    return pa.RecordBatch.from_arrays(
+        [pa.array([shard] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()),
+         *[pa.array([v] * len(parts), k) for v, k in zip(stats, kinds)],
+         pa.array(parts, pa.binary())],
+        names=[f.split()[0] for f in _ROUND_SCHEMA.split(", ")])
+
+
+def _train_shards(data: DataFrame, state_vec: np.ndarray, step: int, cfg: DLRMConfig,
+                  round_idx: int, sparse: list[str], dense: list[str], label: str,
+                  null_codes: str, path: str) -> DataFrame:
+    """Train every shard from the same state; the shards' new states at ``path``."""
+    bc = data.sparkSession.sparkContext.broadcast(state_vec)
     cfg_d = asdict(cfg)
 
     def local(batches):
-        from pyspark import TaskContext
         c = DLRMConfig(**cfg_d)
-        frames = list(batches)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        if pdf.empty:
-            return
-        pid = TaskContext.get().partitionId()
-        rng = np.random.default_rng([c.seed, epoch, pid])
-        order = rng.permutation(len(pdf))
-        xs_all, xd_all = _arrays(pdf, sparse, dense, c.num_embeddings, null_codes)
-        y_all = pdf[label].to_numpy(dtype=np.float32)
-        starts = list(range(0, len(pdf), c.batch_size))
-        mine = [s for j, s in enumerate(starts) if j % c.rounds_per_epoch == round_idx]
-        if not mine:
-            return
-        p, m, v = unflatten(bc.value, c, 3)
-        t = step
-        loss_sum = 0.0
-        used = 0
-        for s in mine:
-            idx = order[s:s + c.batch_size]
-            logits, cache = forward(p, xs_all[idx], xd_all[idx], keep=True)
-            loss, g = bce_with_logits(logits, y_all[idx])
-            grads = backward(p, cache, g)
-            t += 1
-            adam_step(p, grads, m, v, t, c)
-            loss_sum += loss
-            used += len(idx)
-        yield _chunk_rows(flatten(p, m, v), used, loss_sum, len(mine), t - step)
-
-    out = df.mapInPandas(local, _ROUND_SCHEMA)
-
-    def average(key, pdf):
-        w = pdf["rows"].to_numpy(dtype=np.float64)
-        acc = np.zeros(len(pdf["data"].iloc[0]) // 4, dtype=np.float64)
-        for wi, blob in zip(w, pdf["data"]):
-            acc += wi * np.frombuffer(blob, dtype=np.float32)
-        return pd.DataFrame({
-            "chunk": [int(key[0])], "rows": [int(w.sum())], "loss": [float(pdf["loss"].sum())],
-            "batches": [int(pdf["batches"].sum())], "steps": [int(pdf["steps"].max())],
-            "data": [(acc / w.sum()).astype(np.float32).tobytes()]})
-
-    # One job: local training feeds the per-chunk average directly.  A lost
-    # executor re-runs its partitions' local training with the same seeds.
-    avg = out.groupBy("chunk").applyInPandas(average, _ROUND_SCHEMA).orderBy("chunk").collect()
+        now, state, number = None, None, 0
+        stats = [0, 0, step, 0.0, None]
+        for shard, xs, xd, y in _mini_batches(batches, c, sparse, dense, label, null_codes):
+            if shard != now:
+                if stats[1]:
+                    yield _round_batch(int(now), flatten(*state, dtype=c.precision), tuple(stats))
+                now, number, stats = shard, 0, [0, 0, step, 0.0, None]
+                state = unflatten(bc.value, c, 3)
+            number += 1
+            if (number - 1) % c.rounds_per_epoch != round_idx:
+                continue
+            logits, cache = forward(state[0], xs, xd, keep=True)
+            loss, g = bce_with_logits(logits, y)
+            stats[2] += 1
+            adam_step(state[0], backward(state[0], cache, g), state[1], state[2], stats[2], c)
+            stats[0] += len(y)
+            stats[1] += 1
+            stats[3] += loss
+            stats[4] = loss if stats[4] is None else stats[4]
+        if stats[1]:
+            yield _round_batch(int(now), flatten(*state, dtype=c.precision), tuple(stats))
+
+    # Written, not kept in a lineage: a lost executor later re-reads the states
+    # instead of training again.
+    data.mapInArrow(local, _ROUND_SCHEMA).write.parquet(path)
     bc.destroy()
-    if not avg:
-        return state_vec, step, 0.0, 0
-    vec = np.concatenate([np.frombuffer(r["data"], dtype=np.float32) for r in avg])
-    first = avg[0]
-    return vec, step + int(first["steps"]), float(first["loss"]), int(first["batches"])
+    return data.sparkSession.read.schema(_ROUND_SCHEMA).parquet(path)
+
+
+def _average(states: DataFrame, n_shards: int, precision: str) -> np.ndarray | None:
+    """Row-weighted mean of the shards' states: a tree of aggregations, of which
+    no task holds more than ``AVERAGE_FAN`` chunks."""
+    def mean(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("shard").to_numpy(), kind="stable")
+        rows = table.column("rows").to_numpy()
+        total = 0.0
+        for i in order.tolist():   # in shard order: the same sum every time
+            total = total + rows[i] * np.frombuffer(table.column("data")[i].as_py(), np.float64)
+        n = int(rows.sum())
+        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()),
+                         "shard": pa.array([key[1].as_py()], pa.int64()),
+                         "rows": pa.array([n], pa.int64()),
+                         "data": pa.array([(total / n).tobytes()], pa.binary())})
+
+    def widen(batches):
+        for rb in batches:
+            data = [np.frombuffer(d, precision).astype(np.float64).tobytes()
+                    for d in rb.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [rb.column("chunk"), rb.column("shard"), rb.column("rows"), pa.array(data, pa.binary())],
+                names=["chunk", "shard", "rows", "data"])
+
+    schema = "chunk int, shard long, rows long, data binary"
+    level = states.select("chunk", "shard", "rows", "data").mapInArrow(widen, schema)
+    while True:
+        level = level.groupBy("chunk", F.floor(F.col("shard") / AVERAGE_FAN).alias("part")) \
+            .applyInArrow(mean, schema)
+        n_shards = -(-n_shards // AVERAGE_FAN)
+        if n_shards <= 1:
+            break
+    got = level.orderBy("chunk").collect()   # one row per chunk of the model
+    if not got:
+        return None
+    return np.concatenate([np.frombuffer(r["data"], np.float64) for r in got]).astype(precision)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def dlrm_loss_parts(df: DataFrame, params: dict[str, np.ndarray], cfg: DLRMConfig,
+                    sparse: Sequence[str] = SPARSE_FEATURES,
+                    dense: Sequence[str] = DENSE_FEATURES, label: str = LABEL,
+                    null_codes: str = "error",
+                    order: Sequence[Column | str] | None = None) -> DataFrame:
+    """shard, rows, batches, loss (summed over batches) of the model over ``df``,
+    cut into shards and batches as in training."""
+    sparse, dense = list(sparse), list(dense)
+    data = shards(df, [*sparse, *dense, label], cfg.shard_rows, order)
+    return _loss_of(data, params, cfg, sparse, dense, label, null_codes)
+
+
+def _loss_of(data, params, cfg, sparse, dense, label, null_codes) -> DataFrame:
+    # the model's size is checked (_check_model_size)
+    bc = data.sparkSession.sparkContext.broadcast(params)
+    cfg_d = asdict(cfg)
+
+    def part(batches):
+        c, p = DLRMConfig(**cfg_d), bc.value
+        got: dict[int, list] = {}
+        for shard, xs, xd, y in _mini_batches(batches, c, sparse, dense, label, null_codes):
+            entry = got.setdefault(int(shard), [0, 0, 0.0])
+            entry[0] += len(y)
+            entry[1] += 1
+            entry[2] += bce_with_logits(forward(p, xs, xd), y)[0]
+        columns = list(zip(*[(s, *e) for s, e in got.items()])) or [[], [], [], []]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.float64()))],
+            names=["shard", "rows", "batches", "loss"])
+
+    return data.mapInArrow(part, "shard long, rows long, batches long, loss double")
 
 
 def dlrm_loss(df: DataFrame, params: dict[str, np.ndarray], cfg: DLRMConfig,
               sparse: Sequence[str] = SPARSE_FEATURES,
               dense: Sequence[str] = DENSE_FEATURES, label: str = LABEL,
-              null_codes: str = "error") -> float:
-    """Mean per-batch BCE loss over ``df`` (batches of ``cfg.batch_size``)."""
-    bc = df.sparkSession.sparkContext.broadcast(params)
-    sparse, dense = list(sparse), list(dense)
-    bs = cfg.batch_size
+              null_codes: str = "error", order: Sequence[Column | str] | None = None) -> float:
+    """Mean per-batch BCE loss over ``df`` (batches of ``cfg.batch_size`` rows
+    numbered as in training); NaN without rows."""
+    return _mean_loss(dlrm_loss_parts(df, params, cfg, sparse, dense, label, null_codes, order))
 
-    def part(batches):
-        p = bc.value
-        frames = list(batches)
-        if not frames:
-            return
-        pdf = pd.concat(frames, ignore_index=True)
-        if pdf.empty:
-            return
-        xs, xd = _arrays(pdf, sparse, dense, cfg.num_embeddings, null_codes)
-        y = pdf[label].to_numpy(dtype=np.float32)
-        total, n = 0.0, 0
-        for s in range(0, len(pdf), bs):
-            logits = forward(p, xs[s:s + bs], xd[s:s + bs])
-            total += bce_with_logits(logits, y[s:s + bs])[0]
-            n += 1
-        yield pd.DataFrame({"loss": [total], "batches": [n]})
-
-    row = df.mapInPandas(part, "loss double, batches long").agg(
-        F.sum("loss").alias("loss"), F.sum("batches").alias("batches")).first()
-    bc.destroy()
+
+def _mean_loss(parts: DataFrame) -> float:
+    row = parts.agg(F.sum("loss").alias("loss"), F.sum("batches").alias("batches")).first()
     return float(row["loss"]) / row["batches"] if row["batches"] else float("nan")
 
 
@@ -403,72 +499,78 @@ class TrainResult:
     params: dict[str, np.ndarray]
     history: list[dict] = field(default_factory=list)
     best_epoch: int = 0
+    ledger: DataFrame | None = None   # epoch, round, shard, rows, batches, steps, loss, first_loss
 
 
 def dlrm_train(train: DataFrame, val: DataFrame | None, cfg: DLRMConfig,
                sparse: Sequence[str] = SPARSE_FEATURES,
                dense: Sequence[str] = DENSE_FEATURES, label: str = LABEL,
-               workers: int | None = None, null_codes: str = "error",
-               save_best: str | None = None, max_rows: int | None = None) -> TrainResult:
+               null_codes: str = "error", save_best: str | None = None,
+               max_rows: int | None = None, order: Sequence[Column | str] | None = None,
+               start: dict[str, np.ndarray] | None = None) -> TrainResult:
     """Train for ``cfg.epochs`` epochs; keep the best-validation (or last) weights.
 
-    ``workers`` repartitions the training and validation rows (by a hash of
-    all columns, so a retried task gets the same rows); by default the input
-    partitioning is kept.  The (projected) training and validation rows are checkpointed
-    once, so every round reads them instead of recomputing their lineage.
-    Train loss is the mean of batch losses; validation loss likewise.
-    ``save_best`` writes the kept weights to that path whenever they change.
-    ``max_rows`` trains on at most that many rows (the source caps training
-    at 100,000): the rows with the smallest hash of their model columns, so
-    the same rows every time; by default every row is used.
+    Rows are cut into shards of ``cfg.shard_rows`` (:func:`shards`, in
+    ``order``), so the result does not depend on the input's partitions or on
+    the cluster.  Train loss is the mean of batch losses; validation loss
+    likewise.  ``start`` gives the first weights (default: random from
+    ``cfg.seed``).  ``save_best`` writes the kept weights to that path whenever
+    they change.  ``max_rows`` trains on at most that many rows (the source caps
+    training at 100,000): the rows with the smallest hash of their model
+    columns; by default every row is used.
+
+    The ledger has a row per epoch, round and shard: rows and batches taken,
+    the optimiser step after the last of them, their summed loss, and the loss
+    of the first.  It is a table in the shared folder.
     """
     from menurec.session import checkpoint_dir
     _check_model_size(cfg, 3)
+    if cfg.shard_rows % cfg.batch_size:
+        raise ValueError("shard_rows must be a multiple of batch_size")
     spark = train.sparkSession
-    checkpoint_dir(spark)
+    folder = f"{checkpoint_dir(spark)}/dlrm-{uuid.uuid4().hex}"
     sparse, dense = list(sparse), list(dense)
     cols = sparse + dense + [label]
-    data = train.select(*cols)
     if max_rows is not None:
         from menurec.operators.split import capped
-        data = capped(data, cols, max_rows)
-    if workers:
-        data = data.repartition(workers, *[F.col(c) for c in cols])
-    data = data.checkpoint(eager=True)
+        train = capped(train, cols, max_rows)
+    data = shards(train, cols, cfg.shard_rows, order)
     if val is not None:
-        val = val.select(*cols)
-        if workers:   # the forward pass costs far more than the read: spread it
-            val = val.repartition(workers, *[F.col(c) for c in cols])
-        val = val.checkpoint(eager=True)
-    p = init_params(cfg)
+        val = shards(val, cols, cfg.shard_rows, order)
+    p = {k: a.astype(cfg.precision) for k, a in (start or init_params(cfg)).items()}
     zeros = {k: np.zeros_like(a) for k, a in p.items()}
-    vec = flatten(p, zeros, zeros)
+    vec = flatten(p, zeros, zeros, dtype=cfg.precision)
     step = 0
     result = TrainResult(params=p)
     best = math.inf
-    for epoch in range(cfg.epochs):
-        loss_sum, batches = 0.0, 0
+    for epoch in range(1, cfg.epochs + 1):
         for r in range(cfg.rounds_per_epoch):
-            vec, step, ls, nb = _train_round(data, vec, step, cfg, epoch, r,
-                                             sparse, dense, label, null_codes)
-            loss_sum += ls
-            batches += nb
-        params = unflatten(vec, cfg, 1)[0]
-        if not batches:
+            path = f"{folder}/states-{epoch}-{r}"
+            states = _train_shards(data, vec, step, cfg, r, sparse, dense, label, null_codes, path)
+            (states.filter("chunk = 0").select(
+                F.lit(epoch).alias("epoch"), F.lit(r).alias("round"), "shard", "rows", "batches",
+                "steps", "loss", "first_loss").write.mode("append").parquet(f"{folder}/ledger"))
+            last = states.filter("chunk = 0").agg(F.max("shard"), F.max("steps")).first()
+            if last[0] is not None:
+                vec, step = _average(states, last[0] + 1, cfg.precision), last[1]
+            _remove(spark, path)
+        result.ledger = spark.read.parquet(f"{folder}/ledger")
+        taken = result.ledger.filter(F.col("epoch") == epoch)
+        train_loss = _mean_loss(taken)
+        if math.isnan(train_loss) and not taken.limit(1).count():
             raise ValueError("no training rows")
-        train_loss = loss_sum / batches
-        val_loss = dlrm_loss(val, params, cfg, sparse, dense, label, null_codes) \
+        params = unflatten(vec, cfg, 1)[0]
+        val_loss = _mean_loss(_loss_of(val, params, cfg, sparse, dense, label, null_codes)) \
             if val is not None else float("nan")
         if val is not None and math.isnan(val_loss):
             raise ValueError("the validation loss is not a number: no validation rows, or the training diverged")
-        result.history.append({"epoch": epoch + 1, "train_loss": train_loss,
-                               "val_loss": val_loss})
+        result.history.append({"epoch": epoch, "train_loss": train_loss, "val_loss": val_loss})
         better = val is not None and val_loss < best
         if cfg.keep == "last" or better or (val is None):
             if better:
                 best = val_loss
             result.params = params
-            result.best_epoch = epoch + 1
+            result.best_epoch = epoch
             if save_best:
                 save_weights(spark, params, save_best)
     return result

@@ -467,7 +467,7 @@ def _dense(layer: int, inputs: list[str], width: int, prefix: str, relu: bool =
     return ", ".join(out)
 
 
-def _dlrm_forward() -> str:
+def _fixed_model() -> list[str]:
     """Dense inputs -> 3 -> 2 (h); sum of the 2-wide embeddings (e); products of
     all pairs of (h, e), then h -> 3 -> 2 -> 1.  Layers are numbered in the order
     embedding, bottom weights and biases, top weights and biases."""
@@ -480,22 +480,54 @@ def _dlrm_forward() -> str:
               for i, c in enumerate(dense)]
     z = ["h0", "h1", "e0", "e1"]
     pairs = [f"({z[i]} * {z[j]})" for i in range(4) for j in range(i, 4)]
-    return _with(
-        "SELECT customer_id, menu_item_name, CAST(purchased AS BIGINT) AS purchased,\n"
-        "       floor(logit0 * 1000000 + 0.5) / 1000000 AS prediction FROM layer5",
-        "inputs AS (SELECT customer_id, menu_item_name, purchased, "
+    return [
+        "inputs AS (SELECT customer_id, menu_item_name, purchased, h, "
         f"{', '.join(embedded + single)}\n"
         "    FROM coded CROSS JOIN (SELECT max(code) + 1 AS reserved FROM enc))",
         f"layer1 AS (SELECT *, {_dense(1, [f'x{i}' for i in range(5)], 3, 'a')} FROM inputs)",
         f"layer2 AS (SELECT *, {_dense(3, ['a0', 'a1', 'a2'], 2, 'h')} FROM layer1)",
         f"layer3 AS (SELECT *, {_dense(5, [*pairs, 'h0', 'h1'], 3, 'b')} FROM layer2)",
         f"layer4 AS (SELECT *, {_dense(7, ['b0', 'b1', 'b2'], 2, 'c')} FROM layer3)",
-        f"layer5 AS (SELECT *, {_dense(9, ['c0', 'c1'], 1, 'logit', relu=False)} FROM layer4)")
+        f"layer5 AS (SELECT *, {_dense(9, ['c0', 'c1'], 1, 'logit', relu=False)} FROM layer4)",
+        # rows of a split in key order, in batches of 256 and shards of 2,048
+        "placed AS (SELECT *, CASE WHEN h % 10000 < 1000 THEN 0 WHEN h % 10000 < 2000 THEN 1 ELSE 2 END AS part\n"
+        "    FROM layer5)",
+        "lossy AS (SELECT part, CAST(row_number() OVER (PARTITION BY part ORDER BY\n"
+        "        md5(CAST(customer_id AS VARCHAR) || '|' || menu_item_name), customer_id, menu_item_name) - 1 AS BIGINT) AS pos,\n"
+        "        greatest(logit0, 0) - logit0 * purchased + ln(1 + exp(-abs(logit0))) AS loss FROM placed)",
+        "batched AS (SELECT part, pos // 2048 AS shard, pos // 256 AS batch, count(*) AS rows, avg(loss) AS loss\n"
+        "    FROM lossy GROUP BY part, pos // 2048, pos // 256)"]
+
+
+def _dlrm_forward() -> str:
+    return _with(
+        "SELECT customer_id, menu_item_name, CAST(purchased AS BIGINT) AS purchased,\n"
+        "       floor(logit0 * 1000000 + 0.5) / 1000000 AS prediction FROM layer5", *_fixed_model()[:6])
+
+
+def _dlrm_loss() -> str:
+    return _with(
+        "SELECT shard, CAST(sum(rows) AS BIGINT) AS rows, count(*) AS batches,\n"
+        "       floor(avg(loss) * 1000000 + 0.5) / 1000000 AS loss\n"
+        "FROM batched WHERE part = 1 GROUP BY shard", *_fixed_model())
+
+
+def _train_ledger() -> str:
+    """Every shard starts from the step that the longest shard reached before."""
+    return _with(
+        "SELECT CAST(e.epoch AS BIGINT) AS epoch, s.shard, s.rows, s.batches,\n"
+        "       s.batches + (e.epoch - 1) * (SELECT max(batches) FROM taken) AS steps,\n"
+        "       CASE WHEN e.epoch = 1 THEN floor(s.first_loss * 1000000 + 0.5) / 1000000 END AS first_loss\n"
+        "FROM taken s CROSS JOIN (SELECT unnest([1, 2]) AS epoch) e", *_fixed_model(),
+        "taken AS (SELECT shard, CAST(sum(rows) AS BIGINT) AS rows, count(*) AS batches, arg_min(loss, batch) AS first_loss\n"
+        "    FROM batched WHERE part = 0 GROUP BY shard)")
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "dlrm_forward": _dlrm_forward(),
+        "dlrm_loss": _dlrm_loss(),
+        "train_ledger": _train_ledger(),
         "orders_v": ORDERS_V,
         "date_diffs": DATE_DIFFS,
         "purchase_averages": PURCHASE_AVERAGES,

@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from menurec.functions.hashing import md5_score, pair_key
 from menurec.operators import audience as aud
 from menurec.operators import evaluate, features, harmonize, recommend, split
-from menurec.operators.dlrm import DLRMConfig, dlrm_score, dlrm_train
+from menurec.operators.dlrm import DLRMConfig, dlrm_loss_parts, dlrm_score, dlrm_train
 from menurec.operators.feature_store import retrieve
 from menurec.operators.interactions import interactions, purchased_interactions
 from menurec.operators.preprocess import Preprocessor, apply_min_max, fit_min_max
@@ -38,13 +38,12 @@ FILTER_COUNTRIES = ["AMERICA", "EUROPE"]
 FILTER_CITIES = ["NATION_1", "NATION_3", "NATION_6", "NATION_8", "NATION_11"]
 FILTER_BRANDS = ["Brand#1", "Brand#2", "Brand#3", "Brand#12", "Brand#14"]
 PAGE_ROWS = 10_000
+KEYS = ["customer_id", "menu_item_name"]
+CODES = [c + "_encoded" for c in SPARSE_FEATURES]
 SAMPLE_ROWS = 5_000
 TOP_K = 3
 SPLIT_NAMES = ["train", "validation", "test"]
-# Model averaging ships each worker's full weights and moments (3 x 4.3M
-# floats) to the averaging step.  The trained model depends on the number, so
-# it is fixed and not taken from the cluster (the source trains on one).
-TRAIN_WORKERS = 8
+LEDGER_SHARD = 2048                # rows of a shard in train_ledger: several at every size
 FIXED_MODEL = {"embed_dim": 2, "bottom": (3, 2), "top": (3, 2)}   # of dlrm_forward
 
 
@@ -156,6 +155,12 @@ class Context:
                             ctx.averages, countries=countries, cities=cities, brands=brands, **kw)
 
 
+def by_key() -> list:
+    """The row order of training and loss: a hash of the key, then the key.
+    Rows with equal keys have equal model columns."""
+    return [F.md5(pair_key(*KEYS)), *KEYS]
+
+
 def q_orders_v(spark, base):
     return plain(Context(spark, base).orders)
 
@@ -288,17 +293,13 @@ def q_dlrm_scores(spark, base):
     reserved last embedding row."""
     ctx = Context(spark, base)
     st = ctx.preprocess_state
-    keys = ["customer_id", "menu_item_name"]
-    train = st.transform(ctx.train_table, in_place=True)
-    val = st.transform(ctx.dataset_table.filter(split.split_index(keys) == 1), in_place=True)
+    coded = st.transform(ctx.dataset_table, in_place=False)
+    part = split.split_index(KEYS)
     cfg = DLRMConfig(num_embeddings=st.num_embeddings() + 1)
-    cores = spark.sparkContext.defaultParallelism
-    result = dlrm_train(train, val, cfg, null_codes="reserve",
-                        workers=TRAIN_WORKERS)
-    scoring = st.transform(ctx.dataset_table, in_place=False)
-    scored = dlrm_score(scoring, result.params, cfg,
-                        sparse=[c + "_encoded" for c in SPARSE_FEATURES],
-                        null_codes="reserve", partitions=cores)
+    result = dlrm_train(coded.filter(part == 0), coded.filter(part == 1), cfg, sparse=CODES,
+                        null_codes="reserve", order=by_key())
+    scored = dlrm_score(coded, result.params, cfg, sparse=CODES, null_codes="reserve",
+                        partitions=spark.sparkContext.defaultParallelism)
     return plain(scored.select("customer_id", "menu_item_name", "purchased", "prediction"))
 
 
@@ -325,6 +326,40 @@ def q_dlrm_forward(spark, base):
                                (F.floor(F.col("prediction") * 1e6 + 0.5) / 1e6).alias("prediction")))
 
 
+def fixed_model(spark, base):
+    """The coded dataset, its split, and a small model of fixed weights."""
+    ctx = Context(spark, base)
+    st = ctx.preprocess_state
+    cfg = DLRMConfig(num_embeddings=st.num_embeddings() + 1, precision="float64",
+                     shard_rows=LEDGER_SHARD, **FIXED_MODEL)
+    return st.transform(ctx.dataset_table, in_place=False), split.split_index(KEYS), cfg
+
+
+def six(c):
+    return F.floor(c * 1e6 + 0.5) / 1e6
+
+
+def q_dlrm_loss(spark, base):
+    """The fixed model's loss over the validation split, shard by shard: rows,
+    batches, and the mean of the batches' mean losses."""
+    coded, part, cfg = fixed_model(spark, base)
+    got = dlrm_loss_parts(coded.filter(part == 1), fixed_weights(cfg), cfg, sparse=CODES,
+                          null_codes="reserve", order=by_key())
+    return plain(got.select("shard", "rows", "batches", six(F.col("loss") / F.col("batches")).alias("loss")))
+
+
+def q_train_ledger(spark, base):
+    """Two epochs of training on the train split from the fixed weights: per
+    epoch and shard the rows, the batches and the optimiser step reached.  The
+    first batch of the first epoch meets the fixed weights, so its loss is known
+    (NULL in later epochs)."""
+    coded, part, cfg = fixed_model(spark, base)
+    got = dlrm_train(coded.filter(part == 0), None, cfg, sparse=CODES, null_codes="reserve",
+                     order=by_key(), start=fixed_weights(cfg)).ledger
+    return plain(got.select("epoch", "shard", "rows", "batches", "steps",
+                            F.when(F.col("epoch") == 1, six(F.col("first_loss"))).alias("first_loss")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dlrm_forward": q_dlrm_forward,
     "orders_v": q_orders_v,
@@ -351,4 +386,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encoded": q_encoded,
     "scaled": q_scaled,
     "dlrm_scores": q_dlrm_scores,
+    "dlrm_loss": q_dlrm_loss,
+    "train_ledger": q_train_ledger,
 }

@@ -2,9 +2,12 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from menurec.operators.dlrm import (DLRMConfig, backward, bce_with_logits, dlrm_loss,
+from menurec.operators import dlrm
+from menurec.operators.dlrm import (DLRMConfig, adam_step, backward, bce_with_logits, dlrm_loss,
                                     dlrm_score, dlrm_train, forward, init_params,
                                     load_weights, predict, save_weights)
 
@@ -98,22 +101,130 @@ def test_training_reduces_loss(spark):
     train = _toy(spark, 2000, 4)
     val = _toy(spark, 500, 5)
     before = dlrm_loss(val, init_params(cfg), cfg, ["a", "b", "c"], ["x", "w"])
-    res = dlrm_train(train, val, cfg, ["a", "b", "c"], ["x", "w"], workers=1)
+    res = dlrm_train(train, val, cfg, ["a", "b", "c"], ["x", "w"])
     losses = [h["train_loss"] for h in res.history]
     assert losses[-1] < losses[0]
     assert min(h["val_loss"] for h in res.history) < before
     assert res.best_epoch >= 1
 
 
-def test_parallel_training_and_one_worker_repeat(spark):
-    cfg = DLRMConfig(**SMALL, epochs=1, batch_size=64, rounds_per_epoch=2)
-    train = _toy(spark, 800, 6)
-    a = dlrm_train(train, None, cfg, ["a", "b", "c"], ["x", "w"], workers=1)
-    b = dlrm_train(train, None, cfg, ["a", "b", "c"], ["x", "w"], workers=1)
-    for k in a.params:
-        assert np.array_equal(a.params[k], b.params[k])
-    c = dlrm_train(train, None, cfg, ["a", "b", "c"], ["x", "w"], workers=4)
-    assert np.isfinite(c.history[0]["train_loss"])
+COLS = (["a", "b", "c"], ["x", "w"])
+
+
+def _by_hand(pdf, cfg):
+    """Sequential AdamW over the rows of one shard, in plain numpy."""
+    p = {k: v.astype(np.float64) for k, v in init_params(cfg).items()}
+    m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+    losses, step = [], 0
+    for _ in range(cfg.epochs):
+        for s in range(0, len(pdf), cfg.batch_size):
+            part = pdf.iloc[s:s + cfg.batch_size]
+            xs, xd = part[COLS[0]].to_numpy(), part[COLS[1]].to_numpy()
+            logits, cache = forward(p, xs, xd.astype(np.float32).astype(np.float64), keep=True)
+            loss, g = bce_with_logits(logits, part["purchased"].to_numpy(np.float64))
+            step += 1
+            adam_step(p, backward(p, cache, g), m, v, step, cfg)
+            losses.append(loss)
+    return p, losses
+
+
+def test_one_shard_is_sequential_training(spark):
+    cfg = DLRMConfig(**SMALL, epochs=2, batch_size=32, shard_rows=4096, precision="float64")
+    train = _toy(spark, 500, 6).withColumn("id", F.monotonically_increasing_id())
+    got = dlrm_train(train.repartition(5), None, cfg, *COLS, order=["id"])
+    want, losses = _by_hand(train.orderBy("id").toPandas(), cfg)
+    for k in want:
+        assert np.allclose(got.params[k], want[k], rtol=1e-9, atol=1e-12)
+    assert np.isclose(got.history[0]["train_loss"], np.mean(losses[:16]))
+    assert np.isclose(got.history[1]["train_loss"], np.mean(losses[16:]))
+
+
+def test_training_is_the_same_on_any_partitions(spark, monkeypatch):
+    """Several shards, two levels of averaging, two rounds an epoch."""
+    monkeypatch.setattr(dlrm, "AVERAGE_FAN", 2)
+    cfg = DLRMConfig(**SMALL, epochs=2, batch_size=32, shard_rows=128, rounds_per_epoch=2)
+    train, val = _toy(spark, 800, 6), _toy(spark, 300, 7)
+    runs = []
+    for n in (1, 4, 7):
+        before = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", str(n + 1))
+        try:
+            runs.append(dlrm_train(train.repartition(n), val.repartition(n), cfg, *COLS))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", before)
+    for other in runs[1:]:
+        assert other.history == runs[0].history
+        for k in other.params:
+            assert np.array_equal(runs[0].params[k], other.params[k])
+    rows = sorted(map(tuple, runs[0].ledger.select("epoch", "round", "shard", "rows", "batches", "steps").collect()))
+    # 6 shards of 128 rows (4 batches, 2 a round) and one of 32 (one batch, in the first round)
+    want, step = [], 0
+    for epoch in (1, 2):
+        for r in (0, 1):
+            want += [(epoch, r, s, 64, 2, step + 2) for s in range(6)] + [(epoch, r, 6, 32, 1, step + 1)] * (r == 0)
+            step += 2
+    assert rows == sorted(want)
+
+
+def test_average_of_shards(spark, monkeypatch):
+    monkeypatch.setattr(dlrm, "AVERAGE_FAN", 3)
+    monkeypatch.setattr(dlrm, "CHUNK_FLOATS", 4)
+    rng = np.random.default_rng(1)
+    states, sizes = rng.standard_normal((20, 10)).astype(np.float32), rng.integers(1, 50, 20)
+    rows = [(s, c, int(sizes[s]), 1, 1, 0.0, 0.0, states[s, i:i + 4].tobytes())
+            for s in range(20) for c, i in enumerate(range(0, 10, 4))]
+    got = dlrm._average(spark.createDataFrame(rows, dlrm._ROUND_SCHEMA), 20, "float32")
+    assert np.allclose(got, (states * sizes[:, None]).sum(axis=0) / sizes.sum(), rtol=1e-5)
+
+
+def test_mini_batches_stream():
+    """Batches break at shards and never wait for a whole partition."""
+    cfg = DLRMConfig(**SMALL, batch_size=4)
+    shard = [0] * 9 + [1] * 3 + [5] * 4
+    table = pa.table({"shard": pa.array(shard, pa.int64()), **{c: pa.array(range(16)) for c in "abc"},
+                      "x": [0.5] * 16, "w": [None] + [1.0] * 15, "purchased": [i % 2 for i in range(16)]})
+    cfg.num_embeddings = 16
+    taken = []
+
+    def feed():
+        for at in range(0, 16, 3):
+            taken.append(at)
+            yield from table.slice(at, 3).to_batches()
+
+    got = []
+    for s, xs, xd, y in dlrm._mini_batches(feed(), cfg, *COLS, "purchased", "error"):
+        got.append((s, xs[:, 0].tolist()))
+        if len(got) == 1:
+            assert taken == [0, 3] and xd[0, 1] == 0.0
+    assert got == [(0, [0, 1, 2, 3]), (0, [4, 5, 6, 7]), (0, [8]), (1, [9, 10, 11]), (5, [12, 13, 14, 15])]
+
+
+def test_shards_number_rows(spark):
+    df = spark.range(1000).selectExpr("cast((id * 7919) % 1000 as int) as a").repartition(6)
+    got = dlrm.shards(df, ["a"], 64, ["a"])
+    assert [(r.shard, r.pos) for r in sorted(got.collect(), key=lambda r: r.a)] == [(i // 64, i) for i in range(1000)]
+    parts = got.select("shard", F.spark_partition_id().alias("p")).distinct()
+    assert parts.count() == 16   # a shard lies in one partition
+    assert dlrm.shards(df.limit(0), ["a"], 64).count() == 0
+
+
+def test_loss_parts(spark):
+    cfg = DLRMConfig(**SMALL, batch_size=32, shard_rows=64, precision="float64")
+    p = {k: v.astype(np.float64) for k, v in init_params(cfg).items()}
+    df = _toy(spark, 150, 9).withColumn("id", F.monotonically_increasing_id())
+    pdf = df.orderBy("id").toPandas()
+    xd = pdf[COLS[1]].to_numpy().astype(np.float32).astype(np.float64)
+    logits, y = forward(p, pdf[COLS[0]].to_numpy(), xd), pdf["purchased"].to_numpy(np.float64)
+    batches = [bce_with_logits(logits[s:s + 32], y[s:s + 32])[0] for s in range(0, 150, 32)]
+    got = sorted(map(tuple, dlrm.dlrm_loss_parts(df, p, cfg, *COLS, order=["id"]).collect()))
+    assert [g[:3] for g in got] == [(0, 64, 2), (1, 64, 2), (2, 22, 1)]
+    assert np.allclose([g[3] for g in got], [sum(batches[:2]), sum(batches[2:4]), batches[4]])
+    assert np.isclose(dlrm_loss(df, p, cfg, *COLS, order=["id"]), np.mean(batches))
+    assert np.isnan(dlrm_loss(df.limit(0), p, cfg, *COLS))
+    with pytest.raises(ValueError):
+        dlrm_train(df.limit(0), None, cfg, *COLS)
+    with pytest.raises(ValueError):
+        dlrm_train(df, None, DLRMConfig(**SMALL, batch_size=32, shard_rows=100), *COLS)
 
 
 def test_weights_round_trip(spark, tmp_dir):
@@ -131,7 +242,6 @@ def test_training_row_cap_is_deterministic(spark):
     train = _toy(spark, 600, 8)
     cols = ["a", "b", "c", "x", "w", "purchased"]
     assert capped(train, cols, 200).count() == 200
-    a = dlrm_train(train, None, cfg, ["a", "b", "c"], ["x", "w"], workers=1, max_rows=200)
-    b = dlrm_train(train.repartition(5), None, cfg, ["a", "b", "c"], ["x", "w"], workers=1,
-                   max_rows=200)
+    a = dlrm_train(train, None, cfg, ["a", "b", "c"], ["x", "w"], max_rows=200)
+    b = dlrm_train(train.repartition(5), None, cfg, ["a", "b", "c"], ["x", "w"], max_rows=200)
     assert a.history[0]["train_loss"] == b.history[0]["train_loss"]

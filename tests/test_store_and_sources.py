@@ -116,7 +116,7 @@ def test_app_flow_end_to_end(spark, tmp_dir):
     cfg = DLRMConfig(num_embeddings=st.num_embeddings() + 1, embed_dim=8, bottom=(16, 8),
                      top=(16, 16), epochs=1)
     train = st.transform(ctx.train_dataset)
-    res = dlrm_train(train, None, cfg, null_codes="reserve", workers=2,
+    res = dlrm_train(train, None, cfg, null_codes="reserve",
                      save_best=f"{tmp_dir}/best")
     saved = load_weights(spark, f"{tmp_dir}/best")
     assert all(np.array_equal(saved[k], res.params[k]) for k in res.params)
@@ -131,7 +131,7 @@ def test_app_flow_end_to_end(spark, tmp_dir):
     test = ctx.dataset.filter(split.split_index(["customer_id", "menu_item_name"]) == 2)
     metrics = evaluate_sample(test, st, res.params, cfg, n=100, null_codes="reserve")
     assert 0.0 <= metrics["AUC"] <= 1.0 and set(metrics) == {"AUC", "Precision", "Recall", "F1_Score"}
-    logged = sinks.log_metrics(spark, f"{tmp_dir}/metrics", "PyTorchRecModel", "V1", metrics)
+    logged = sinks.log_metrics(spark, f"{tmp_dir}/metrics", "menu_recommender", "V1", metrics)
     assert logged.count() == 4
 
 
