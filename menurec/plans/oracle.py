@@ -523,6 +523,47 @@ def _train_ledger() -> str:
         "    FROM batched WHERE part = 0 GROUP BY shard)")
 
 
+# Per raw table: its number of columns and those that the fixture fills, by kind.
+FILLED = {
+    "country": (7, ["iso_country", "country", "city"], ["city_id"], []),
+    "menu": (11, ["menu_type", "menu_item_name", "item_category", "item_subcategory", "truck_brand_name"],
+             ["menu_item_id", "menu_item_id", "sale_price_usd"], []),
+    "location": (7, ["city || '..' || country || '.'", "city", "country"], ["location_id"], []),
+    "order_detail": (9, [], ["order_detail_id", "order_id", "menu_item_id", "line_number", "quantity", "price"], []),
+    "order_header": (16, [], ["order_id", "truck_id", "location_id", "customer_id", "order_total"], ["order_ts"]),
+    "truck": (14, ["primary_city", "region", "country"], ["truck_id", "franchise_flag", "franchise_id"], []),
+    "franchise": (7, ["last_name"], ["franchise_id"], []),
+    "customer_loyalty": (15, ["first_name", "city", "country", "gender", "marital_status"],
+                         ["customer_id"], ["birthday_date"]),
+}
+
+
+def _bulk_load() -> str:
+    def total(parts):
+        return " + ".join(f"coalesce(sum({p}), 0)" for p in parts) or "0"
+
+    def table(name):
+        n, text, numbers, days = FILLED[name]
+        filled = [*text, *numbers, *days]
+        nulls = " + ".join([f"{n - len(filled)} * count(*)", *[f"(count(*) - count({c}))" for c in filled]])
+        chars = total([f"length({c})" for c in text])
+        sums = total([f"CAST({c} AS DECIMAL(28,4))" for c in numbers])
+        since = total([f"date_diff('day', DATE '1970-01-01', CAST({c} AS DATE))" for c in days])
+        return (f"SELECT '{name}' AS table_name, count(*) AS rows, count(*) AS manifest_rows,\n"
+                f"       CAST({nulls} AS BIGINT) AS nulls, CAST({chars} AS BIGINT) AS chars,\n"
+                f"       CAST({sums} AS DOUBLE) AS numbers, CAST({since} AS BIGINT) AS days\nFROM {name}")
+
+    return _with("\nUNION ALL ".join(table(n) for n in FILLED),
+                 "country AS (SELECT n_nationkey AS city_id, n_name AS city, r_name AS country,\n"
+                 "    substr(r_name, 1, 2) AS iso_country FROM geo)")
+
+
+INCREMENTAL_LOAD = _with("""
+SELECT CAST(CASE WHEN order_id % 4 < 3 THEN 1 ELSE 2 END AS BIGINT) AS load_no,
+       count(DISTINCT order_id % 4) AS files, count(*) AS rows, CAST(sum(quantity) AS BIGINT) AS quantity
+FROM order_detail GROUP BY 1""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "dlrm_forward": _dlrm_forward(),
@@ -534,6 +575,9 @@ def oracle_sql() -> dict[str, str]:
         "customer_features": CUSTOMER_FEATURES,
         "menu_features": MENU_FEATURES,
         "filter_options": FILTER_OPTIONS,
+        "filter_options_sql": FILTER_OPTIONS,
+        "bulk_load": _bulk_load(),
+        "incremental_load": INCREMENTAL_LOAD,
         "interactions": INTERACTIONS,
         "interactions_dedup": INTERACTIONS_DEDUP,
         "never_visited": NEVER_VISITED,

@@ -26,10 +26,12 @@ from menurec.operators.dlrm import DLRMConfig, dlrm_loss_parts, dlrm_score, dlrm
 from menurec.operators.feature_store import retrieve
 from menurec.operators.interactions import interactions, purchased_interactions
 from menurec.operators.preprocess import Preprocessor, apply_min_max, fit_min_max
+from menurec.plans import warehouse
 from menurec.schemas import DENSE_FEATURES, SPARSE_FEATURES
 from menurec.sources import adapter
 from menurec.session import checkpoint_dir
 from menurec.sources.load import load_domain
+from menurec.sources.sql import run_sql
 
 # Fixed query parameters (the oracle SQL uses the same values).
 EXCLUDED = adapter.EXCLUDED_CATEGORY
@@ -42,6 +44,14 @@ KEYS = ["customer_id", "menu_item_name"]
 CODES = [c + "_encoded" for c in SPARSE_FEATURES]
 SAMPLE_ROWS = 5_000
 TOP_K = 3
+FILTER_OPTIONS_TEXT = """
+WITH listed AS (
+    SELECT 'country' AS kind, country AS value FROM {customers}
+    UNION SELECT 'city', city FROM {customers}
+    UNION SELECT 'truck_brand_name', truck_brand_name FROM {items}
+    UNION SELECT 'city_in_country', city FROM {customers} WHERE array_contains(:countries, country))
+SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY value NULLS LAST) AS position, value
+FROM listed"""
 SPLIT_NAMES = ["train", "validation", "test"]
 LEDGER_SHARD = 2048                # rows of a shard in train_ledger: several at every size
 FIXED_MODEL = {"embed_dim": 2, "bottom": (3, 2), "top": (3, 2)}   # of dlrm_forward
@@ -360,6 +370,14 @@ def q_train_ledger(spark, base):
                             F.when(F.col("epoch") == 1, six(F.col("first_loss"))).alias("first_loss")))
 
 
+def q_filter_options_sql(spark, base):
+    """The picker lists from SQL text over the feature frames, countries as a
+    parameter."""
+    ctx = Context(spark, base)
+    return plain(run_sql(spark, FILTER_OPTIONS_TEXT, {"customers": ctx.customers, "items": ctx.all_items},
+                         {"countries": FILTER_COUNTRIES}))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "dlrm_forward": q_dlrm_forward,
     "orders_v": q_orders_v,
@@ -368,6 +386,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "customer_features": q_customer_features,
     "menu_features": q_menu_features,
     "filter_options": q_filter_options,
+    "filter_options_sql": q_filter_options_sql,
     "interactions": q_interactions,
     "interactions_dedup": q_interactions_dedup,
     "never_visited": q_never_visited,
@@ -385,6 +404,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "training_set": q_training_set,
     "encoded": q_encoded,
     "scaled": q_scaled,
+    **warehouse.QUERIES,
     "dlrm_scores": q_dlrm_scores,
     "dlrm_loss": q_dlrm_loss,
     "train_ledger": q_train_ledger,

@@ -13,7 +13,8 @@ the very same rows:
   supplier key, the location is ``custkey % 25``.
 * truck: supplier with nation (city) and region (country); franchise = nation.
 * franchise: nations below 24, so one nation's trucks find no franchise.
-* location: nation with its region.
+* location: nation with its region; country: the nations as cities, with the
+  region as country and its first two letters as code.
 * customer_loyalty: customers except every tenth (``custkey % 10 = 9``), whose
   orders become anonymous; gender and birthday follow fixed rules.
 """
@@ -42,6 +43,7 @@ AS_OF = "2001-08-01"            # "today" for ages, the last order date
 
 @dataclass
 class DomainTables:
+    country: DataFrame
     menu: DataFrame
     order_detail: DataFrame
     order_header: DataFrame
@@ -126,6 +128,13 @@ def adapt(spark: SparkSession, base: str) -> DomainTables:
     )
 
     key = F.col("c_custkey")
+    country = geo.select(
+        F.col("n_nationkey").alias("city_id"),
+        F.col("n_name").alias("city"),
+        F.col("r_name").alias("country"),
+        F.substring("r_name", 1, 2).alias("iso_country"),
+    )
+
     customer_loyalty = customer.filter(
         key % ANONYMOUS_MODULUS != ANONYMOUS_REMAINDER).join(
         geo, customer.c_nationkey == geo.n_nationkey).select(
@@ -140,6 +149,7 @@ def adapt(spark: SparkSession, base: str) -> DomainTables:
     )
 
     return DomainTables(
+        country=conform(country, schemas.COUNTRY),
         menu=conform(menu, schemas.MENU),
         order_detail=conform(order_detail, schemas.ORDER_DETAIL),
         order_header=conform(order_header, schemas.ORDER_HEADER),

@@ -13,7 +13,7 @@ the table has columns, fail too (``FAILFAST``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -44,18 +44,59 @@ def to_typed(raw: DataFrame, schema: T.StructType) -> DataFrame:
     return raw.select(*cols)
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType,
-             recursive: bool = False) -> DataFrame:
-    """Read every CSV file under ``path`` (a file, folder or glob)."""
+# Fixed names of the file columns Spark adds to a scan.
+FILE_PATH, FILE_SIZE = "_metadata.file_path", "_metadata.file_size"
+
+
+def has_line_break() -> Column:
+    """Whether a file's lines (``value``, aggregated) hold a quoted line break: a
+    quoted field that is not closed on its line leaves an odd number of quotes
+    (a doubled quote counts twice)."""
+    return F.max(F.regexp_count(F.col("value"), F.lit('"')) % 2) == 1
+
+
+def _reader(spark: SparkSession, schema: T.StructType, recursive: bool, multiline: bool):
     reader = spark.read.schema(text_schema(schema)).options(**READER_OPTIONS)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
-    return to_typed(reader.csv(path), schema)
+    return reader.option("multiLine", "true") if multiline else reader
+
+
+def read_csv_files(spark: SparkSession, plain: list[str], broken: list[str],
+                   schema: T.StructType) -> DataFrame:
+    """The typed rows of files without (``plain``) and with quoted line breaks."""
+    parts = [_reader(spark, schema, False, multi).csv(paths)
+             for paths, multi in ((plain, False), (broken, True)) if paths]
+    if not parts:
+        return to_typed(spark.createDataFrame([], text_schema(schema)), schema)
+    return to_typed(parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1]), schema)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType,
+             recursive: bool = False, multiline: bool | None = False) -> DataFrame:
+    """Read every CSV file under ``path`` (a file, folder or glob).
+
+    Quoted line breaks need ``multiline``, but a file read that way is one
+    task's work however large it is.  ``None`` looks first (one more scan of
+    the text): only the files that hold a quoted line break are read so, all
+    others are split as usual.
+    """
+    if multiline is not None:
+        return to_typed(_reader(spark, schema, recursive, multiline).csv(path), schema)
+    text = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path)
+    # one row per file
+    files = {r["path"]: r["broken"] for r in text.groupBy(F.col(FILE_PATH).alias("path"))
+             .agg(has_line_break().alias("broken")).collect()}
+    if not any(files.values()):
+        return to_typed(_reader(spark, schema, recursive, False).csv(path), schema)
+    return read_csv_files(spark, sorted(f for f, b in files.items() if not b),
+                          sorted(f for f, b in files.items() if b), schema)
 
 
 def load_csv_table(spark: SparkSession, path: str, schema: T.StructType, target: str,
-                   mode: str = "overwrite", recursive: bool = False) -> DataFrame:
+                   mode: str = "overwrite", recursive: bool = False,
+                   multiline: bool | None = False) -> DataFrame:
     """Bulk load: read the CSV files under ``path`` and write them as a typed
     parquet table at ``target``; returns a scan of the table."""
-    read_csv(spark, path, schema, recursive).write.mode(mode).parquet(target)
+    read_csv(spark, path, schema, recursive, multiline).write.mode(mode).parquet(target)
     return spark.read.schema(schema).parquet(target)

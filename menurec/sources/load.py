@@ -31,10 +31,12 @@ from pyspark.sql.utils import AnalysisException
 from menurec import schemas
 from menurec.session import checkpoint_dir
 from menurec.sources.adapter import DomainTables, adapt
+from menurec.sources.bulk_load import staged
 
 DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 BUCKETED = ("order_detail", "order_header")    # bucketed by BUCKET_KEY
 BUCKET_KEY = "order_id"
+BUCKET_BYTES = 128 << 20    # of compressed input, a few times that in memory
 _LOADED: dict[tuple[str, str], tuple[str, int]] = {}
 
 
@@ -107,8 +109,9 @@ def load_domain(spark: SparkSession, base: str, target: str | None = None,
                 buckets: int | None = None) -> DomainTables:
     """Typed domain tables for the driver tables under ``base``.
 
-    ``buckets`` (default: ``spark.sql.shuffle.partitions``) sets the bucket
-    count of the fact tables; a published load keeps the count it was
+    ``buckets`` sets the bucket count of the fact tables; by default one per
+    ``BUCKET_BYTES`` of their input files, but not fewer than
+    ``spark.sql.shuffle.partitions``.  A published load keeps the count it was
     written with.
     """
     root = (target or _tables_root(spark)).rstrip("/") + "/" + _fingerprint(spark, base)
@@ -116,11 +119,10 @@ def load_domain(spark: SparkSession, base: str, target: str | None = None,
     found = _LOADED.get(key) or _published(spark, root)
     if found is None:
         path = f"{root}/{uuid.uuid4().hex}"
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        size = sum(staged(spark, f"{base}/{t}.parquet")[1] for t in ("orders", "lineitem"))
+        n = buckets or max(-(-size // BUCKET_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions")))
         tables = adapt(spark, base)
         for name in schemas.RAW_TABLES:
-            if name == "country":
-                continue
             df = getattr(tables, name)
             if name in BUCKETED:
                 # Hash-partition into the bucket count first: Spark's bucket of
@@ -138,8 +140,6 @@ def load_domain(spark: SparkSession, base: str, target: str | None = None,
     path, n = found
     out = {}
     for name in schemas.RAW_TABLES:
-        if name == "country":
-            continue
         if name in BUCKETED:
             out[name] = spark.table(_attach(spark, path, name, n))
         else:

@@ -10,7 +10,6 @@ from menurec.operators.feature_store import Entity, FeatureStore
 from menurec.operators.preprocess import PreprocessState, Preprocessor, read_classes_json
 from menurec.plans.queries import Context
 from menurec.sources.csv import load_csv_table
-from menurec.streaming.incremental_load import load_csv_incremental
 
 
 def test_feature_store_lifecycle(spark, tmp_dir):
@@ -79,26 +78,19 @@ def _write_csv(path, lines):
         f.write("\n".join(lines) + "\n")
 
 
-def test_bulk_and_incremental_csv_load(spark, tmp_dir):
+def test_csv_table_load(spark, tmp_dir):
     src = f"{tmp_dir}/src"
     os.makedirs(src)
     _write_csv(f"{src}/a.csv", ['1,pk,"Main St, 1",Paris,IDF,FR,France', "2,NULL,,Lyon,null,FR,France"])
     t = load_csv_table(spark, src, schemas.LOCATION, f"{tmp_dir}/bulk")
     assert rows(t, "location_id", "placekey", "location") == [
         (1, "pk", "Main St, 1"), (2, None, None)]
-    target, ckpt = f"{tmp_dir}/loc", f"{tmp_dir}/ckpt"
-    load_csv_incremental(spark, src, schemas.LOCATION, target, ckpt)
-    assert spark.read.parquet(target).count() == 2
-    _write_csv(f"{src}/b.csv", ["3,pk3,Dock,Nice,PACA,FR,France"])
-    load_csv_incremental(spark, src, schemas.LOCATION, target, ckpt)
-    load_csv_incremental(spark, src, schemas.LOCATION, target, ckpt)   # nothing new
-    assert sorted(r.location_id for r in spark.read.parquet(target).collect()) == [1, 2, 3]
 
 
 def test_parameterised_sql_source(spark):
     from menurec.sources.sql import run_sql
     ctx = Context(spark, SF_SMALL)
-    out = run_sql(spark, "SELECT DISTINCT city FROM customer_features "
+    out = run_sql(spark, "SELECT DISTINCT city FROM {customer_features} "
                          "WHERE array_contains(:countries, country) ORDER BY city",
                   {"customer_features": ctx.customers}, {"countries": ["AMERICA", "O'Brien"]})
     from menurec.operators.audience import filter_options
