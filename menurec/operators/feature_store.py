@@ -3,18 +3,26 @@
 * entities: a name and its join keys;
 * feature views: a named, versioned DataFrame over one or more entities,
   materialised as parquet under ``<root>/views/<name>/<version>/<snapshot>``;
-* datasets: a spine left-joined to views, optionally materialised under
-  ``<root>/datasets/<name>/<snapshot>``.
+* datasets: a spine left-joined to views, materialised under
+  ``<root>/datasets/<name>/<snapshot>`` in parts (train, validation, test), so
+  that a read of one part opens only its files.
 
 Every write goes to a new snapshot folder and the registry then points at
-it, so a reader holding an older snapshot is never cut off by a refresh.
+it, so a reader holding an older snapshot is never cut off by a refresh;
+:meth:`FeatureStore.vacuum` removes the snapshots that nothing points at.
 
 The registry is an append-only log (``<root>/registry``): every register,
-refresh and delete appends one small row, and the current state is the latest
-row per object.  Nothing is ever overwritten while being read, and concurrent
-writers only add files.  Scheduling a refresh ("every day") belongs to the
-caller; :meth:`FeatureStore.refresh` recomputes and overwrites one version.
-Point-in-time joins are not part of the source and not offered.
+refresh and delete appends one small row with the object's next sequence
+number, and the current state is the row with the highest number per object.
+Nothing is ever overwritten while being read, and concurrent writers only add
+files (of two that take the same number the later clock wins).
+
+A view with a :class:`MergeableView` definition refreshes from new rows only:
+its state (sums, minima, maxima per key) is kept beside it and merged with the
+state of the new rows.  A refresh names the position in the source that it
+covers (``upto``), so one that is repeated adds nothing.  Other views are
+recomputed and overwritten.  Scheduling a refresh ("every day") belongs to the
+caller.  Point-in-time joins are not part of the source and not offered.
 """
 
 from __future__ import annotations
@@ -22,15 +30,31 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.errors import AnalysisException
 
 REGISTRY_SCHEMA = ("kind string, name string, version string, spec string, "
-                   "deleted boolean, at double")
+                   "deleted boolean, seq long, at double")
+PART = "part"    # partition column of datasets
+
+
+@dataclass(frozen=True)
+class MergeableView:
+    """A view kept up to date from new rows: ``partial`` makes the state of some
+    rows (``keys`` and the columns of ``merge``), ``merge`` says how states of
+    the same keys combine (sum, min or max), ``finish`` makes the view."""
+    keys: tuple[str, ...]
+    partial: Callable[[DataFrame], DataFrame]
+    merge: Mapping[str, str]
+    finish: Callable[[DataFrame], DataFrame]
+
+    def merged(self, states: DataFrame) -> DataFrame:
+        how = {"sum": F.sum, "min": F.min, "max": F.max}
+        return states.groupBy(*self.keys).agg(*[how[h](c).alias(c) for c, h in self.merge.items()])
 
 
 @dataclass(frozen=True)
@@ -56,27 +80,34 @@ class FeatureView:
 
 
 class FeatureStore:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str,
+                 definitions: Mapping[str, MergeableView] | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
+        self.definitions = dict(definitions or {})
 
     # -- registry log ------------------------------------------------------
     def _log(self, kind: str, name: str, version: str, spec: dict, deleted: bool = False):
-        row = [(kind, name, version, json.dumps(spec), deleted, time.time())]
+        last = self._registry().filter(
+            (F.col("kind") == kind) & (F.lower("name") == name.lower())
+            & (F.col("version") == version)).agg(F.max("seq")).first()[0] or 0
+        row = [(kind, name, version, json.dumps(spec), deleted, last + 1, time.time())]
         self.spark.createDataFrame(row, REGISTRY_SCHEMA).coalesce(1).write.mode(
             "append").parquet(f"{self.root}/registry")
 
-    def _current(self, kind: str) -> DataFrame:
-        """Latest non-deleted registry row per (name, version) of ``kind``."""
+    def _registry(self) -> DataFrame:
         try:
-            log = self.spark.read.schema(REGISTRY_SCHEMA).parquet(f"{self.root}/registry")
+            return self.spark.read.schema(REGISTRY_SCHEMA).parquet(f"{self.root}/registry")
         except AnalysisException as exc:
             if "PATH_NOT_FOUND" not in str(exc):
                 raise  # a failing read is not an empty registry
             return self.spark.createDataFrame([], REGISTRY_SCHEMA)
+
+    def _current(self, kind: str) -> DataFrame:
+        """Latest non-deleted registry row per (name, version) of ``kind``."""
         w = Window.partitionBy(F.lower("name"), "version").orderBy(
-            F.col("at").desc(), F.col("deleted").desc(), F.col("spec"))
-        latest = log.filter(F.col("kind") == kind).withColumn(
+            F.col("seq").desc(), F.col("at").desc(), F.col("deleted").desc(), F.col("spec"))
+        latest = self._registry().filter(F.col("kind") == kind).withColumn(
             "_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
         return latest.filter(~F.col("deleted"))
 
@@ -132,21 +163,58 @@ class FeatureStore:
                     raise ValueError(f"join key {k!r} of {e.name!r} not in the view")
                 if k.lower() not in {x.lower() for x in keys}:
                     keys.append(k)
-        path = self._view_path(name, version)
-        df.write.mode("overwrite").parquet(path)
         spec = {"entities": [e.name for e in entities], "join_keys": keys,
-                "path": path, "refresh_freq": refresh_freq}
-        self._log("view", name, version, spec)
+                "refresh_freq": refresh_freq}
+        return self._publish(name, version, spec, df)
+
+    def _publish(self, name: str, version: str, spec: dict, df: DataFrame) -> FeatureView:
+        path = self._view_path(name, version)
+        df.write.parquet(path)
+        self._log("view", name, version, {**spec, "path": path})
         return self.get_view(name, version)
 
-    def refresh(self, name: str, version: str, df: DataFrame) -> FeatureView:
-        """Recompute a registered version from ``df`` and overwrite it."""
+    def register_mergeable(self, name: str, entities: Sequence[Entity], definition: str,
+                           rows: DataFrame, version: str, upto: int,
+                           refresh_freq: str | None = None) -> FeatureView:
+        """Materialise the view that ``definition`` (a name of ``definitions``)
+        makes of ``rows``, the source up to position ``upto``; later refreshes
+        take only the rows behind it."""
+        made = self.definitions[definition]
+        state = self._write_state(name, version, made.partial(rows))
+        view = self.register_view(name, entities, made.finish(state[0]), version, refresh_freq)
+        spec = self._lookup("view", name, version)
+        self._log("view", name, version, {**spec, "definition": definition, "upto": upto, "state": state[1]})
+        return view
+
+    def _write_state(self, name: str, version: str, state: DataFrame) -> tuple[DataFrame, str]:
+        path = self._view_path(name, version)
+        state.write.parquet(path)
+        return self.spark.read.parquet(path), path
+
+    def refresh(self, name: str, version: str, df: DataFrame, upto: int | None = None) -> FeatureView:
+        """Bring a registered version up to date.
+
+        A mergeable view takes only the new rows of its source (``df``, up to
+        position ``upto``) and merges their state into the stored one; if the
+        stored state already covers ``upto``, nothing changes.  Any other view
+        is overwritten with ``df``, the recomputed features."""
         spec = self._lookup("view", name, version)
         if spec is None:
             raise KeyError(f"feature view {name}/{version} is not registered")
-        entities = [self.get_entity(n) for n in spec["entities"]]
-        return self.register_view(name, entities, df, version, spec.get("refresh_freq"),
-                                  overwrite=True)
+        if "definition" not in spec:
+            entities = [self.get_entity(n) for n in spec["entities"]]
+            return self.register_view(name, entities, df, version, spec.get("refresh_freq"),
+                                      overwrite=True)
+        if upto is None:
+            raise ValueError("refreshing a mergeable view needs the position its rows reach (upto)")
+        if upto <= spec["upto"]:
+            return self.get_view(name, version)
+        made = self.definitions[spec["definition"]]
+        old = self.spark.read.parquet(spec["state"])
+        new = made.partial(df).select(*old.columns)
+        state, path = self._write_state(name, version, made.merged(old.unionByName(new)).select(
+            *[F.col(f.name).cast(f.dataType) for f in old.schema.fields]))
+        return self._publish(name, version, {**spec, "upto": upto, "state": path}, made.finish(state))
 
     def get_view(self, name: str, version: str) -> FeatureView:
         spec = self._lookup("view", name, version)
@@ -173,12 +241,65 @@ class FeatureStore:
         return retrieve(spine, [(v.df, v.join_keys) for v in views])
 
     def dataset(self, name: str, spine: DataFrame, views: Sequence[FeatureView],
-                drop: Sequence[str] = ()) -> DataFrame:
-        """Materialise :meth:`retrieve` under ``<root>/datasets/<name>`` and
-        return a scan of it without the ``drop`` columns."""
+                drop: Sequence[str] = (), part: Column | None = None) -> DataFrame:
+        """Materialise :meth:`retrieve` without the ``drop`` columns under
+        ``<root>/datasets/<name>``, in folders by ``part`` (a whole number per
+        row) if given, and return a scan of it."""
         path = f"{self.root}/datasets/{name}/{uuid.uuid4().hex}"
-        self.retrieve(spine, views).write.mode("overwrite").parquet(path)
-        return self.spark.read.parquet(path).drop(*drop)
+        write_parts(self.retrieve(spine, views).drop(*drop), path, part)
+        self._log("dataset", name, "", {"path": path, "parts": part is not None})
+        return self.get_dataset(name)
+
+    def get_dataset(self, name: str, part: int | None = None) -> DataFrame:
+        """A scan of the dataset, or of the folder of one part."""
+        spec = self._lookup("dataset", name)
+        if spec is None:
+            raise KeyError(f"dataset {name!r} is not registered")
+        rows = self.spark.read.parquet(spec["path"])
+        if part is not None:
+            rows = rows.filter(F.col(PART) == part)
+        return rows.drop(PART) if spec["parts"] else rows
+
+    def list_datasets(self) -> DataFrame:
+        return self._current("dataset").select("name")
+
+    def delete_dataset(self, name: str) -> None:
+        self._log("dataset", name, "", {}, deleted=True)
+
+    # -- files -------------------------------------------------------------
+    def snapshots(self) -> list[str]:
+        """Every snapshot folder on disk (a registered view's state is one too)."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = self._fs()
+        return [found.getPath().toUri().getPath()
+                for pattern in ("views/*/*/*", "datasets/*/*")
+                for found in fs.globStatus(path(f"{self.root}/{pattern}")) or []]
+
+    def _fs(self):
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.root)
+        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def vacuum(self) -> int:
+        """Remove every snapshot that no current view or dataset points at;
+        returns how many.  Call it when no reader holds an older snapshot and
+        no writer is at work."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fields = F.from_json("spec", "path string, state string")
+        used = {path(p).toUri().getPath() for kind in ("view", "dataset")   # a row per object
+                for r in self._current(kind).select(fields.alias("s")).select("s.*").collect()
+                for p in r if p}
+        gone = [p for p in self.snapshots() if p not in used]
+        for p in gone:
+            self._fs().delete(path(p), True)
+        return len(gone)
+
+
+def write_parts(df: DataFrame, path: str, part: Column | None = None) -> None:
+    """Write ``df`` at ``path``, in a folder per value of ``part`` if given."""
+    if part is None:
+        df.write.parquet(path)
+    else:
+        df.withColumn(PART, part.cast("int")).write.partitionBy(PART).parquet(path)
 
 
 def retrieve(spine: DataFrame, views: Sequence[tuple[DataFrame, Sequence[str]]]) -> DataFrame:

@@ -46,11 +46,25 @@ def purchase_spans(orders: DataFrame, grain: str = "line") -> DataFrame:
             F.max("order_total").alias("order_total"), F.min("date").alias("date"))
     elif grain != "line":
         raise ValueError(f"grain must be 'line' or 'order', not {grain!r}")
-    agg = known.groupBy("customer_id").agg(
+    return with_spans(spend_state(known))
+
+
+# How the partial states of the same customer merge.
+SPEND_MERGE = {"total_spend": "sum", "first_date": "min", "last_date": "max"}
+
+
+def spend_state(orders: DataFrame) -> DataFrame:
+    """Spend, first and last order date per known customer: all that the averages
+    need, and mergeable (:data:`SPEND_MERGE`) with the state of other orders."""
+    return orders.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
         F.sum("order_total").alias("total_spend"),
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"))
-    return agg.select(
+
+
+def with_spans(state: DataFrame) -> DataFrame:
+    """The state with the boundaries between its dates counted."""
+    return state.select(
         "customer_id", "total_spend", "first_date", "last_date",
         months_between_boundaries("first_date", "last_date").alias("months"),
         weeks_between("first_date", "last_date").alias("weeks"),
@@ -65,8 +79,12 @@ def purchase_averages(orders: DataFrame, grain: str = "line") -> DataFrame:
     one aggregate gives the same rows (the NULL customer, which that join
     drops, is filtered first).
     """
-    s = purchase_spans(orders, grain)
-    return s.select(
+    return span_averages(purchase_spans(orders, grain))
+
+
+def span_averages(spans: DataFrame) -> DataFrame:
+    """Average spend per period of counted spans."""
+    return spans.select(
         "customer_id",
         rounded_average("total_spend", F.col("months") + 1).alias("avg_monthly_purchase_amount"),
         rounded_average("total_spend", F.col("weeks") + 1).alias("avg_weekly_purchase_amount"),

@@ -564,6 +564,23 @@ SELECT CAST(CASE WHEN order_id % 4 < 3 THEN 1 ELSE 2 END AS BIGINT) AS load_no,
 FROM order_detail GROUP BY 1""")
 
 
+# Snapshots: state and view of the purchase view, before and after its refresh
+# (4); each registration, refresh and dataset adds one; the first vacuum keeps
+# state, two views and the dataset, the last keeps none.
+FEATURE_STORE = _with("""
+SELECT CAST(step AS BIGINT) AS step, name, CAST(rows AS BIGINT) AS rows, CAST(snapshots AS BIGINT) AS snapshots FROM (
+    SELECT 1 AS step, 'register view' AS name, count(*) AS rows, 5 AS snapshots FROM customer_features WHERE country = 'ASIA'
+    UNION ALL SELECT 2, 'refresh view', count(*), 6 FROM customer_features
+    UNION ALL SELECT 3, 'get view', count(*), 6 FROM customer_features
+    UNION ALL SELECT 4, 'list views', 2, 6
+    UNION ALL SELECT 5, 'dataset', count(*), 7 FROM customer_features
+    UNION ALL SELECT 6, 'part of the dataset', count(*), 7 FROM averages WHERE customer_id % 3 = 1
+    UNION ALL SELECT 7, 'vacuum', 3, 4
+    UNION ALL SELECT 8, 'list views after a delete', 1, 4
+    UNION ALL SELECT 9, 'list entities after all deletes', 0, 4
+    UNION ALL SELECT 10, 'last vacuum', 4, 0)""")
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "dlrm_forward": _dlrm_forward(),
@@ -577,6 +594,8 @@ def oracle_sql() -> dict[str, str]:
         "filter_options": FILTER_OPTIONS,
         "filter_options_sql": FILTER_OPTIONS,
         "bulk_load": _bulk_load(),
+        "refreshed_features": PURCHASE_AVERAGES,
+        "feature_store": FEATURE_STORE,
         "incremental_load": INCREMENTAL_LOAD,
         "interactions": INTERACTIONS,
         "interactions_dedup": INTERACTIONS_DEDUP,

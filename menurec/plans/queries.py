@@ -10,6 +10,7 @@ compared value by value.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from functools import cached_property
@@ -23,7 +24,7 @@ from menurec.functions.hashing import md5_score, pair_key
 from menurec.operators import audience as aud
 from menurec.operators import evaluate, features, harmonize, recommend, split
 from menurec.operators.dlrm import DLRMConfig, dlrm_loss_parts, dlrm_score, dlrm_train
-from menurec.operators.feature_store import retrieve
+from menurec.operators.feature_store import PART, retrieve, write_parts
 from menurec.operators.interactions import interactions, purchased_interactions
 from menurec.operators.preprocess import Preprocessor, apply_min_max, fit_min_max
 from menurec.plans import warehouse
@@ -128,18 +129,25 @@ class Context:
         keys = ["customer_id", "menu_item_name"]
         return self.dataset.filter(split.split_index(keys) == 0)
 
+    @cached_property
+    def snapshot(self) -> DataFrame:
+        """The dataset written once (the source's generate_dataset), a folder
+        per split part: fitting and transforming read the columns and parts
+        they need instead of re-running the joins behind it."""
+        path = f"{checkpoint_dir(self.spark)}/dataset-{uuid.uuid4().hex}"
+        write_parts(self.dataset, path, split.split_index(KEYS))
+        return self.spark.read.parquet(path)
+
     @cached_property
     def dataset_table(self) -> DataFrame:
-        """The dataset materialised once (the source's generate_dataset):
-        fitting and transforming then read it instead of re-running the
-        joins behind it."""
-        checkpoint_dir(self.spark)
-        return self.dataset.checkpoint(eager=True)
+        return self.snapshot.drop(PART)
+
+    def part_table(self, part: int) -> DataFrame:
+        return self.snapshot.filter(F.col(PART) == part).drop(PART)
 
     @cached_property
     def train_table(self) -> DataFrame:
-        keys = ["customer_id", "menu_item_name"]
-        return self.dataset_table.filter(split.split_index(keys) == 0)
+        return self.part_table(0)
 
     @cached_property
     def preprocess_state(self):
@@ -278,10 +286,7 @@ def q_binary_metrics(spark, base):
 
 def q_training_set(spark, base):
     ctx = Context(spark, base)
-    checkpoint_dir(spark)
-    train = ctx.train_dataset.checkpoint(eager=True)
-    state = Preprocessor().fit(train)
-    return plain(state.transform(train, in_place=True))
+    return plain(ctx.preprocess_state.transform(ctx.train_table, in_place=True))
 
 
 def q_encoded(spark, base):
@@ -304,10 +309,9 @@ def q_dlrm_scores(spark, base):
     ctx = Context(spark, base)
     st = ctx.preprocess_state
     coded = st.transform(ctx.dataset_table, in_place=False)
-    part = split.split_index(KEYS)
+    train, val = (st.transform(ctx.part_table(i), in_place=False) for i in (0, 1))
     cfg = DLRMConfig(num_embeddings=st.num_embeddings() + 1)
-    result = dlrm_train(coded.filter(part == 0), coded.filter(part == 1), cfg, sparse=CODES,
-                        null_codes="reserve", order=by_key())
+    result = dlrm_train(train, val, cfg, sparse=CODES, null_codes="reserve", order=by_key())
     scored = dlrm_score(coded, result.params, cfg, sparse=CODES, null_codes="reserve",
                         partitions=spark.sparkContext.defaultParallelism)
     return plain(scored.select("customer_id", "menu_item_name", "purchased", "prediction"))
@@ -336,13 +340,13 @@ def q_dlrm_forward(spark, base):
                                (F.floor(F.col("prediction") * 1e6 + 0.5) / 1e6).alias("prediction")))
 
 
-def fixed_model(spark, base):
-    """The coded dataset, its split, and a small model of fixed weights."""
+def fixed_model(spark, base, part):
+    """The coded rows of a split part, and a small model of fixed weights."""
     ctx = Context(spark, base)
     st = ctx.preprocess_state
     cfg = DLRMConfig(num_embeddings=st.num_embeddings() + 1, precision="float64",
                      shard_rows=LEDGER_SHARD, **FIXED_MODEL)
-    return st.transform(ctx.dataset_table, in_place=False), split.split_index(KEYS), cfg
+    return st.transform(ctx.part_table(part), in_place=False), cfg
 
 
 def six(c):
@@ -352,8 +356,8 @@ def six(c):
 def q_dlrm_loss(spark, base):
     """The fixed model's loss over the validation split, shard by shard: rows,
     batches, and the mean of the batches' mean losses."""
-    coded, part, cfg = fixed_model(spark, base)
-    got = dlrm_loss_parts(coded.filter(part == 1), fixed_weights(cfg), cfg, sparse=CODES,
+    coded, cfg = fixed_model(spark, base, 1)
+    got = dlrm_loss_parts(coded, fixed_weights(cfg), cfg, sparse=CODES,
                           null_codes="reserve", order=by_key())
     return plain(got.select("shard", "rows", "batches", six(F.col("loss") / F.col("batches")).alias("loss")))
 
@@ -363,8 +367,8 @@ def q_train_ledger(spark, base):
     epoch and shard the rows, the batches and the optimiser step reached.  The
     first batch of the first epoch meets the fixed weights, so its loss is known
     (NULL in later epochs)."""
-    coded, part, cfg = fixed_model(spark, base)
-    got = dlrm_train(coded.filter(part == 0), None, cfg, sparse=CODES, null_codes="reserve",
+    coded, cfg = fixed_model(spark, base, 0)
+    got = dlrm_train(coded, None, cfg, sparse=CODES, null_codes="reserve",
                      order=by_key(), start=fixed_weights(cfg)).ledger
     return plain(got.select("epoch", "shard", "rows", "batches", "steps",
                             F.when(F.col("epoch") == 1, six(F.col("first_loss"))).alias("first_loss")))

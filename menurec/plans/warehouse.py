@@ -16,7 +16,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from menurec import schemas
+from menurec.operators import features, harmonize
+from menurec.operators.feature_store import Entity, FeatureStore, MergeableView
 from menurec.session import checkpoint_dir
+from menurec.sources import adapter
 from menurec.sources.bulk_load import bulk_load, loaded_tables
 from menurec.sources.csv import NULL_MARKERS
 from menurec.sources.load import load_domain
@@ -112,7 +115,80 @@ def q_incremental_load(spark, base):
     return files.join(rows, "load").select("load_no", "files", "rows", "quantity")
 
 
+SPEND = MergeableView(("customer_id",), features.spend_state, features.SPEND_MERGE,
+                      lambda state: features.span_averages(features.with_spans(state)))
+FIRST_YEARS = "1997-01-01"   # the store is set up with the orders before
+
+
+def order_lines(tables, which) -> DataFrame:
+    """The order-line view of the orders that ``which`` (a condition on the
+    order header) admits."""
+    return harmonize.orders_v(tables.order_detail, tables.order_header.filter(which), tables.truck, tables.menu,
+                              tables.franchise, tables.location, tables.customer_loyalty)
+
+
+def spend_store(spark, base) -> FeatureStore:
+    """A store whose purchase view was registered with the early orders and
+    refreshed with the later ones alone (and refreshed again, which changes
+    nothing)."""
+    tables = load_domain(spark, base)
+    store = FeatureStore(spark, scratch(spark, "store"), {"spend": SPEND})
+    customer = store.register_entity(Entity("customer", ["customer_id"]))
+    early = F.col("order_ts") < F.lit(FIRST_YEARS).cast("timestamp_ntz")
+    store.register_mergeable("purchase_features", [customer], "spend", order_lines(tables, early), "V1", upto=1)
+    new = order_lines(tables, ~early)
+    store.refresh("purchase_features", "V1", new, upto=2)
+    store.refresh("purchase_features", "V1", new, upto=2)
+    return store
+
+
+def doubles(df: DataFrame) -> DataFrame:
+    """Decimals as doubles, for the comparison with SQL."""
+    return df.select(*[F.col(f.name).cast("double") if isinstance(f.dataType, T.DecimalType) else F.col(f.name)
+                       for f in df.schema.fields])
+
+
+def q_refreshed_features(spark, base):
+    """The purchase view after a refresh that read only the new orders."""
+    return doubles(spend_store(spark, base).get_view("purchase_features", "V1").df)
+
+
+def q_feature_store(spark, base):
+    """A store's life, one row per step: register, get, list, refresh, dataset,
+    delete, vacuum; ``rows`` of what the step shows, ``snapshots`` on disk after
+    it."""
+    tables = load_domain(spark, base)
+    store = spend_store(spark, base)
+    steps: list[tuple[DataFrame, int]] = []
+
+    def step(name: str, shown: DataFrame) -> None:
+        steps.append((shown.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(len(steps) + 1).cast("long").alias("step"),
+                      F.lit(name).alias("name"), "rows").checkpoint(), len(store.snapshots())))
+
+    customer = store.get_entity("customer")
+    people = features.customer_features(tables.customer_loyalty, adapter.AS_OF)
+    step("register view", store.register_view("customer_features", [customer], people.filter("country = 'ASIA'"), "V1").df)
+    step("refresh view", store.refresh("customer_features", "V1", people).df)
+    step("get view", store.get_view("CUSTOMER_FEATURES", "V1").df)
+    step("list views", store.list_views("customer"))
+    spine = tables.customer_loyalty.select("customer_id")
+    views = [store.get_view(v, "V1") for v in ("customer_features", "purchase_features")]
+    step("dataset", store.dataset("people", spine, views, ["birthday_date"], F.pmod("customer_id", F.lit(3))))
+    step("part of the dataset", store.get_dataset("people", 1).filter("avg_monthly_purchase_amount is not null"))
+    step("vacuum", spark.range(store.vacuum()))
+    store.delete_view("purchase_features", "V1")
+    step("list views after a delete", store.list_views())
+    store.delete_dataset("people")
+    store.delete_view("customer_features", "V1")
+    store.delete_entity("customer")
+    step("list entities after all deletes", store.list_entities())
+    step("last vacuum", spark.range(store.vacuum()))
+    return reduce(DataFrame.unionByName, [df.withColumn("snapshots", F.lit(n).cast("long")) for df, n in steps])
+
+
 QUERIES = {
+    "refreshed_features": q_refreshed_features,
+    "feature_store": q_feature_store,
     "bulk_load": q_bulk_load,
     "incremental_load": q_incremental_load,
 }

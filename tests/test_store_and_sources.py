@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
 from menurec import schemas, sinks
@@ -44,6 +45,66 @@ def test_feature_store_lifecycle(spark, tmp_dir):
         fs.get_view("MENU_FEATURES", "V1")
 
 
+def _spend_store(spark, root):
+    from menurec.plans.warehouse import SPEND
+    fs = FeatureStore(spark, root, {"spend": SPEND})
+    return fs, fs.register_entity(Entity("c", ["customer_id"]))
+
+
+def test_refresh_from_new_rows_only(spark, tmp_dir):
+    """A refresh merges states, twice the same refresh adds nothing, and the
+    new rows are the only ones it is given."""
+    from menurec.operators.features import purchase_averages
+    orders = Context(spark, SF_SMALL).orders.cache()
+    third = F.pmod(F.col("order_id"), F.lit(3))
+    fs, c = _spend_store(spark, f"{tmp_dir}/fs")
+    fs.register_mergeable("spend", [c], "spend", orders.filter(third == 0), "V1", upto=0)
+    old = fs.get_view("spend", "V1")
+    for k in (1, 1, 2, 1, 2):
+        fs.refresh("spend", "V1", orders.filter(third == k), upto=k)
+    assert rows(fs.get_view("spend", "V1").df) == rows(purchase_averages(orders))
+    assert rows(old.df) == rows(purchase_averages(orders.filter(third == 0)))   # an old reader keeps its files
+    with pytest.raises(ValueError):
+        fs.refresh("spend", "V1", orders)
+    fs.refresh("spend", "V1", orders.limit(0), upto=3)
+    assert rows(fs.get_view("spend", "V1").df) == rows(purchase_averages(orders))
+    with pytest.raises(KeyError):
+        fs.refresh("spend", "V2", orders, upto=1)
+    orders.unpersist()
+
+
+def test_registry_follows_sequence_not_clock(spark, tmp_dir, monkeypatch):
+    from menurec.operators import feature_store
+    fs, c = _spend_store(spark, f"{tmp_dir}/fs")
+    df = spark.createDataFrame([(1, 2.0)], "customer_id long, x double")
+    fs.register_view("v", [c], df, "V1")
+    monkeypatch.setattr(feature_store.time, "time", lambda: 0.0)   # the clock goes back
+    fs.refresh("V", "V1", df.withColumn("x", F.lit(3.0)))
+    assert fs.get_view("v", "V1").df.first()["x"] == 3.0
+    fs.delete_view("v", "V1")
+    assert fs.list_views().count() == 0
+
+
+def test_datasets_in_parts_and_vacuum(spark, tmp_dir):
+    fs, c = _spend_store(spark, f"{tmp_dir}/fs")
+    people = spark.range(30).selectExpr("id as customer_id", "id * 2 as x", "id * 3 as y")
+    v = fs.register_view("people", [c], people, "V1")
+    fs.dataset("d", people.select("customer_id"), [v], ["y"], F.pmod("customer_id", F.lit(3)))
+    assert fs.get_dataset("d").columns == ["customer_id", "x"] and fs.get_dataset("d").count() == 30
+    one = fs.get_dataset("d", 1).select("x")
+    assert rows(one) == [(2 * i,) for i in range(1, 30, 3)]
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(part" in plan and "ReadSchema: struct<x:bigint>" in plan
+    fs.refresh("people", "V1", people)
+    assert fs.vacuum() == 1 and fs.vacuum() == 0
+    assert fs.get_view("people", "V1").df.count() == 30 and fs.get_dataset("d").count() == 30
+    fs.delete_dataset("d")
+    fs.delete_view("people", "V1")
+    assert fs.vacuum() == 2 and fs.snapshots() == []
+    with pytest.raises(KeyError):
+        fs.get_dataset("d")
+
+
 def test_preprocess_state_round_trips(spark, tmp_dir):
     ds = Context(spark, SF_SMALL).train_dataset
     st = Preprocessor().fit(ds)
