@@ -12,56 +12,58 @@ from pyspark.sql import types as T
 from menurec.plans.joins import and_all, bounded_broadcast
 
 MAX_ITEMS = 100_000
+# The item columns of the source's feature table.
 ITEM_COLUMNS = ["menu_type", "truck_brand_name", "menu_item_name", "item_category",
                 "item_subcategory", "sale_price_usd"]
 
 
-def never_visited(interactions: DataFrame, items: DataFrame, method: str = "aggregate",
+def never_visited(interactions: DataFrame, items: DataFrame,
                   max_items: int = MAX_ITEMS) -> DataFrame:
-    """(customer, brand) pairs without any purchase, times that brand's items.
-
-    Source semantics: ``all`` = DISTINCT (customer, brand, purchased) over
-    interactions joined to items; ``visited`` = the same restricted to
-    purchased = 1; ``all LEFT ANTI JOIN visited ON (customer, brand)``, then
-    joined to every item of the brand (brand column renamed
-    ``item_truck_brand_name``).
-
-    ``method="aggregate"`` (default) gets the same rows from one grouping on
-    (customer, brand): the set of ``purchased`` values and whether any is 1.
-    One shuffle with map-side partial aggregation replaces two DISTINCTs and
-    an anti join; rows with a NULL customer are kept whole, as the anti join
-    (NULL never equals) keeps them.  ``method="anti_join"`` is the literal
-    form.  The items are broadcast to both joins when a count shows at most
-    ``max_items`` rows, and joined by shuffle otherwise.
+    """The (customer, brand) pairs of an interaction table without a purchase,
+    with every ``purchased`` value they have, times the brand's items.
+
+    One grouping on (customer, brand) gathers the pair's values; a pair stays
+    unless one of them is 1.  A NULL customer equals nobody, so no purchase
+    hides its pairs.  For the interactions of loyalty customers
+    :func:`unvisited` gives the same rows without the interaction table.
     """
-    items = bounded_broadcast(items.select(*ITEM_COLUMNS), max_items)
-    pairs = interactions.join(items.select("menu_item_name", "truck_brand_name"),
-                              "menu_item_name")
-    if method == "anti_join":
-        base = pairs.select("customer_id", "truck_brand_name", "purchased")
-        all_pairs = base.distinct()
-        visited = base.filter(F.col("purchased") == 1).distinct()
-        never = all_pairs.join(
-            visited,
-            (all_pairs.customer_id == visited.customer_id)
-            & (all_pairs.truck_brand_name == visited.truck_brand_name),
-            "left_anti")
-    elif method == "aggregate":
-        grouped = pairs.groupBy("customer_id", "truck_brand_name").agg(
-            F.max((F.col("purchased") == 1).cast("int")).alias("visited"),
-            F.collect_set(F.struct("purchased")).alias("values"))
-        never = grouped.filter(
-            F.col("customer_id").isNull() | (F.coalesce(F.col("visited"), F.lit(0)) == 0)
-        ).select("customer_id", "truck_brand_name",
-                 F.explode("values").alias("v")).select(
-            "customer_id", "truck_brand_name", F.col("v.purchased").alias("purchased"))
-    else:
-        raise ValueError(f"unknown method {method!r}")
+    listed = bounded_broadcast(items.select(*ITEM_COLUMNS), max_items)
+    brand_of = listed.select("menu_item_name", "truck_brand_name")
+    pairs = interactions.join(brand_of, "menu_item_name").groupBy("customer_id", "truck_brand_name").agg(
+        F.collect_set(F.struct("purchased")).alias("seen"))
+    bought = F.coalesce(F.exists("seen", lambda s: s["purchased"] == 1), F.lit(False))
+    kept = pairs.filter(F.col("customer_id").isNull() | ~bought)
+    return _with_items(kept.select("customer_id", "truck_brand_name", F.inline("seen")), listed)
+
+
+def unvisited(customers: DataFrame, orders: DataFrame, items: DataFrame,
+              max_items: int = MAX_ITEMS) -> DataFrame:
+    """Every loyalty customer's brands without a purchase of one of their items,
+    times the brand's items: :func:`never_visited` of the full interaction
+    table, from the orders alone.
+
+    A customer's visited brands are a set, and the others are its complement in
+    the set of all brands (one value for the whole plan), so nothing is
+    expanded by items before the pairs are known, and the only shuffles carry
+    distinct (customer, item) pairs and one row per customer.
+    """
+    listed = bounded_broadcast(items.select(*ITEM_COLUMNS), max_items)
+    brand_of = listed.select("menu_item_name", "truck_brand_name")
+    visited = (orders.filter(F.col("customer_id").isNotNull())
+               .select("customer_id", "menu_item_name").distinct().join(brand_of, "menu_item_name")
+               .groupBy("customer_id").agg(F.collect_set("truck_brand_name").alias("visited")))
+    brands = items.agg(F.collect_set("truck_brand_name")).scalar()
+    others = F.array_except(brands, F.coalesce("visited", F.array().cast("array<string>")))
+    pairs = customers.select("customer_id").distinct().join(visited, "customer_id", "left").select(
+        "customer_id", F.explode(others).alias("truck_brand_name"), F.lit(0).alias("purchased"))
+    return _with_items(pairs, listed)
+
 
-    renamed = items.toDF(*ITEM_COLUMNS).withColumnRenamed(
-        "truck_brand_name", "item_truck_brand_name")
-    joined = never.join(renamed, never.truck_brand_name == renamed.item_truck_brand_name)
-    return joined.select(never["*"], renamed["*"])
+def _with_items(pairs: DataFrame, listed: DataFrame) -> DataFrame:
+    """The pairs with each item that their brand lists."""
+    offered = listed.select(*[F.col(c).alias("item_truck_brand_name" if c == "truck_brand_name" else c)
+                              for c in ITEM_COLUMNS])
+    return pairs.join(offered, F.col("truck_brand_name") == F.col("item_truck_brand_name"))
 
 
 MAX_MERGE_ROWS = 10_000_000
@@ -155,31 +157,32 @@ def audience(interactions: DataFrame, items: DataFrame, customers: DataFrame,
              averages: DataFrame, countries: Sequence[str] | None = None,
              cities: Sequence[str] | None = None, brands: Sequence[str] | None = None,
              only_not_ordered: bool = False, only_never_visited: bool = False,
-             limit: int | None = None) -> DataFrame:
-    """Interactions (or never-visited rows) with item, customer and spend
+             limit: int | None = None, never: DataFrame | None = None) -> DataFrame:
+    """Interactions (or never-visited rows; ``never`` gives them if they are at
+    hand, see :func:`unvisited`) with item, customer and spend
     features, filtered, then the first ``limit`` rows by customer.
 
     Left joins as in the source; a filter on a customer column lets Catalyst
     turn its left join into an inner join and push the filter to the scan of
     ``customers``.  It can't reach below the customer x item product, so build
     ``interactions`` and ``averages`` from :func:`select_customers` and
-    :func:`select_items` with the same lists.  Ordering is by customer, then item (the source orders by customer only,
+    :func:`select_items` with the same lists.  Ordering is by customer, item and brand (the source orders by customer only,
     which leaves the cut at ``limit`` arbitrary); ``limit=None`` returns every
     row.  The page is cut by :func:`ordered_page` (a bounded, pushed-down
     filter before the final sort) rather than a single-task top-k merge.  Customer and spend features join on ``customer_id``, the key the
     interaction rows are already partitioned by.
     """
     if only_never_visited:
-        df = never_visited(interactions, items)
+        df = never_visited(interactions, items) if never is None else never
     else:
         df = interactions.join(items.select(*ITEM_COLUMNS), "menu_item_name", "left")
     df = (df.join(customers, "customer_id", "left")
           .join(averages, "customer_id", "left")
           .filter(audience_filter(countries, cities, brands, only_not_ordered)))
     if limit is not None:
-        order = ["customer_id", "menu_item_name"]
-        if only_never_visited:
-            order.append("truck_brand_name")
+        # all that tells two rows of a customer apart
+        order = ["customer_id", "menu_item_name", "truck_brand_name", "purchased", "menu_type",
+                 "item_category", "item_subcategory", "sale_price_usd"]
         df = ordered_page(df, order, limit)
     return df
 

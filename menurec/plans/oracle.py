@@ -81,23 +81,28 @@ customer_loyalty AS (
     FROM customer c JOIN geo g ON c.c_nationkey = g.n_nationkey
     WHERE c.c_custkey % 10 <> 9
 ),
+franchised AS (
+    -- orders whose truck belongs to a franchise and whose location is known
+    SELECT h.*, v.primary_city, v.region, v.country, v.franchise_flag, v.franchise_id,
+           w.first_name AS franchisee_first_name, w.last_name AS franchisee_last_name
+    FROM order_header h, truck v, franchise w
+    WHERE v.truck_id = h.truck_id AND w.franchise_id = v.franchise_id
+      AND h.location_id IN (SELECT location_id FROM location)
+),
 orders_v AS (
-    SELECT CAST(oh.order_ts AS DATE) AS date,
-           oh.order_id, oh.truck_id, oh.order_ts, od.order_detail_id, od.line_number,
-           m.truck_brand_name, m.menu_type, t.primary_city, t.region, t.country,
-           t.franchise_flag, t.franchise_id,
-           f.first_name AS franchisee_first_name, f.last_name AS franchisee_last_name,
-           l.location_id, cl.customer_id, cl.first_name, cl.last_name, cl.e_mail,
-           cl.phone_number, cl.children_count, cl.gender, cl.marital_status,
-           od.menu_item_id, m.menu_item_name, od.quantity, od.unit_price, od.price,
-           oh.order_amount, oh.order_tax_amount, oh.order_discount_amount, oh.order_total
-    FROM order_detail od
-    JOIN order_header oh ON od.order_id = oh.order_id
-    JOIN truck t ON oh.truck_id = t.truck_id
-    JOIN menu m ON od.menu_item_id = m.menu_item_id
-    JOIN franchise f ON t.franchise_id = f.franchise_id
-    JOIN location l ON oh.location_id = l.location_id
-    LEFT JOIN customer_loyalty cl ON oh.customer_id = cl.customer_id
+    SELECT CAST(p.order_ts AS DATE) AS date,
+           p.order_id, p.truck_id, p.order_ts, line.order_detail_id, line.line_number,
+           item.truck_brand_name, item.menu_type, p.primary_city, p.region, p.country,
+           p.franchise_flag, p.franchise_id,
+           p.franchisee_first_name, p.franchisee_last_name,
+           CAST(p.location_id AS BIGINT) AS location_id, buyer.customer_id, buyer.first_name, buyer.last_name,
+           buyer.e_mail, buyer.phone_number, buyer.children_count, buyer.gender, buyer.marital_status,
+           line.menu_item_id, item.menu_item_name, line.quantity, line.unit_price, line.price,
+           p.order_amount, p.order_tax_amount, p.order_discount_amount, p.order_total
+    FROM franchised p
+    JOIN order_detail line ON line.order_id = p.order_id
+    JOIN menu item ON item.menu_item_id = line.menu_item_id
+    LEFT JOIN customer_loyalty buyer ON buyer.customer_id = p.customer_id
 ),
 spans AS (
     SELECT customer_id,

@@ -168,9 +168,13 @@ class Context:
         interaction product is built."""
         ctx = self.narrowed(countries, cities)
         listed = aud.select_items(self.tables.menu, brands)
-        inter = interactions(ctx.tables.customer_loyalty, listed, ctx.orders, EXCLUDED)
-        return aud.audience(inter, features.menu_features(listed, EXCLUDED), ctx.customers,
-                            ctx.averages, countries=countries, cities=cities, brands=brands, **kw)
+        items, people = features.menu_features(listed, EXCLUDED), ctx.tables.customer_loyalty
+        if kw.get("only_never_visited"):
+            inter, never = None, aud.unvisited(people, ctx.orders, items)
+        else:
+            inter, never = interactions(people, listed, ctx.orders, EXCLUDED), None
+        return aud.audience(inter, items, ctx.customers, ctx.averages, countries=countries, cities=cities,
+                            brands=brands, never=never, **kw)
 
 
 def by_key() -> list:
@@ -217,7 +221,7 @@ def q_interactions_dedup(spark, base):
 
 def q_never_visited(spark, base):
     ctx = Context(spark, base)
-    return plain(aud.never_visited(ctx.interactions, ctx.items))
+    return plain(aud.unvisited(ctx.tables.customer_loyalty, ctx.orders, ctx.items))
 
 
 def q_audience(spark, base):

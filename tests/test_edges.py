@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from helpers import d, small_domain
+from helpers import d, make, small_domain
 from menurec import schemas
 from menurec.functions.dates import (age_in_years, months_between_boundaries,
                                      weeks_between, years_between)
@@ -143,12 +143,42 @@ def test_empty_audience(dom):
     assert quoted.count() == 0
 
 
+def literal_never_visited(inter, items):
+    """The definition word for word: pairs of all interactions, minus the pairs
+    with a purchase by an anti join, times the brand's items."""
+    pairs = inter.join(items.select("menu_item_name", "truck_brand_name"), "menu_item_name").drop("menu_item_name")
+    bought = pairs.filter("purchased = 1").select("customer_id", "truck_brand_name")
+    never = pairs.distinct().join(bought, ["customer_id", "truck_brand_name"], "left_anti")
+    return never.join(items.withColumnRenamed("truck_brand_name", "item_truck_brand_name"),
+                      F.col("truck_brand_name") == F.col("item_truck_brand_name"))
+
+
+def test_unvisited_with_odd_rows(spark, dom):
+    """NULL and repeated customers, an item of two brands, a NULL brand, a brand
+    without listed items, an item that is not on the menu."""
+    menu = dom["menu"].unionByName(make(spark, schemas.MENU, [
+        {"menu_item_id": 20, "menu_item_name": "Taco", "item_category": "Food", "truck_brand_name": "C"},
+        {"menu_item_id": 21, "menu_item_name": "Nameless", "item_category": "Food"},
+        {"menu_item_id": 22, "menu_item_name": "Juice", "item_category": "Beverage", "truck_brand_name": "D"}]))
+    people = dom["customers"].unionByName(make(spark, schemas.CUSTOMER_LOYALTY, [
+        {"customer_id": None}, {"customer_id": None}, {"customer_id": 2}, {"customer_id": 9}]))
+    orders = dom["orders"].unionByName(dom["orders"].limit(1).withColumn("menu_item_name", F.lit("gone")))
+    items = features.menu_features(menu)
+    want = rows(literal_never_visited(interactions(people, menu, orders), items), "truck_brand_name", "menu_item_name", "purchased")
+    got = aud.unvisited(people, orders, items)
+    assert rows(got, "truck_brand_name", "menu_item_name", "purchased") == want
+    assert rows(got.filter("customer_id is not null")) == rows(aud.never_visited(
+        interactions(people, menu, orders), items).filter("customer_id is not null").select(*got.columns))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Cross" not in plan and "ScalarSubquery" in plan or "scalar-subquery" in plan
+
+
 def test_never_visited_both_methods(dom):
     inter = interactions(dom["customers"], dom["menu"], dom["orders"])
     items = features.menu_features(dom["menu"])
     a = aud.never_visited(inter, items)
-    b = aud.never_visited(inter, items, method="anti_join")
-    assert rows(a) == rows(b)
+    for b in (literal_never_visited(inter, items), aud.unvisited(dom["customers"], dom["orders"], items)):
+        assert rows(a) == rows(b.select(*a.columns))
     assert rows(a, "customer_id", "truck_brand_name", "menu_item_name") == [
         (1, "B", "Wrap"), (2, "A", "Taco"), (2, "B", "Wrap")]
 

@@ -80,8 +80,9 @@ def test_never_visited_disjoint_from_visited(spark):
         ctx.items.select("menu_item_name", "truck_brand_name"), "menu_item_name").select(
         "customer_id", "truck_brand_name").distinct()
     assert nv.join(visited, ["customer_id", "truck_brand_name"]).count() == 0
-    other = never_visited(ctx.interactions, ctx.items, method="anti_join")
-    assert rows(nv) == rows(other)
+    from menurec.operators.audience import unvisited
+    other = unvisited(ctx.tables.customer_loyalty, ctx.orders, ctx.items)
+    assert rows(nv) == rows(other.select(*nv.columns))
 
 
 def test_feature_join_keeps_spine_rows(spark):
