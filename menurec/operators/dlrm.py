@@ -356,15 +356,25 @@ _ROUND_SCHEMA = ("shard long, chunk int, rows long, batches long, steps long, lo
                  "first_loss double, data binary")
 
 
-def _round_batch(shard: int, vec: np.ndarray, stats: tuple) -> pa.RecordBatch:
-    """One row per weight chunk; every row repeats the shard's stats."""
-    parts = [vec[s:s + CHUNK_FLOATS].tobytes() for s in range(0, len(vec), CHUNK_FLOATS)]
+# A state is a few large rows: small row groups, checked row by row, keep the
+# writer's and the reader's buffers at a few chunks.
+_STATE_OPTIONS = {
+    "compression": "uncompressed", "parquet.enable.dictionary": "false",
+    "parquet.block.size": str(4 * CHUNK_FLOATS * 8),
+    "parquet.block.size.row.check.min": "1", "parquet.block.size.row.check.max": "1",
+    "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+}
+
+
+def _round_batches(shard: int, vec: np.ndarray, stats: tuple):
+    """One batch of one row per weight chunk; every row repeats the shard's stats."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    return pa.RecordBatch.from_arrays(
-        [pa.array([shard] * len(parts), pa.int64()), pa.array(range(len(parts)), pa.int32()),
-         *[pa.array([v] * len(parts), k) for v, k in zip(stats, kinds)],
-         pa.array(parts, pa.binary())],
-        names=[f.split()[0] for f in _ROUND_SCHEMA.split(", ")])
+    for i, s in enumerate(range(0, len(vec), CHUNK_FLOATS)):
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([shard], pa.int64()), pa.array([i], pa.int32()),
+             *[pa.array([v], k) for v, k in zip(stats, kinds)],
+             pa.array([vec[s:s + CHUNK_FLOATS].tobytes()], pa.binary())],
+            names=[f.split()[0] for f in _ROUND_SCHEMA.split(", ")])
 
 
 def _train_shards(data: DataFrame, state_vec: np.ndarray, step: int, cfg: DLRMConfig,
@@ -381,7 +391,7 @@ def _train_shards(data: DataFrame, state_vec: np.ndarray, step: int, cfg: DLRMCo
         for shard, xs, xd, y in _mini_batches(batches, c, sparse, dense, label, null_codes):
             if shard != now:
                 if stats[1]:
-                    yield _round_batch(int(now), flatten(*state, dtype=c.precision), tuple(stats))
+                    yield from _round_batches(int(now), flatten(*state, dtype=c.precision), tuple(stats))
                 now, number, stats = shard, 0, [0, 0, step, 0.0, None]
                 state = unflatten(bc.value, c, 3)
             number += 1
@@ -396,11 +406,11 @@ def _train_shards(data: DataFrame, state_vec: np.ndarray, step: int, cfg: DLRMCo
             stats[3] += loss
             stats[4] = loss if stats[4] is None else stats[4]
         if stats[1]:
-            yield _round_batch(int(now), flatten(*state, dtype=c.precision), tuple(stats))
+            yield from _round_batches(int(now), flatten(*state, dtype=c.precision), tuple(stats))
 
     # Written, not kept in a lineage: a lost executor later re-reads the states
     # instead of training again.
-    data.mapInArrow(local, _ROUND_SCHEMA).write.parquet(path)
+    data.mapInArrow(local, _ROUND_SCHEMA).write.options(**_STATE_OPTIONS).parquet(path)
     bc.destroy()
     return data.sparkSession.read.schema(_ROUND_SCHEMA).parquet(path)
 
@@ -408,34 +418,25 @@ def _train_shards(data: DataFrame, state_vec: np.ndarray, step: int, cfg: DLRMCo
 def _average(states: DataFrame, n_shards: int, precision: str) -> np.ndarray | None:
     """Row-weighted mean of the shards' states: a tree of aggregations, of which
     no task holds more than ``AVERAGE_FAN`` chunks."""
-    def mean(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        order = np.argsort(table.column("shard").to_numpy(), kind="stable")
-        rows = table.column("rows").to_numpy()
-        total = 0.0
-        for i in order.tolist():   # in shard order: the same sum every time
-            total = total + rows[i] * np.frombuffer(table.column("data")[i].as_py(), np.float64)
-        n = int(rows.sum())
-        return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()),
-                         "shard": pa.array([key[1].as_py()], pa.int64()),
-                         "rows": pa.array([n], pa.int64()),
-                         "data": pa.array([(total / n).tobytes()], pa.binary())})
-
-    def widen(batches):
-        for rb in batches:
-            data = [np.frombuffer(d, precision).astype(np.float64).tobytes()
-                    for d in rb.column("data").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [rb.column("chunk"), rb.column("shard"), rb.column("rows"), pa.array(data, pa.binary())],
-                names=["chunk", "shard", "rows", "data"])
-
-    schema = "chunk int, shard long, rows long, data binary"
-    level = states.select("chunk", "shard", "rows", "data").mapInArrow(widen, schema)
-    while True:
-        level = level.groupBy("chunk", F.floor(F.col("shard") / AVERAGE_FAN).alias("part")) \
-            .applyInArrow(mean, schema)
-        n_shards = -(-n_shards // AVERAGE_FAN)
-        if n_shards <= 1:
-            break
+    def averaged(level: DataFrame, dtype: str) -> DataFrame:
+        def mean(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+            order = np.argsort(table.column("shard").to_numpy(), kind="stable")
+            rows = table.column("rows").to_numpy()
+            total = 0.0
+            for i in order.tolist():   # in shard order: the same sum every time
+                total = total + rows[i] * np.frombuffer(table.column("data")[i].as_py(), dtype).astype(np.float64)
+            n = int(rows.sum())
+            return pa.table({"chunk": pa.array([key[0].as_py()], pa.int32()),
+                             "shard": pa.array([key[1].as_py()], pa.int64()),
+                             "rows": pa.array([n], pa.int64()),
+                             "data": pa.array([(total / n).tobytes()], pa.binary())})
+
+        return level.groupBy("chunk", F.floor(F.col("shard") / AVERAGE_FAN).alias("part")) \
+            .applyInArrow(mean, "chunk int, shard long, rows long, data binary")
+
+    level = averaged(states.select("chunk", "shard", "rows", "data"), precision)
+    while (n_shards := -(-n_shards // AVERAGE_FAN)) > 1:
+        level = averaged(level, "float64")
     got = level.orderBy("chunk").collect()   # one row per chunk of the model
     if not got:
         return None
