@@ -13,8 +13,8 @@ winners are merged by a ranking window.  The grid is a stated query set
 against all rows, in blocks; no row pair is emitted but the k best of a block.
 
 Defined cases: vectors that are null or hold null or non-finite components, and
-rows without an id, take no part; a repeated id is reduced to its smallest
-vector; shorter vectors count as padded with zeros; ties go to the smaller id;
+rows without an id, take no part; rows that repeat an id are all candidates of
+each other and, as queries, all answered; shorter vectors count as padded with zeros; ties go to the smaller id;
 an empty table or no query gives an empty result; components whose scaled
 floor leaves the long range stay at its end, and so do scores; extra columns
 are ignored.
@@ -34,15 +34,17 @@ CANDIDATE_BLOCK = 8192
 QUERY_BLOCK = 2048
 ROWS_AT_ONCE = 256  # queries scored together: 256 x 8192 doubles
 EXACT = 2.0 ** 53
+KEPT = ("row", "vec_id", "ints")
 
 
 def integer_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: int = 64) -> DataFrame:
-    """(vec_id, ints): floor(scale * x) of every usable vector, one row per id."""
+    """(row, vec_id, ints): floor(scale * x) of every usable vector; ``row`` tells
+    rows apart, also those that repeat an id (fixed once the frame is materialised)."""
     x = F.col(vector).cast("array<double>")
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
     return (vectors.filter(F.col(id_col).isNotNull() & x.isNotNull() & finite)
-            .select(F.col(id_col).cast("bigint").alias("vec_id"), F.transform(x, lambda v: F.floor(v * scale)).alias("ints"))
-            .groupBy("vec_id").agg(F.min("ints").alias("ints")))
+            .select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("bigint").alias("vec_id"),
+                    F.transform(x, lambda v: F.floor(v * scale)).alias("ints")))
 
 
 def bounds(ints: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -67,29 +69,32 @@ def matrix(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
 
 
 def approximate(ints: DataFrame, low: np.ndarray, high: np.ndarray) -> DataFrame:
-    """The approximation file: vec_id, ints and one byte per dimension."""
+    """The approximation file: row, vec_id, ints and one byte per dimension."""
     dims, step = len(low), np.maximum((high - low) / CELLS, 1e-9)
 
     def run(batches):
         for batch in batches:
             cells = np.clip((matrix(batch.column("ints"), dims) - low) // step, 0, CELLS - 1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("ints"), pa.array([c.tobytes() for c in cells], pa.binary())],
-                                             names=["vec_id", "ints", "cells"])
+            yield pa.RecordBatch.from_arrays([*map(batch.column, KEPT), pa.array([c.tobytes() for c in cells], pa.binary())], names=[*KEPT, "cells"])
 
-    return ints.mapInArrow(run, "vec_id bigint, ints array<bigint>, cells binary")
+    return ints.select(*KEPT).mapInArrow(run, "row bigint, vec_id bigint, ints array<bigint>, cells binary")
 
 
-def block_search(query_ids, queries, ids, vectors, cells, low, step, k):
-    """Exact top k of one block for every query: (query_id, vec_id, score) lists."""
+def block_search(query_rows, queries, rows, ids, vectors, cells, low, step, k):
+    """Exact top k of one block for every query: (query row, vec_id, score) lists."""
     out_q, out_v, out_s = [], [], []
-    order = np.argsort(ids)
-    ids, vectors, cells = ids[order], vectors[order], cells[order]
+    order = np.lexsort((rows, ids))  # positions break ties
+    rows, ids, vectors, cells = rows[order], ids[order], vectors[order], cells[order]
+    by_row = np.argsort(rows)
+    at_row = np.searchsorted(rows[by_row], query_rows)
+    place = by_row[np.minimum(at_row, len(rows) - 1)]
+    own = np.where(rows[place] == query_rows, place, -1)  # the query's own row, if it is in the block
     q, x = queries.astype(float), vectors.astype(float)
     big = np.abs(q).max(initial=0) * np.abs(x).max(initial=0) * max(1, x.shape[1])
     if big >= EXACT:  # beyond double precision: plain integers, no pruning
-        for n, query in zip(query_ids, queries.astype(object)):
+        for n, mine, query in zip(query_rows, own, queries.astype(object)):
             scores = np.array([max(-2 ** 63, min(2 ** 63 - 1, int(s))) for s in vectors.astype(object) @ query], np.int64)
-            best = [i for i in np.lexsort((ids, -scores.astype(object))) if ids[i] != n][:k]
+            best = [i for i in np.lexsort((ids, -scores.astype(object))) if i != mine][:k]
             out_q += [n] * len(best)
             out_v += ids[best].tolist()
             out_s += scores[best].tolist()
@@ -97,11 +102,10 @@ def block_search(query_ids, queries, ids, vectors, cells, low, step, k):
     middles = low + (cells + 0.5) * step
     slack = np.abs(q) @ (step / 2) * (1 + 1e-9) + 1e-6
     for at in range(0, len(q), ROWS_AT_ONCE):
-        rows = slice(at, at + ROWS_AT_ONCE)
-        guess = q[rows] @ middles.T
-        own = np.searchsorted(ids, query_ids[rows])
-        mine = (own < len(ids)) & (ids[np.minimum(own, len(ids) - 1)] == query_ids[rows])
-        guess[np.flatnonzero(mine), own[mine]] = -np.inf
+        part_of = slice(at, at + ROWS_AT_ONCE)
+        guess = q[part_of] @ middles.T
+        mine = own[part_of]
+        guess[np.flatnonzero(mine >= 0), mine[mine >= 0]] = -np.inf
         kth = np.partition(guess, len(ids) - k, axis=1)[:, len(ids) - k] if len(ids) > k else np.full(len(guess), -np.inf)
         for i, line in enumerate(guess):
             gap = slack[at + i]
@@ -117,7 +121,7 @@ def block_search(query_ids, queries, ids, vectors, cells, low, step, k):
                 top_s = np.r_[top_s, x[part] @ q[at + i]]
                 keep = np.lexsort((top_i, -top_s))[:k]
                 top_i, top_s = top_i[keep], top_s[keep]
-            out_q += [query_ids[at + i]] * len(top_i)
+            out_q += [query_rows[at + i]] * len(top_i)
             out_v += ids[top_i].tolist()
             out_s += top_s.astype(np.int64).tolist()
     return out_q, out_v, out_s
@@ -127,7 +131,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
     """query_id, rank (from 1), vec_id, score: the ``k`` largest inner products of
     every row that ``is_query`` (a condition on ``vec_id``) admits against all others."""
     spark = vectors.sparkSession
-    schema = "query_id bigint, vec_id bigint, score bigint"
+    schema = "query_row bigint, query_id bigint, vec_id bigint, score bigint"
     ints = materialised(integer_vectors(vectors, id_col, vector, scale))
     low, high = bounds(ints)
     if not len(low):
@@ -138,7 +142,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         return spark.createDataFrame([], schema).select("query_id", F.lit(1).alias("rank"), "vec_id", "score")
     down, across = -(-n_queries // QUERY_BLOCK), -(-n // CANDIDATE_BLOCK)
     file = materialised(approximate(ints, low, high))
-    cell = lambda seed, m: F.pmod(F.xxhash64("vec_id", F.lit(seed)), F.lit(m)).cast("int")
+    cell = lambda seed, m: F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(m)).cast("int")
     candidates = (file.withColumn("j", cell(2, across))
                   .withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(down - 1)))))
     queries = (ints.filter(is_query).withColumn("i", cell(1, down))
@@ -148,10 +152,12 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_
         got = ([], [], [])
         if left.num_rows and right.num_rows:
             cells = np.frombuffer(b"".join(right.column("cells").to_pylist()), np.uint8).reshape(-1, dims)
-            got = block_search(left.column("vec_id").to_numpy(), matrix(left.column("ints"), dims), right.column("vec_id").to_numpy(),
-                               matrix(right.column("ints"), dims), cells, low, step, k)
-        return pa.table({"query_id": pa.array(got[0], pa.int64()), "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.int64())})
+            got = block_search(left.column("row").to_numpy(), matrix(left.column("ints"), dims), right.column("row").to_numpy(),
+                               right.column("vec_id").to_numpy(), matrix(right.column("ints"), dims), cells, low, step, k)
+        ids = dict(zip(left.column("row").to_pylist(), left.column("vec_id").to_pylist()))
+        return pa.table({"query_row": pa.array(got[0], pa.int64()), "query_id": pa.array([ids[r] for r in got[0]], pa.int64()),
+                         "vec_id": pa.array(got[1], pa.int64()), "score": pa.array(got[2], pa.int64())})
 
     found = queries.groupBy("i", "j").cogroup(candidates.groupBy("i", "j")).applyInArrow(search, schema)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -141,17 +141,16 @@ def test_mixing_overlap(spark):
 # --- 2 top-k ------------------------------------------------------------------
 
 def slow_top(rows, k=20):
-    vec = {}
+    vec = []
     for i, x in rows:
         if i is None or x is None or any(v is None or not math.isfinite(v) for v in x):
             continue
-        ints = [math.floor(64 * v) for v in x]
-        vec[i] = min(vec.get(i, ints), ints)
+        vec.append((i, [math.floor(64 * v) for v in x]))
     dot = lambda a, b: sum(x * y for x, y in zip(a, b))
     out = []
-    for q in vec:
+    for at, (q, x) in enumerate(vec):
         if q % 20 == 0:
-            best = sorted((-dot(vec[q], v), i) for i, v in vec.items() if i != q)[:k]
+            best = sorted((-dot(x, v), i) for n, (i, v) in enumerate(vec) if n != at)[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
