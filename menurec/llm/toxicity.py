@@ -1,12 +1,13 @@
 """Toxicity by Levenshtein automata over a lexicon trie (operator 7).
 
-``learn`` mines the lexicon from a bounded labelled sample: word stems whose
+``learn`` mines the lexicon from a bounded labelled sample: every word stem whose
 documents are far more often toxic (a likelihood-ratio test), each extended
 while its support stays.  The stems form a trie; ``Matcher`` runs all their
 Levenshtein automata at once along it, determinised lazily: a state is a set
 of (trie node, edits), and a word leaves it as soon as every pair is over
 budget.  A word hits a stem if one of its prefixes is within the stem's edit
-budget.  Every hit is judged in a window of words around it: inside quotation
+budget.  Letters that only a digit or sign or two parts (``st*pid``) are also read
+together, so a sign in a letter's place is one edit.  Every hit is judged in a window of words around it: inside quotation
 marks or beside a reporting phrase it counts as a quotation.  Evidence per
 (stem, edits, quoted) is a smoothed log-odds from the sample; a document's
 score is the logistic of its strongest evidence plus a share of the rest.
@@ -32,10 +33,10 @@ from pyspark.sql import functions as F
 from menurec.llm.common import label_rate, labelled_sample, materialised
 
 LETTERS = re.compile(r"[^\W\d_]+")
+RUN = re.compile(r"[^\W\d_]++(?:[\d@$*!|#%&+^~_-]{1,2}[^\W\d_]++)*+")   # words, and what stands for a letter inside
 QUOTES = "\"“”«»„"
 REPORTING = re.compile(r"\b(said|says|quoted?|called|calling|wrote|dijo|sagte|disait|a dit)\b")
 SHORTEST, LONGEST = 4, 12
-MAX_TERMS = 512
 CACHE = 300_000
 SAMPLE_PARTITIONS = 24
 
@@ -136,18 +137,32 @@ def is_quoted(text: str, start: int, end: int, window: int = 60) -> bool:
     return REPORTING.search(before) is not None
 
 
+def run_hits(run: str, matcher: Matcher) -> list[tuple[int, int, int, int]]:
+    """(stem, edits, start, end) in a run: of its words, and where a word alone has
+    none, of the words from it on, joined by what stands between them until they hit."""
+    parts, out, i = [m.span() for m in LETTERS.finditer(run)], [], 0
+    while i < len(parts):
+        start, j = parts[i][0], i
+        got = matcher.match(run[start:parts[i][1]])
+        while got is None and j + 1 < len(parts) and parts[j + 1][0] - start <= LONGEST + 2:
+            j += 1
+            if matcher.match(run[parts[j][0]:parts[j][1]]):
+                break  # a word of its own
+            got = matcher.match(run[start:parts[j][1]])
+        if got:
+            out.append((*got, start, parts[j][1]))
+        i = j + 1 if got else i + 1
+    return out
+
+
 def hits(text: str, matcher: Matcher) -> list[tuple[int, int, bool, int, int]]:
     """(stem, edits, quoted, start, end) of every hit, by position in the lower-cased text."""
     low = text.lower()
-    bad = {w for w in set(LETTERS.findall(low)) if matcher.match(w)}
+    bad = {run: got for run in set(RUN.findall(low)) if (got := run_hits(run, matcher))}
     if not bad:
         return []
-    out = []
-    for m in LETTERS.finditer(low):
-        if m[0] in bad:
-            term, edits = matcher.match(m[0])
-            out.append((term, edits, is_quoted(low, m.start(), m.end()), m.start(), m.end()))
-    return out
+    return [(term, edits, is_quoted(low, m.start() + start, m.start() + end), m.start() + start, m.start() + end)
+            for m in RUN.finditer(low) for term, edits, start, end in bad.get(m[0], ())]
 
 
 @dataclass
@@ -166,12 +181,13 @@ class Lexicon:
                            "weights": [[*k, v] for k, v in sorted(self.weights.items())]})
 
 
-def _log_ratio(tox, clean, n_tox, n_clean) -> float:
-    """Signed likelihood-ratio statistic of a stem's document counts."""
-    total, share = tox + clean, n_tox / (n_tox + n_clean)
-    expected = (total * share, total * (1 - share))
-    g = sum(o * math.log(o / e) for o, e in zip((tox, clean), expected) if o)
-    return 2 * g if tox > expected[0] else -2 * g
+def log_ratio(n_tox: int, n_clean: int) -> Column:
+    """Signed likelihood-ratio statistic of a stem's document counts ``tox`` and ``clean``."""
+    share = n_tox / (n_tox + n_clean)
+    total, g = F.col("tox") + F.col("clean"), F.lit(0.0)
+    for seen, part in ((F.col("tox"), share), (F.col("clean"), 1 - share)):
+        g = g + F.when(seen > 0, seen * F.log(seen / (total * part))).otherwise(0.0)
+    return F.when(F.col("tox") > total * share, 2 * g).otherwise(-2 * g)
 
 
 def learn(documents: DataFrame, labels: DataFrame, allowed: Column, target: str = "toxic",
@@ -199,22 +215,22 @@ def learn(documents: DataFrame, labels: DataFrame, allowed: Column, target: str
 
     counted = (sample.repartition(SAMPLE_PARTITIONS, "doc_id").mapInArrow(stems, "stem string, tox bigint, clean bigint")
                .groupBy("stem").agg(F.sum("tox").alias("tox"), F.sum("clean").alias("clean")))
-    # rates apart by ten or more; the rest of the test is on the few that remain
-    apart = counted.filter((F.col("tox") >= 3) & (F.col("tox") * n_clean >= 10 * F.col("clean") * n_tox))
-    rows = apart.orderBy(F.desc("tox"), "stem").limit(20 * MAX_TERMS).collect()
-    good = {r["stem"]: r["tox"] for r in rows if _log_ratio(r["tox"], r["clean"], n_tox, n_clean) >= strength}
+    # rates apart by ten or more, and surely so
+    apart = counted.filter((F.col("tox") >= 3) & (F.col("tox") * n_clean >= 10 * F.col("clean") * n_tox)
+                           & (log_ratio(n_tox, n_clean) >= strength))
+    good = {r["stem"]: r["tox"] for r in apart.select("stem", "tox").collect()}
+    longer: dict[str, list[str]] = {}
+    for w in sorted(good):
+        longer.setdefault(w[:-1], []).append(w)
     terms = set()
     for stem in good:
         if any(stem[:k] in good for k in range(SHORTEST, len(stem))):
             continue  # a shorter stem covers it
-        grown = True
         low = good[stem]
-        while grown:  # the longest stem with the same support
-            longer = [w for w in good if len(w) == len(stem) + 1 and w.startswith(stem) and good[w] >= 0.95 * low]
-            grown = bool(longer)
-            stem = min(longer) if longer else stem
+        while kept := [w for w in longer.get(stem, ()) if good[w] >= 0.95 * low]:
+            stem = kept[0]  # the longest stem with the same support
         terms.add(stem)
-    ranked = sorted(terms, key=lambda w: (-good[w], w))[:MAX_TERMS]
+    ranked = sorted(terms, key=lambda w: (-good[w], w))
 
     def found(batches):
         matcher = Matcher(ranked)

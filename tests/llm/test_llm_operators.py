@@ -408,6 +408,36 @@ def test_quotation_and_misspelling():
     assert score("nothing here") == score("") < 0.5
 
 
+@pytest.mark.parametrize("text", ["an id1ot here", "idi0t", "you st*pid", "a m0ron!", "p@thetic", "oh-st*pid-you", "1diot", "st-upid"])
+def test_signs_in_place_of_letters(text):
+    m = toxicity.Matcher(["idiot", "stupid", "moron", "pathetic"])
+    found = toxicity.hits(text, m)
+    assert [f[1] for f in found] == [1]
+    assert all(edits(text[s:e].lower(), m.terms[t]) <= 1 for t, _, _, s, e in found)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abid1*- ", max_size=30))
+def test_joined_words_only_add_hits(text):
+    m = toxicity.Matcher(["abbid", "iddab", "baad"])
+    found = {f[3:]: f[:2] for f in toxicity.hits(text, m)}
+    for word in toxicity.LETTERS.finditer(text):
+        if m.match(word[0]):
+            assert found[word.span()] == m.match(word[0])
+    assert toxicity.hits("well-known co-op, 3rd x2y", m) == []
+
+
+def test_every_stem_is_kept(spark):
+    ship_package(spark)
+    words = sorted({"".join(random.Random(n).choices("abcdefghijklmnop", k=9)) for n in range(700)})
+    words = list({w[:4]: w for w in words}.values())
+    rows = [(i, " ".join(words) if i % 2 else f"plain text {i}") for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)], "doc_id bigint, toxic int")
+    lexicon = toxicity.learn(docs, labels, F.lit(True))
+    assert len(words) > 600 and sorted(lexicon.terms) == words
+
+
 # --- 8 decontamination --------------------------------------------------------
 
 def substring_distance(item, text):
