@@ -73,6 +73,7 @@ class Matcher:
         self.accepts: list[tuple[tuple[int, int], ...]] = []
         self.start = self._state({0: 0})
         self.cache: dict[str, tuple[int, int] | None] = {}
+        self.runs: dict[str, list] = {}
 
     def _state(self, nodes: dict[int, int]) -> int:
         """Close under skipped stem letters; -1 is the dead state."""
@@ -152,13 +153,18 @@ def run_hits(run: str, matcher: Matcher) -> list[tuple[int, int, int, int]]:
         if got:
             out.append((*got, start, parts[j][1]))
         i = j + 1 if got else i + 1
+    if len(run) <= 2 * LONGEST:
+        if len(matcher.runs) >= CACHE:
+            matcher.runs.clear()
+        matcher.runs[run] = out
     return out
 
 
 def hits(text: str, matcher: Matcher) -> list[tuple[int, int, bool, int, int]]:
     """(stem, edits, quoted, start, end) of every hit, by position in the lower-cased text."""
     low = text.lower()
-    bad = {run: got for run in set(RUN.findall(low)) if (got := run_hits(run, matcher))}
+    seen = matcher.runs
+    bad = {run: got for run in set(RUN.findall(low)) if (got := seen[run] if run in seen else run_hits(run, matcher))}
     if not bad:
         return []
     return [(term, edits, is_quoted(low, m.start() + start, m.start() + end), m.start() + start, m.start() + end)
