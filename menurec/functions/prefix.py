@@ -11,10 +11,8 @@ one task.  :func:`prefix_sums` computes the same totals in parallel:
    their own running total (the offset of each range) and are broadcast back.
 
 The input (typically an aggregate: distinct scores, a vocabulary) is
-checkpointed once, so the lineage behind it runs a single time.  When it
-holds at most ``small_limit`` rows -- checked by counting the checkpointed
-rows -- one window per group is used instead: a bounded amount of data
-per task, and fewer jobs.
+checkpointed once, so the lineage behind it runs a single time.  The plan is
+the same at every size.
 
 Rows must be unique on (group, key); sums are exact for integral and decimal
 values.
@@ -30,12 +28,11 @@ from pyspark.sql import functions as F
 from menurec.session import checkpoint_dir
 
 _BUCKET = "__range"
-SMALL_LIMIT = 1_000_000
 
 
 def prefix_sums(df: DataFrame, key: str, values: Sequence[str],
                 groups: Sequence[str] = (), buckets: int | None = None,
-                small_limit: int | None = None, materialize: bool = True) -> DataFrame:
+                materialize: bool = True) -> DataFrame:
     """Add ``<v>_before``: the sum of ``v`` over rows of the same group with a
     smaller ``key``, for each ``v`` in ``values``.
 
@@ -45,14 +42,8 @@ def prefix_sums(df: DataFrame, key: str, values: Sequence[str],
     spark = df.sparkSession
     checkpoint_dir(spark)
     groups = list(groups)
-    limit = SMALL_LIMIT if small_limit is None else small_limit
     if materialize:
         df = df.checkpoint(eager=True)
-    if df.count() <= limit:
-        w = Window.partitionBy(*groups).orderBy(key).rowsBetween(
-            Window.unboundedPreceding, -1)
-        return df.select(*df.columns, *[
-            F.coalesce(F.sum(v).over(w), F.lit(0)).alias(f"{v}_before") for v in values])
     n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = (df.repartitionByRange(n, *[F.col(g) for g in groups], F.col(key))
               .withColumn(_BUCKET, F.spark_partition_id())

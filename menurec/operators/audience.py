@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from menurec.functions.prefix import prefix_sums
 from menurec.plans.joins import and_all, bounded_broadcast
 
 MAX_ITEMS = 100_000
@@ -66,48 +67,44 @@ def _with_items(pairs: DataFrame, listed: DataFrame) -> DataFrame:
     return pairs.join(offered, F.col("truck_brand_name") == F.col("item_truck_brand_name"))
 
 
-MAX_MERGE_ROWS = 10_000_000
-
-
-def ordered_page(df: DataFrame, order: Sequence[str], limit: int,
-                 oversample: float = 2.0, max_merge_rows: int = MAX_MERGE_ROWS) -> DataFrame:
+def ordered_page(df: DataFrame, order: Sequence[str], limit: int) -> DataFrame:
     """``df.orderBy(order).limit(limit)`` (ascending, NULLs last) without
     merging ``limit`` rows from every partition in one task.
 
-    Spark's plain top-k keeps ``limit`` rows per partition and merges them
-    in one task: fine while ``limit x spark.sql.shuffle.partitions`` is at
-    most ``max_merge_rows`` (the plain plan is used then); beyond that the
-    bounded plan below replaces the merge.
-
-    The rows per value of the first order column (``key``) are counted once
-    and checkpointed (one row per key).  An approximate percentile gives a
-    bound on ``key``; the exact row count up to the bound is checked and the
-    bound widened until it covers ``limit`` rows.  Every row of the page has
-    ``key <= bound``, so ordering only those rows gives the same page, and
-    the literal bound is pushed down to the scans.  A non-numeric key, or
-    fewer than ``limit`` rows with a non-NULL key, uses the plain plan.
+    The rows per value of the first order column are counted (one row per value,
+    checkpointed) and their running totals give the exact bound: the first value
+    at which ``limit`` rows are reached.  Rows below the bound are in the page
+    and fewer than ``limit``; of the rows at the bound as many as are missing are
+    chosen by the next order columns in the same way, so a value that holds a
+    large share of all rows is not gathered.  NULLs come after every value, so
+    they are looked at only when the values give too few rows.  The bound is a
+    literal and reaches the scans.
     """
-    key = order[0]
-    sort = [F.asc_nulls_last(c) for c in order]
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if (limit * partitions <= max_merge_rows
-            or not isinstance(df.schema[key].dataType, T.NumericType)):
-        return df.orderBy(*sort).limit(limit)
     from menurec.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
-    counts = df.filter(F.col(key).isNotNull()).groupBy(key).agg(
-        F.count(F.lit(1)).alias("n")).checkpoint(eager=True)
-    total = counts.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("rows")).first()
-    if not total["rows"] or total["rows"] <= limit:
-        return df.orderBy(*sort).limit(limit)
-    frac = min(1.0, oversample * limit / total["keys"])
-    while True:
-        bound = counts.agg(F.percentile_approx(key, frac, 10_000)).first()[0]
-        covered = counts.filter(F.col(key) <= F.lit(bound)).agg(F.sum("n")).first()[0] or 0
-        if covered >= limit or frac >= 1.0:
-            break
-        frac = min(1.0, frac * 2)
-    return df.filter(F.col(key) <= F.lit(bound)).orderBy(*sort).limit(limit)
+    sort = [F.asc_nulls_last(c) for c in order]
+    return _first_rows(df, list(order), limit).orderBy(*sort).limit(limit)
+
+
+def _first_rows(df: DataFrame, order: list[str], limit: int) -> DataFrame:
+    """The ``limit`` first rows of ``df``, and no more than as many again."""
+    if not order:
+        return df.limit(limit)   # equal in every order column
+    key, rest = order[0], order[1:]
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).checkpoint()
+    rows = counts.agg(F.sum("n")).first()[0] or 0
+    if rows <= 2 * limit:
+        return df
+    totals = prefix_sums(counts.filter(F.col(key).isNotNull()), key, ["n"], materialize=False)
+    at = totals.filter(F.col("n_before") + F.col("n") >= limit).orderBy("n_before").first()
+    if at is None:
+        none = F.col(key).isNull()
+        found = rows - counts.filter(none).first()["n"]
+        return df.filter(~none).unionByName(_first_rows(df.filter(none), rest, limit - found))
+    if at["n_before"] + at["n"] <= 2 * limit:
+        return df.filter(F.col(key) <= F.lit(at[key]))
+    tied = _first_rows(df.filter(F.col(key) == F.lit(at[key])), rest, limit - at["n_before"])
+    return df.filter(F.col(key) < F.lit(at[key])).unionByName(tied)
 
 
 def audience_filter(countries: Sequence[str] | None = None,

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from menurec.functions.hashing import md5_bucket, md5_prefix_int, pair_key
 
 SPLIT_MODULUS = 10_000
-MAX_MERGE_ROWS = 10_000_000
 DEFAULT_WEIGHTS = (0.1, 0.1, 0.8)   # train, validation, test as in the source
 
 
@@ -55,35 +54,29 @@ def hash_split(df: DataFrame, keys: Sequence[str],
     return [df.filter(idx == i) for i in range(len(weights))]
 
 
-def sample_n(df: DataFrame, keys: Sequence[str], n: int, oversample: float = 2.0,
-             max_merge_rows: int = MAX_MERGE_ROWS) -> DataFrame:
+def sample_n(df: DataFrame, keys: Sequence[str], n: int, oversample: float = 2.0) -> DataFrame:
     """Exactly ``min(n, count)`` rows: the ``n`` smallest md5 hashes of ``keys``.
 
-    While ``n x spark.sql.shuffle.partitions`` is at most ``max_merge_rows``
-    this is Spark's top-k (each task keeps ``n`` rows, one task merges
-    them).  Beyond that the merge is avoided: md5 is uniform, so after one
-    count the rows whose first 32 hash bits lie under an oversampled
-    threshold are taken (checkpointed; about ``oversample * n`` rows),
-    checked to be at least ``n`` (else the threshold doubles), and only
-    those are sorted.  Every row of the sample has a hash below any row left
-    out, so the result is the same.
+    Spark's top-k would merge ``n`` rows of every partition in one task.  Here
+    the hash is cut first: md5 is uniform, so after one count the rows whose
+    first 32 hash bits lie under an oversampled threshold are taken
+    (checkpointed; about ``oversample * n`` rows), checked to be at least ``n``
+    (else the threshold doubles), and only those are sorted.  Every row of the
+    sample has a hash below any row left out, so the result is exact.  A table
+    of at most ``n`` rows is its own sample.
     """
-    k = pair_key(*keys)
-    order = [F.md5(k), *[F.col(c) for c in keys]]
-    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if n * partitions <= max_merge_rows:
-        return df.orderBy(*order).limit(n)
     from menurec.session import checkpoint_dir
     checkpoint_dir(df.sparkSession)
+    k = pair_key(*keys)
     total = df.count()
     if total <= n:
-        return df.orderBy(*order).limit(n)
+        return df
     frac = min(1.0, oversample * n / total)
     while True:
         cut = int(frac * (1 << 32))
         cand = df.filter((md5_prefix_int(k) <= F.lit(cut)) | k.isNull()).checkpoint(eager=True)
         if cand.count() >= n or frac >= 1.0:
-            return cand.orderBy(*order).limit(n)
+            return cand.orderBy(F.md5(k), *keys).limit(n)
         frac = min(1.0, frac * 2)
 
 

@@ -8,15 +8,20 @@ import pytest
 
 import __spark_entry__ as entry
 from conftest import SF_SMALL
+from menurec.operators.split import sample_n
 
 
-def plan(spark, key):
+def formatted(df):
     buf = io.StringIO()
     with redirect_stdout(buf):
-        entry.queries()[key](spark, SF_SMALL).explain("formatted")
+        df.explain("formatted")
     return buf.getvalue()
 
 
+def plan(spark, key):
+    return formatted(entry.queries()[key](spark, SF_SMALL))
+
+
 def tree(text):
     return text.split("\n\n")[0]
 
@@ -54,5 +59,14 @@ def test_never_visited_has_no_product(spark):
     assert "array_except" in p and "subquery" in p.lower()
 
 
-def test_page_is_a_top_k(spark):
+def test_page_and_sample_cut_before_the_top_k(spark):
+    """The rows are cut before the sort, the page by a literal bound and the
+    sample by a checkpointed hash bound, at every size."""
+    from menurec.operators.audience import ordered_page
+    from menurec.plans.queries import Context
+    page = formatted(ordered_page(Context(spark, SF_SMALL).interactions, ["customer_id", "menu_item_name"], 200))
+    assert "TakeOrderedAndProject" in tree(page)
+    assert re.search(r"LessThanOrEqual\(\w*,\d+\)|#\d+L? <= \d+", page)
     assert "TakeOrderedAndProject" in tree(plan(spark, "audience_page"))
+    sample = tree(formatted(sample_n(spark.range(10_000), ["id"], 10)))
+    assert "TakeOrderedAndProject" in sample and "Scan ExistingRDD" in sample

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, rows
 from menurec.functions.prefix import prefix_sums
+from menurec.functions.hashing import pair_key
 from menurec.operators import split
 from menurec.operators.feature_store import retrieve
 from menurec.operators.preprocess import Preprocessor, apply_label_encoders
@@ -32,12 +33,12 @@ def test_sample_n_is_exact_and_deterministic(spark):
     assert rows(a) == rows(b)
 
 
-@pytest.mark.parametrize("small_limit", [0, 10_000])   # range-partitioned / one window
-def test_prefix_sums_equal_running_totals(spark, small_limit):
+@pytest.mark.parametrize("buckets", [1, 5])
+def test_prefix_sums_equal_running_totals(spark, buckets):
     rnd = random.Random(7)
     data = [(g, k, rnd.randint(0, 5)) for g in ("a", "b", "c") for k in rnd.sample(range(1000), 200)]
     df = spark.createDataFrame(data, "g string, k long, v long")
-    out = prefix_sums(df, "k", ["v"], ["g"], 5, small_limit=small_limit)
+    out = prefix_sums(df, "k", ["v"], ["g"], buckets)
     got = {(r.g, r.k): r.v_before for r in out.collect()}
     for g in ("a", "b", "c"):
         acc = 0
@@ -99,18 +100,16 @@ def test_interactions_is_full_product(spark):
     assert dedup_pairs == ctx.tables.customer_loyalty.count() * ctx.items.count()
 
 
-def test_auc_range_path_equals_window_path(spark):
-    from menurec.functions import prefix
+def test_auc_equals_running_totals_in_one_window(spark):
     from menurec.operators.evaluate import roc_auc
     scored = Context(spark, SF_SMALL).scored
-    small = roc_auc(scored).first()["auc"]
-    old = prefix.SMALL_LIMIT
-    prefix.SMALL_LIMIT = 0
-    try:
-        big = roc_auc(scored).first()["auc"]
-    finally:
-        prefix.SMALL_LIMIT = old
-    assert small == big
+    below = neg = pos = twice = 0
+    by_score = scored.groupBy("prediction").agg(F.sum("purchased").alias("p"), F.count(F.lit(1)).alias("n"))
+    for r in sorted(by_score.collect()):
+        twice += r.p * (2 * below + r.n - r.p)
+        below += r.n - r.p
+        pos, neg = pos + r.p, neg + r.n - r.p
+    assert roc_auc(scored).first()["auc"] == twice / (2.0 * pos * neg)
 
 
 def test_null_keys_spread_over_partitions(spark):
@@ -156,18 +155,30 @@ def test_ordered_page_equals_plain_top_k(spark, limit):
             F.col("customer_id")))
     order = ["customer_id", "menu_item_name"]
     plain = df.orderBy(*[F.asc_nulls_last(c) for c in order]).limit(limit)
-    got = ordered_page(df, order, limit, max_merge_rows=0)   # force the bounded plan
+    got = ordered_page(df, order, limit)
     assert got.count() == plain.count()
     assert sorted(got.collect(), key=str) == sorted(plain.collect(), key=str)
 
 
+@pytest.mark.parametrize("limit", [5, 400, 2000])
+def test_ordered_page_narrows_inside_a_hot_value(spark, limit):
+    """One value, or NULL, holds most rows: the next columns choose among them."""
+    from menurec.operators.audience import _first_rows, ordered_page
+    df = spark.range(3000).select(
+        F.when(F.col("id") % 10 == 0, F.col("id")).when(F.col("id") % 2 == 0, F.lit(7)).alias("k"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("s"), F.col("id") % 50)).alias("s"), F.col("id").alias("x"))
+    order = ["k", "s", "x"]
+    plain = df.orderBy(*[F.asc_nulls_last(c) for c in order]).limit(limit)
+    assert ordered_page(df, order, limit).collect() == plain.collect()
+    assert limit <= _first_rows(df, order, limit).count() <= 2 * limit
+
+
 @pytest.mark.parametrize("n", [1, 250, 5000, 10**6])
-def test_sample_n_bounded_plan_equals_top_k(spark, n):
+def test_sample_n_equals_top_k_of_the_hash(spark, n):
     inter = Context(spark, SF_SMALL).interactions
     keys = ["customer_id", "menu_item_name"]
-    plain = split.sample_n(inter, keys, n)
-    bounded = split.sample_n(inter, keys, n, max_merge_rows=0)
-    assert rows(bounded) == rows(plain)
+    plain = inter.orderBy(F.md5(pair_key(*keys)), *keys).limit(n)
+    assert rows(split.sample_n(inter, keys, n)) == rows(plain)
 
 
 def test_purchased_interactions_are_the_purchased_rows(spark):
