@@ -30,6 +30,8 @@ from menurec.session import checkpoint_dir
 
 ENCODED_SUFFIX = "_encoded"
 MAX_BROADCAST_BYTES = 32 << 20    # a feature's encoder rows are broadcast up to this
+CLASSES_A_LINE = 10_000
+CLASSES = "map<string, struct<input_cols: array<string>, output_cols: array<string>, start: bigint, classes_: array<string>>>"
 ENTRY_BYTES = 32                  # of an encoder row beside its text
 
 
@@ -164,16 +166,20 @@ class PreprocessState:
                    ranges={k: tuple(v) for k, v in meta["ranges"].items()},
                    categorical=meta["categorical"], numeric=meta["numeric"])
 
-    def export_classes_json(self, path: str) -> None:
-        """Write the encoder classes in the source's JSON layout, one object
-        per feature: ``{feature, input_cols, output_cols, classes_}``."""
-        per_feature = self.encoders.groupBy("feature").agg(
+    def export_classes_json(self, path: str, chunk: int = CLASSES_A_LINE) -> None:
+        """Write the encoder classes in the source's layout, JSON objects keyed
+        by feature: ``{feature: {input_cols, output_cols, classes_}}``.  A line
+        holds up to ``chunk`` classes, so no task holds a whole vocabulary; a
+        later part of a feature says the code that it ``start``s with."""
+        start = F.floor(F.col("code") / chunk) * chunk
+        parts = self.encoders.groupBy("feature", start.alias("start")).agg(
             F.transform(F.array_sort(F.collect_list(F.struct("code", "value"))),
                         lambda s: s["value"]).alias("classes_"))
-        per_feature.select(
-            "feature", F.array(F.col("feature")).alias("input_cols"),
-            F.array(F.concat(F.col("feature"), F.lit(ENCODED_SUFFIX))).alias("output_cols"),
-            "classes_").write.mode("overwrite").json(path)
+        body = F.struct(
+            F.array("feature").alias("input_cols"),
+            F.array(F.concat("feature", F.lit(ENCODED_SUFFIX))).alias("output_cols"),
+            F.when(F.col("start") > 0, F.col("start")).alias("start"), "classes_")
+        parts.select(F.to_json(F.create_map("feature", body)).alias("value")).write.mode("overwrite").text(path)
 
 
 class Preprocessor:
@@ -197,7 +203,12 @@ class Preprocessor:
 
 
 def read_classes_json(spark: SparkSession, path: str) -> DataFrame:
-    """Read the JSON layout back as ``(feature, value, code)``."""
-    raw = spark.read.json(path)
-    return raw.select("feature", F.posexplode("classes_").alias("code", "value")).select(
-        "feature", "value", F.col("code").cast("long").alias("code"))
+    """Read encoder classes back as ``(feature, value, code)``: a class's code is
+    its position.  Takes one object with all features on a line (the source's
+    file) as well as the parts of :meth:`PreprocessState.export_classes_json`;
+    a line that is no such object is an error."""
+    body = F.from_json("value", CLASSES, {"mode": "FAILFAST"})
+    objects = spark.read.text(path).filter(F.trim("value") != "").select(F.explode(body).alias("feature", "of"))
+    return objects.select("feature", F.coalesce("of.start", F.lit(0)).alias("start"),
+                          F.posexplode("of.classes_").alias("place", "value")).select(
+        "feature", "value", (F.col("start") + F.col("place")).alias("code"))

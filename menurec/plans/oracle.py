@@ -443,6 +443,24 @@ SELECT customer_id, menu_item_name_c AS menu_item_name, CAST(purchased AS BIGINT
        avg_yearly_s AS avg_yearly_purchase_amount
 FROM coded WHERE h % 10000 < 1000""")
 
+SAVED_SETS = TRAINING_SET.replace("FROM coded WHERE h % 10000 < 1000", """,
+       CASE WHEN h % 10000 < 1000 THEN 'train' ELSE 'validation' END AS split
+FROM coded WHERE h % 10000 < 2000""")
+
+SAVED_MENU_FEATURES = _with("""
+SELECT menu_type, truck_brand_name, menu_item_name, item_category, item_subcategory,
+       CAST(sale_price_usd AS DOUBLE) AS sale_price_usd
+FROM menu""")
+
+METRIC_LOG = f"""
+SELECT 'run-1' AS run_id, 'menu_recommender' AS model_name, 'V1' AS version, metric, round(value, 4) AS value
+FROM (SELECT 'AUC' AS metric, auc AS value FROM ({AUC})
+      UNION ALL SELECT 'Precision', precision FROM ({BINARY_METRICS})
+      UNION ALL SELECT 'Recall', recall FROM ({BINARY_METRICS})
+      UNION ALL SELECT 'F1_Score', f1 FROM ({BINARY_METRICS}))"""
+
+ENCODER_FILE = _with("SELECT feature, value, code FROM enc")
+
 ENCODED = _with("""
 SELECT customer_id, menu_item_name, city, truck_brand_name, CAST(purchased AS BIGINT) AS purchased,
        menu_item_name_c AS menu_item_name_encoded, menu_type_c AS menu_type_encoded,
@@ -618,5 +636,11 @@ def oracle_sql() -> dict[str, str]:
         "binary_metrics": BINARY_METRICS,
         "training_set": TRAINING_SET,
         "encoded": ENCODED,
+        "saved_sets": SAVED_SETS,
+        "saved_customer_features": CUSTOMER_FEATURES,
+        "saved_menu_features": SAVED_MENU_FEATURES,
+        "saved_recommendations": RECOMMENDATIONS,
+        "metric_log": METRIC_LOG,
+        "encoder_file": ENCODER_FILE,
         "scaled": SCALED,
     }

@@ -20,13 +20,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from menurec import sinks
 from menurec.functions.hashing import md5_score, pair_key
 from menurec.operators import audience as aud
 from menurec.operators import evaluate, features, harmonize, recommend, split
 from menurec.operators.dlrm import DLRMConfig, dlrm_loss_parts, dlrm_score, dlrm_train
 from menurec.operators.feature_store import PART, retrieve, write_parts
 from menurec.operators.interactions import interactions, purchased_interactions
-from menurec.operators.preprocess import Preprocessor, apply_min_max, fit_min_max
+from menurec.operators.preprocess import Preprocessor, apply_min_max, fit_min_max, read_classes_json
 from menurec.plans import warehouse
 from menurec.schemas import DENSE_FEATURES, SPARSE_FEATURES
 from menurec.sources import adapter
@@ -378,6 +379,67 @@ def q_train_ledger(spark, base):
                             F.when(F.col("epoch") == 1, six(F.col("first_loss"))).alias("first_loss")))
 
 
+def twice(save) -> DataFrame:
+    """What a sink returns when a job is run and then repeated (as after a lost
+    driver) with the same run id."""
+    save()
+    return save()
+
+
+def q_saved_sets(spark, base):
+    """The train and validation sets, encoded and scaled by the train part's
+    state, saved and read back."""
+    ctx = Context(spark, base)
+    folder = warehouse.scratch(spark, "sets")
+    back = [twice(lambda: sinks.save_table(ctx.preprocess_state.transform(ctx.part_table(part), in_place=True),
+                                           f"{folder}/{name}", run_id="run-1")).withColumn("split", F.lit(name))
+            for part, name in enumerate(SPLIT_NAMES[:2])]
+    return plain(back[0].unionByName(back[1]))
+
+
+def q_saved_customer_features(spark, base):
+    """The customer feature table, saved and read back."""
+    ctx = Context(spark, base)
+    folder = warehouse.scratch(spark, "features")
+    return plain(twice(lambda: sinks.save_table(ctx.customers, folder, run_id="run-1")))
+
+
+def q_saved_menu_features(spark, base):
+    """The item feature table, which keeps the category that the interactions
+    leave out, saved by category and read back."""
+    ctx = Context(spark, base)
+    folder = warehouse.scratch(spark, "features")
+    return plain(twice(lambda: sinks.save_table(ctx.all_items, folder, ["item_category"], "run-1")))
+
+
+def q_saved_recommendations(spark, base):
+    """The recommendation table, saved and read back with its lists."""
+    ctx = Context(spark, base)
+    folder = warehouse.scratch(spark, "recommendations")
+    back = twice(lambda: sinks.write_recommendations(
+        recommend.recommendations(ctx.scored, ctx.purchased, TOP_K), folder, "run-1"))
+    return plain(back.select("customer_id", "city", F.array_join("purchase_history", "|").alias("purchase_history"),
+                             F.array_join("menu_item_name", "|").alias("menu_item_name")))
+
+
+def q_metric_log(spark, base):
+    """The metrics of the scored interactions, logged by a run that is repeated."""
+    scored = Context(spark, base).scored
+    m = evaluate.binary_metrics(scored).first()
+    metrics = {"AUC": evaluate.roc_auc(scored).first()["auc"], "Precision": m["precision"],
+               "Recall": m["recall"], "F1_Score": m["f1"]}
+    folder = warehouse.scratch(spark, "metrics")
+    log = twice(lambda: sinks.log_metrics(spark, folder, "menu_recommender", "V1", metrics, run_id="run-1"))
+    return log.select("run_id", "model_name", "version", "metric", "value")
+
+
+def q_encoder_file(spark, base):
+    """The encoder classes, written as JSON by feature and read back."""
+    folder = warehouse.scratch(spark, "classes")
+    Context(spark, base).preprocess_state.export_classes_json(folder)
+    return plain(read_classes_json(spark, folder))
+
+
 def q_filter_options_sql(spark, base):
     """The picker lists from SQL text over the feature frames, countries as a
     parameter."""
@@ -413,6 +475,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "encoded": q_encoded,
     "scaled": q_scaled,
     **warehouse.QUERIES,
+    "saved_sets": q_saved_sets,
+    "saved_customer_features": q_saved_customer_features,
+    "saved_menu_features": q_saved_menu_features,
+    "saved_recommendations": q_saved_recommendations,
+    "metric_log": q_metric_log,
+    "encoder_file": q_encoder_file,
     "dlrm_scores": q_dlrm_scores,
     "dlrm_loss": q_dlrm_loss,
     "train_ledger": q_train_ledger,

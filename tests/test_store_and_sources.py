@@ -1,5 +1,6 @@
 """Feature store registry, saved state, sinks, CSV load and streaming load."""
 
+import json
 import os
 
 import pytest
@@ -114,6 +115,50 @@ def test_preprocess_state_round_trips(spark, tmp_dir):
     assert rows(back.encoders) == rows(st.encoders)
     st.export_classes_json(f"{tmp_dir}/classes")
     assert rows(read_classes_json(spark, f"{tmp_dir}/classes")) == rows(st.encoders)
+    st.export_classes_json(f"{tmp_dir}/parts", chunk=3)   # vocabularies over several lines
+    assert spark.read.text(f"{tmp_dir}/parts").count() > len(st.categorical)
+    assert rows(read_classes_json(spark, f"{tmp_dir}/parts")) == rows(st.encoders)
+
+
+def test_encoder_file_of_one_object(spark, tmp_dir):
+    """The source's file: one object with every feature; empty lists, quotes and
+    line breaks inside values; a broken line is an error."""
+    classes = {"city": ["Bonn", "O\"Hare", "São\nPaulo"], "gender": [], "country": ["", "é"]}
+    os.makedirs(f"{tmp_dir}/file")
+    with open(f"{tmp_dir}/file/label_encoders.json", "w") as f:
+        json.dump({k: {"input_cols": [k], "output_cols": [k + "_encoded"], "classes_": v} for k, v in classes.items()}, f)
+    got = read_classes_json(spark, f"{tmp_dir}/file")
+    assert sorted(map(tuple, got.collect())) == sorted((k, x, i) for k, v in classes.items() for i, x in enumerate(v))
+    with open(f"{tmp_dir}/file/broken.json", "w") as f:
+        f.write('{"city": {"classes_": [')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        read_classes_json(spark, f"{tmp_dir}/file").collect()
+
+
+def test_saved_table_is_published_by_its_manifest(spark, tmp_dir):
+    path = f"{tmp_dir}/table"
+    with pytest.raises(FileNotFoundError):
+        sinks.read_table(spark, path)
+    first = sinks.save_table(spark.range(5), path, run_id="a")
+    assert first.count() == 5
+    spark.range(9).write.parquet(f"{path}/data-unfinished")   # a save that failed before its manifest row
+    assert sinks.read_table(spark, path).count() == 5
+    assert sinks.save_table(spark.range(7), path, run_id="a").count() == 5   # the run has published
+    assert sinks.saves(spark, path).count() == 1
+    second = sinks.save_table(spark.range(3), path, run_id="b")
+    assert (first.count(), second.count()) == (5, 3)   # a reader keeps its files
+    empty = sinks.save_table(spark.range(0).selectExpr("id", "cast(null as string) as k"), path, ["k"])
+    assert empty.columns == ["id", "k"] and empty.count() == 0
+    assert [r["rows"] for r in sinks.saves(spark, path).orderBy("save_no").collect()] == [5, 3, 0]
+    assert sinks.vacuum_table(spark, path) == 3
+    assert sinks.read_table(spark, path).columns == ["id", "k"]
+
+
+def test_saved_partitions_keep_types_and_nulls(spark, tmp_dir):
+    df = spark.createDataFrame([(1, "01", 2.5), (2, None, None), (None, "x/y=z", 0.0)], "k int, part string, v double")
+    back = sinks.save_table(df, f"{tmp_dir}/parts", ["part"])
+    assert back.schema.simpleString() == df.schema.simpleString()
+    assert sorted(back.collect(), key=str) == sorted(df.collect(), key=str)
 
 
 def test_metric_log_appends(spark, tmp_dir):
@@ -121,6 +166,11 @@ def test_metric_log_appends(spark, tmp_dir):
     sinks.log_metrics(spark, path, "rec", "V1", {"AUC": 0.812345, "F1": 0.5})
     out = sinks.log_metrics(spark, path, "rec", "V1", {"Recall": 1 / 3})
     assert rows(out, "metric", "value") == [("AUC", 0.8123), ("F1", 0.5), ("Recall", 0.3333)]
+    for _ in range(2):   # a repeated run adds nothing, a new metric of the run is added
+        out = sinks.log_metrics(spark, path, "rec", "V2", {"AUC": 0.9}, run_id="r")
+    assert out.count() == 4
+    assert sinks.log_metrics(spark, path, "rec", "V2", {"AUC": 0.9, "F1": None}, run_id="r").count() == 5
+    assert sinks.log_metrics(spark, path, "rec", "V3", {"AUC": 0.9}, run_id="r").count() == 6
 
 
 def test_recommendations_written_with_arrays(spark, tmp_dir):
