@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from menurec.llm.common import materialised, raw_texts, row_key
+from menurec.llm.common import materialised, raw_texts
 
 BITS = 64
 SEED = 42
@@ -250,13 +250,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> Dat
 
 def keep_one(docs: DataFrame, shingle: int = 3, max_bits: int = 2) -> DataFrame:
     """The documents left when one of each component stays: the one with the
-    smallest doc_id (null last), then the smallest content hash.  Columns are
-    unchanged; rows equal in id and text count as one document."""
-    keyed = docs.withColumn("__row", row_key("doc_id", "text"))
-    prints = materialised(fingerprints(keyed, shingle, keep=("doc_id", "__row")))
+    smallest doc_id (null last), then the smallest hash of its text, source and
+    lang.  Columns are unchanged; rows equal in id and those three count as one
+    document.  A row is known by its id and 128 bits, so no document is lost to
+    another's hash."""
+    known = [c for c in ("doc_id", "text", "source", "lang") if c in docs.columns]
+    content = [x for c in known for x in (F.col(c), F.isnull(c))]   # a hash passes over nulls
+    keyed = docs.withColumns({"__row": F.xxhash64(*content), "__check": F.xxhash64(F.lit("check"), *content)})
+    key = ("doc_id", "__row", "__check")
+    prints = materialised(fingerprints(keyed, shingle, keep=key))
     mapped = classes(prints, max_bits)
-    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), *key)
     per_print = materialised(prints.groupBy("fp").agg(F.min(order).alias("first")))
-    stay = (per_print.join(mapped, "fp").groupBy("root").agg(F.min("first").alias("first"))
-            .select(F.col("first.__row").alias("__row")))
-    return keyed.join(materialised(stay), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    stay = materialised(per_print.join(mapped, "fp").groupBy("root").agg(F.min("first").alias("first"))
+                        .select(*[F.col(f"first.{c}").alias(f"stay_{c}") for c in key]))
+    same = [F.col(c).eqNullSafe(F.col(f"stay_{c}")) for c in key]
+    return keyed.join(stay, same, "left_semi").dropDuplicates(list(key)).select(*docs.columns)

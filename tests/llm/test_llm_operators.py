@@ -611,6 +611,19 @@ def test_odd_rows(spark):
     assert comp[2] == 1 and comp[4] == 3 and comp[None] in (1, 3)
 
 
+def test_the_kept_document_is_one_row(spark):
+    """Rows that share id and text but not the source, and rows whose columns only
+    trade their nulls, are told apart; the choice does not hang on the partitions."""
+    ship_package(spark)
+    rows = [(1, "b b b b", "s", None), (1, "b b b b", None, "s"), (1, "b b b b", "t", "s"), (1, "b b b b", "t", "s"),
+            (5, "other words are here", None, None), (None, "lone text of its own", "s", "s"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, lang string")
+    left = {str(sorted(simhash.keep_one(docs.repartition(n)).collect(), key=str)) for n in (1, 3, 8)}
+    assert len(left) == 1
+    kept = simhash.keep_one(docs).collect()
+    assert sorted(str(r["doc_id"]) for r in kept) == ["1", "5", "None", "None"]
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline
 
