@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from menurec import schemas
 from menurec.operators import features, harmonize
 from menurec.operators.feature_store import Entity, FeatureStore, MergeableView
-from menurec.session import checkpoint_dir
+from menurec.session import checkpoint_dir, open_files
 from menurec.sources import adapter
 from menurec.sources.bulk_load import bulk_load, loaded_tables
 from menurec.sources.csv import NULL_MARKERS
@@ -98,7 +98,9 @@ def q_incremental_load(spark, base):
         "part", F.pmod(F.col("order_id").cast("long"), F.lit(FILES)))
 
     def stage(which):
-        write_csv(lines.filter(which).repartition(FILES, "part"), source, by="part")
+        # a file per part, streamed: sorting a part's rows would need memory for all of them
+        with open_files(spark, FILES):
+            write_csv(lines.filter(which).repartitionById(FILES, F.col("part").cast("int")), source, by="part")
 
     def load(checkpoint):
         load_csv_incremental(spark, source, schemas.ORDER_DETAIL, target, f"{folder}/{checkpoint}")

@@ -107,3 +107,22 @@ def test_checksum_is_free_of_order_and_sees_repeats(spark):
         return inc.described(df.repartition(3)).first()["checksum"]
     assert of(["a", "b", "c"]) == of(["c", "a", "b"])
     assert len({of(x) for x in (["a"], ["a", "a", "a"], ["a", "b", "b"], ["a", "c", "c"], ["b"])}) == 5
+
+
+def test_staged_parts_are_not_sorted(spark, tmp_dir, monkeypatch):
+    """Each staged part is one file, written by a task of its own that keeps it
+    open instead of sorting its rows by part."""
+    from menurec.plans import warehouse
+    write, kept = warehouse.write_csv, []
+    files = "spark.sql.maxConcurrentOutputFileWriters"
+
+    def seen(df, path, by=None):
+        sizes = df.groupBy(F.spark_partition_id().alias("p")).agg(F.countDistinct("part").alias("n")).collect()
+        kept.append((spark.conf.get(files), max(r["n"] for r in sizes)))
+        write(df, path, by)
+
+    monkeypatch.setattr(warehouse, "write_csv", seen)
+    before = spark.conf.get(files)
+    got = rows(warehouse.q_incremental_load(spark, "/root/testdata/sf0.001"), "load_no", "files")
+    assert got == [(1, 3), (2, 1)]
+    assert kept == [(str(warehouse.FILES), 1)] * 2 and spark.conf.get(files) == before
