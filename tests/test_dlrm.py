@@ -166,6 +166,44 @@ def test_training_is_the_same_on_any_partitions(spark, monkeypatch):
     assert rows == sorted(want)
 
 
+def test_a_group_writes_one_state(spark, monkeypatch):
+    """A task averages the states of its shards; the result is that of a state per shard."""
+    cfg = DLRMConfig(**SMALL, epochs=2, batch_size=32, shard_rows=128, precision="float64")
+    train, size = _toy(spark, 800, 6), 3 * cfg.n_params() * 8
+    monkeypatch.setattr(dlrm, "GROUP_ROWS", 1)
+    average, states = dlrm._average, []
+
+    def seen(df, n, precision):
+        states.append((n, df.select("shard").distinct().count()))
+        return average(df, n, precision)
+
+    monkeypatch.setattr(dlrm, "_average", seen)
+    runs = []
+    for held in (7, 3):
+        monkeypatch.setattr(dlrm, "STATE_BYTES", held * size)
+        runs.append(dlrm_train(train, None, cfg, *COLS))
+    assert states == [(7, 7)] * 2 + [(3, 3)] * 2   # 7 shards: alone, then by three
+    for k in runs[0].params:
+        assert np.allclose(runs[0].params[k], runs[1].params[k], rtol=1e-9, atol=1e-12)
+    ledgers = [sorted(map(tuple, r.ledger.select("epoch", "shard", "rows", "batches", "steps").collect())) for r in runs]
+    assert ledgers[0] == ledgers[1] and len(ledgers[0]) == 14
+
+
+def test_small_shards_share_tasks(spark):
+    df = spark.range(2000)
+    assert dlrm.shards(df, ["id"], 64).rdd.getNumPartitions() == 1
+    got = dlrm._grouped(df, ["id"], 64, ["id"], dlrm.STATE_BYTES // 4)[0]   # four states allowed, 32 shards
+    assert got.rdd.getNumPartitions() == 1 and dlrm._group_size(32, 16_384, dlrm.STATE_BYTES // 4) == 8
+
+
+def test_scores_do_not_depend_on_the_pass(spark):
+    cfg = DLRMConfig(**SMALL)
+    p = init_params(cfg)
+    pdf = _toy(spark, 700, 3).toPandas()
+    xs, xd = pdf[COLS[0]].to_numpy(), pdf[COLS[1]].to_numpy().astype(np.float32)
+    assert np.allclose(dlrm.predict(p, xs, xd), dlrm.predict(p, xs, xd, 256), rtol=1e-5, atol=1e-6)
+
+
 def test_average_of_shards(spark, monkeypatch):
     monkeypatch.setattr(dlrm, "AVERAGE_FAN", 3)
     monkeypatch.setattr(dlrm, "CHUNK_FLOATS", 4)
