@@ -253,3 +253,47 @@ def test_published_load_is_reattached(spark, tmp_dir):
     plan = again.order_detail.join(again.order_header, "order_id")._jdf.queryExecution() \
         .executedPlan().toString()
     assert "Exchange hashpartitioning(order_id" not in plan
+
+
+def test_only_fitted_parts_are_written(spark, monkeypatch):
+    """The rows of a split part that a query fits or trains on are written, not
+    the whole dataset; the parts hold what the dataset holds of them."""
+    from menurec.operators.feature_store import PART, write_parts
+    from menurec.plans import queries
+    wrote = []
+
+    def seen(df, path, part=None):
+        write_parts(df, path, part)
+        wrote.append(sorted(r[0] for r in df.sparkSession.read.parquet(path).select(PART).distinct().collect()))
+
+    monkeypatch.setattr(queries, "write_parts", seen)
+    for name in ("encoder_file", "dlrm_forward", "dlrm_loss"):
+        queries.QUERIES[name](spark, SF_SMALL)
+    assert wrote == [[0], [0], [0, 1]]
+    ctx = Context(spark, SF_SMALL)
+    whole, part = ctx.dataset, ctx.part_table(0)
+    assert part.dtypes == whole.dtypes
+    assert rows(part.select(*[F.col(c).cast("string") for c in part.columns]).na.fill("")) == rows(
+        ctx.train_dataset.select(*[F.col(c).cast("string") for c in part.columns]).na.fill(""))
+
+
+def test_dataset_writes_keep_its_files_open(spark, tmp_dir):
+    from menurec.operators import feature_store
+    files = "spark.sql.maxConcurrentOutputFileWriters"
+    before, seen = spark.conf.get(files), []
+
+    class Rows:
+        sparkSession = spark
+
+        def withColumn(self, *_):
+            return self
+
+        def __getattr__(self, _):
+            return self
+
+        def __call__(self, *_):
+            seen.append(spark.conf.get(files))
+            return self
+
+    feature_store.write_parts(Rows(), tmp_dir, F.lit(1))
+    assert set(seen) == {str(feature_store.OPEN_PARTS)} and spark.conf.get(files) == before
