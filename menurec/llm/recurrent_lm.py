@@ -49,28 +49,61 @@ ROUNDS = 4
 RATES = (8e-3, 5e-3, 3e-3, 1.5e-3)
 TRAIN_LANES, SCORE_LANES = 128, 512
 MAX_LOOKUP = 400_000
-KNOWN_WORDS = 200_000
+READ_BYTES = 1 << 19
 FLUSH_WORDS = 300_000
 FLUSH_TOKENS = 2_000_000
 FLUSH_BYTES = 24 << 20
 LN10 = math.log(10)
 FIXED_POINT = 2 ** 20
+SUM_WEIGHTS = 2048  # weights that are summed over the tasks together
 CACHED_ROWS = 1024  # softmax rows handled at once, to stay in the processor's cache
+HEAD_ROWS, STEP_WEIGHTS = 2048, 8192  # likewise of the softmax inside the classes, and weights of a training step
 
 
 def tail_class(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % TAIL_CLASSES
 
 
-class Inputs(dict):
-    """Input id of a word: its place in the head, else that of its tail class.
-    Tail words are remembered, ``KNOWN_WORDS`` at most."""
-
-    def __missing__(self, word: bytes) -> int:
-        found = HEAD + zlib.crc32(word[-3:]) % TAIL_CLASSES
-        if len(self) < KNOWN_WORDS:
-            self[word] = found
-        return found
+_CRC_STEP = np.array([zlib.crc32(bytes([i])) ^ zlib.crc32(b"\0") for i in range(256)], np.uint32)
+
+
+def tail_classes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """``tail_class`` of each word of a text, and where the words end."""
+    raw = np.frombuffer(text, np.uint8)
+    white = np.ones(len(raw) + 2, bool)
+    white[1:-1] = (raw == 32) | (raw - np.uint8(9) < 5)
+    edges = np.flatnonzero(white[1:] != white[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    sizes, crc = ends - starts, np.full(len(ends), 0xFFFFFFFF, np.uint32)
+    for back in (3, 2, 1):
+        byte = raw[np.maximum(ends - back, 0)]
+        crc = np.where(sizes >= back, _CRC_STEP[(crc ^ byte) & 255] ^ (crc >> 8), crc)
+    return (~crc % TAIL_CLASSES).astype(np.int32), ends
+
+
+def sequences(texts: list[bytes], head: dict[bytes, int]):
+    """The input ids of each text, its end (0) included; a word of the head has
+    its place, another one that of its tail class.  Texts are read together, up
+    to ``READ_BYTES`` or one at a time."""
+    a = 0
+    while a < len(texts):
+        b, size = a + 1, len(texts[a])
+        while b < len(texts) and size + len(texts[b]) <= READ_BYTES:
+            size += len(texts[b])
+            b += 1
+        text = b" ".join(texts[a:b]).lower()
+        words = text.split()
+        cls, ends = tail_classes(text)
+        ids = np.fromiter(map(head.get, words, repeat(0)), np.int32, len(words))
+        ids = np.where(ids > 0, ids, cls + HEAD)
+        limits = np.cumsum([len(t) + 1 for t in texts[a:b]])
+        at = 0
+        for to in np.searchsorted(ends, limits).tolist():
+            seq = np.zeros(to - at + 1, np.int32)
+            seq[:-1] = ids[at:to]
+            yield seq
+            at = to
+        a = b
 
 
 # --- counts -------------------------------------------------------------------
@@ -84,8 +117,7 @@ def word_counts(train: DataFrame) -> DataFrame:
         def rows():
             words = list(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(words, pa.binary()).cast(pa.string()), pa.array([counts[w] for w in words], pa.int64()),
-                 pa.array([tail_class(w) for w in words], pa.int32())], names=["word", "n", "cls"])
+                [pa.array(words, pa.binary()).cast(pa.string()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
 
         for batch in batches:
             for text in raw_texts(batch):
@@ -96,8 +128,9 @@ def word_counts(train: DataFrame) -> DataFrame:
                     counts.clear()
         yield from rows()
 
-    return (train.select("text").mapInArrow(run, "word string, n bigint, cls int")
-            .groupBy("word").agg(F.sum("n").alias("n"), F.min("cls").alias("cls")))
+    cls = F.crc32(F.substring(F.col("word").cast("binary"), -3, 3)) % TAIL_CLASSES  # tail_class
+    return (train.select("text").mapInArrow(run, "word string, n bigint")
+            .groupBy("word").agg(F.sum("n").alias("n")).withColumn("cls", cls.cast("int")))
 
 
 def _octave(n: Column) -> Column:
@@ -140,8 +173,8 @@ class Vocabulary:
             self.class_n[tail_class(w)] -= c
             self.class_v[tail_class(w)] -= 1
 
-    def inputs(self) -> Inputs:
-        return Inputs({w: i + 1 for i, w in enumerate(self.head)})
+    def inputs(self) -> dict[bytes, int]:
+        return {w: i + 1 for i, w in enumerate(self.head)}
 
 
 # --- network ------------------------------------------------------------------
@@ -173,44 +206,65 @@ def recur(net, tokens: np.ndarray, state: np.ndarray, trace: bool = False):
     (previous states, update and reset gates, candidates, their recurrent part).
 
     The logistic is a scaled tanh; its factor 1/2 is put into the weights, and
-    every step writes into buffers made once.
+    every step writes into buffers made once.  The two gates of a step lie one
+    behind the other, so that every operation runs over unbroken memory.
     """
     steps, lanes = tokens.shape
     two = 2 * HIDDEN
     kind = net["u"].dtype
     table = net["inp"] + net["bias"]
-    gates_in, cand_in = np.take(0.5 * table[:, :two], tokens, axis=0), np.take(np.ascontiguousarray(table[:, two:]), tokens, axis=0)
-    u_gates, u_cand = 0.5 * net["u"][:, :two], np.ascontiguousarray(net["u"][:, two:])
-    keep = (tokens != 0).astype(kind)[:, :, None]
+    by_gate = np.concatenate([table[:, :HIDDEN], table[:, HIDDEN:two]])
+    by_gate *= 0.5
+    gate_ids = tokens[:, None, :] + np.array([[0], [INPUTS]])
+    cands_by = np.ascontiguousarray(table[:, two:])
+    u_gates = np.stack([0.5 * net["u"][:, :HIDDEN], 0.5 * net["u"][:, HIDDEN:two]])
+    u_cand = np.ascontiguousarray(net["u"][:, two:])
+    starts = _starts(tokens)
     kept = steps if trace else 1
-    prevs, gates, cands, lifts = (np.empty((kept, lanes, w), kind) for w in (HIDDEN, two, HIDDEN, HIDDEN))
-    out = np.empty((steps, lanes, HIDDEN), kind)
+    prevs, cands, lifts = (np.empty((kept, lanes, HIDDEN), kind) for _ in range(3))
+    gates = np.empty((kept, 2, lanes, HIDDEN), kind)
+    out, gates_in, cand_in = (np.empty((k, lanes, HIDDEN), kind) for k in (steps, 2, 1))
     for t in range(steps):
         i = t if trace else 0
         prev, zr, n, lift, now = prevs[i], gates[i], cands[i], lifts[i], out[t]
-        np.multiply(state, keep[t], out=prev)
+        if trace or t in starts:
+            prev[:] = state
+            if t in starts:
+                prev[starts[t]] *= 0
+        else:
+            prev = state
         np.matmul(prev, u_gates, out=zr)
-        zr += gates_in[t]
+        zr += np.take(by_gate, gate_ids[t], axis=0, out=gates_in, mode="clip")
         np.tanh(zr, out=zr)
         zr *= 0.5
         zr += 0.5
         np.matmul(prev, u_cand, out=lift)
-        np.multiply(zr[:, HIDDEN:], lift, out=n)
-        n += cand_in[t]
+        np.multiply(zr[1], lift, out=n)
+        n += np.take(cands_by, gate_ids[t, 0], axis=0, out=cand_in[0], mode="clip")
         np.tanh(n, out=n)
         np.subtract(prev, n, out=now)
-        now *= zr[:, :HIDDEN]
+        now *= zr[0]
         now += n
         state = now
-    return out, (prevs, gates, cands, lifts), keep
+    return out, (prevs, gates, cands, lifts), starts
 
 
-def _softmax_parts(logit):
-    """exp(logit) and its row sums; rows are shifted only if they overflow."""
-    ones = np.ones(logit.shape[1], logit.dtype)
-    with np.errstate(over="ignore"):
-        e = np.exp(logit)
-        total = e @ ones
+def _starts(tokens: np.ndarray) -> dict[int, list[int]]:
+    """The lanes in which a document starts, of each step that has some."""
+    starts: dict[int, list[int]] = {}
+    for at in np.flatnonzero(tokens == 0).tolist():
+        step, lane = divmod(at, tokens.shape[1])
+        starts.setdefault(step, []).append(lane)
+    return starts
+
+
+def _softmax_parts(logit, ones, parts=(slice(None),)):
+    """exp(logit) and its row sums, made part by part; rows are shifted only if
+    they overflow."""
+    e = np.exp(logit)
+    total = np.empty(len(e), e.dtype)
+    for of in parts:
+        np.matmul(e[of], ones, out=total[of])
     if not np.isfinite(total).all() or not total.all():
         top = logit.max(axis=1, keepdims=True)
         e = np.exp(logit - top)
@@ -225,50 +279,66 @@ def _column_sums(x):
 def outputs(net, hidden: np.ndarray, target: np.ndarray, want_gradient: bool = False):
     """Natural log-probability of each target given its state (a tail word's is
     that of its class); with gradients of the mean negative log-likelihood.
-    Rows are sorted by class once, so that each class is one matrix product."""
-    cls = CLASS_OF[target]
+    Rows are sorted by class once, so that each class is one matrix product; all
+    else runs over the rows of many classes at a time."""
+    cls = np.take(CLASS_OF, target)
     order = np.argsort(cls, kind="stable")
-    cls, word, h = cls[order], target[order], hidden[order]
+    cls, word, h = cls[order], target[order], np.take(hidden, order, axis=0)
     n, rows = len(order), np.arange(len(order))
-    edges = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1))
+    edges = np.searchsorted(cls, np.arange(HEAD_CLASSES + 1)).tolist()
     logp = np.empty(n, h.dtype)
     grad = None
     if want_gradient:
         grad = {k: np.zeros(SHAPES[k], h.dtype) for k in ("wc", "bc", "wh", "bh")}
         back = np.empty_like(h)
-    for a in range(0, n, CACHED_ROWS):
-        seg = slice(a, a + CACHED_ROWS)
-        logit = h[seg] @ net["wc"]
-        logit += net["bc"]
-        here, at = rows[:len(logit)], cls[seg]
-        e, total, top = _softmax_parts(logit)
-        logp[seg] = logit[here, at] - top - np.log(total)
-        if want_gradient:
-            e *= (1 / (total * n))[:, None]
-            e[here, at] -= 1 / n
-            grad["wc"] += h[seg].T @ e
-            grad["bc"] += _column_sums(e)
-            back[seg] = e @ net["wc"].T
-    for c in range(HEAD_CLASSES):
-        seg = slice(edges[c], edges[c + 1])
-        if edges[c] == edges[c + 1]:
-            continue
-        line = h[seg] @ net["wh"][c]
-        line += net["bh"][c]
-        at = word[seg] - c * CLASS_WORDS
-        here = rows[:len(at)]
-        e, total, top = _softmax_parts(line)
-        logp[seg] += line[here, at] - top - np.log(total)
-        if want_gradient:
-            e *= (1 / (total * n))[:, None]
-            e[here, at] -= 1 / n
-            grad["wh"][c], grad["bh"][c] = h[seg].T @ e, _column_sums(e)
-            back[seg] += e @ net["wh"][c].T
+    room, ones = np.empty((min(n, CACHED_ROWS), CLASSES), h.dtype), np.ones(CLASSES, h.dtype)
+    at = rows % CACHED_ROWS * CLASSES + cls
+    with np.errstate(over="ignore"):
+        for a in range(0, n, CACHED_ROWS):
+            seg = slice(a, a + CACHED_ROWS)
+            x = h[seg]
+            logit = np.matmul(x, net["wc"], out=room[:len(x)])
+            logit += net["bc"]
+            found = logit.reshape(-1)[at[seg]]
+            e, total, top = _softmax_parts(logit, ones)
+            logp[seg] = found - top - np.log(total)
+            if want_gradient:
+                e *= (1 / (total * n))[:, None]
+                e.reshape(-1)[at[seg]] -= 1 / n
+                grad["wc"] += x.T @ e
+                grad["bc"] += _column_sums(e)
+                np.matmul(e, net["wc"].T, out=back[seg])
+        # the words of the head's classes: some whole classes at a time
+        ones, done = ones[:CLASS_WORDS], 0
+        while done < HEAD_CLASSES and edges[done] < edges[-1]:
+            last = done + 1
+            while last < HEAD_CLASSES and edges[last + 1] - edges[done] <= HEAD_ROWS:
+                last += 1
+            a, b = edges[done], edges[last]
+            seg, runs = slice(a, b), [(c, slice(edges[c] - a, edges[c + 1] - a)) for c in range(done, last) if edges[c] < edges[c + 1]]
+            done, x, at = last, h[seg], rows[:b - a] * CLASS_WORDS + word[seg] % CLASS_WORDS
+            line = np.empty((b - a, CLASS_WORDS), h.dtype)
+            for c, of in runs:
+                np.matmul(x[of], net["wh"][c], out=line[of])
+            line += np.take(net["bh"], cls[seg], axis=0)
+            found = line.reshape(-1)[at]
+            e, total, top = _softmax_parts(line, ones, [of for _, of in runs])
+            logp[seg] += found - top - np.log(total)
+            if want_gradient:
+                e *= (1 / (total * n))[:, None]
+                e.reshape(-1)[at] -= 1 / n
+                more = np.empty_like(x)
+                for c, of in runs:
+                    np.matmul(x[of].T, e[of], out=grad["wh"][c])
+                    grad["bh"][c] = _column_sums(e[of])
+                    np.matmul(e[of], net["wh"][c].T, out=more[of])
+                back[seg] += more
     out = np.empty_like(logp)
     out[order] = logp
     if want_gradient:
-        grad["hidden"] = np.empty_like(back)
-        grad["hidden"][order] = back
+        place = np.empty_like(order)
+        place[order] = rows
+        grad["hidden"] = np.take(back, place, axis=0)
     return out, grad
 
 
@@ -318,46 +388,64 @@ def log_likelihood(net, texts: list[np.ndarray], lanes: int = SCORE_LANES) -> np
     for tokens, target, mask, owner, live in windows(texts, lanes):
         hidden, _, _ = recur(net, tokens, state[:live])
         state = hidden[-1]
-        logp, _ = outputs(net, hidden[mask], target[mask])
-        out += np.bincount(owner[mask], logp.astype(float), len(texts))
+        spot = np.flatnonzero(mask)
+        logp, _ = outputs(net, np.take(hidden.reshape(-1, HIDDEN), spot, axis=0), target.ravel()[spot])
+        out += np.bincount(owner.ravel()[spot], logp.astype(float), len(texts))
     return out
 
 
 def gradients(net, tokens, target, mask, state):
     """Mean loss of a window, its gradients and the state after it."""
-    hidden, (prev, gates, n, lift), keep = recur(net, tokens, state, trace=True)
-    logp, grad = outputs(net, hidden[mask], target[mask], want_gradient=True)
-    dout = np.zeros_like(hidden)
-    dout[mask] = grad.pop("hidden")
+    hidden, (prev, gates, n, lift), starts = recur(net, tokens, state, trace=True)
     steps, lanes, _ = hidden.shape
     two = 2 * HIDDEN
-    z, r = gates[:, :, :HIDDEN], gates[:, :, HIDDEN:]
-    # what each gate's gradient is multiplied by, for all steps at once
-    to_n, to_z, to_r = (1 - z) * (1 - n * n), (prev - n) * z * (1 - z), lift * r * (1 - r)
+    spot = np.flatnonzero(mask)
+    logp, grad = outputs(net, np.take(hidden.reshape(-1, HIDDEN), spot, axis=0), target.ravel()[spot], want_gradient=True)
+    dout = grad.pop("hidden")
+    if len(spot) < mask.size:
+        live, dout = dout, np.zeros((mask.size, HIDDEN), hidden.dtype)
+        dout[spot] = live
+    dout = dout.reshape(hidden.shape)
     dgate = np.empty((steps, lanes, 3 * HIDDEN), hidden.dtype)
-    dlift = np.empty_like(hidden)
     back = np.zeros((lanes, HIDDEN), hidden.dtype)
+    rest, other, slope = (np.empty_like(back) for _ in range(3))
     ut_gates, ut_cand = np.ascontiguousarray(net["u"][:, :two].T), np.ascontiguousarray(net["u"][:, two:].T)
     for t in range(steps - 1, -1, -1):
+        (z, r), cand, lifted = gates[t], n[t], lift[t]
         back += dout[t]
-        dn = dgate[t, :, two:]
-        np.multiply(back, to_n[t], out=dn)
-        np.multiply(back, to_z[t], out=dgate[t, :, :HIDDEN])
-        np.multiply(dn, to_r[t], out=dgate[t, :, HIDDEN:two])
-        np.multiply(dn, r[t], out=dlift[t])
-        back *= z[t]
-        back += dgate[t, :, :two] @ ut_gates
-        back += dlift[t] @ ut_cand
-        back *= keep[t]
+        # the candidate's: (1 - z) (1 - n^2) of what comes back
+        np.subtract(1, z, out=rest)
+        np.multiply(cand, cand, out=slope)
+        np.subtract(1, slope, out=slope)
+        slope *= rest
+        np.multiply(back, slope, out=slope)
+        dn = slope
+        dgate[t, :, two:] = dn
+        # the reset gate's: lift r (1 - r) of the candidate's; the recurrent part gives way to its own gradient
+        lifted *= r
+        lifted *= np.subtract(1, r, out=other)
+        np.multiply(dn, lifted, out=dgate[t, :, HIDDEN:two])
+        np.multiply(dn, r, out=lifted)
+        # the update gate's: (prev - n) z (1 - z)
+        np.subtract(prev[t], cand, out=cand)
+        cand *= z
+        cand *= rest
+        np.multiply(back, cand, out=dgate[t, :, :HIDDEN])
+        back *= z
+        back += np.matmul(dgate[t, :, :two], ut_gates, out=rest)
+        back += np.matmul(lifted, ut_cand, out=rest)
+        if t in starts:
+            back[starts[t]] *= 0
     rows = dgate.reshape(-1, 3 * HIDDEN)
     before = prev.reshape(-1, HIDDEN).T
-    grad["u"] = np.concatenate([before @ rows[:, :two], before @ dlift.reshape(-1, HIDDEN)], axis=1)
+    grad["u"] = np.concatenate([before @ rows[:, :two], before @ lift.reshape(-1, HIDDEN)], axis=1)
     grad["bias"] = _column_sums(rows)
-    ids = tokens.ravel()
+    ids = tokens.ravel().astype(np.int16)
     order = np.argsort(ids, kind="stable")
-    first = np.flatnonzero(np.r_[True, np.diff(ids[order]) != 0])
+    ids = ids[order]
+    first = np.flatnonzero(np.diff(ids, prepend=-1))
     grad["inp"] = np.zeros(SHAPES["inp"], rows.dtype)
-    grad["inp"][ids[order][first]] = np.add.reduceat(rows[order], first, axis=0)
+    grad["inp"][ids[first]] = np.add.reduceat(np.take(rows, order, axis=0), first, axis=0)
     return -float(logp.mean()), grad, hidden[-1]
 
 
@@ -369,7 +457,7 @@ class Trainer:
         self.rate, self.step, self.tokens, self.loss = rate, 0, 0, []
         self.m = {k: np.zeros_like(v) for k, v in net.items()}
         self.v = {k: np.zeros_like(v) for k, v in net.items()}
-        self.scratch = {k: np.zeros_like(v) for k, v in net.items()}
+        self.scratch = np.empty(STEP_WEIGHTS, np.float32)
 
     def learn(self, texts: list[np.ndarray], lanes: int = TRAIN_LANES) -> None:
         total = sum(map(len, texts))
@@ -388,22 +476,33 @@ class Trainer:
             rate = self.rate * mask.sum() / (WINDOW * lanes)  # a window of few live lanes counts less
             a, b = 1 - 0.9 ** self.step, 1 - 0.99 ** self.step
             for k, g in grad.items():
-                m, v, step = self.m[k], self.v[k], self.scratch[k]
-                m *= 0.9
-                m += np.multiply(g, 0.1 * clip, out=step)
-                v *= 0.99
-                np.multiply(g, 0.1 * clip, out=step)
-                v += np.square(step, out=step)
-                np.sqrt(v, out=step)
-                step /= math.sqrt(b)
-                step += 1e-6
-                np.divide(m, step, out=step)
-                step *= rate / a
-                self.net[k] -= step
+                flat = [x.reshape(-1) for x in (g, self.m[k], self.v[k], self.net[k])]
+                for at in range(0, len(flat[0]), STEP_WEIGHTS):
+                    g, m, v, weights = (x[at:at + STEP_WEIGHTS] for x in flat)
+                    step = self.scratch[:len(g)]
+                    m *= 0.9
+                    m += np.multiply(g, 0.1 * clip, out=step)
+                    v *= 0.99
+                    v += np.square(step, out=step)
+                    np.sqrt(v, out=step)
+                    step /= math.sqrt(b)
+                    step += 1e-6
+                    np.divide(m, step, out=step)
+                    step *= rate / a
+                    weights -= step
 
 
 # --- Spark jobs ---------------------------------------------------------------
 
+def _part_sums(batches):
+    """The sum of each part of the weights over the training tasks, as integers."""
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for part, w in zip(batch.column("part").to_pylist(), batch.column("w").to_pylist()):
+            sums[part] = sums.get(part, 0) + np.frombuffer(w, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "w"])
+
+
 def train(docs: DataFrame, vocabulary: Vocabulary, part: Column, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Train on all ``docs``, round ``i`` on those whose ``part`` is ``i``."""
     net = initial(vocabulary)
@@ -415,10 +514,7 @@ def train(docs: DataFrame, vocabulary: Vocabulary, part: Column, rounds: int = R
         def run(batches, net=net, rate=rate):
             trainer, held, size = Trainer(net, rate), [], 0
             for batch in batches:
-                for text in raw_texts(batch):
-                    words = text.lower().split()
-                    seq = np.zeros(len(words) + 1, np.int32)
-                    seq[:-1] = np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
+                for seq in sequences(raw_texts(batch), ids):
                     held.append(seq)
                     size += len(seq)
                     if size > FLUSH_TOKENS:
@@ -428,13 +524,14 @@ def train(docs: DataFrame, vocabulary: Vocabulary, part: Column, rounds: int = R
             if trainer.tokens:
                 weight = max(1, trainer.tokens // 1000)
                 flat = np.concatenate([trainer.net[k].ravel() for k in names] + [np.ones(1)])
-                yield pa.RecordBatch.from_arrays([pa.array([np.rint(flat * FIXED_POINT).astype(np.int64) * weight], pa.list_(pa.int64()))], names=["w"])
+                flat = np.rint(flat * FIXED_POINT).astype(np.int64) * weight
+                parts = [flat[a:a + SUM_WEIGHTS].tobytes() for a in range(0, len(flat), SUM_WEIGHTS)]
+                yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "w"])
 
-        sums = (docs.filter(part == i).select("text").mapInArrow(run, "w array<bigint>")
-                .select(F.posexplode("w").alias("at", "x")).groupBy("at").agg(F.sum("x").alias("x")).toArrow())
+        sums = (docs.filter(part == i).select("text").mapInArrow(run, "part int, w binary")
+                .repartition("part").mapInArrow(_part_sums, "part int, w binary").orderBy("part").toArrow())
         if sums.num_rows:
-            flat = np.empty(sums.num_rows)
-            flat[sums.column("at").to_numpy()] = sums.column("x").to_numpy()
+            flat = np.frombuffer(b"".join(sums.column("w").to_pylist()), np.int64).astype(float)
             flat, at = flat[:-1] / flat[-1], 0
             net = {}
             for k in names:
@@ -451,7 +548,8 @@ class _Lookup:
         names = words.split(b"\n") if words else []
         self.at = {w: i for i, w in enumerate(names)}
         self.log_count = np.log10(counts + 1.0)
-        self.input = np.array([i + 1 if i < HEAD - 1 else HEAD + tail_class(w) for i, w in enumerate(names)], np.int64)
+        self.input = tail_classes(words)[0].astype(np.int64) + HEAD
+        self.input[:HEAD - 1] = np.arange(1, min(len(names), HEAD - 1) + 1)
         cls = self.input - HEAD
         # log10 of a tail word inside its class; a head word's is the network's
         self.inside = np.where(cls >= 0, self.log_count - class_norm[np.maximum(cls, 0)], 0.0)
@@ -486,10 +584,12 @@ def score(docs: DataFrame, vocabulary: Vocabulary, net: dict[str, np.ndarray]) -
                     ll = float(table.inside[found].sum())
                     base += float(table.log_count[found].sum())
                 if len(found) < len(at):
-                    for i in np.flatnonzero(~hit):
-                        seq[i] = HEAD + zlib.crc32(tokens[i][-3:]) % TAIL_CLASSES
-                    ll -= float(norm[seq[:-1][~hit] - HEAD].sum())
-                    rare = Counter(tokens[i] for i in np.flatnonzero(~hit))
+                    missed = np.flatnonzero(~hit)
+                    others = [tokens[i] for i in missed.tolist()]
+                    cls = np.array(list(map(tail_class, others)), np.int32)
+                    seq[missed] = HEAD + cls
+                    ll -= float(norm[cls].sum())
+                    rare = Counter(others)
                     k = len(rare)
                     out["word"] += rare.keys()
                     out["n"] += rare.values()

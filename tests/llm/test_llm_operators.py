@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -228,6 +229,60 @@ def test_lm_gradients_and_lanes():
     assert np.allclose(together, alone, rtol=1e-4)
 
 
+def test_lm_reads_texts_together(spark, monkeypatch):
+    """Ids and classes made for many words at once are those of each word alone."""
+    rng = np.random.default_rng(7)
+    pool = np.frombuffer(b"abW \t\n\x0b\x0c\r\x1c\x00\x08\x0e\xc3\xa9", np.uint8)
+    texts = [b"", b" ", b"a", b"ab ", b"W1 w2 unknown", b"\x1cab\x0bAB", b"x" * 500] + [rng.choice(pool, n).tobytes() for n in rng.integers(0, 40, 300)]
+    head = tiny_vocabulary().inputs()
+    plain = [[head.get(w) or recurrent_lm.HEAD + recurrent_lm.tail_class(w) for w in t.lower().split()] + [0] for t in texts]
+    for size in (1 << 19, 16):
+        monkeypatch.setattr(recurrent_lm, "READ_BYTES", size)
+        assert [s.tolist() for s in recurrent_lm.sequences(texts, head)] == plain
+        assert not list(recurrent_lm.sequences([], head))
+    docs = spark.createDataFrame([("a ab abc abcd é €uro",), (None,), ("A",)], "text string")
+    got = {r["word"]: (r["n"], r["cls"]) for r in recurrent_lm.word_counts(docs).collect()}
+    assert got == {w: (n, recurrent_lm.tail_class(w.encode())) for w, n in [("a", 2), ("ab", 1), ("abc", 1), ("abcd", 1), ("é", 1), ("€uro", 1), ("", 3)]}
+
+
+def test_lm_softmax_against_plain(monkeypatch):
+    """Blocks of rows and groups of classes change no bit; the sums are the plain softmax, also of logits that overflow."""
+    rng = np.random.default_rng(8)
+    net = recurrent_lm.initial(tiny_vocabulary())
+    net["wh"] += rng.standard_normal(net["wh"].shape).astype(np.float32)
+    hidden = rng.standard_normal((700, recurrent_lm.HIDDEN)).astype(np.float32)
+    target = rng.integers(0, recurrent_lm.INPUTS, 700)
+    target[:300] = rng.integers(0, 40, 300)
+
+    def plain(h, w):
+        log_softmax = lambda x: x - x.max() - np.log(np.exp(x - x.max()).sum())
+        c = recurrent_lm.CLASS_OF[w]
+        x = log_softmax(h @ net["wc"].astype(float) + net["bc"])[c]
+        return x if w >= recurrent_lm.HEAD else x + log_softmax(h @ net["wh"][c].astype(float) + net["bh"][c])[w % recurrent_lm.CLASS_WORDS]
+
+    for factor in (1, 60):
+        h = hidden * np.float32(factor)
+        logp, grad = recurrent_lm.outputs(net, h, target, want_gradient=True)
+        assert np.allclose(logp, [plain(a.astype(float), w) for a, w in zip(h, target)], rtol=1e-4, atol=1e-3)
+        with monkeypatch.context() as m:
+            m.setattr(recurrent_lm, "HEAD_ROWS", 7)
+            other, small = recurrent_lm.outputs(net, h, target, want_gradient=True)
+        if factor == 1:
+            assert (logp == other).all() and all((grad[k] == small[k]).all() for k in grad)
+            assert (logp == recurrent_lm.outputs(net, h, target)[0]).all()
+
+
+def test_lm_weights_are_summed_in_parts():
+    """A part's sum stays exact in integers, whatever the batches."""
+    rng = np.random.default_rng(9)
+    rows = [(int(p), rng.integers(-2 ** 40, 2 ** 40, 5)) for p in rng.integers(0, 3, 20)]
+    batch = lambda part: pa.RecordBatch.from_arrays([pa.array([p for p, _ in part], pa.int32()), pa.array([w.tobytes() for _, w in part], pa.binary())], names=["part", "w"])
+    (out,) = recurrent_lm._part_sums(iter([batch(rows[:3]), batch(rows[3:4]), batch(rows[4:])]))
+    got = {p: np.frombuffer(w, np.int64).tolist() for p, w in zip(out.column("part").to_pylist(), out.column("w").to_pylist())}
+    assert got == {q: sum(w for p, w in rows if p == q).tolist() for q in {p for p, _ in rows}}
+    assert next(recurrent_lm._part_sums(iter([]))).num_rows == 0
+
+
 # --- 4 quality ----------------------------------------------------------------
 
 def test_cnn_gradients():
