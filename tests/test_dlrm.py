@@ -1,5 +1,7 @@
 """DLRM: gradients, numpy forward vs a plain loop, Spark scorer, training."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -204,6 +206,114 @@ def test_scores_do_not_depend_on_the_pass(spark):
     assert np.allclose(dlrm.predict(p, xs, xd), dlrm.predict(p, xs, xd, 256), rtol=1e-5, atol=1e-6)
 
 
+def test_scoring_by_code(monkeypatch):
+    """Rows of a code multiplied together, one unit 0 in every row, several passes
+    over the pairs: the loop's logits.  A model of large tables goes row by row."""
+    cfg = DLRMConfig(**SMALL)
+    p = {k: v.astype(np.float64) for k, v in init_params(cfg).items()}
+    p["bb1"][2] = -100.0
+    rng = np.random.default_rng(4)
+    xs, xd = rng.integers(0, 12, (50, 3)), rng.standard_normal((50, 2))
+    want = naive_forward(p, xs, xd)
+    monkeypatch.setattr(dlrm, "SCORE_BATCH", 16)
+    monkeypatch.setattr(dlrm, "RUN_BYTES", 16 * 8 * 20)
+    passes, plain = [], dlrm.forward
+    monkeypatch.setattr(dlrm, "forward", lambda *a: passes.append(1) or plain(*a))
+    score = dlrm.scorer(p)
+    assert np.allclose(score(xs, xd), want, rtol=1e-10) and np.allclose(score(xs[:1], xd[:1]), want[:1], rtol=1e-10)
+    assert not passes and len(score(xs[:0], xd[:0])) == 0
+    monkeypatch.setattr(dlrm, "TABLE_BYTES", 0)
+    assert np.allclose(dlrm.scorer(p)(xs, xd), want, rtol=1e-10) and passes
+
+
+def test_passes_hold_few_pairs():
+    """The source's model on one batch: its pairs (34 MB) and their matrices
+    (67 MB) are never held, and scoring takes the pairs of h alone."""
+    cfg = DLRMConfig()
+    p = init_params(cfg)
+    rng = np.random.default_rng(5)
+    xs, xd = rng.integers(0, 142, (256, 9)), rng.random((256, 5)).astype(np.float32)
+    peak = {}
+
+    def held(name, f):
+        tracemalloc.start()
+        got = f()
+        peak[name] = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return got
+
+    logits, cache = held("forward", lambda: forward(p, xs, xd, keep=True))
+    grads = held("backward", lambda: backward(p, cache, logits / 256))
+    score = dlrm.scorer(p)
+    score(xs, xd)   # makes the tables
+    scored = held("score", lambda: score(xs, xd))
+    assert peak["forward"] < 8 << 20 and peak["score"] < 8 << 20
+    assert peak["backward"] < grads["tw0"].nbytes + (8 << 20)
+    assert np.allclose(scored, logits, atol=1e-5)
+
+
+def test_gradients_of_columns_of_zeros(monkeypatch):
+    """A unit that is 0 in every row gets no gradient, an embedding column of zeros does."""
+    monkeypatch.setattr(dlrm, "RUN_BYTES", 1)
+    cfg = DLRMConfig(**SMALL)
+    p = {k: v.astype(np.float64) for k, v in init_params(cfg).items()}
+    p["bb1"][2], p["emb"][:, 3] = -100.0, 0.0
+    rng = np.random.default_rng(6)
+    xs, xd = rng.integers(0, 12, (6, 3)), rng.standard_normal((6, 2))
+    y = (rng.random(6) > 0.5).astype(np.float64)
+    logits, cache = forward(p, xs, xd, keep=True)
+    assert np.allclose(logits, naive_forward(p, xs, xd))
+    grads = backward(p, cache, bce_with_logits(logits, y)[1])
+    assert not grads["bw1"][:, 2].any() and grads["emb"][:, 3].any()
+    for k, idx in [("emb", (int(xs[0, 0]), 3)), ("emb", (int(xs[1, 1]), 0)), ("bw1", (4, 2)), ("bw1", (4, 1)),
+                   *(("tw0", (i, 5)) for i in (0, 2, 16, 31, 60, 100, 135, 136, 143))]:
+        old, losses = p[k][idx], []
+        for step in (1e-6, -1e-6):
+            p[k][idx] = old + step
+            losses.append(bce_with_logits(forward(p, xs, xd), y)[0])
+        p[k][idx] = old
+        assert abs((losses[0] - losses[1]) / 2e-6 - grads[k][idx]) < 1e-6
+    p["tw0"][dlrm._starts(16)[2]] = np.nan   # a weight of the unit that is 0
+    assert np.isnan(forward(p, xs, xd)).all() and np.isnan(dlrm.scorer(p)(xs, xd)).all()
+
+
+def test_optimiser_steps_in_parts(monkeypatch):
+    cfg = DLRMConfig(**SMALL)
+    rng = np.random.default_rng(7)
+    runs = []
+    grads = [{k: rng.standard_normal(a.shape).astype(np.float32) for k, a in init_params(cfg).items()} for _ in range(2)]
+    for floats in (1, 50, 1 << 20):
+        monkeypatch.setattr(dlrm, "STEP_FLOATS", floats)
+        p = init_params(cfg)
+        m, v = ({k: np.zeros_like(a) for k, a in p.items()} for _ in range(2))
+        for t, g in enumerate(grads, 1):
+            adam_step(p, g, m, v, t, cfg)
+        runs.append((p, m, v))
+    for k, first in init_params(cfg).items():
+        m = v = 0.0
+        for t, g in enumerate(grads, 1):
+            first = first * (1 - cfg.lr * cfg.weight_decay)
+            m, v = 0.9 * m + 0.1 * g[k], 0.999 * v + 0.001 * g[k] ** 2
+            first = first - cfg.lr * (m / (1 - 0.9 ** t)) / (np.sqrt(v / (1 - 0.999 ** t)) + cfg.eps)
+        assert np.allclose(runs[0][0][k], first, rtol=1e-5, atol=1e-7)
+        assert all(np.array_equal(a[k], b[k]) for other in runs[1:] for a, b in zip(runs[0], other))
+
+
+def test_loss_scores_batches_together(spark):
+    cfg = DLRMConfig(**SMALL, batch_size=32, shard_rows=64, precision="float64")
+    p = {k: v.astype(np.float64) for k, v in init_params(cfg).items()}
+    df = _toy(spark, 300, 9)
+    assert [[len(b[3]) for b in few] for few in dlrm._joined((0, None, None, [0] * n) for n in (5000, 4000, 3, 8192, 2))] \
+        == [[5000, 4000], [3, 8192], [2]]
+    got = sorted(map(tuple, dlrm.dlrm_loss_parts(df, p, cfg, *COLS).collect()))
+    data = dlrm._grouped(df, [*COLS[0], *COLS[1], "purchased"], 64, None)[0].toArrow()
+    want = {}
+    for s, xs, xd, y in dlrm._mini_batches(data.sort_by([("shard", "ascending"), ("pos", "ascending")]).to_batches(),
+                                           cfg, *COLS, "purchased", "error"):
+        want[int(s)] = want.get(int(s), 0.0) + bce_with_logits(forward(p, xs, xd), y)[0]
+    assert [g[0] for g in got] == sorted(want) and np.allclose([g[3] for g in got], [want[g[0]] for g in got])
+
+
 def test_average_of_shards(spark, monkeypatch):
     monkeypatch.setattr(dlrm, "AVERAGE_FAN", 3)
     monkeypatch.setattr(dlrm, "CHUNK_FLOATS", 4)
